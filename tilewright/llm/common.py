@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that is unset (tests, a local session) a temporary folder takes its place.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tilewright-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tilewright-')}")
+        folder = context.getCheckpointDir()
     return folder
 
 
@@ -98,6 +100,36 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def scatter(bucket: np.ndarray, arrays: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """Rows (bucket, one binary per array) that hold the elements of each bucket, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    held, starts = np.unique(bucket[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    columns = [[x[order[i:j]].tobytes() for i, j in zip(starts, ends)] for x in arrays]
+    return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", *names])
+
+
+def gather(part: pa.Table, name: str, dtype) -> np.ndarray:
+    """All elements of a binary column that :func:`scatter` made."""
+    out = []
+    for chunk in part.column(name).chunks:
+        wide = pa.types.is_large_binary(chunk.type)
+        offsets = np.frombuffer(chunk.buffers()[1], np.int64 if wide else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and offsets[-1] > offsets[0]:
+            out.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    return np.concatenate(out).view(dtype) if out else np.empty(0, dtype)
+
+
+def volume(docs: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of text)."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return n, size or 0
+
+
+def power_of_two(x: float) -> int:
+    return 1 << max(0, math.ceil(math.log2(max(x, 1))))
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, component) with the smallest node of each.
 

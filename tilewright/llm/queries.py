@@ -8,13 +8,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, tiff
+from . import kneser_ney, mixing, packing, tiff
 from .common import as_bytes, table
 
 
+def fold(column: str, of: int) -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(of))
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text under a model learned from four of the five folds of the ids."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    model = kneser_ney.train(docs.where(fold("doc_id", 5) != 1))
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a TIFF page of 64 samples a row, read back by ``tiff_pages``."""
 
@@ -65,7 +77,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing}
+    return {"op1_lm_scoring": op1_lm_scoring, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
