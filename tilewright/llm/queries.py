@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, packing, tiff
+from . import kneser_ney, mixing, packing, tiff, toxicity
 from .common import as_bytes, table
 
 
@@ -27,6 +27,20 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def learned_toxicity(spark: SparkSession, sf_dir: str) -> dict:
+    """The model of ``labels.toxic``, from four of the five folds of the ids."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label"))
+    return toxicity.fit(docs.join(labels, "doc_id"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity score and the decision at one half."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    scored = toxicity.score(docs, learned_toxicity(spark, sf_dir))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a TIFF page of 64 samples a row, read back by ``tiff_pages``."""
 
@@ -77,7 +91,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing}
+    return {"op1_lm_scoring": op1_lm_scoring, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
