@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, packing, tiff, toxicity
+from . import jaccard, kneser_ney, mixing, packing, tiff, toxicity
 from .common import as_bytes, table
 
 
@@ -27,6 +27,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the texts whose sets of 3-word shingles are similar to nine tenths."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def learned_toxicity(spark: SparkSession, sf_dir: str) -> dict:
     """The model of ``labels.toxic``, from four of the five folds of the ids."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
@@ -48,36 +53,24 @@ def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 ids, sizes, media = batch.column(0).slice(i, 256), [], []
-                for text in batch.column(1).slice(i, 256).to_pylist():
-                    data = as_bytes(text)
+                for text in batch.column(1).slice(i, 256):
+                    data = as_bytes(text.as_py())
                     sizes.append(len(data))
                     data = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
                     media.append(tiff.write_tiff([np.frombuffer(data, dtype=np.uint8).reshape(-1, 64)]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[], [], [], []]
-            for data in batch.column("pixels"):
-                view = data.as_buffer()
-                a = np.frombuffer(view, dtype=np.uint8)
-                bins = np.bincount(a >> 5, minlength=8)
-                edges = int(np.abs(np.diff(a.astype(np.int16))).sum())
-                out[0].append(len(a))
-                out[1].append(hashlib.sha256(view).hexdigest())
-                out[2].append(zlib.crc32(a[-64:].tobytes()))
-                out[3].append(f"sum={int(a.sum(dtype=np.int64))};edges={edges};bins=" + ",".join(map(str, bins)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), batch.column("media_bytes"), batch.column("media_sha256"), pa.array(out[3], pa.string())],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
+    def digest(pixels: bytes) -> tuple:
+        a = np.frombuffer(pixels, dtype=np.uint8)
+        bins = np.bincount(a >> 5, minlength=8)
+        edges = int(np.abs(np.diff(a.astype(np.int16))).sum())
+        feature = f"sum={int(a.sum(dtype=np.int64))};edges={edges};bins=" + ",".join(map(str, bins))
+        return len(a), hashlib.sha256(pixels).hexdigest(), zlib.crc32(a[-64:].tobytes()), feature
 
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
     files = files.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    pages = tiff.tiff_pages(files, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
-    return pages.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "pixels").mapInArrow(
-        digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    pages = tiff.tiff_pages(files, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"], digest, "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    return pages.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +84,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
