@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, kneser_ney, mixing, packing, tiff, toxicity
+from . import jaccard, kneser_ney, mixing, packing, repeats, tiff, toxicity
 from .common import as_bytes, table
 
 
@@ -83,8 +83,29 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 400-byte strings that begin elsewhere too."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[], [], [], []]
+            for text, starts, ends in zip(batch.column(1), batch.column(2), batch.column(3)):
+                data, left = as_bytes(text.as_py()), hashlib.sha256()
+                at = removed = 0
+                starts, ends = starts.as_py() or [], ends.as_py() or []
+                for start, end in zip(starts, ends):
+                    left.update(data[at:start])
+                    at, removed = end, removed + end - start
+                left.update(data[at:])
+                for values, value in zip(out, (len(data), removed, len(starts), left.hexdigest())):
+                    values.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:
