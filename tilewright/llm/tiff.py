@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -256,27 +256,32 @@ def read_tiff(data: bytes | None) -> Iterator[tuple]:
         yield page, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
-def tiff_pages(files: DataFrame, column: str, keep: list[str]) -> DataFrame:
+def tiff_pages(files: DataFrame, column: str, keep: list[str], measure: Callable[[bytes], tuple] | None = None, measures: str = "pixels binary") -> DataFrame:
     """One row per page of the TIFF files in ``column``: the columns ``keep``, then those of ``PAGES``.
 
-    Null files give no row, empty and damaged ones a row with an error; repeated rows are read each. Samples
-    are in native byte order.
+    With ``measure`` the samples stay in the task that decodes them, and what it returns for them (columns
+    ``measures``, null for damaged pages) takes their place. Null files give no row, empty and damaged ones a
+    row with an error; repeated rows are read each. Samples are in native byte order.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     chosen = files.select(*keep, column)
-    extra = _parse_datatype_string(PAGES)
+    page, made = _parse_datatype_string(PAGES).fields, _parse_datatype_string(measures).fields
+    extra = StructType([*page[:-2], *made, page[-1]])
     schema = StructType([*chosen.schema.fields[:-1], *extra.fields])
+    kinds = list(to_arrow_schema(extra).types)
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32()] * 7 + [pa.binary(), pa.string()]
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 rows, out = [], [[] for _ in kinds]
-                for k, data in enumerate(batch.column(len(keep)).slice(i, 256).to_pylist()):
-                    for page in read_tiff(data):
-                        rows.append(i + k)
-                        for values, value in zip(out, page):
+                for k in range(i, min(i + 256, batch.num_rows)):
+                    for page in read_tiff(batch.column(len(keep))[k].as_py()):
+                        rows.append(k)
+                        pixels = page[-2]
+                        found = (pixels,) if measure is None else (None,) * len(made) if pixels is None else measure(pixels)
+                        for values, value in zip(out, (*page[:-2], *found, page[-1])):
                             values.append(value)
                 left = [batch.column(c).take(pa.array(rows, pa.int64())) for c in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(left + [pa.array(v, t) for v, t in zip(out, kinds)], schema.names)
