@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, kneser_ney, mixing, packing, repeats, tiff, toxicity
+from . import jaccard, kneser_ney, mixing, neighbours, packing, repeats, tiff, toxicity
 from .common import as_bytes, table
 
 
@@ -36,7 +36,7 @@ def learned_toxicity(spark: SparkSession, sf_dir: str) -> dict:
     """The model of ``labels.toxic``, from four of the five folds of the ids."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label"))
-    return toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.fit(docs, labels)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without the 400-byte strings that begin elsewhere too."""
 
@@ -105,7 +110,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op10_repeats": op10_repeats}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:
