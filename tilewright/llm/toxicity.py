@@ -52,10 +52,10 @@ class Terms(dict):
         return np.unique(np.fromiter((c for w in words for c in self[w]), dtype=np.int64))
 
 
-def sample(labelled: DataFrame, label: str, most: int) -> DataFrame:
+def sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     """At most ``most`` rows, half of them of each class where there are enough; the same ones in every run."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id", "text")
-    return labelled.where(F.col(label).isin(0, 1)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most // 2).drop("place")
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return labels.where(F.col(label).isin(0, 1)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most // 2).drop("place")
 
 
 def machine(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +121,12 @@ def fit_arrays(sets: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarr
     return model
 
 
-def fit(labelled: DataFrame, label: str = "label", most: int = SAMPLE) -> dict[str, np.ndarray]:
-    """A model from rows (doc_id, text, label 0 or 1). Other labels are left out; without both classes the score is constant."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "label", most: int = SAMPLE) -> dict[str, np.ndarray]:
+    """A model from texts (doc_id, text) and labels (doc_id, 0 or 1).
+
+    Rows with other labels or null ids are left out, as are repeated ids beyond their first label and text;
+    without both classes the score is constant.
+    """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, labels, terms = [], [], Terms()
@@ -134,8 +138,10 @@ def fit(labelled: DataFrame, label: str = "label", most: int = SAMPLE) -> dict[s
         values = np.concatenate((model["w"][used, None], model["v"][used]), axis=1).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model["w0"], used.astype(np.int32), values)], ["w0", "cells", "values"])
 
-    chosen = sample(labelled.select("doc_id", "text", F.col(label).alias("label")), "label", most)
-    row = chosen.orderBy("label", F.xxhash64("doc_id"), "doc_id", "text").coalesce(1).select("text", "label").mapInArrow(learn, "w0 binary, cells binary, values binary").first()
+    chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(label).alias("label"))
+    chosen = F.broadcast(sample(chosen, "label", most))  # ``most`` rows of two numbers
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    row = texts.orderBy("label", F.xxhash64("doc_id"), "doc_id").coalesce(1).select("text", "label").mapInArrow(learn, "w0 binary, cells binary, values binary").first()
     model = {"w0": np.frombuffer(row["w0"]), "w": np.zeros(1 << BITS, dtype=np.float32), "v": np.zeros((1 << BITS, RANK), dtype=np.float32)}
     cells, values = np.frombuffer(row["cells"], dtype=np.int32), np.frombuffer(row["values"], dtype=np.float32).reshape(-1, RANK + 1)
     model["w"][cells], model["v"][cells] = values[:, 0], values[:, 1:]
