@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, kneser_ney, mixing, neighbours, packing, repeats, tiff, toxicity
+from . import jaccard, kneser_ney, mixing, neighbours, packing, pii, repeats, tiff, toxicity
 from .common import as_bytes, table
 
 
@@ -88,6 +88,11 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: base spans, and those that bootstrapped contexts add."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without the 400-byte strings that begin elsewhere too."""
 
@@ -110,7 +115,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op10_repeats": op10_repeats}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op9_pii": op9_pii, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:
