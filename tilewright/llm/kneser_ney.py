@@ -30,9 +30,11 @@ from . import mapped
 from .common import WordHashes, gather, mix, power_of_two, scatter, shared_dir, split_words, volume, written
 
 #: Bytes of text per shard of the model.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 24 << 20
 #: Tokens that a task takes together.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 500_000
+#: Distinct words or bigrams that a task sums up before it passes them on.
+HELD = 2_500_000
 #: White space is in no word, so these two are no words of any text.
 BEGIN, END = (xxhash.xxh64_intdigest(x) for x in (b"\nbegin", b"\nend"))
 
@@ -157,7 +159,7 @@ def train(docs: DataFrame) -> Model:
         for _, hashes, _ in sequences(batches):
             new = summed(hashes)
             held = summed(np.concatenate((held[0], new[0])), np.concatenate((held[1], new[1])))
-            if len(held[0]) > BLOCK_TOKENS:
+            if len(held[0]) > HELD:
                 yield scatter(shard_of(held[0], shards), list(held), ["key", "count"])
                 held = (held[0][:0], held[1][:0])
         yield scatter(shard_of(held[0], shards), list(held), ["key", "count"])
@@ -190,7 +192,7 @@ def train(docs: DataFrame) -> Model:
             at = np.flatnonzero(inner)
             new = summed(pair_keys(ids[at], ids[at + 1]))
             held = summed(np.concatenate((held[0], new[0])), np.concatenate((held[1], new[1]))) if len(held[0]) else new
-            if len(held[0]) > 2 * BLOCK_TOKENS:
+            if len(held[0]) > HELD:
                 yield scatter(shard_of(held[0], shards), [held[0], held[1].astype(np.uint32)], ["key", "count"])
                 held = (held[0][:0], held[1][:0])
         yield scatter(shard_of(held[0], shards), [held[0], held[1].astype(np.uint32)], ["key", "count"])
