@@ -11,77 +11,125 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 4096
 END_ID = 2
 #: Documents in a group, on average.
-GROUP_DOCS = 1024
-CACHE = 300_000
-#: Separators that ``str.split`` knows and the tokenizer's white space does not.
-ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+GROUP_DOCS = 512
+CACHE = 500_000
+#: Latin letters that case folding and normal form C map one to one, then marks other than the apostrophe.
+PLAIN_CHUNK = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Documents that are tokenized together.
+BLOCK_DOCS = 1500
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class ChunkIds(dict):
-    """Little-endian uint32 ids of white-space-free chunks; a bounded cache in front of the tokenizer.
+class ChunkIds:
+    """Little-endian uint32 ids of white-space-free chunks, behind caches of bounded size.
 
     The tokenizer drops white space and none of its tokens spans any, so a text's ids are those of its chunks.
+    It also lowers letters and parts a run of letters from the marks after it, so common chunks of Latin
+    letters and marks are put together from the ids of these two. Unknown runs of letters are encoded many at
+    a time: each ends with a token that ends a word.
     """
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        out = list(map(self.chunks.get, chunks))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        plain = {k: m.groups() for k in missing if (m := PLAIN_CHUNK.fullmatch(chunks[k]))}
+        lowered = {k: letters.lower() for k, (letters, _) in plain.items()}
+        runs = {run: self.runs.get(run) for run in {*lowered.values(), *(marks for _, marks in plain.values())}}
+        new = [run for run, ids in runs.items() if ids is None]
+        words = [run for run in new if run[:1].isalpha()]
+        for i in range(0, len(words), 256):
+            group = words[i : i + 256]
+            ids = self.encode(" ".join(group))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group):
+                continue
+            for run, start, end in zip(group, [0, *ends[:-1].tolist()], ends.tolist()):
+                runs[run] = ids[start:end].tobytes()
+        for run in new:
+            if runs[run] is None:
+                runs[run] = self.encode(run).tobytes()
+        keep(self.runs, ((run, runs[run]) for run in new))
+        for k in missing:
+            out[k] = runs[lowered[k]] + runs[plain[k][1]] if k in plain else self.encode(chunks[k]).tobytes()
+        keep(self.chunks, ((chunks[k], out[k]) for k in missing))
+        return out
+
+
+def keep(cache: dict[str, bytes], new: Iterable[tuple[str, bytes]]) -> None:
+    for text, ids in new:
+        if len(text) <= 64:
+            if len(cache) >= CACHE:
+                cache.clear()
+            cache[text] = ids
 
 
 @lru_cache(maxsize=2)
 def chunk_ids(path: str) -> ChunkIds:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return ChunkIds(tokenizer)
+    return ChunkIds(path)
 
 
-def token_bytes(text: str | None, cache: ChunkIds) -> bytes:
-    text = text or ""
-    if any(c in text for c in ODD_SPACE):
-        return np.array(cache.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    return b"".join(map(cache.__getitem__, text.split()))
+def token_ids(texts: pa.Array, cache: ChunkIds) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, numbers of ids of each). Each distinct chunk of the texts is looked up once."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = split.flatten().dictionary_encode()
+    held = cache.of(coded.dictionary.to_pylist())
+    which = coded.indices.to_numpy()
+    lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
+    starts = np.cumsum(lengths) - lengths
+    of_word = lengths[which]
+    stops = np.cumsum(of_word)
+    ids = np.frombuffer(b"".join(held), dtype="<u4")[np.arange(int(of_word.sum())) + np.repeat(starts[which] - (stops - of_word), of_word)]
+    words = np.append(0, stops)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    return ids, np.diff(words)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: every document cut at multiples of ``capacity``."""
-    closing = np.array([end_id], dtype="<u4").tobytes()
+    closing = np.array([end_id], dtype="<u4")
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = chunk_ids(tokenizer_path)
         for batch in rows:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = token_bytes(text.as_py(), cache) + closing
-                view, n = memoryview(ids), len(ids) // 4
-                for start in range(0, n, capacity):
-                    stop = min(start + capacity, n)
-                    for column, value in zip(out, (doc, start, stop - start, zlib.crc32(view[4 * start : 4 * stop]), n)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for i in range(0, batch.num_rows, BLOCK_DOCS):
+                out: list[list] = [[], [], [], [], []]
+                ids, counts = token_ids(batch.column(1).slice(i, BLOCK_DOCS), cache)
+                stops = np.cumsum(counts).tolist()
+                for doc, begin, stop in zip(batch.column(0).slice(i, BLOCK_DOCS).to_pylist(), [0, *stops[:-1]], stops):
+                    own = np.append(ids[begin:stop], closing)
+                    for start in range(0, len(own), capacity):
+                        part = own[start : start + capacity]
+                        for column, value in zip(out, (doc, start, len(part), zlib.crc32(part), len(own))):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, kneser_ney, mixing, neighbours, packing, pii, repeats, tiff, toxicity
+from . import jaccard, kneser_ney, licences, mixing, neighbours, packing, pii, repeats, tiff, toxicity
 from .common import as_bytes, table
 
 
@@ -32,17 +32,15 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-def learned_toxicity(spark: SparkSession, sf_dir: str) -> dict:
-    """The model of ``labels.toxic``, from four of the five folds of the ids."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label"))
-    return toxicity.fit(docs, labels)
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and label of the four folds of the ids that are learned from."""
+    return table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's toxicity score and the decision at one half."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    scored = toxicity.score(docs, learned_toxicity(spark, sf_dir))
+    scored = toxicity.score(docs, toxicity.fit(docs, toxic_labels(spark, sf_dir)))
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -73,13 +71,19 @@ def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_path() -> str:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of 4096."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of the sources takes."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -88,6 +92,12 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that the trained classifier takes for a licence notice."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    return licences.scan(docs, licences.train(docs))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every text: base spans, and those that bootstrapped contexts add."""
     return pii.report(table(spark, sf_dir, "documents"))
@@ -115,7 +125,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op9_pii": op9_pii, "op10_repeats": op10_repeats}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:
