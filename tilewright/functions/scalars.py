@@ -23,10 +23,10 @@ def number_setting(settings: Column, path: str, default: float) -> Column:
 
 
 def little_endian(content: Column, at: int, size: int) -> Column:
-    """The unsigned number of ``size`` bytes at byte ``at`` (from 0) of a binary column."""
+    """The unsigned number of ``size`` bytes at byte ``at`` (from 0) of a binary column; null beyond 63 bits."""
     part = F.substring(content, at + 1, size)
     big = F.concat(*(F.substring(part, k, 1) for k in range(size, 0, -1)))
-    return F.conv(F.hex(big), 16, 10).cast("long")
+    return F.conv(F.hex(big), 16, 10).try_cast("long")
 
 
 def encode_errors(tile: Column, zoom: Column, threshold: Column, quality: Column) -> Column:

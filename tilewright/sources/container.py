@@ -46,13 +46,13 @@ def headers(files: DataFrame) -> DataFrame:
 
 def header_violation() -> Column:
     """The first rule that a header row breaks, or null. Sections must lie in the file."""
-    inside = lambda at, n: (F.col(at) + F.col(n)) <= F.col("length")
+    inside = lambda at, n: F.coalesce(F.try_add(F.col(at), F.col(n)) <= F.col("length"), F.lit(False))
     return (
         F.when(F.col("length") < HEADER_BYTES, "short")
         .when(F.hex("magic") != MAGIC_HEX, "magic")
         .when(F.col("version") > VERSION, "version")
         .when(F.col("header_size") != HEADER_BYTES, "header_size")
-        .when(F.col("metadata_offset") < F.col("header_size"), "metadata_offset")
+        .when(F.coalesce(F.col("metadata_offset") < F.col("header_size"), F.lit(True)), "metadata_offset")
         .when(~inside("metadata_offset", "metadata_size") | ~inside("vector_offset", "vector_size") | ~inside("tile_index_offset", "tile_index_size"), "section")
     )
 
