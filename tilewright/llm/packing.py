@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 CAPACITY = 4096
 END_ID = 2
 #: Documents in a group, on average.
-GROUP_DOCS = 512
-CACHE = 500_000
+GROUP_DOCS = 768
+#: Chunks and runs of letters whose ids a worker keeps.
+CHUNKS, RUNS = 300_000, 1_200_000
 #: Latin letters that case folding and normal form C map one to one, then marks other than the apostrophe.
 PLAIN_CHUNK = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Documents that are tokenized together.
@@ -77,17 +78,17 @@ class ChunkIds:
         for run in new:
             if runs[run] is None:
                 runs[run] = self.encode(run).tobytes()
-        keep(self.runs, ((run, runs[run]) for run in new))
+        keep(self.runs, RUNS, ((run, runs[run]) for run in new))
         for k in missing:
             out[k] = runs[lowered[k]] + runs[plain[k][1]] if k in plain else self.encode(chunks[k]).tobytes()
-        keep(self.chunks, ((chunks[k], out[k]) for k in missing))
+        keep(self.chunks, CHUNKS, ((chunks[k], out[k]) for k in missing))
         return out
 
 
-def keep(cache: dict[str, bytes], new: Iterable[tuple[str, bytes]]) -> None:
+def keep(cache: dict[str, bytes], most: int, new: Iterable[tuple[str, bytes]]) -> None:
     for text, ids in new:
         if len(text) <= 64:
-            if len(cache) >= CACHE:
+            if len(cache) >= most:
                 cache.clear()
             cache[text] = ids
 
@@ -138,39 +139,34 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """Karmarkar-Karp: indexes of ``sizes`` in ``windows`` groups of nearly equal sums."""
     if windows <= 1:
         return [list(range(len(sizes)))]
+    count = len(sizes)
     heap = []
-    for i, s in sizes_desc(sizes):
+    for i, size in enumerate(sizes):
         sums = np.zeros(windows, dtype=np.int64)
-        sums[0] = s
-        heap.append((-s, i, sums, [(i,)] + [()] * (windows - 1)))
+        sums[0] = size
+        heap.append((-size, i, sums))
     heapq.heapify(heap)
-    count = len(sizes)
+    merges = []
     while len(heap) > 1:
-        _, _, a, bins_a = heapq.heappop(heap)
-        _, _, b, bins_b = heapq.heappop(heap)
+        _, left, a = heapq.heappop(heap)
+        _, right, b = heapq.heappop(heap)
         sums = a + b[::-1]
         order = np.argsort(-sums, kind="stable")
-        bins_b = bins_b[::-1]
-        merged = [(x, y) if x and y else x or y for x, y in zip(bins_a, bins_b)]
         sums = sums[order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), count, sums, [merged[k] for k in order]))
-        count += 1
-    return [flatten(x) for x in heap[0][3]]
-
-
-def sizes_desc(sizes: list[int]) -> list[tuple[int, int]]:
-    return sorted(enumerate(sizes), key=lambda x: (-x[1], x[0]))
-
-
-def flatten(tree: tuple) -> list[int]:
-    out, todo = [], [tree]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, int):
-            out.append(x)
-        else:
-            todo.extend(x)
-    return sorted(out)
+        heapq.heappush(heap, (-int(sums[0] - sums[-1]), count + len(merges), sums))
+        merges.append((left, right, order))
+    # From the last merge back to the single sizes: which window each part of a partition ends up in.
+    window_of = {heap[0][1]: np.arange(windows)}
+    for k in range(len(merges) - 1, -1, -1):
+        left, right, order = merges[k]
+        own = window_of.pop(count + k)
+        window_of[left], window_of[right] = np.empty(windows, dtype=np.int64), np.empty(windows, dtype=np.int64)
+        window_of[left][order] = own
+        window_of[right][windows - 1 - order] = own
+    groups: list[list[int]] = [[] for _ in range(windows)]
+    for i in range(count):
+        groups[int(window_of[i][0])].append(i)
+    return groups
 
 
 def windows_for(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
