@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on, at most.
@@ -53,9 +53,12 @@ class Terms(dict):
 
 
 def sample(labels: DataFrame, label: str, most: int) -> DataFrame:
-    """At most ``most`` rows, half of them of each class where there are enough; the same ones in every run."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return labels.where(F.col(label).isin(0, 1)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most // 2).drop("place")
+    """At most ``most`` rows, half of them of each class where there are enough; the same ones in every run.
+
+    Each half is a bounded smallest-k, so no task gathers a class.
+    """
+    halves = [labels.where(F.col(label) == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for k in (0, 1)]
+    return halves[0].unionByName(halves[1])
 
 
 def machine(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +84,24 @@ def joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)), np.cumsum(lengths) - lengths, lengths
 
 
-def fit_arrays(sets: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
-    """Adagrad on the log loss with both classes weighing the same."""
-    rng = np.random.default_rng(7)
-    size = 1 << BITS
+def tells(sets: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+    """Which cells are in enough texts, and in one class more than in the other beyond ``LEAST_Z`` standard errors."""
     counts = [np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *(s for s, y in zip(sets, labels) if y == k)]), minlength=size) for k in (0, 1)]
     of = [max(int((labels == k).sum()), 1) for k in (0, 1)]
     both = counts[0] + counts[1]
     share = both / (of[0] + of[1])
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / of[0] + 1 / of[1]))
-    frequent = (both >= LEAST_TEXTS) & (np.abs(counts[1] / of[1] - counts[0] / of[0]) >= LEAST_Z * error)
+    return (both >= LEAST_TEXTS) & (np.abs(counts[1] / of[1] - counts[0] / of[0]) >= LEAST_Z * error)
+
+
+def fit_arrays(sets: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Adagrad on the log loss with both classes weighing the same."""
+    rng = np.random.default_rng(7)
+    size = 1 << BITS
+    telling = tells(sets, labels, size)
+    # A term may tell nothing by itself and much beside a telling one.
+    beside = [k for k, s in enumerate(sets) if telling[s].any()]
+    frequent = telling | tells([sets[k] for k in beside], labels[beside], size)
     sets = [s[frequent[s]] for s in sets]
     model = {"w0": np.zeros(1), "w": np.zeros(size), "v": np.zeros((size, RANK))}
     positives = labels.sum()
@@ -142,6 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "label", most: int = SA
     chosen = F.broadcast(sample(chosen, "label", most))  # ``most`` rows of two numbers
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     row = texts.orderBy("label", F.xxhash64("doc_id"), "doc_id").coalesce(1).select("text", "label").mapInArrow(learn, "w0 binary, cells binary, values binary").first()
+    if row is None:  # no labelled text
+        return fit_arrays([], np.empty(0))
     model = {"w0": np.frombuffer(row["w0"]), "w": np.zeros(1 << BITS, dtype=np.float32), "v": np.zeros((1 << BITS, RANK), dtype=np.float32)}
     cells, values = np.frombuffer(row["cells"], dtype=np.int32), np.frombuffer(row["values"], dtype=np.float32).reshape(-1, RANK + 1)
     model["w"][cells], model["v"][cells] = values[:, 0], values[:, 1:]
