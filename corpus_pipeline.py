@@ -23,7 +23,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words are in no group and stay, as do rows without an id. Of rows that share an id one stays.
     """
     first = jaccard.join(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 
