@@ -258,7 +258,7 @@ def join(docs: DataFrame) -> DataFrame:
             found += [(ids[a], ids[b]) for a, b in linked([sets[i] for i in ids])]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    edges = docs.join(members, "doc_id").select("lot", "i", "j", "group", "doc_id", "text").groupBy("lot", "i", "j").applyInArrow(search, "a long, b long")
+    edges = docs.join(members.hint("merge"), "doc_id").select("lot", "i", "j", "group", "doc_id", "text").groupBy("lot", "i", "j").applyInArrow(search, "a long, b long")
     joined = components(edges, "jaccard-links").select(F.col("node").alias("first_id"), "component")
     classes = nodes.select("node", F.col("doc_id").alias("first_id")).join(joined, "first_id", "left").select("node", F.coalesce("component", "first_id").alias("component"))
     out = sized.join(classes, "node", "left")
