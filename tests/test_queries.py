@@ -1,4 +1,4 @@
-"""Every query of the registry against its SQL."""
+"""Every query of the registry that SQL can express, against its SQL; test_vision holds the others."""
 
 import pytest
 
@@ -10,8 +10,6 @@ from .conftest import SF
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
-    df = QUERIES[name](spark, SF)
-    assert name in SQL
-    same(df, duck.sql(SQL[name]))
+    same(QUERIES[name](spark, SF), duck.sql(SQL[name]))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import geometry_queries, metric_queries, pixel_queries, source_queries, tile_queries
+from . import geometry_queries, metric_queries, pixel_queries, source_queries, tile_queries, vision_queries
 from .views import sql
 
-MODULES = (tile_queries, geometry_queries, pixel_queries, metric_queries, source_queries)
+MODULES = (tile_queries, geometry_queries, pixel_queries, metric_queries, source_queries, vision_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
