@@ -143,17 +143,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     The extra round of a source is the head of its stream, so a document in it is taken whole or from its
     start. Rows without words stay once. Ids are taken as unique: repeated ones share the largest number.
     """
-    taken = mix_sources(docs)[0].groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    rows = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("string").eqNullSafe(F.col("_id").cast("string")), "left")
-    whole = F.when(F.col("_size") > 0, F.expr("_taken div _size")).otherwise(1)
-    part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0)
-    rows = rows.withColumns({"_whole": whole, "_part": part})
-    copies = (F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0)).cast("int")
-    rows = rows.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    head = F.expr(r"regexp_extract(text, concat('^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,', _part, '}+'), 0)")
-    rows = rows.withColumn("text", F.when(F.col("_copy") > F.col("_whole"), head).otherwise(F.col("text")))
+    taken = mix_sources(docs)[0].groupBy("doc_id").agg(F.max("taken").alias("_mix_taken"), F.max("size").alias("_mix_size"))
+    rows = docs.join(taken.withColumnRenamed("doc_id", "_mix_id"), F.col("doc_id").cast("string").eqNullSafe(F.col("_mix_id").cast("string")), "left")
+    whole = F.when(F.col("_mix_size") > 0, F.expr("_mix_taken div _mix_size")).otherwise(1)
+    part = F.when(F.col("_mix_size") > 0, F.col("_mix_taken") % F.col("_mix_size")).otherwise(0)
+    rows = rows.withColumns({"_mix_whole": whole, "_mix_part": part})
+    copies = (F.col("_mix_whole") + F.when(F.col("_mix_part") > 0, 1).otherwise(0)).cast("int")
+    rows = rows.where(copies > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), copies)))
+    head = F.expr(r"regexp_extract(text, concat('^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,', _mix_part, '}+'), 0)")
+    rows = rows.withColumn("text", F.when(F.col("_mix_copy") > F.col("_mix_whole"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_copy") > F.col("_whole"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_mix_copy") > F.col("_mix_whole"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

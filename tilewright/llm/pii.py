@@ -85,8 +85,8 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def with_base(docs: DataFrame) -> DataFrame:
     """``docs`` with a key of the row's content and the base spans of its text in columns named by kind."""
-    docs = docs.withColumns({"_key": F.xxhash64("doc_id", "text"), "_text": F.coalesce("text", F.lit(""))})
-    return docs.withColumns({f"_{kind}": spans for kind, spans in base_spans(F.col("_text")).items()})
+    docs = docs.withColumns({"_pii_key": F.xxhash64("doc_id", "text"), "_pii_text": F.coalesce("text", F.lit(""))})
+    return docs.withColumns({f"_pii_{kind}": spans for kind, spans in base_spans(F.col("_pii_text")).items()})
 
 
 def tagged_spans(kind: str, spans: Column) -> Column:
@@ -94,21 +94,21 @@ def tagged_spans(kind: str, spans: Column) -> Column:
 
 
 def occurrences(based: DataFrame) -> DataFrame:
-    """_key, kind (null: no seed), start, end, value, pattern: the seeds and other instances of all texts."""
-    tagged = [tagged_spans(k, F.col(f"_{k}")) for k in KINDS]
-    found = F.when(F.col("_text").rlike("[0-9]{3}|@"), placed(F.col("_text"), INSTANCE, lambda m: F.contains(m, F.lit("@")) | (F.length(digits(m)) >= 5))).otherwise(F.array().cast(SPAN))
+    """_pii_key, kind (null: no seed), start, end, value, pattern: the seeds and other instances of all texts."""
+    tagged = [tagged_spans(k, F.col(f"_pii_{k}")) for k in KINDS]
+    found = F.when(F.col("_pii_text").rlike("[0-9]{3}|@"), placed(F.col("_pii_text"), INSTANCE, lambda m: F.contains(m, F.lit("@")) | (F.length(digits(m)) >= 5))).otherwise(F.array().cast(SPAN))
     seeds = F.concat(*tagged)
     free = F.filter(found, lambda s: ~F.exists(seeds, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
     both = F.concat(seeds, F.transform(free, lambda s: F.struct(F.lit(None).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    rows = based.where(F.col("_text").rlike("[0-9@]")).select("_key", "_text", F.explode(both).alias("s")).select("_key", "_text", "s.*")
-    value = F.substr("_text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    rows = based.where(F.col("_pii_text").rlike("[0-9@]")).select("_pii_key", "_pii_text", F.explode(both).alias("s")).select("_pii_key", "_pii_text", "s.*")
+    value = F.substr("_pii_text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     # An instance loses the marks that end a sentence.
     cut = F.when(F.col("kind").isNull(), F.regexp_replace(value, r"[._-]++$", "")).otherwise(value)
     before = F.greatest(F.col("start") - CONTEXT, F.lit(0)).cast("int")
-    left = F.substr("_text", before + 1, F.col("start").cast("int") - before)
+    left = F.substr("_pii_text", before + 1, F.col("start").cast("int") - before)
     pattern = F.regexp_replace(F.lower(F.regexp_extract(left, r"\S+\s+\S+\s*$", 0)), "[0-9]+", "0")
-    rows = rows.select("_key", "kind", "start", cut.alias("value"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"))
-    return rows.where(F.length("value") >= 5).select("_key", "kind", "start", (F.col("start") + F.length("value")).alias("end"), "value", "pattern").distinct()
+    rows = rows.select("_pii_key", "kind", "start", cut.alias("value"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"))
+    return rows.where(F.length("value") >= 5).select("_pii_key", "kind", "start", (F.col("start") + F.length("value")).alias("end"), "value", "pattern").distinct()
 
 
 def built(kind: Column, value: Column) -> Column:
@@ -143,21 +143,21 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, lea
 
 
 def with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with _key, _email, _ip, _card, _phone; per _key: _found, the kinds, starts and ends that are added).
+    """(``docs`` with _pii_key, _pii_email, _pii_ip, _pii_card, _pii_phone; per _pii_key: _pii_found, the kinds, starts and ends that are added).
 
     Spans are code points, the end exclusive. A null text counts as empty. Rows alike in id and text get the
     same spans; an empty table gives no rows.
     """
     based = with_base(docs)
-    seen = written(occurrences(based.select("_key", "_text", *(f"_{k}" for k in KINDS))), "pii-occurrences")
+    seen = written(occurrences(based.select("_pii_key", "_pii_text", *(f"_pii_{k}" for k in KINDS))), "pii-occurrences")
     new = seen.where("kind is null").drop("kind").join(bootstrap(seen), "value")
-    new = new.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("_found"))
-    return based.drop("_text"), new
+    new = new.groupBy("_pii_key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("_pii_found"))
+    return based.drop("_pii_text"), new
 
 
 def joined_spans(based: DataFrame, new: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind: string, start: long, end: long>>")
-    return based.join(new, "_key", "left").withColumn("_found", F.coalesce("_found", none))
+    return based.join(new, "_pii_key", "left").withColumn("_pii_found", F.coalesce("_pii_found", none))
 
 
 def listed(kind: str, spans: Column) -> Column:
@@ -165,17 +165,17 @@ def listed(kind: str, spans: Column) -> Column:
 
 
 def with_added(kind: str) -> Column:
-    added = F.transform(F.filter("_found", lambda s: s["kind"] == kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return F.array_sort(F.concat(F.col(f"_{kind}"), added))
+    added = F.transform(F.filter("_pii_found", lambda s: s["kind"] == kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.array_sort(F.concat(F.col(f"_pii_{kind}"), added))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans for every row."""
     based, new = with_spans(docs.select(F.col("doc_id").cast("long"), "text"))
-    rows = joined_spans(based.select("doc_id", "_key", *(f"_{k}" for k in KINDS)), new)
-    base = F.array_join(F.concat(*(listed(k, F.col(f"_{k}")) for k in KINDS)), ",")
+    rows = joined_spans(based.select("doc_id", "_pii_key", *(f"_pii_{k}" for k in KINDS)), new)
+    base = F.array_join(F.concat(*(listed(k, F.col(f"_pii_{k}")) for k in KINDS)), ",")
     every = F.array_join(F.concat(*(listed(k, with_added(k)) for k in KINDS)), ",")
-    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(f"_pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"))
 
 
@@ -196,6 +196,6 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate(F.array_sort(tagged, by_start), start, step)
-    rows = rows.withColumn("_done", done)
-    text = F.when(F.size("_done.out") == 0, F.col("text")).otherwise(F.concat(F.array_join("_done.out", ""), F.substr(F.col("text"), F.col("_done.at").cast("int") + 1, F.length("text"))))
+    rows = rows.withColumn("_pii_done", done)
+    text = F.when(F.size("_pii_done.out") == 0, F.col("text")).otherwise(F.concat(F.array_join("_pii_done.out", ""), F.substr(F.col("text"), F.col("_pii_done.at").cast("int") + 1, F.length("text"))))
     return rows.withColumn("text", text).select(*docs.columns)
