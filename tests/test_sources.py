@@ -78,3 +78,10 @@ def test_plugins(spark):
     df = spark.createDataFrame([(b"abc" * 100,), (b"",), (None,)], "v binary")
     back = plugins.Deflate().decompress(plugins.Deflate().compress(F.col("v")))
     assert df.where(~back.eqNullSafe(F.col("v"))).count() == 0
+
+
+def test_plugin_configs_round_trip(spark, tmp_path):
+    made = spark.createDataFrame([("a", True, 3, '{"k": [1, {"x": 2.5}]}'), ("b", False, 0, None)], plugins.CONFIG).withColumn("settings", F.parse_json("settings"))
+    plugins.write_configs(made, f"file://{tmp_path}/configs")
+    got = plugins.read_configs(spark, f"file://{tmp_path}/configs").select("id", "enabled", "priority", F.try_variant_get("settings", "$.k[1].x", "double").alias("x"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", True, 3, 2.5), ("b", False, 0, None)]

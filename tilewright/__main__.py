@@ -1,0 +1,72 @@
+"""Commands on container files: info, inspect, validate, extract."""
+
+from __future__ import annotations
+
+import argparse
+import sys
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from .operators import tiles as T
+from .sources import container as S
+
+
+def parser() -> argparse.ArgumentParser:
+    out = argparse.ArgumentParser(prog="tilewright", description=__doc__)
+    out.add_argument("command", choices=["info", "inspect", "validate", "extract"])
+    out.add_argument("path", help="a file, a folder or a pattern, in any store that Spark reads")
+    out.add_argument("--tile", help="extract: one tile, as level/x_y")
+    out.add_argument("--level", type=int, help="extract: one level")
+    out.add_argument("--out", help="extract: the folder for level_L/tile_X_Y.png")
+    return out
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """0: done; 1: the files break rules or nothing was found; 2: wrong arguments."""
+    args = parser().parse_args(argv)
+    spark = spark or SparkSession.builder.appName("tilewright").getOrCreate()
+    files = S.read_files(spark, args.path)
+    if args.command == "validate":
+        broken = S.headers(files).withColumn("code", S.header_violation()).where("code is not null").select("file_id", "code")
+        parts = S.sections(files)
+        meta = S.parse_metadata(parts)
+        damaged = meta.where("error is not null").select("file_id", F.lit("metadata").alias("code"))
+        rules = meta.where("error is null").withColumn("code", T.metadata_violation()).where("code is not null").select("file_id", "code")
+        outside = T.index_violations(S.parse_index(parts), meta.where("error is null")).select("file_id", F.concat(F.lit("index_"), "code").alias("code"))
+        unsound = S.payloads(parts).where("not sound").select("file_id", F.lit("checksum").alias("code"))
+        found = broken.unionByName(damaged).unionByName(rules).unionByName(outside).unionByName(unsound).groupBy("file_id", "code").count().orderBy("file_id", "code")
+        rows = found.join(files.select("file_id", "path"), "file_id").collect()
+        for r in rows:
+            print(f"{r.path}\t{r.code}\t{r['count']}")
+        return int(bool(rows))
+    parts = S.sections(files)
+    if args.command in ("info", "inspect"):
+        meta = S.parse_metadata(parts)
+        counted = S.parse_index(parts).groupBy("file_id").agg(F.count("*").alias("tiles"))
+        body = F.struct(F.struct("width", "height").alias("dimensions"), "tile_size", "max_zoom_level", "tiles") if args.command == "info" else F.struct(*(c for c in meta.columns if c != "file_id"), "tiles")
+        lines = meta.join(counted, "file_id", "left").select(F.to_json(body)).toLocalIterator()
+        n = 0
+        for n, line in enumerate(lines, 1):
+            print(line[0])
+        return int(n == 0)
+    if not args.out:
+        print("extract needs --out", file=sys.stderr)
+        return 2
+    entries = S.payloads(parts).where("sound")
+    if args.tile:
+        wanted = spark.createDataFrame([(args.tile,)], "spec string").select(*T.parse_spec(F.col("spec"))).first()
+        if wanted.level is None:
+            print(f"not a tile: {args.tile}", file=sys.stderr)
+            return 2
+        entries = entries.where((F.col("level") == wanted.level) & (F.col("x") == wanted.x) & (F.col("y") == wanted.y))
+    elif args.level is not None:
+        entries = entries.where(F.col("level") == args.level)
+    rows = S.write_tiles(entries, args.out).orderBy("level").collect()
+    for r in rows:
+        print(f"level {r.level}: {r.tiles} tiles")
+    return int(not rows)
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -132,3 +132,15 @@ def add_extension(custom: Column, name: str, version: str, size: Column) -> Colu
 
 def extension_size(custom: Column, name: str) -> Column:
     return F.get_json_object(F.try_element_at(custom, F.lit(f"extension.{name}")), "$.size").cast("long")
+
+
+CONFIG = "id string, enabled boolean, priority int, settings string"
+
+
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """Plugin configurations from JSON files, one object a line; settings are any JSON, as a variant."""
+    return spark.read.schema(CONFIG).json(path).withColumn("settings", F.try_parse_json("settings"))
+
+
+def write_configs(configs: DataFrame, path: str) -> None:
+    configs.withColumn("settings", F.to_json("settings")).write.mode("overwrite").json(path)

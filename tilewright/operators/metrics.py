@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +47,27 @@ def bandwidth(transfers: DataFrame) -> Column:
 def smoothed(samples: DataFrame) -> DataFrame:
     """client, ema: the running 0.8 / 0.2 mean of ``bps`` in order, cut at each step.
 
-    A client's samples are folded in one row; for endless clients use the stateful stream of the same name.
+    Each step depends on the one before, so a client's samples pass through one task, sorted and batch by batch:
+    memory does not grow with a client.
     """
-    listed = samples.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "bps"))).alias("s"))
-    step = lambda so_far, x: F.floor(so_far * 0.8 + x["bps"] * 0.2).cast("long")
-    return listed.select("client", F.aggregate("s", F.lit(FIRST_BANDWIDTH).cast("long"), step).alias("ema"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ema = None, None
+        for batch in batches:
+            clients, means = [], []
+            for client, bps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if ema is None or client != now:
+                    if ema is not None:
+                        clients.append(now)
+                        means.append(ema)
+                    now, ema = client, FIRST_BANDWIDTH
+                ema = int(ema * 0.8 + bps * 0.2)
+            yield pa.RecordBatch.from_arrays([pa.array(clients, pa.int64()), pa.array(means, pa.int64())], ["client", "ema"])
+        if ema is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([ema], pa.int64())], ["client", "ema"])
+
+    ordered = samples.select(F.col("client").cast("long"), "bps", "us", "event_id").repartition("client").sortWithinPartitions("client", "us", "event_id")
+    return ordered.select("client", "bps").mapInArrow(fold, "client long, ema long")
 
 
 def quality(bps: Column) -> Column:
@@ -115,6 +134,12 @@ def cache_stats(events: DataFrame, key: list[str]) -> DataFrame:
     return per.agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"), F.sum(F.col("n") - 1).alias("hits"), F.count("*").alias("misses"), ((F.sum("n") - F.count("*")) / F.sum("n")).alias("hit_ratio"))
 
 
+def allocations(events: DataFrame) -> DataFrame:
+    """Adds current and peak: running bytes in use per client (``delta`` may be negative) and their largest value so far."""
+    until = in_order().rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("current", F.sum("delta").over(until)).withColumn("peak", F.max("current").over(until))
+
+
 def queue(requests: DataFrame, most: int | None = None) -> DataFrame:
     """Load requests by priority, then deadline (none last), then key; with ``most`` the first ones only."""
     ordered = requests.orderBy(F.desc("priority"), F.asc_nulls_last("deadline"), "request_id")

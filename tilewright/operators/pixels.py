@@ -23,6 +23,12 @@ def clamp(value: Column, low: float = 0, high: float = 255) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def smoothstep(value: Column, low: float, high: float) -> Column:
+    """0 up to ``low``, 1 from ``high``, a smooth rise between them."""
+    t = clamp((value - low) / float(high - low), 0.0, 1.0)
+    return t * t * (3 - 2 * t)
+
+
 def not_empty(pixels: DataFrame, by: list[str]) -> DataFrame:
     """The images with a pixel that is not fully transparent."""
     return pixels.groupBy(*by).agg(F.bool_and(F.col("a") == 0).alias("empty")).where(~F.col("empty")).select(*by)

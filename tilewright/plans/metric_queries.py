@@ -162,6 +162,36 @@ def concurrent_loads(spark, sf_dir):
     return M.queue(requests(spark, sf_dir), 8)
 
 
+@query("top3_next_request", f"select request_id from {REQUESTS} order by priority desc, deadline nulls last, request_id limit 1")
+def next_request(spark, sf_dir):
+    """The request that is loaded next."""
+    return M.queue(requests(spark, sf_dir), 1).select("request_id")
+
+
+DELTAS = "(select client, us, event_id, case when event_id % 3 = 0 then -(bytes % 700) else bytes % 900 end as delta from v_transfers)"
+
+
+@query("agg22_allocations", f"select client, event_id, current_::bigint as current_, max(current_) over (partition by client order by us, event_id rows between unbounded preceding and current row)::bigint as peak from (select *, sum(delta) over (partition by client order by us, event_id rows between unbounded preceding and current row) as current_ from {DELTAS})")
+def allocations(spark, sf_dir):
+    delta = F.when(F.col("event_id") % 3 == 0, -(F.col("bytes") % 700)).otherwise(F.col("bytes") % 900)
+    return M.allocations(V.transfers(spark, sf_dir).withColumn("delta", delta)).select("client", "event_id", F.col("current").alias("current_"), "peak")
+
+
+@query("str5_predicted_tiles", f"select distinct client, cx + dx as x, dy::bigint as y from (select client, (floor(round(x + coalesce(v0, 0.0) * 0.5 + coalesce(a0, 0.0) * 0.5 * 0.5 / 2, 3) / 64.0::double))::bigint as cx from {moving_sql('x')} where event_id % 10 = 0), range(-1, 2) a(dx), range(-1, 2) b(dy) where cx + dx >= 0 and dy >= 0")
+def predicted_tiles(spark, sf_dir):
+    """The tiles around where each client will look."""
+    from ..operators.tiles import rings
+
+    ahead = M.predicted(moving(spark, sf_dir)).where("event_id % 10 = 0")
+    centre = ahead.select("client", F.floor(F.round("predicted", 3) / 64.0).alias("cx"), F.lit(0).cast("long").alias("cy"))
+    return rings(centre, 1).select("client", "x", "y").distinct()
+
+
+@query("flt25_filter_plugins", "select 'brightness' as id")
+def filter_plugins(spark, sf_dir):
+    return plugins.REGISTRY.catalog(spark).where("kind = 'filter'").select("id")
+
+
 @query("top2_load_queue", f"select request_id, row_number() over (order by priority desc, deadline nulls last, request_id) as place from {REQUESTS} where request_id < 500")
 def load_queue(spark, sf_dir):
     from pyspark.sql import Window

@@ -236,6 +236,17 @@ def decode_region(spark, sf_dir):
     return P.enlarge(rect, P.box_mean(p.where("x < 6"), BY, 1), BY, 1)
 
 
+@query("agg24_sample_mean", "select vec_id, (x // 2)::bigint as x, (y // 2)::bigint as y, sum(g)::double / count(*) as g from v_pixels group by vec_id, x // 2, y // 2")
+def sample_mean(spark, sf_dir):
+    """Each pixel as the mean of its samples."""
+    return V.pixels(spark, sf_dir).groupBy("vec_id", T.div(F.col("x"), 2).alias("x"), T.div(F.col("y"), 2).alias("y")).agg((F.sum("g").cast("double") / F.count("*")).alias("g"))
+
+
+@query("px11_smoothstep", "select vec_id, x, y, round(t * t * (3 - 2 * t), 9) as cover from (select vec_id, x, y, least(greatest((g - 64) / 128.0::double, 0.0::double), 1.0::double) as t from v_pixels)")
+def smoothstep(spark, sf_dir):
+    return V.pixels(spark, sf_dir).select("vec_id", "x", "y", F.round(P.smoothstep(F.col("g"), 64, 192), 9).alias("cover"))
+
+
 @query("px12_filled_boxes", "select p.vec_id, x, y, count(*) as n from v_pixels p join (select distinct vec_id, k, (vec_id + k) % 6 as bx, k % 4 as by_, 2 + k as w, 3 as h from v_pixels, range(3) t(k)) b on b.vec_id = p.vec_id and x >= bx and x < bx + w and y >= by_ and y < by_ + h group by all")
 def filled_boxes(spark, sf_dir):
     p = V.pixels(spark, sf_dir)

@@ -92,6 +92,24 @@ def checked_payloads(spark, sf_dir):
     return S.payloads(S.sections(damaged(spark, sf_dir))).select("file_id", "x", "y", "sound")
 
 
+@query("src10_vector_layers", "select vec_id as file_id, 0::bigint as layers from embeddings")
+def vector_layers(spark, sf_dir):
+    return S.parse_vectors(S.sections(files(spark, sf_dir))).where("error is null").select("file_id", "layers")
+
+
+@query("prj16_tile_dimensions", "select vec_id as file_id, x, y, 4::int as width, 4::int as height from embeddings, range(2) a(x), range(2) b(y)")
+def tile_dimensions(spark, sf_dir):
+    return S.decode_tiles(S.payloads(S.sections(files(spark, sf_dir)))).select("file_id", "x", "y", "width", "height")
+
+
+@query("gen16_encoded_files", "select vec_id as file_id, true as whole from embeddings")
+def encoded_files(spark, sf_dir):
+    """Images to files: all payloads there, their sizes adding up to the file's."""
+    parts = S.sections(files(spark, sf_dir))
+    size = S.parse_index(parts).groupBy("file_id").agg(F.sum("size").alias("bytes"))
+    return parts.join(size, "file_id").select("file_id", (F.col("tile_data_offset") + F.col("bytes") == F.length("content")).alias("whole"))
+
+
 @query("src17_sniffed", "select vec_id as file_id, vec_id % 7 <> 0 as ours from embeddings")
 def sniffed(spark, sf_dir):
     return damaged(spark, sf_dir).select("file_id", S.is_container(F.col("content")).alias("ours"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contours as C
+from ..operators import pixels as P
 from ..operators import vision
+from ..operators.tiles import div
 from ..streaming import cache
 from . import views as V
 
@@ -25,6 +27,13 @@ def canny_edges(spark, sf_dir):
     return vision.canny(grey_images(spark, sf_dir), 20, 40).select("id", (F.length(F.regexp_replace(F.hex("data"), "00", "")) / 2).cast("int").alias("edges"))
 
 
+def auto_segments(spark, sf_dir):
+    """Region types of blocks by the share of edge pixels, from Canny edges of each image."""
+    edges = vision.canny(grey_images(spark, sf_dir), 20, 40).select(F.col("id").alias("vec_id"), "data", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"))
+    marked = edges.select("vec_id", (F.col("k") % 8).alias("x"), div(F.col("k"), 8).alias("y"), (F.hex(F.substring(F.col("data"), F.col("k") + 1, F.lit(1))) == "FF").alias("edge"))
+    return P.block_type(P.block_density(marked, ["vec_id"], 4))
+
+
 def contour_walks(spark, sf_dir):
     return vision.contour_walks(grey_images(spark, sf_dir), 140)
 
@@ -44,6 +53,6 @@ def cache_stream(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "gen10_canny": canny_edges, "gen8_contour_walks": contour_walks, "gen7_contour_paths": contour_paths, "gen2_lanczos_level": lanczos_level, "str10_cache_stream": cache_stream,
+    "gen4_auto_segments": auto_segments, "gen10_canny": canny_edges, "gen8_contour_walks": contour_walks, "gen7_contour_paths": contour_paths, "gen2_lanczos_level": lanczos_level, "str10_cache_stream": cache_stream,
 }
 SQL: dict[str, str] = {}

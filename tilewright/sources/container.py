@@ -107,6 +107,24 @@ def parse_metadata(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("file_id").cast("long"), "metadata").mapInArrow(read, "file_id long, " + METADATA)
 
 
+def parse_vectors(parts: DataFrame) -> DataFrame:
+    """file_id, layers, error: the number of layers in each vector section (raw deflate, then CBOR); empty sections have none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            layers, errors = [], []
+            for data in batch.column(1).to_pylist():
+                try:
+                    layers.append(len(codecs.from_cbor(codecs.inflate(data))["layers"]) if data else 0)
+                    errors.append(None)
+                except (ValueError, KeyError, TypeError, zlib.error) as e:
+                    layers.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(layers, pa.int64()), pa.array(errors, pa.string())], ["file_id", "layers", "error"])
+
+    return parts.select(F.col("file_id").cast("long"), "vectors").mapInArrow(read, "file_id long, layers long, error string")
+
+
 def tag(value) -> str:
     """The name of a tagged value: a text, or the only key of a map."""
     return value if isinstance(value, str) else next(iter(value))
