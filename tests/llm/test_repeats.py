@@ -78,3 +78,25 @@ def test_sliding_and_window_hashes():
 def test_united():
     k, s, e = R.united(np.array([2, 1, 1, 1, 2]), np.array([0, 5, 0, 4, 3]), np.array([2, 9, 4, 6, 5]))
     assert list(zip(k.tolist(), s.tolist(), e.tolist())) == [(1, 0, 9), (2, 0, 2), (2, 3, 5)]
+
+
+def test_groups_have_all_occurrences(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    short, long, core = text(430), text(520), text(410)
+    docs = [text(50) + short + text(50), short + text(20), text(300) + short, "q" + long + "r" + long, text(9) + long[:450] + "zz", "A" + core + "B", "A" + core + "C", "D" + core + "B", text(900)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "key long, text string")
+    found = {}
+    for r in R.repeat_groups(df).collect():
+        found.setdefault(r.group, set()).add((r.key, r.start, r.length))
+    by_text = {}
+    for places in found.values():
+        strings = {docs[k][s : s + n] for k, s, n in places}
+        assert len(strings) == 1
+        (one,) = strings
+        everywhere = {(k, i, len(one)) for k, t in enumerate(docs) for i in range(len(t) - len(one) + 1) if t.startswith(one, i)}
+        assert places == everywhere and len(places) > 1
+        by_text[one] = places
+    assert {short, core, "A" + core, core + "B", long, long[:450]} <= set(by_text)
+    hot = {r.length for r in R.repeat_groups(df, 2).collect()}
+    assert 400 in hot

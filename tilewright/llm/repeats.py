@@ -73,8 +73,11 @@ def sliding(x: np.ndarray, width: int, best, worst) -> np.ndarray:
     return best(after[: n - width + 1], before[width - 1 : n])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, places) of the anchors of a text's windows, and the starts of windows that it has more than once."""
+def anchors(data: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, places) of the anchors of a text's windows, and the starts of windows that it has more than once.
+
+    Of windows that a text repeats only the first has its anchor here; with ``every`` all have.
+    """
     none = np.empty(0, dtype=np.int64)
     if len(data) < LENGTH:
         return np.empty(0, dtype=np.uint64), none, none
@@ -85,7 +88,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     used = sliding(np.concatenate((edge, low, edge)), width, np.maximum, np.uint64(0))
     places = np.flatnonzero(used == grams)
     hashes = grams[places]
-    if len(np.unique(hashes)) == len(hashes):
+    if every or len(np.unique(hashes)) == len(hashes):
         return hashes, places, none
     # Only here can a window occur twice. The anchor is the first of equal ones.
     windows = window_hashes(grams)
@@ -101,7 +104,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Group:
     """The segments of one task, in the order of anchor and right side."""
 
-    def __init__(self, code: np.ndarray, key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.ndarray):
+    def __init__(self, code: np.ndarray, key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.ndarray, grouped: bool = False):
         sides = data.astype(np.uint16) + np.uint16(1)  # 0 stands for the end
         column = np.arange(REACH + LENGTH)
         sides[(column < REACH - left[:, None]) | (column >= REACH + right[:, None])] = 0
@@ -111,12 +114,14 @@ class Group:
         order = np.lexsort((text(after), code))
         self.code, self.key, self.place, self.left, self.right = code[order], key[order], place[order], left[order], right[order]
         after, self.before = after[order], before[order]
+        self.after = after
         self.rank = np.empty(len(order), dtype=np.int64)
         self.rank[np.lexsort((text(self.before), self.code))] = np.arange(len(order))
         differs = after[1:] != after[:-1]
         self.prefix = np.where(differs.any(axis=1), differs.argmax(axis=1), LENGTH) if len(order) > 1 else np.empty(0, dtype=np.int64)
         self.member = np.argsort(self.rank)
         self.spans: list[tuple[int, int, int]] = []  # member, L, R
+        self.groups: list[tuple[int, int, int, int]] | None = [] if grouped else None  # group, key, start, length
         self.widest = [-1] * len(order)
 
     def common_left(self, x: int, y: int) -> int:
@@ -169,7 +174,28 @@ class Group:
         """Closes the intervals whose common prefix is at least ``depth``."""
         while links and links[-1] >= depth:
             b, a = sets.pop(), sets.pop()
-            sets.append(self.merge(a, b, links.pop()))
+            deep = links.pop()
+            sets.append(self.merge(a, b, deep))
+            if self.groups is not None and deep > depth and (not links or links[-1] < deep):
+                self.report(sets[-1], deep)
+
+    def report(self, ranks: list[int], depth: int) -> None:
+        """The maximal repeats of a whole interval: its parts by common left sides that differ after ``depth`` too."""
+        members = [int(self.member[r]) for r in ranks]
+        shared = [self.common_left(x, y) for x, y in zip(members, members[1:])]
+        stack: list[tuple[int, int]] = []  # (common left side, first member) of the open parts
+        for i in range(1, len(members) + 1):
+            now, first = (shared[i - 1] if i < len(members) else -1), i - 1
+            while stack and stack[-1][0] > now:
+                left, first = stack.pop()
+                part = members[first:i]
+                right = min(depth, *(int(self.right[x]) for x in part))
+                if left + right >= LENGTH and int(self.prefix[min(part) : max(part)].min()) == depth:
+                    text = np.concatenate((self.before[part[0], :left][::-1], self.after[part[0], :right])) - np.uint16(1)
+                    group = np.uint64(xxhash.xxh3_64_intdigest(text.astype(np.uint8).tobytes())).view(np.int64)
+                    self.groups += [(int(group), int(self.key[x]), int(self.place[x]) - left, left + right) for x in part]
+            if not stack or stack[-1][0] < now:
+                stack.append((now, first))
 
 
 def united(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,11 +217,12 @@ def united(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 SEGMENTS = "bucket int, code binary, key binary, place binary, sides binary, data binary"
 NAMES = ["bucket", "code", "key", "place", "sides", "data"]
+GROUPS = "group long, key long, start long, length long"
 SPANS = "bucket int, key binary, start binary, end binary"
 
 
-def repeated_spans(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
-    """key, starts, ends (arrays) of the repeated bytes of ``docs`` (key, text), for texts that have any."""
+def found_repeats(docs: DataFrame, hot_places: int, grouped: bool) -> DataFrame:
+    """Of ``docs`` (key, text): spans dealt by key (``SPANS``), or with ``grouped`` the rows of :func:`repeat_groups`."""
     spark = docs.sparkSession
     buckets = power_of_two(volume(docs)[1] / BUCKET_BYTES)
     folder = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
@@ -213,7 +240,7 @@ def repeated_spans(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                held.append(anchors(np.frombuffer(as_bytes(text.as_py()), dtype=np.uint8))[0])
+                held.append(anchors(np.frombuffer(as_bytes(text.as_py()), dtype=np.uint8), grouped)[0])
                 size += len(held[-1])
                 if size >= HELD_ANCHORS:
                     yield flush()
@@ -253,7 +280,7 @@ def repeated_spans(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
         spans, windows = [], []
         for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
             data = np.frombuffer(as_bytes(text.as_py()), dtype=np.uint8)
-            codes, places, twice = anchors(data)
+            codes, places, twice = anchors(data, grouped)
             texts.append((key, data))
             found.append((np.full(len(codes), k), codes, places))
             if len(twice):
@@ -276,7 +303,7 @@ def repeated_spans(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
             row = np.zeros(REACH + LENGTH, dtype=np.uint8)
             row[REACH - (place - begin) : REACH + (stop - place)] = data[begin:stop]
             same = seen.setdefault(xxhash.xxh3_128_digest(row.tobytes() + bytes((place - begin >> 8, place - begin & 255, stop - place >> 8, stop - place & 255))), [])
-            if same:
+            if same and not grouped:
                 spans += [np.array([[x[0]], [x[1]], [x[2]]]) for x in (same + [(key, begin, stop)] if len(same) == 1 else [(key, begin, stop)])]
             else:
                 kept.append((code, key, place, (place - begin) << 16 | (stop - place)))
@@ -303,26 +330,51 @@ def repeated_spans(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
         if kind == 0:
             sides = gather(part, "sides", np.uint32).astype(np.int64)
             data = gather(part, "data", np.uint8).reshape(-1, REACH + LENGTH)
-            spans = Group(code, keys, place, sides >> 16, sides & 0xFFFF, data).scan()
+            group = Group(code, keys, place, sides >> 16, sides & 0xFFFF, data, grouped)
+            spans = group.scan()
+            if grouped:
+                return group_rows(*(np.array(c, dtype=np.int64) for c in zip(*group.groups))) if group.groups else group_rows(*[np.empty(0, dtype=np.int64)] * 4)
         elif kind == 1:
             # A window that lies around several anchors comes from each of them.
             at = np.unique(np.stack((code, keys, place), axis=1), axis=0)
             _, back, counts = np.unique(at[:, 0], return_inverse=True, return_counts=True)
             at = at[counts[back] > 1]
+            if grouped:
+                return group_rows(at[:, 0], at[:, 1], at[:, 2], np.full(len(at), LENGTH))
             spans = at[:, 1], at[:, 2], at[:, 2] + LENGTH
         else:
             spans = keys, place, code
         keys, start, end = united(*spans)
         return pa.Table.from_batches([scatter(spread(keys.view(np.uint64)), [keys, start, end], ["key", "start", "end"])])
 
+    segments = docs.select("key", "text").mapInArrow(cut, SEGMENTS).groupBy("bucket")
+    return segments.applyInArrow(find, GROUPS if grouped else SPANS)
+
+
+def group_rows(group: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Table:
+    return pa.table({"group": group, "key": key, "start": start, "length": length})
+
+
+def repeated_spans(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
+    """key, starts, ends (arrays) of the repeated bytes of ``docs`` (key, text), for texts that have any."""
+
     def collect(part: pa.Table) -> pa.Table:
         key, start, end = united(*(gather(part, x, np.int64) for x in ("key", "start", "end")))
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
         offsets = pa.array(np.append(at, len(key)).astype(np.int32))
         return pa.table({"key": key[at], "starts": pa.ListArray.from_arrays(offsets, pa.array(start)), "ends": pa.ListArray.from_arrays(offsets, pa.array(end))})
 
-    found = docs.select("key", "text").mapInArrow(cut, SEGMENTS).groupBy("bucket").applyInArrow(find, SPANS)
-    return found.groupBy("bucket").applyInArrow(collect, "key long, starts array<long>, ends array<long>")
+    return found_repeats(docs, hot_places, False).groupBy("bucket").applyInArrow(collect, "key long, starts array<long>, ends array<long>")
+
+
+def repeat_groups(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
+    """group, key, start, length: the maximal repeats of ``docs`` (key, text) with all their occurrences.
+
+    A group is one string of ``LENGTH`` bytes or more, as far as it reaches around an anchor (``REACH`` before,
+    ``LENGTH`` after): its occurrences differ before or after it, or end there. Longer repeats come as the groups of
+    their anchors, which overlap. Repeats around anchors in more than ``hot_places`` come as windows of ``LENGTH``.
+    """
+    return found_repeats(docs, hot_places, True).distinct()
 
 
 def remove_repeats(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
@@ -333,4 +385,4 @@ def remove_repeats(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(keyed, hot_places)
-    return keyed.join(spans, "key", "left").select("doc_id", "text", "starts", "ends")
+    return keyed.join(spans.hint("merge"), "key", "left").select("doc_id", "text", "starts", "ends")
