@@ -59,6 +59,25 @@ def test_components_are_those_of_all_pairs(spark, seed):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("most", [3_000_000, 600])
+def test_all_links_and_membership(spark, monkeypatch, most):
+    monkeypatch.setattr(J, "GROUP_ELEMENTS", most)
+    docs = corpus(5, 60) + [(900, None), (901, "two words"), (902, "Two  words")]
+    sets = {}
+    for i, text in docs:
+        w = (text or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    distinct = [i for s, i in first.items() if s]
+    want = {(a, b) for a in distinct for b in distinct if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    links, held = J.pairs(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {tuple(r) for r in held.collect()} == {(i, first[s]) for i, s in sets.items() if s}
+
+
 def test_repeated_rows_empty_table_and_null_ids(spark):
     docs = [(5, "a b c d"), (5, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, "alone in the world"), (7, None)]
     got = sorted(((r.doc_id, r.component_id) for r in J.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)

@@ -67,7 +67,8 @@ def test_empty_table_and_empty_corpus(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     model = K.train(none)
     assert model.tokens == 0 and K.score(none, model).count() == 0
-    rows = K.score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), model).collect()
+    rows = K.score(spark.createDataFrame([(1, "a b"), (2, None), (None, "a"), (None, "a")], "doc_id long, text string"), model).collect()
+    assert len(rows) == 4
     assert all(math.isfinite(r.score) for r in rows)
 
 

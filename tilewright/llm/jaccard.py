@@ -147,8 +147,11 @@ class Trie:
         return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
 
 
-def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join every component of the sets (of hashes); a link within what is joined already may lack."""
+def linked(sets: list[np.ndarray], every: bool = False) -> list[tuple[int, int]]:
+    """Links that join every component of the sets (of hashes); a link within what is joined already may lack.
+
+    With ``every`` all links, the smaller index first.
+    """
     flat = np.concatenate(sets)
     _, local, counts = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), dtype=np.int64)
@@ -159,6 +162,9 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     marks = np.zeros(len(counts), dtype=bool)
     waiting = dict.fromkeys(range(len(sets)))
     edges, trie, built = [], None, 0
+    if every:
+        trie = Trie(dict(enumerate(ordered)))
+        return [(k, j) for k in waiting for j in trie.search(ordered[k], marks).tolist() if k < j]
     while waiting:
         todo = [next(iter(waiting))]
         del waiting[todo[0]]
@@ -182,24 +188,26 @@ def word_sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
             yield part, [shingles(words.array(split_words(x.as_py())), WORDS) for x in part.column(column)]
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+def node_of(elements: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(elements.tobytes()) if len(elements) else 0
 
-    A null or empty text, or one without words, has an empty set and is a component of its own. Rows with the
-    same text are one component; a null id takes no part in a minimum unless there is no other.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    buckets = power_of_two(volume(docs)[1] / BUCKET_BYTES)
 
-    def node_of(elements: np.ndarray) -> int:
-        return xxhash.xxh3_64_intdigest(elements.tobytes()) if len(elements) else 0
+def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every row: doc_id, n_shingles, node; every distinct set: node, its smallest doc_id, n)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in word_sets(batches, 1):
             nodes = np.array([node_of(s) for s in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes)], ["doc_id", "n_shingles", "node"])
 
+    sized = written(docs.mapInArrow(measure, "doc_id long, n_shingles long, node long"), "jaccard-sets")
+    return sized, sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """node, group: sets with an equal part are in one group; sets without any are in none."""
+    buckets = power_of_two(volume(docs)[1] / BUCKET_BYTES)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, nodes, size, seen = [], [], 0, set()
 
@@ -232,12 +240,13 @@ def join(docs: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack((node[apart], head[apart]), axis=1), axis=0).view(np.int64) if apart.any() else np.empty((0, 2), dtype=np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    sized = written(docs.mapInArrow(measure, "doc_id long, n_shingles long, node long"), "jaccard-sets")
-    nodes = sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     routed = docs.select("text").mapInArrow(route, "bucket int, code binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    groups = components(routed, "jaccard-groups").select("node", F.col("component").alias("group"))
+    return components(routed, "jaccard-groups").select("node", F.col("component").alias("group"))
 
-    members = written(groups.join(nodes, "node").where("doc_id is not null"), "jaccard-members")
+
+def found_links(docs: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
+    """a, b: links between distinct sets, as the smallest doc_id of each; enough to join the components, or all."""
+    members = written(grouped(docs).join(nodes, "node").where("doc_id is not null"), "jaccard-members")
     sums = members.groupBy("group").agg(F.sum("n").alias("elements"))
     total = sums.agg(F.sum("elements")).first()[0] or 0
     lots = max(1, -(-total // GROUP_ELEMENTS))
@@ -246,20 +255,48 @@ def join(docs: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
     members = members.select("doc_id", "group", own.alias("own"), F.explode(others).alias("other"), F.when(F.col("blocks") > 1, F.col("group")).otherwise(F.pmod("group", F.lit(lots))).alias("lot"))
-    members = members.select("doc_id", "group", "lot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    members = members.select("doc_id", "group", "lot", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def search(part: pa.Table) -> pa.Table:
-        words, by_group = WordHashes(), {}
-        for doc, group, text in zip(part.column("doc_id").to_pylist(), part.column("group").to_pylist(), part.column("text")):
+        words, by_group, block = WordHashes(), {}, {}
+        for doc, group, own, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "group", "own")), part.column("text")):
             by_group.setdefault(group, {})[doc] = shingles(words.array(split_words(text.as_py())), WORDS)
+            block[doc] = own
+        across = part.column("i")[0] != part.column("j")[0]  # pairs inside a block have a task of their own
         found = []
         for sets in by_group.values():
             ids = sorted(sets)
-            found += [(ids[a], ids[b]) for a, b in linked([sets[i] for i in ids])]
+            pairs = ((ids[a], ids[b]) for a, b in linked([sets[i] for i in ids], every))
+            found += [(a, b) for a, b in pairs if not (every and across and block[a] == block[b])]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    edges = docs.join(members.hint("merge"), "doc_id").select("lot", "i", "j", "group", "doc_id", "text").groupBy("lot", "i", "j").applyInArrow(search, "a long, b long")
-    joined = components(edges, "jaccard-links").select(F.col("node").alias("first_id"), "component")
+    texts = docs.join(members.hint("merge"), "doc_id").select("lot", "i", "j", "group", "own", "doc_id", "text")
+    return texts.groupBy("lot", "i", "j").applyInArrow(search, "a long, b long")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+
+    A null or empty text, or one without words, has an empty set and is a component of its own. Rows with the
+    same text are one component; a null id takes no part in a minimum unless there is no other.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    sized, nodes = measured(docs)
+    joined = components(found_links(docs, nodes, False), "jaccard-links").select(F.col("node").alias("first_id"), "component")
     classes = nodes.select("node", F.col("doc_id").alias("first_id")).join(joined, "first_id", "left").select("node", F.coalesce("component", "first_id").alias("component"))
     out = sized.join(classes, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b: all links between different sets, by the smallest doc_id of each; doc_id, first_id: which set a row has).
+
+    Copies are not expanded: rows with one first_id have equal sets. Empty sets are in neither, nor are sets
+    that only rows without an id have. A dense group of n different sets has up to n * (n - 1) / 2 links;
+    :func:`join` does not need them.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    sized, nodes = measured(docs)
+    held = sized.where("doc_id is not null").join(nodes.select("node", F.col("doc_id").alias("first_id")), "node").select("doc_id", "first_id")
+    links = found_links(docs, nodes, True)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), held

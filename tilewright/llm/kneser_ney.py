@@ -233,7 +233,11 @@ def train(docs: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score: log10 probabilities of whole texts, the end included."""
+    """doc_id, n_tokens, n_known, base_score, score: log10 probabilities of whole texts, the end included.
+
+    Null texts count as empty ones and still have their end; repeated rows are scored each, a null id stays null,
+    other columns are ignored, an empty table gives no rows. Under a model of nothing all tokens are alike.
+    """
 
     def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, hashes, lengths in sequences(batches):
