@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES, PROBES = 8, 24
+TABLES, PROBES = 8, 32
 SLICE_ROWS = 4000
 SEED = 11
 
@@ -87,7 +87,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABL
     ids = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     distinct = ids.groupBy("code", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     asking = rows.where(F.col("vec_id") % every == 0)
-    queries = asking.select("code", "v").distinct()
+    queries = asking.groupBy("code", "v").agg(F.min("vec_id").alias("query"))
 
     def widened(v: np.ndarray) -> np.ndarray:
         out = np.zeros((len(v), width))
@@ -112,38 +112,44 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABL
             for t in range(tables):
                 near = cells(v, rounds[t], min(probes, 2 * width)) + t * 2 * width
                 at = np.repeat(np.arange(len(v)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(pa.array(at))], ["cell", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(1).take(pa.array(at)), batch.column(0).take(pa.array(at))], ["cell", "query", "q"])
 
     held = distinct.select("v", "ids").mapInArrow(index, "cell int, v array<double>, ids array<long>")
     slices = held.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
     held = held.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("v"), F.col("slices")).cast("int")).drop("slices")
-    asked = queries.select("v").mapInArrow(ask, "cell int, q array<double>").join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    asked = queries.select("v", "query").mapInArrow(ask, "cell int, query long, q array<double>").join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("q", pa.list_(pa.float64())), ("found", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))])
+        schema = pa.schema([("query", pa.int64()), ("slice", pa.int32()), ("found", pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))])
         if not len(left) or not len(right):
             return schema.empty_table()
         base = matrix(left.column("v").combine_chunks(), dims)
         held = left.column("ids").combine_chunks()
         starts, flat = held.offsets.to_numpy() - held.offsets[0].as_py(), held.flatten().to_numpy()
-        questions = right.column("q").combine_chunks()
-        asked = matrix(questions, dims)
-        out = []
+        sizes = np.diff(starts)
+        asked = matrix(right.column("q").combine_chunks(), dims)
+        most = min(k + 1, len(base))
+        far, near, counts = [], [], []
         for i in range(0, len(asked), 256):
-            scores = np.einsum("qd,nd->qn", asked[i : i + 256], base)
-            most = min(k + 1, len(base))
-            for row in scores:
+            for row in np.einsum("qd,nd->qn", asked[i : i + 256], base):
                 bar = np.partition(row, len(row) - most)[len(row) - most]
-                near = np.flatnonzero(row >= bar)  # ties at the bar all count
-                pairs = sorted(((float(row[n]), int(x)) for n in near for x in flat[starts[n] : starts[n + 1]]), key=lambda p: (-p[0], p[1]))
-                out.append([{"score": s, "vec_id": x} for s, x in pairs[: k + 1]])
-        return pa.table([questions, pa.array(out, schema.field("found").type)], schema=schema)
-
-    # One partial list for each query, cell and slice; the union of the lists holds the best of all.
-    partial = held.groupBy("cell", "slice").cogroup(asked.groupBy("cell", "slice")).applyInArrow(rank, "q array<double>, found array<struct<score: double, vec_id: long>>")
-    found = partial.select(F.xxhash64("q").alias("code"), F.col("q").alias("v"), F.explode("found").alias("f")).select("code", "v", "f.score", "f.vec_id").distinct()
-    order = Window.partitionBy("code", "v").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).groupBy("code", "v").agg(F.collect_list(F.struct("score", "vec_id")).alias("best"))
-    out = asking.select(F.col("vec_id").alias("query_id"), "code", "v").join(best, ["code", "v"]).select("query_id", F.explode("best").alias("f")).where(F.col("f.vec_id") != F.col("query_id"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("f.score"), "f.vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
+                at = np.flatnonzero(row >= bar)  # ties at the bar all count
+                at = np.repeat(at, sizes[at])
+                ids = np.concatenate([flat[starts[n] : starts[n + 1]] for n in np.unique(at)])
+                best = np.lexsort((ids, -row[at]))[: k + 1]
+                far.append(-row[at][best])
+                near.append(ids[best])
+                counts.append(len(best))
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(far)), pa.array(np.concatenate(near))], ["far", "vec_id"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pairs)
+        return pa.table([right.column("query").combine_chunks(), right.column("slice").combine_chunks(), lists.cast(schema.field("found").type)], schema=schema)
+
+    # One list of at most k + 1 for each query, cell and slice; a query has at most tables x probes lists of a slice.
+    # A vector is in one cell of a table, so it comes once for each table at most.
+    partial = held.groupBy("cell", "slice").cogroup(asked.groupBy("cell", "slice")).applyInArrow(rank, "query long, slice int, found array<struct<far: double, vec_id: long>>")
+    gathered = partial.groupBy("query", "slice").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, (k + 1) * tables).alias("best"))
+    best = gathered.select("query", F.explode("best").alias("f")).select("query", "f.far", "f.vec_id").distinct()
+    rows_of = asking.join(queries, ["code", "v"]).select(F.col("vec_id").alias("query_id"), "query")
+    out = rows_of.join(best, "query").where(F.col("vec_id") != F.col("query_id"))
+    order = Window.partitionBy("query_id").orderBy("far", "vec_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", (-F.col("far")).alias("score"))
