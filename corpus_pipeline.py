@@ -18,7 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones.
+    """The document with the smallest id of each group of similar ones, similar as in the query of this operator:
+    sets of 3-word shingles that share nine tenths.
 
     Texts without words are in no group and stay, as do rows without an id. Of rows that share an id one stays.
     """
