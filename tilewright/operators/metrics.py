@@ -146,6 +146,17 @@ def queue(requests: DataFrame, most: int | None = None) -> DataFrame:
     return ordered if most is None else ordered.limit(most)
 
 
+def ranked_queue(requests: DataFrame) -> DataFrame:
+    """Adds place: that of each request in :func:`queue`. Counts of a priority and deadline first, then places within it."""
+    turn = ["priority", "deadline"]
+    before = Window.orderBy(F.desc("priority"), F.asc_nulls_last("deadline")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = requests.groupBy(*turn).agg(F.count("*").alias("n")).select(F.col("priority").alias("_p"), F.col("deadline").alias("_d"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*turn).orderBy("request_id")
+    local = requests.withColumn("local", F.row_number().over(inside))
+    on = F.col("priority").eqNullSafe(F.col("_p")) & F.col("deadline").eqNullSafe(F.col("_d"))
+    return local.join(starts, on).withColumn("place", (F.col("base") + F.col("local")).cast("long")).drop("_p", "_d", "base", "local")
+
+
 def wanted(predicted_tiles: DataFrame, cached: DataFrame, loading: DataFrame, key: list[str]) -> DataFrame:
     """Predicted tiles that are neither cached nor being loaded."""
     return predicted_tiles.join(cached.select(*key), key, "left_anti").join(loading.select(*key), key, "left_anti")

@@ -180,9 +180,17 @@ def allocations(spark, sf_dir):
 @query("str5_predicted_tiles", f"select distinct client, cx + dx as x, dy::bigint as y from (select client, (floor(round(x + coalesce(v0, 0.0) * 0.5 + coalesce(a0, 0.0) * 0.5 * 0.5 / 2, 3) / 64.0::double))::bigint as cx from {moving_sql('x')} where event_id % 10 = 0), range(-1, 2) a(dx), range(-1, 2) b(dy) where cx + dx >= 0 and dy >= 0")
 def predicted_tiles(spark, sf_dir):
     """The tiles around where each client will look."""
+    return tiles_ahead(M.predicted(moving(spark, sf_dir)).where("event_id % 10 = 0"))
+
+
+@query("str5_predicted_tiles_all")
+def all_predicted_tiles(spark, sf_dir):
+    return tiles_ahead(M.predicted(moving(spark, sf_dir)))
+
+
+def tiles_ahead(ahead):
     from ..operators.tiles import rings
 
-    ahead = M.predicted(moving(spark, sf_dir)).where("event_id % 10 = 0")
     centre = ahead.select("client", F.floor(F.round("predicted", 3) / 64.0).alias("cx"), F.lit(0).cast("long").alias("cy"))
     return rings(centre, 1).select("client", "x", "y").distinct()
 
@@ -200,6 +208,11 @@ def load_queue(spark, sf_dir):
     return requests(spark, sf_dir).where("request_id < 500").select("request_id", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("top2_load_queue_all")
+def whole_load_queue(spark, sf_dir):
+    return M.ranked_queue(requests(spark, sf_dir)).select("request_id", "place")
+
+
 @query("flt26_not_cached", "select distinct user_id, event_id % 40 as tile from events where event_id % 40 >= 23 and event_id % 40 <> 30")
 def not_cached(spark, sf_dir):
     e = V.table(spark, sf_dir, "events")

@@ -75,7 +75,16 @@ def noise(spark, sf_dir):
 
 @query("jn8_neighbours", f"select vec_id, x, y, l as left_, ri as right_, u as up_, d as down_ from {LAPLACE} where vec_id < 200")
 def neighbours(spark, sf_dir):
-    near = P.with_neighbours(V.pixels(spark, sf_dir).where("vec_id < 200"), BY, "g")
+    return neighbours_of(V.pixels(spark, sf_dir).where("vec_id < 200"))
+
+
+@query("jn8_neighbours_all")
+def all_neighbours(spark, sf_dir):
+    return neighbours_of(V.pixels(spark, sf_dir))
+
+
+def neighbours_of(pixels):
+    near = P.with_neighbours(pixels, BY, "g")
     return near.select("vec_id", "x", "y", *(F.col(c).alias(f"{c}_") for c in ("left", "right", "up", "down")))
 
 
@@ -139,11 +148,20 @@ def pixels_in_regions(spark, sf_dir):
 
 @query("jn7_region_mask", "select vec_id, x, y, (y > 1 and y <= 6 and x < (6 - 1) * (y - 1) / 5.0 + 1) as inside from v_pixels where vec_id < 100")
 def region_mask(spark, sf_dir):
+    return inside_triangle(V.pixels(spark, sf_dir).where("vec_id < 100"))
+
+
+@query("jn7_region_mask_all")
+def whole_region_mask(spark, sf_dir):
+    return inside_triangle(V.pixels(spark, sf_dir))
+
+
+def inside_triangle(pixels):
     """Pixels inside one triangle, by ray casting on its edges."""
     from ..operators.contours import points_inside
 
-    p = V.pixels(spark, sf_dir).where("vec_id < 100").select("vec_id", "x", "y")
-    triangle = spark.createDataFrame([(0, 0, 1.0, 1.0), (0, 1, 6.0, 6.0), (0, 2, 1.0, 6.0)], "contour_id long, seq int, x double, y double")
+    p = pixels.select("vec_id", "x", "y")
+    triangle = p.sparkSession.createDataFrame([(0, 0, 1.0, 1.0), (0, 1, 6.0, 6.0), (0, 2, 1.0, 6.0)], "contour_id long, seq int, x double, y double")
     code = F.col("vec_id") * 64 + F.col("y") * 8 + F.col("x")
     probes = p.select(code.alias("probe_id"), F.lit(0).cast("long").alias("contour_id"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
     hit = points_inside(probes, triangle).select(F.col("probe_id"), F.lit(True).alias("hit"))
@@ -203,6 +221,11 @@ def blur(spark, sf_dir):
     return P.blur(V.pixels(spark, sf_dir).where("vec_id < 100"), BY, [1, 4, 6, 4, 1])
 
 
+@query("win10_blur_all")
+def whole_blur(spark, sf_dir):
+    return P.blur(V.pixels(spark, sf_dir), BY, [1, 4, 6, 4, 1])
+
+
 @query("px5_brightness", "select vec_id, x, y, " + ", ".join(f"least(greatest({c} + 70, 0), 255)::int as {c}" for c in "rgb") + " from v_rgba")
 def brightness(spark, sf_dir):
     return P.brightness(V.rgba(spark, sf_dir), 70).select("vec_id", "x", "y", "r", "g", "b")
@@ -282,3 +305,8 @@ def pyramid_index(spark, sf_dir):
 @query("gen9_components", "with recursive m as (select vec_id, x, y, y * 65536 + x as c from v_pixels where g > 140 and vec_id < 60), r as (select vec_id, c as start, c, x, y from m union select r.vec_id, r.start, m.c, m.x, m.y from r join m on m.vec_id = r.vec_id and abs(m.x - r.x) <= 1 and abs(m.y - r.y) <= 1) select vec_id, x, y, min(start)::bigint as label from r group by all")
 def components(spark, sf_dir):
     return P.labels8(V.pixels(spark, sf_dir).where("vec_id < 60"), BY, 140)
+
+
+@query("gen9_components_all")
+def all_components(spark, sf_dir):
+    return P.labels8(V.pixels(spark, sf_dir), BY, 140)
