@@ -30,3 +30,12 @@ def test_whole_table(spark, duck, name):
     whole = duck.sql(subset.replace(CUTS[name], ""))
     same(registry.queries()[f"{name}_all"](spark, SF), whole)
     assert whole.count("*").fetchall()[0][0] > duck.sql(subset).count("*").fetchall()[0][0]
+
+
+def test_existing_tiles_of_a_wide_level(spark, tmp_path):
+    rows = [(0, 0, 1.0), (8191, 5, 2.0), (8192, 5, 3.0), (19_999, 9_000, 4.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["jn3_existing_tiles"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0), (1, 63, 0), (1, 64, 0), (1, 156, 70)]
+    spark.createDataFrame([], "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/none/lineitem.parquet")
+    assert registry.queries()["jn3_existing_tiles"](spark, f"{tmp_path}/none").count() == 0

@@ -244,8 +244,11 @@ def intersecting_tiles(spark, sf_dir):
 
 @query("jn3_existing_tiles", "select level, x, y from v_tiles where level = 1")
 def existing_tiles(spark, sf_dir):
-    cells = spark.range(64).select(F.lit(1).alias("level"), F.col("id").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
-    return cells.join(V.tiles(spark, sf_dir), T.KEY, "left_semi")
+    held = V.tiles(spark, sf_dir).where("level = 1")
+    up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c)))
+    extent = held.agg(F.max("x").alias("right"), F.max("y").alias("bottom"))
+    cells = extent.withColumn("x", up_to("right")).withColumn("y", up_to("bottom")).select(F.lit(1).alias("level"), "x", "y")
+    return cells.join(held, T.KEY, "left_semi")
 
 
 QUALITY = "(select level, x, y, q, q * 10 + x as image from v_tiles, range(5) t(q) where (x + y + q) % 2 = 0)"
