@@ -9,6 +9,8 @@ from tilewright.llm import jaccard, mixing, packing, pii, queries, toxicity
 from tilewright.llm.common import written
 
 TOXIC = 0.5
+#: Near duplicates share so many hundredths of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones, similar as in the query of this operator:
-    sets of 3-word shingles that share nine tenths.
+    """The document with the smallest id of each group of similar ones, similar by their sets of 5-word shingles,
+    which share eight tenths.
 
     Texts without words are in no group and stay, as do rows without an id. Of rows that share an id one stays.
     """
-    first = jaccard.join(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    first = jaccard.join(docs, NEAR_WORDS, NEAR_PERCENT).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(first.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 

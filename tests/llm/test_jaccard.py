@@ -123,3 +123,38 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{k: 1 for k in range(1, 301)}, 400: 400, 401: 400}
     assert components(edges.where("a < 0")).count() == 0
+
+
+def test_other_widths_and_shares(spark):
+    docs = corpus(7)
+    words = [f"w{k}" for k in range(100)]
+    docs += [(2000, " ".join(words)), (2001, " ".join("other" if k in (30, 70) else w for k, w in enumerate(words)))]
+    sets = {}
+    for i, text in docs:
+        w = text.split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)])
+    want = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if b < a and want[a] != want[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if c == high else c for i, c in want.items()}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(df, 5, 80).collect()} == {i: (len(s), want[i]) for i, s in sets.items()}
+    assert want[2001] == 2000 and brute(docs)[2001][1] == 2001
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_linked_sets_share_a_signature_at_other_shares(percent):
+    rng = np.random.default_rng(percent)
+    met = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        most = J.differing(n, percent)
+        drop = int(rng.integers(0, most // 2 + 1))
+        b = np.unique(np.append(rng.permutation(a)[drop:], rng.integers(0, 2**63, int(rng.integers(0, most // 2 + 1))).astype(np.uint64)))
+        if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            met += 1
+            assert np.isin(J.signatures(a, percent), J.signatures(b, percent)).any()
+    assert met > 200

@@ -66,3 +66,11 @@ def test_stages_of_no_rows_and_odd_rows(spark, corpus):
         for name, stage in C.STAGES[1:]:
             out = stage(spark, odd, corpus)
             assert out.count() >= (1 if n else 0) or not n
+
+
+def test_near_duplicates_with_two_changed_words(spark, corpus):
+    words = [f"w{k}" for k in range(100)]
+    near = ["other" if k in (30, 70) else w for k, w in enumerate(words)]
+    far = ["other" if k % 20 == 10 else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r.doc_id for r in C.drop_near_duplicates(spark, docs, corpus).collect()} == {1, 3}

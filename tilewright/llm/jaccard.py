@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, components, gather, mix, power_of_two, scatter, shingles, split_words, volume, written
 
 WORDS = 3
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= PERCENT * union. Other shares than this (below 100) are a parameter.
 PERCENT = 90
 GROUP_ELEMENTS = 3_000_000
 BUCKET_BYTES = 48 << 20
@@ -36,31 +37,33 @@ LEAST_IN_PART = 3
 BLOCK_PARTS = 2_000_000
 
 
-def band_limits() -> list[int]:
-    limits = [100 // (100 - PERCENT) - 1]
+@lru_cache(maxsize=8)
+def band_limits(percent: int = PERCENT) -> list[int]:
+    limits = [100 // (100 - percent) - 1]
     while limits[-1] < 1 << 40:
         limits.append(max(limits[-1] + 1, limits[-1] * 13 // 10))
     return limits
 
 
-LIMITS = band_limits()
-
-
-def differing(size: int) -> int:
+def differing(size: int, percent: int = PERCENT) -> int:
     """The most elements in which two linked sets of at most ``size`` elements differ."""
-    return 2 * size * (100 - PERCENT) // (100 + PERCENT)
+    return 2 * size * (100 - percent) // (100 + percent)
 
 
-def signatures(elements: np.ndarray) -> np.ndarray:
+def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Hashes of the parts of a sorted set, for each band of sizes in which a linked set may be the larger one."""
-    n, out = len(elements), []
+    n, out, limits = len(elements), [], band_limits(percent)
     sums = np.append(np.uint64(0), np.cumsum(mix(elements)))
-    for band in range(bisect_left(LIMITS, n), bisect_left(LIMITS, n * 100 // PERCENT) + 1):
-        most = differing(LIMITS[band])
+    for band in range(bisect_left(limits, n), bisect_left(limits, n * 100 // percent) + 1):
+        most = differing(limits[band], percent)
         parts = most + 1 + most // 4
         at = ((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         bounds = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
-        full = np.diff(bounds) >= LEAST_IN_PART
+        # Lower shares have smaller parts; the most elements that leave enough parts count.
+        for least in range(LEAST_IN_PART, 0, -1):
+            full = np.diff(bounds) >= least
+            if parts - int(full.sum()) < parts - most:
+                break
         code = mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.uint64(band << 40) + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         out.append(code[full] if parts - int(full.sum()) < parts - most else code)
     return np.concatenate(out)
@@ -118,7 +121,7 @@ class Trie:
         self.children = np.array([c for cs in firsts for c in cs], dtype=np.int64)
         self.last = np.array([x[-1] if len(x) else -1 for x in held])
 
-    def search(self, probe: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    def search(self, probe: np.ndarray, marks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         """Owners of the sets that link with ``probe``; ``marks`` is all false and stays so."""
         a = len(probe)
         marks[probe] = True
@@ -138,16 +141,16 @@ class Trie:
             depth = self.depth[nodes]
             rest = a - np.searchsorted(probe, self.last[nodes], side="right")
             best = np.clip(depth + rest, self.low[nodes], self.high[nodes])
-            alive = (100 + PERCENT) * (overlap + np.minimum(best - depth, rest)) >= PERCENT * (a + best)
+            alive = (100 + percent) * (overlap + np.minimum(best - depth, rest)) >= percent * (a + best)
             nodes, overlap = nodes[alive], overlap[alive]
             owner, depth = self.owner[nodes], depth[alive]
-            hit = (owner >= 0) & ((100 + PERCENT) * overlap >= PERCENT * (a + depth))
+            hit = (owner >= 0) & ((100 + percent) * overlap >= percent * (a + depth))
             found.append(owner[hit])
         marks[probe] = False
         return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
 
 
-def linked(sets: list[np.ndarray], every: bool = False) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], every: bool = False, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join every component of the sets (of hashes); a link within what is joined already may lack.
 
     With ``every`` all links, the smaller index first.
@@ -164,7 +167,7 @@ def linked(sets: list[np.ndarray], every: bool = False) -> list[tuple[int, int]]
     edges, trie, built = [], None, 0
     if every:
         trie = Trie(dict(enumerate(ordered)))
-        return [(k, j) for k in waiting for j in trie.search(ordered[k], marks).tolist() if k < j]
+        return [(k, j) for k in waiting for j in trie.search(ordered[k], marks, percent).tolist() if k < j]
     while waiting:
         todo = [next(iter(waiting))]
         del waiting[todo[0]]
@@ -172,7 +175,7 @@ def linked(sets: list[np.ndarray], every: bool = False) -> list[tuple[int, int]]
             now = todo.pop()
             if trie is None or 2 * len(waiting) < built:
                 trie, built = Trie({k: ordered[k] for k in waiting}), len(waiting)
-            for k in trie.search(ordered[now], marks).tolist():
+            for k in trie.search(ordered[now], marks, percent).tolist():
                 if k in waiting:
                     del waiting[k]
                     edges.append((now, k))
@@ -180,23 +183,23 @@ def linked(sets: list[np.ndarray], every: bool = False) -> list[tuple[int, int]]
     return edges
 
 
-def word_sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def word_sets(batches: Iterator[pa.RecordBatch], column: int, width: int = WORDS) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     words = WordHashes()
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            yield part, [shingles(words.array(split_words(x.as_py())), WORDS) for x in part.column(column)]
+            yield part, [shingles(words.array(split_words(x.as_py())), width) for x in part.column(column)]
 
 
 def node_of(elements: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(elements.tobytes()) if len(elements) else 0
 
 
-def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def measured(docs: DataFrame, width: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(every row: doc_id, n_shingles, node; every distinct set: node, its smallest doc_id, n)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in word_sets(batches, 1):
+        for part, sets in word_sets(batches, 1, width):
             nodes = np.array([node_of(s) for s in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes)], ["doc_id", "n_shingles", "node"])
 
@@ -204,9 +207,10 @@ def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sized, sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """node, group: sets with an equal part are in one group; sets without any are in none."""
-    buckets = power_of_two(volume(docs)[1] / BUCKET_BYTES)
+    # Both the parts of a set and the bands that it is in grow with what may differ.
+    buckets = power_of_two(volume(docs)[1] / BUCKET_BYTES * max(1, differing(1000, percent) / differing(1000)) ** 2)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, nodes, size, seen = [], [], 0, set()
@@ -216,12 +220,12 @@ def grouped(docs: DataFrame) -> DataFrame:
             node = np.concatenate(nodes) if nodes else np.empty(0, dtype=np.uint64)
             return scatter((code & np.uint64(buckets - 1)).astype(np.int64), [code, node], ["code", "node"])
 
-        for _, sets in word_sets(batches, 0):
+        for _, sets in word_sets(batches, 0, width):
             for elements in sets:
                 if len(elements) == 0 or (node := node_of(elements)) in seen:
                     continue
                 seen.add(node)
-                code = signatures(elements)
+                code = signatures(elements, percent)
                 codes.append(code)
                 nodes.append(np.full(len(code), node, dtype=np.uint64))
                 size += len(code)
@@ -244,9 +248,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     return components(routed, "jaccard-groups").select("node", F.col("component").alias("group"))
 
 
-def found_links(docs: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
+def found_links(docs: DataFrame, nodes: DataFrame, every: bool, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """a, b: links between distinct sets, as the smallest doc_id of each; enough to join the components, or all."""
-    members = written(grouped(docs).join(nodes, "node").where("doc_id is not null"), "jaccard-members")
+    members = written(grouped(docs, width, percent).join(nodes, "node").where("doc_id is not null"), "jaccard-members")
     sums = members.groupBy("group").agg(F.sum("n").alias("elements"))
     total = sums.agg(F.sum("elements")).first()[0] or 0
     lots = max(1, -(-total // GROUP_ELEMENTS))
@@ -260,13 +264,13 @@ def found_links(docs: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
     def search(part: pa.Table) -> pa.Table:
         words, by_group, block = WordHashes(), {}, {}
         for doc, group, own, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "group", "own")), part.column("text")):
-            by_group.setdefault(group, {})[doc] = shingles(words.array(split_words(text.as_py())), WORDS)
+            by_group.setdefault(group, {})[doc] = shingles(words.array(split_words(text.as_py())), width)
             block[doc] = own
         across = part.column("i")[0] != part.column("j")[0]  # pairs inside a block have a task of their own
         found = []
         for sets in by_group.values():
             ids = sorted(sets)
-            pairs = ((ids[a], ids[b]) for a, b in linked([sets[i] for i in ids], every))
+            pairs = ((ids[a], ids[b]) for a, b in linked([sets[i] for i in ids], every, percent))
             found += [(a, b) for a, b in pairs if not (every and across and block[a] == block[b])]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -274,21 +278,23 @@ def found_links(docs: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
     return texts.groupBy("lot", "i", "j").applyInArrow(search, "a long, b long")
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
+    Sets are of shingles of ``width`` words; links share ``percent`` hundredths of their union.
+
     A null or empty text, or one without words, has an empty set and is a component of its own. Rows with the
     same text are one component; a null id takes no part in a minimum unless there is no other.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sized, nodes = measured(docs)
-    joined = components(found_links(docs, nodes, False), "jaccard-links").select(F.col("node").alias("first_id"), "component")
+    sized, nodes = measured(docs, width)
+    joined = components(found_links(docs, nodes, False, width, percent), "jaccard-links").select(F.col("node").alias("first_id"), "component")
     classes = nodes.select("node", F.col("doc_id").alias("first_id")).join(joined, "first_id", "left").select("node", F.coalesce("component", "first_id").alias("component"))
     out = sized.join(classes, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def pairs(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(a, b: all links between different sets, by the smallest doc_id of each; doc_id, first_id: which set a row has).
 
     Copies are not expanded: rows with one first_id have equal sets. Empty sets are in neither, nor are sets
@@ -296,7 +302,7 @@ def pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     :func:`join` does not need them.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sized, nodes = measured(docs)
+    sized, nodes = measured(docs, width)
     held = sized.where("doc_id is not null").join(nodes.select("node", F.col("doc_id").alias("first_id")), "node").select("doc_id", "first_id")
-    links = found_links(docs, nodes, True)
+    links = found_links(docs, nodes, True, width, percent)
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), held
