@@ -83,3 +83,33 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string")
     plan = pii.report(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def added(spark, seeds, unseen):
+    texts = seeds + unseen
+    rows = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in rows}
+    return [[(k, t[int(a) : int(b)]) for k, a, b in spans[len(seeds) + i]] for i, t in enumerate(unseen)]
+
+
+def test_instances_without_three_digits_in_a_row(spark):
+    phones = [f"Contact number: +1 (555) 555-{1000 + i} then" for i in range(20)]
+    hosts = [f"from host 10.1.2.{i + 1} on" for i in range(20)]
+    unseen = ["Contact number: 06-12-34-56-78 end", "from host 10_20_30_40 end"]
+    assert added(spark, phones + hosts, unseen) == [[("phone", "06-12-34-56-78")], [("ip", "10_20_30_40")]]
+
+
+def test_instances_with_blanks_and_brackets(spark):
+    phones = [f"Contact number: +1 (555) 555-{1000 + i} then" for i in range(20)]
+    cards = [f"card no: {c} then" for c in ("4111 1111 1111 1111", "5555555555554444", "4012888888881881", "378282246310005", "6011111111111117", "3530 1113 3330 0000")]
+    unseen = ["Contact number: 555 123 4567 end", "Contact number: (555) 123-4567 end", "Contact number: 555-0103-77 20 people", "card no: 4111 1111 1111 1112 end"]
+    want = [[("phone", "555 123 4567")], [("phone", "(555) 123-4567")], [("phone", "555-0103-77")], [("card", "4111 1111 1111 1112")]]
+    assert added(spark, phones + cards * 2, unseen) == want
+
+
+def test_contexts_of_long_words(spark):
+    long = "x" * 60
+    phones = [f"a {long} number: +1 (555) 555-{1000 + i} then" for i in range(20)]
+    far = [f"{'y ' * 40}{long} number: +1 (555) 555-{2000 + i} then" for i in range(3)]
+    unseen = [f"{'z ' * 40}{long} number: 555-0103-77 end", f"{'z ' * 40}q{long} number: 555-0104-77 end"]
+    assert added(spark, phones + far, unseen) == [[("phone", "555-0103-77")], []]

@@ -28,10 +28,15 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Runs of identifier characters with a digit or an at sign.
 INSTANCE = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z._+-]*+[0-9@])[A-Za-z0-9@._+-]++"
+#: Groups of digits with single blanks, marks or brackets between them.
+SPACED = r"(?<![A-Za-z0-9@._+(-])\+?\(?[0-9]++(?:(?:\) ?| \(|[ ._-])[0-9]++(?![A-Za-z@]))++"
+#: What every text with an instance has.
+HAS_INSTANCE = "(?:[0-9][^0-9]*+){5}|@"
 
 ROUNDS, ACCEPT = 3, 0.8
 #: Patterns need so many seeds.
 LEAST_SEEDS = 3
+#: Where two words before an instance do not fit in so many characters, they are sought in all the text before.
 CONTEXT = 48
 
 SPAN = "array<struct<start: long, end: long>>"
@@ -96,7 +101,13 @@ def tagged_spans(kind: str, spans: Column) -> Column:
 def occurrences(based: DataFrame) -> DataFrame:
     """_pii_key, kind (null: no seed), start, end, value, pattern: the seeds and other instances of all texts."""
     tagged = [tagged_spans(k, F.col(f"_pii_{k}")) for k in KINDS]
-    found = F.when(F.col("_pii_text").rlike("[0-9]{3}|@"), placed(F.col("_pii_text"), INSTANCE, lambda m: F.contains(m, F.lit("@")) | (F.length(digits(m)) >= 5))).otherwise(F.array().cast(SPAN))
+    text, none = F.col("_pii_text"), F.array().cast(SPAN)
+    runs = F.when(text.rlike(HAS_INSTANCE), placed(text, INSTANCE, lambda m: F.contains(m, F.lit("@")) | (F.length(digits(m)) >= 5))).otherwise(none)
+    spaced = F.when(text.rlike(HAS_INSTANCE), placed(text, SPACED, lambda m: m.rlike("[ ()]") & F.length(digits(m)).between(5, 19))).otherwise(none)
+    based = based.withColumns({"_pii_runs": runs, "_pii_spaced": spaced})
+    # A run that is an instance by itself does not take in the digits after a blank.
+    longer = F.filter("_pii_spaced", lambda s: ~F.exists("_pii_runs", lambda t: t["start"] == s["start"]))
+    found = F.concat("_pii_runs", longer)
     seeds = F.concat(*tagged)
     free = F.filter(found, lambda s: ~F.exists(seeds, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
     both = F.concat(seeds, F.transform(free, lambda s: F.struct(F.lit(None).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
@@ -105,8 +116,10 @@ def occurrences(based: DataFrame) -> DataFrame:
     # An instance loses the marks that end a sentence.
     cut = F.when(F.col("kind").isNull(), F.regexp_replace(value, r"[._-]++$", "")).otherwise(value)
     before = F.greatest(F.col("start") - CONTEXT, F.lit(0)).cast("int")
-    left = F.substr("_pii_text", before + 1, F.col("start").cast("int") - before)
-    pattern = F.regexp_replace(F.lower(F.regexp_extract(left, r"\S+\s+\S+\s*$", 0)), "[0-9]+", "0")
+    near = F.substr("_pii_text", before + 1, F.col("start").cast("int") - before)
+    left = F.when((before == 0) | near.rlike(r"\s\S+\s+\S+\s*$"), near).otherwise(F.substr("_pii_text", F.lit(1), F.col("start").cast("int")))
+    words = F.reverse(F.regexp_extract(F.reverse(left), r"^\s*+\S++\s++\S++", 0))
+    pattern = F.regexp_replace(F.lower(words), "[0-9]+", "0")
     rows = rows.select("_pii_key", "kind", "start", cut.alias("value"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"))
     return rows.where(F.length("value") >= 5).select("_pii_key", "kind", "start", (F.col("start") + F.length("value")).alias("end"), "value", "pattern").distinct()
 
@@ -116,9 +129,9 @@ def built(kind: Column, value: Column) -> Column:
     n = F.length(digits(value))
     return (
         F.when(kind == "email", F.contains(value, F.lit("@")))
-        .when(kind == "ip", value.rlike(r"^[0-9]+(?:[._-][0-9]+){3}$"))
-        .when(kind == "card", value.rlike("^[0-9._-]+$") & n.between(13, 19))
-        .otherwise(value.rlike("^[0-9+._-]+$") & n.between(7, 15))
+        .when(kind == "ip", value.rlike(r"^[0-9]+(?:[ ._-][0-9]+){3}$"))
+        .when(kind == "card", value.rlike("^[0-9 ._-]+$") & n.between(13, 19))
+        .otherwise(value.rlike("^[0-9+ ()._-]+$") & n.between(7, 15))
     )
 
 
