@@ -100,3 +100,16 @@ def test_groups_have_all_occurrences(spark):
     assert {short, core, "A" + core, core + "B", long, long[:450]} <= set(by_text)
     hot = {r.length for r in R.repeat_groups(df, 2).collect()}
     assert 400 in hot
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_rows_around_hot_anchors(spark, parts):
+    t = "".join(chr(97 + (k * k) % 26) for k in range(500)) + "!" * 10
+    rows = [(1, t), (1, t), (2, None), (3, ""), (None, "y" + t[:450]), (4, t[1:300]), (None, "z" * 450), (None, "z" * 450), (5, t[:420] + "?"), (6, "".join(chr(97 + (k * k * k + k) % 23) for k in range(450)))]
+    rng = random.Random(4)
+    alone = "".join(rng.choice("abcdefgh") for _ in range(600))
+    rows += [(7, alone), (7, alone)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = [(r.doc_id, len(r.text or ""), list(zip(r.starts or [], r.ends or []))) for r in R.remove_repeats(df, 1).collect()]
+    want = brute([(x or "").encode() for _, x in rows])
+    assert sorted(map(str, got)) == sorted(str((i, len(x or ""), s)) for (i, x), s in zip(rows, want))

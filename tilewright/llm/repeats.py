@@ -9,7 +9,8 @@
    intervals of the suffix array, longest common prefix R first. An interval keeps its members in order of their
    reversed left sides; a member that comes in is compared with its neighbours there, which have the longest
    common left extension L of all. Pairs with L + R >= ``LENGTH`` are repeats.
-4. Anchors in more than ``HOT`` places are not gathered: their windows are dealt by their own hashes instead.
+4. Anchors in more than ``HOT`` places are not gathered: their windows are dealt by their own hashes instead,
+   each with its row, so that repeated rows are different places. What a task has several times goes on twice.
 
 Windows that occur in one text several times take part with their first place.
 """
@@ -215,6 +216,21 @@ def united(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return key[at], start[at], furthest[last] - base[last]
 
 
+def places_of(code: np.ndarray, key: np.ndarray, place: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """In the order of ``code``, each place of a row once: a window that lies around several anchors comes from each."""
+    order = np.lexsort((place, row, code))
+    code, key, place, row = code[order], key[order], place[order], row[order]
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+    return code[new], key[new], place[new], row[new]
+
+
+def occurrences(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how often the code of each element of a sorted array occurs, how many of them are before it)."""
+    first = np.searchsorted(code, code, side="left")
+    return np.searchsorted(code, code, side="right") - first, np.arange(len(code)) - first
+
+
 SEGMENTS = "bucket int, code binary, key binary, place binary, sides binary, data binary"
 NAMES = ["bucket", "code", "key", "place", "sides", "data"]
 GROUPS = "group long, key long, start long, length long"
@@ -278,6 +294,7 @@ def found_repeats(docs: DataFrame, hot_places: int, grouped: bool) -> DataFrame:
     def cut_some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, found = [], []
         spans, windows = [], []
+        row_ids = batch.column(2).to_pylist()
         for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
             data = np.frombuffer(as_bytes(text.as_py()), dtype=np.uint8)
             codes, places, twice = anchors(data, grouped)
@@ -298,7 +315,7 @@ def found_repeats(docs: DataFrame, hot_places: int, grouped: bool) -> DataFrame:
                 continue
             if is_hot:
                 hashes = window_hashes(gram_hashes(data[begin:stop]))
-                windows.append(np.stack((hashes.view(np.int64), np.full(len(hashes), key), np.arange(begin, begin + len(hashes)))))
+                windows.append(np.stack((hashes.view(np.int64), np.full(len(hashes), key), np.arange(begin, begin + len(hashes)), np.full(len(hashes), row_ids[k]))))
                 continue
             row = np.zeros(REACH + LENGTH, dtype=np.uint8)
             row[REACH - (place - begin) : REACH + (stop - place)] = data[begin:stop]
@@ -316,9 +333,13 @@ def found_repeats(docs: DataFrame, hot_places: int, grouped: bool) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             yield scatter(bucket[order], [code[order], np.array(key, dtype=np.int64)[order], np.array(place, dtype=np.int64)[order], np.array(sides, dtype=np.uint32)[order], data[order]], NAMES[1:])
         if windows:
-            code, key, place = np.concatenate(windows, axis=1)
+            code, key, place, row = places_of(*np.concatenate(windows, axis=1))
+            if not grouped:
+                count, nth = occurrences(code)
+                spans.append(np.stack((key, place, place + LENGTH))[:, count > 1])
+                code, key, place, row = (x[nth < 2] for x in (code, key, place, row))
             empty = np.empty((len(code), 0), dtype=np.uint8)
-            yield scatter(spread(code.view(np.uint64)) + buckets, [code, key, place, empty, empty], NAMES[1:])
+            yield scatter(spread(code.view(np.uint64)) + buckets, [code, key, place, row, empty], NAMES[1:])
         if spans:
             key, start, end = united(*np.concatenate(spans, axis=1))
             empty = np.empty((len(key), 0), dtype=np.uint8)
@@ -335,19 +356,18 @@ def found_repeats(docs: DataFrame, hot_places: int, grouped: bool) -> DataFrame:
             if grouped:
                 return group_rows(*(np.array(c, dtype=np.int64) for c in zip(*group.groups))) if group.groups else group_rows(*[np.empty(0, dtype=np.int64)] * 4)
         elif kind == 1:
-            # A window that lies around several anchors comes from each of them.
-            at = np.unique(np.stack((code, keys, place), axis=1), axis=0)
-            _, back, counts = np.unique(at[:, 0], return_inverse=True, return_counts=True)
-            at = at[counts[back] > 1]
+            code, keys, place, _ = places_of(code, keys, place, gather(part, "sides", np.int64))
+            several = occurrences(code)[0] > 1
+            code, keys, place = code[several], keys[several], place[several]
             if grouped:
-                return group_rows(at[:, 0], at[:, 1], at[:, 2], np.full(len(at), LENGTH))
-            spans = at[:, 1], at[:, 2], at[:, 2] + LENGTH
+                return group_rows(code, keys, place, np.full(len(code), LENGTH))
+            spans = keys, place, place + LENGTH
         else:
             spans = keys, place, code
         keys, start, end = united(*spans)
         return pa.Table.from_batches([scatter(spread(keys.view(np.uint64)), [keys, start, end], ["key", "start", "end"])])
 
-    segments = docs.select("key", "text").mapInArrow(cut, SEGMENTS).groupBy("bucket")
+    segments = docs.select("key", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(cut, SEGMENTS).groupBy("bucket")
     return segments.applyInArrow(find, GROUPS if grouped else SPANS)
 
 
