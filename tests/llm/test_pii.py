@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tilewright.llm import pii
@@ -113,3 +114,24 @@ def test_contexts_of_long_words(spark):
     far = [f"{'y ' * 40}{long} number: +1 (555) 555-{2000 + i} then" for i in range(3)]
     unseen = [f"{'z ' * 40}{long} number: 555-0103-77 end", f"{'z ' * 40}q{long} number: 555-0104-77 end"]
     assert added(spark, phones + far, unseen) == [[("phone", "555-0103-77")], []]
+
+
+def test_base_spans_of_made_up_texts(spark):
+    """Addresses with zeros, and strings of the characters that the patterns are made of."""
+    rng = random.Random(9)
+    texts = ["host 10.0.0.1 and 192.168.0.7 and 8.8.8.8 up", "127.0.0.1", "0.0.0.0", "00.000.0.255", "0.0.0.256", "255.255.255.0255", "1.0.0.300"]
+    texts += [".".join(rng.choice(["0", "00", "1", "9", "10", "99", "100", "199", "249", "255", "256", "0255"]) for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    texts += ["".join(rng.choice("0123456789.@+-() ab") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.report(df).collect():
+        want = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), texts[r.doc_id]
+        assert r.n_spans >= len([x for x in want.split(",") if x])
+
+
+def test_columns_of_any_name(spark):
+    names = ["key", "row", "found", "start", "end", "kind", "value", "pattern", "email", "ip", "card", "phone", "runs", "spaced", "done", "_pii_key"]
+    df = spark.createDataFrame([(1, "see a@b.co now", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    (got,) = pii.redacted(df).collect()
+    assert tuple(got) == (1, "see [email] now", *range(len(names)))
+    assert pii.report(df).first().n_email == 1

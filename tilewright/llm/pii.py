@@ -25,7 +25,7 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 DIGITS = r"[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
 #: Runs of identifier characters with a digit or an at sign.
 INSTANCE = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z._+-]*+[0-9@])[A-Za-z0-9@._+-]++"
 #: Groups of digits with single blanks, marks or brackets between them.
@@ -89,9 +89,9 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of the row's content and the base spans of its text in columns named by kind."""
-    docs = docs.withColumns({"_pii_key": F.xxhash64("doc_id", "text"), "_pii_text": F.coalesce("text", F.lit(""))})
-    return docs.withColumns({f"_pii_{kind}": spans for kind, spans in base_spans(F.col("_pii_text")).items()})
+    """``row`` (the columns of ``docs``), a ``key`` of its id and text, the ``text`` without nulls, base spans in columns named by kind."""
+    docs = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.withColumns(base_spans(F.col("text")))
 
 
 def tagged_spans(kind: str, spans: Column) -> Column:
@@ -99,29 +99,29 @@ def tagged_spans(kind: str, spans: Column) -> Column:
 
 
 def occurrences(based: DataFrame) -> DataFrame:
-    """_pii_key, kind (null: no seed), start, end, value, pattern: the seeds and other instances of all texts."""
-    tagged = [tagged_spans(k, F.col(f"_pii_{k}")) for k in KINDS]
-    text, none = F.col("_pii_text"), F.array().cast(SPAN)
+    """key, kind (null: no seed), start, end, value, pattern: the seeds and other instances of all texts."""
+    tagged = [tagged_spans(k, F.col(k)) for k in KINDS]
+    text, none = F.col("text"), F.array().cast(SPAN)
     runs = F.when(text.rlike(HAS_INSTANCE), placed(text, INSTANCE, lambda m: F.contains(m, F.lit("@")) | (F.length(digits(m)) >= 5))).otherwise(none)
     spaced = F.when(text.rlike(HAS_INSTANCE), placed(text, SPACED, lambda m: m.rlike("[ ()]") & F.length(digits(m)).between(5, 19))).otherwise(none)
-    based = based.withColumns({"_pii_runs": runs, "_pii_spaced": spaced})
+    based = based.withColumns({"runs": runs, "spaced": spaced})
     # A run that is an instance by itself does not take in the digits after a blank.
-    longer = F.filter("_pii_spaced", lambda s: ~F.exists("_pii_runs", lambda t: t["start"] == s["start"]))
-    found = F.concat("_pii_runs", longer)
+    longer = F.filter("spaced", lambda s: ~F.exists("runs", lambda t: t["start"] == s["start"]))
+    found = F.concat("runs", longer)
     seeds = F.concat(*tagged)
     free = F.filter(found, lambda s: ~F.exists(seeds, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
     both = F.concat(seeds, F.transform(free, lambda s: F.struct(F.lit(None).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    rows = based.where(F.col("_pii_text").rlike("[0-9@]")).select("_pii_key", "_pii_text", F.explode(both).alias("s")).select("_pii_key", "_pii_text", "s.*")
-    value = F.substr("_pii_text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    rows = based.where(F.col("text").rlike("[0-9@]")).select("key", "text", F.explode(both).alias("s")).select("key", "text", "s.*")
+    value = F.substr("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     # An instance loses the marks that end a sentence.
     cut = F.when(F.col("kind").isNull(), F.regexp_replace(value, r"[._-]++$", "")).otherwise(value)
     before = F.greatest(F.col("start") - CONTEXT, F.lit(0)).cast("int")
-    near = F.substr("_pii_text", before + 1, F.col("start").cast("int") - before)
-    left = F.when((before == 0) | near.rlike(r"\s\S+\s+\S+\s*$"), near).otherwise(F.substr("_pii_text", F.lit(1), F.col("start").cast("int")))
+    near = F.substr("text", before + 1, F.col("start").cast("int") - before)
+    left = F.when((before == 0) | near.rlike(r"\s\S+\s+\S+\s*$"), near).otherwise(F.substr("text", F.lit(1), F.col("start").cast("int")))
     words = F.reverse(F.regexp_extract(F.reverse(left), r"^\s*+\S++\s++\S++", 0))
     pattern = F.regexp_replace(F.lower(words), "[0-9]+", "0")
-    rows = rows.select("_pii_key", "kind", "start", cut.alias("value"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"))
-    return rows.where(F.length("value") >= 5).select("_pii_key", "kind", "start", (F.col("start") + F.length("value")).alias("end"), "value", "pattern").distinct()
+    rows = rows.select("key", "kind", "start", cut.alias("value"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"))
+    return rows.where(F.length("value") >= 5).select("key", "kind", "start", (F.col("start") + F.length("value")).alias("end"), "value", "pattern").distinct()
 
 
 def built(kind: Column, value: Column) -> Column:
@@ -156,21 +156,21 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, lea
 
 
 def with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with _pii_key, _pii_email, _pii_ip, _pii_card, _pii_phone; per _pii_key: _pii_found, the kinds, starts and ends that are added).
+    """(:func:`with_base` of ``docs`` without its text; per key: found, the kinds, starts and ends that are added).
 
     Spans are code points, the end exclusive. A null text counts as empty. Rows alike in id and text get the
-    same spans; an empty table gives no rows.
+    same spans; an empty table gives no rows. Other columns, whatever their names, are carried along.
     """
     based = with_base(docs)
-    seen = written(occurrences(based.select("_pii_key", "_pii_text", *(f"_pii_{k}" for k in KINDS))), "pii-occurrences")
+    seen = written(occurrences(based.select("key", "text", *KINDS)), "pii-occurrences")
     new = seen.where("kind is null").drop("kind").join(bootstrap(seen), "value")
-    new = new.groupBy("_pii_key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("_pii_found"))
-    return based.drop("_pii_text"), new
+    new = new.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("found"))
+    return based.drop("text"), new
 
 
 def joined_spans(based: DataFrame, new: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind: string, start: long, end: long>>")
-    return based.join(new, "_pii_key", "left").withColumn("_pii_found", F.coalesce("_pii_found", none))
+    return based.join(new, "key", "left").withColumn("found", F.coalesce("found", none))
 
 
 def listed(kind: str, spans: Column) -> Column:
@@ -178,24 +178,26 @@ def listed(kind: str, spans: Column) -> Column:
 
 
 def with_added(kind: str) -> Column:
-    added = F.transform(F.filter("_pii_found", lambda s: s["kind"] == kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return F.array_sort(F.concat(F.col(f"_pii_{kind}"), added))
+    added = F.transform(F.filter("found", lambda s: s["kind"] == kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.array_sort(F.concat(F.col(kind), added))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans for every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans, n_spans (base and added) for every row."""
     based, new = with_spans(docs.select(F.col("doc_id").cast("long"), "text"))
-    rows = joined_spans(based.select("doc_id", "_pii_key", *(f"_pii_{k}" for k in KINDS)), new)
-    base = F.array_join(F.concat(*(listed(k, F.col(f"_pii_{k}")) for k in KINDS)), ",")
+    rows = joined_spans(based.select("row.doc_id", "key", *KINDS), new)
+    base = F.array_join(F.concat(*(listed(k, F.col(k)) for k in KINDS)), ",")
     every = F.array_join(F.concat(*(listed(k, with_added(k)) for k in KINDS)), ",")
-    counts = [F.size(f"_pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    every_size = (sum(F.size(k) for k in KINDS) + F.size("found")).cast("long")
+    return rows.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"), every_size.alias("n_spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind in brackets.
 
-    Spans that overlap are replaced as one. Texts without any, null texts among them, stay as they are.
+    Spans that overlap are replaced as one. Texts without any, null texts among them, stay as they are, as do
+    all other columns.
     """
     based, new = with_spans(docs)
     rows = joined_spans(based, new)
@@ -204,11 +206,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(so_far: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), so_far["at"].cast("int") + 1, (s["start"] - so_far["at"]).cast("int"))
+        gap = F.substr(F.col("row.text"), so_far["at"].cast("int") + 1, (s["start"] - so_far["at"]).cast("int"))
         out = F.when(s["start"] < so_far["at"], so_far["out"]).otherwise(F.concat(so_far["out"], F.array(gap, F.concat(F.lit("["), s["kind"], F.lit("]")))))
         return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate(F.array_sort(tagged, by_start), start, step)
-    rows = rows.withColumn("_pii_done", done)
-    text = F.when(F.size("_pii_done.out") == 0, F.col("text")).otherwise(F.concat(F.array_join("_pii_done.out", ""), F.substr(F.col("text"), F.col("_pii_done.at").cast("int") + 1, F.length("text"))))
-    return rows.withColumn("text", text).select(*docs.columns)
+    rows = rows.select("row", done.alias("done"))
+    rest = F.substr(F.col("row.text"), F.col("done.at").cast("int") + 1, F.length("row.text"))
+    text = F.when(F.size("done.out") == 0, F.col("row.text")).otherwise(F.concat(F.array_join("done.out", ""), rest))
+    return rows.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
