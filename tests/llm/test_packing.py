@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tilewright.llm import packing as P
 
@@ -16,9 +17,7 @@ PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=200, deadline=None)
@@ -28,7 +27,6 @@ def test_ids_are_those_of_whole_texts(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     ids, counts = P.token_ids(pa.array(texts, pa.string()), P.chunk_ids(PATH))
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
@@ -37,7 +35,7 @@ def test_ids_are_those_of_whole_texts(texts):
 def test_ids_of_words_marks_and_other_scripts(tokenizer):
     import pyarrow as pa
 
-    texts = ["Straße, ÉCOLE! it's don't (x) a.b.c 12 3.4", "ΣΑΣ ΟΔΟΣ İstanbul ﬁ é é 日本語", "a\x1cb c d\x85e", "$$$ ### word&&& |", "<|endoftext|> [x] `~` \\", "x" * 5000, None, ""]
+    texts = ["Straße, ÉCOLE! it's don't (x) a.b.c 12 3.4", "ΣΑΣ ΟΔΟΣ İstanbul ﬁ é é 日本語", "a\x1cb c d\x85e", "$$$ ### word&&& |", "<|endoftext|> [x] `~` \\", "a <|startoftext|> b", "x<|endoftext|>y<|ENDOFTEXT|><|endoftext|>.", "<| endoftext |>", "x" * 5000, None, ""]
     ids, counts = P.token_ids(pa.array(texts), P.chunk_ids(PATH))
     want = [tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
@@ -97,3 +95,16 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     rows = P.pack(df, PATH).collect()
     assert sorted((str(r.doc_id), r.length) for r in rows) == [("1", 3), ("1", 3), ("None", 2)]
     assert P.pack(df.where("doc_id > 5"), PATH).count() == 0
+
+
+def test_copies_of_a_row_are_dealt_over_groups(spark, tokenizer):
+    n = 6000
+    df = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three " * 30).alias("text"))
+    rows = P.pack(df, PATH).collect()
+    assert len(rows) == n and len({r.sequence_id >> 32 for r in rows}) == math.ceil(n / P.GROUP_DOCS)
+    check(rows[:0], {}, tokenizer)
+    held = {}
+    for r in rows:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in held.values():
+        assert [o for o, _ in sorted(parts)] == [k * parts[0][1] for k in range(len(parts))] and sum(x for _, x in parts) <= P.CAPACITY

@@ -1,8 +1,8 @@
 """Packing documents into token windows by Karmarkar-Karp multiway differencing.
 
 Documents become token ids (a public tokenizer, one closing id); every full window is cut off and the rest,
-shorter than a window, is what has to be packed. Rests are dealt by document into groups of bounded size and
-each group is partitioned by differencing: all partial partitions wait in a heap by the spread of their sums,
+shorter than a window, is what has to be packed. Pieces are dealt by their content, equal ones by their number
+too, into groups of bounded size whatever the ids are, and each group is partitioned by differencing: all partial partitions wait in a heap by the spread of their sums,
 and the two widest merge with their imbalances opposed (largest sum onto smallest). If the fullest window
 exceeds the capacity, the group tries again with more windows.
 """
@@ -39,7 +39,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 class ChunkIds:
     """Little-endian uint32 ids of white-space-free chunks, behind caches of bounded size.
 
-    The tokenizer drops white space and none of its tokens spans any, so a text's ids are those of its chunks.
+    The tokenizer drops white space and none of its tokens, special ones included, spans any, so a text's ids are
+    those of its chunks.
     It also lowers letters and parts a run of letters from the marks after it, so common chunks of Latin
     letters and marks are put together from the ids of these two. Unknown runs of letters are encoded many at
     a time: each ends with a token that ends a word.
@@ -49,7 +50,6 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -189,7 +189,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """
     cut = pieces(docs, tokenizer_path, capacity, end_id)
     groups = max(1, math.ceil(docs.count() / GROUP_DOCS))
-    group = F.pmod(F.xxhash64("doc_id"), F.lit(groups))
+    names = cut.columns
+    # Equal pieces are counted and dealt again by number, in two steps so that no list of numbers is long.
+    lots = cut.groupBy(*names).agg(F.count("*").alias("copies"))
+    lots = lots.withColumn("high", F.explode(F.expr("sequence(0L, (copies - 1) div 4096)")))
+    lots = lots.withColumn("low", F.explode(F.expr("sequence(0L, least(4095L, copies - 1 - high * 4096))")))
+    dealt = lots.select(*names, F.pmod(F.xxhash64(*names, "high", "low"), F.lit(groups)).alias("group"))
 
     def place(key: tuple, part: pa.Table) -> pa.Table:
         part = part.drop_columns(["group"]).sort_by([(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
@@ -205,4 +210,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             offset[at] = np.cumsum(length[at]) - length[at]
         return part.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return cut.withColumn("group", group).groupBy("group").applyInArrow(place, PIECES + ", sequence_id long, offset long")
+    return dealt.groupBy("group").applyInArrow(place, PIECES + ", sequence_id long, offset long")
