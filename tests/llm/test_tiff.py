@@ -56,3 +56,59 @@ def test_a_chain_of_directories_that_turns_back_ends():
     (n,) = struct.unpack_from("<H", data, at)
     struct.pack_into("<I", data, at + 2 + 12 * n, at)
     assert len(list(T.read_tiff(bytes(data)))) == 1
+
+
+def file_of(tags, body=b"", order="<"):
+    """A file with one directory of (tag, kind, values) and ``body`` at its byte 8."""
+    data = (b"II*\0" if order == "<" else b"MM\0*") + b"\0\0\0\0" + body
+    entries = b""
+    for tag, kind, values in sorted(tags):
+        packed = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(packed) > 4:
+            at, data = len(data), data + packed
+            packed = struct.pack(order + "I", at)
+        entries += struct.pack(order + "HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+    at = len(data)
+    return data[:4] + struct.pack(order + "I", at) + data[8:] + struct.pack(order + "H", len(tags)) + entries + b"\0\0\0\0"
+
+
+def page_tags(width, height, bits, body, *more, rows=None):
+    own = {t for t, _, _ in more}
+    return [x for x in [(256, 4, [width]), (257, 4, [height]), (258, 3, [bits]), (259, 3, [1]), (273, 4, [8]), (277, 3, [1]), (278, 4, [rows or max(height, 1)]), (279, 4, [len(body)])] if x[0] not in own] + list(more)
+
+
+@pytest.mark.parametrize("width, height", [(0, 4), (4, 0), (2**31, 2**31), (2**32 - 1, 1), (65536, 65536)])
+def test_forged_sizes_are_errors(width, height):
+    for method in (1, 5, 8, 32773):
+        (row,) = T.read_tiff(file_of(page_tags(width, height, 8, b"abcd", (259, 3, [method])), b"abcd"))
+        assert row[7] is None and row[8]
+
+
+def test_damage_anywhere_never_raises():
+    rng = np.random.default_rng(4)
+    good = [T.write_tiff([rng.integers(0, 256, (20, 33)).astype(np.uint8)], m, 2, 7, t) for m in (1, 5, 8, 32773) for t in (None, 16)]
+    for data in good:
+        for _ in range(150):
+            bad = bytearray(data)
+            for at in rng.integers(0, len(bad), 3):
+                bad[at] = rng.integers(0, 256)
+            rows = list(T.read_tiff(bytes(bad[: rng.integers(1, len(bad) + 1)])))
+            assert all((r[7] is None) == (r[8] is not None) for r in rows)
+
+
+def test_few_bits_planes_and_floats():
+    body = bytes([0b10110000, 0b01000000])
+    (row,) = T.read_tiff(file_of(page_tags(3, 2, 1, body), body))
+    assert row[4] == 1 and list(row[7]) == [1, 0, 1, 0, 1, 0]
+    body = bytes([0x12, 0x30])
+    (row,) = T.read_tiff(file_of(page_tags(3, 1, 4, body), body))
+    assert list(row[7]) == [1, 2, 3]
+    body = bytes(range(8))
+    (row,) = T.read_tiff(file_of(page_tags(2, 2, 8, body, (258, 3, [8, 8]), (277, 3, [2]), (284, 3, [2]), (273, 4, [8, 12]), (279, 4, [4, 4])), body))
+    assert list(row[7]) == [0, 4, 1, 5, 2, 6, 3, 7]
+    values = np.array([[1.5, -2.25, 1e6], [0.0, 3.0, 7.5]], dtype=">f4")
+    planes = values.view(np.uint8).reshape(2, 3, 4).transpose(0, 2, 1).reshape(2, 12)
+    body = np.diff(planes, axis=1, prepend=np.uint8(0)).astype(np.uint8).tobytes()
+    for order in "<>":
+        (row,) = T.read_tiff(file_of(page_tags(3, 2, 32, body, (339, 3, [3]), (317, 3, [3])), body, order))
+        assert row[8] is None and np.frombuffer(row[7], np.float32).tolist() == values.ravel().tolist()

@@ -44,8 +44,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def stored_as(data: bytes) -> bytes:
+    """A TIFF file of rows of 64 samples. What the bytes are decides on scheme, predictor, strips or tiles, and one page or two."""
+    rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, 64)
+    code = zlib.crc32(data)
+    half = len(rows) // 2 if code & 16 and len(rows) > 1 else len(rows)
+    pages = [p for p in (rows[:half], rows[half:]) if len(p)]
+    method = (tiff.DEFLATE, tiff.LZW, tiff.PACKBITS, tiff.NONE)[code & 3]
+    return tiff.write_tiff(pages, method, 2 if code & 4 else 1, 16, 32 if code & 8 else None)
+
+
 def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a TIFF page of 64 samples a row, read back by ``tiff_pages``."""
+    """Every text as the pages of a TIFF file, read back by ``tiff_pages``."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,8 +64,7 @@ def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for text in batch.column(1).slice(i, 256):
                     data = as_bytes(text.as_py())
                     sizes.append(len(data))
-                    data = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
-                    media.append(tiff.write_tiff([np.frombuffer(data, dtype=np.uint8).reshape(-1, 64)]))
+                    media.append(stored_as(data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     def digest(pixels: bytes) -> tuple:
@@ -65,10 +74,37 @@ def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
         feature = f"sum={int(a.sum(dtype=np.int64))};edges={edges};bins=" + ",".join(map(str, bins))
         return len(a), hashlib.sha256(pixels).hexdigest(), zlib.crc32(a[-64:].tobytes()), feature
 
+    kept, made = ["doc_id", "n_bytes", "media_bytes", "media_sha256"], ["payload_bytes", "payload_sha256", "tail_crc32", "feature"]
+
+    def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per file from the rows of its pages, which a task has one after the other."""
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+        own, parts, first, out = None, [], None, []
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*out) if out else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], [*kept, *made, "pages", "layout"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1]):
+                if row[4] == 0 and own is not None:
+                    out.append((*own, *digest(b"".join(parts)), len(parts), first))
+                    parts = []
+                if row[4] == 0:
+                    own, first = row[:4], f"scheme={row[5]};predictor={row[6]}"
+                parts.append(row[7].as_py())
+            yield flush()
+            out = []
+        if own is not None:
+            out.append((*own, *digest(b"".join(parts)), len(parts), first))
+            yield flush()
+
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
     files = files.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    pages = tiff.tiff_pages(files, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"], digest, "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
-    return pages.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    pages = tiff.tiff_pages(files, "media", kept).select(*kept, "page", "compression", "predictor", "pixels")
+    return pages.mapInArrow(payloads, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, pages int, layout string").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages", "layout"
+    )
 
 
 def tokenizer_path() -> str:

@@ -1,8 +1,9 @@
 """TIFF columns: a writer for lossless 8-bit pages and a reader that emits one row per page.
 
-The reader walks the image file directories of little- and big-endian files, takes strips or tiles, undoes
-PackBits, LZW or deflate and the horizontal predictor, and returns samples of 8 or 16 bits. Damaged files give
-one row with an error instead of a failed job.
+The reader walks the image file directories of little- and big-endian files, takes strips or tiles, interleaved
+or in planes, undoes PackBits, LZW or deflate and the horizontal or floating-point predictor, and returns whole or
+floating-point samples. Damaged files give one row with an error instead of a failed job: what a page claims to
+hold is compared with what its stored bytes can unfold to before any memory is taken.
 """
 
 from __future__ import annotations
@@ -18,9 +19,13 @@ from pyspark.sql import DataFrame
 # Fixed values of the format: tags, compression schemes, bytes per field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS = 256, 257, 258, 259, 262, 273
 SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+#: How many bytes a stored byte unfolds to at most, by scheme.
+UNFOLDS = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, OLD_DEFLATE: 1032}
+#: A cell of a table holds no more.
+MOST_BYTES = (1 << 31) - 1
 
 PAGES = "page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"
 
@@ -153,7 +158,7 @@ def predict(rows: np.ndarray) -> np.ndarray:
 
 
 def write_tiff(pages: list[np.ndarray], method: int = DEFLATE, predictor: int = 2, strip_rows: int = 1024, tile: int | None = None) -> bytes:
-    """A little-endian file with one directory for each (height, width) or (height, width, samples) uint8 page.
+    """A little-endian file with one directory for each (height, width) or (height, width, samples) page of 8 bits.
 
     Strips have ``strip_rows`` rows; with ``tile`` (a multiple of 16) square tiles are written instead.
     """
@@ -209,37 +214,76 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
             size = FIELD_BYTES.get(kind, 1) * count
             place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
+            if size > len(data):
+                raise ValueError(f"tag {tag} of {count} values")
             if kind in (1, 3, 4):
                 tags[tag] = list(struct.unpack_from(f"{order}{count}{ {1: 'B', 3: 'H', 4: 'I'}[kind] }", data, place))
         yield order, tags
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def read_page(data: bytes, order: str, tags: dict[int, list[int]]) -> tuple[np.ndarray, int, int]:
-    """(height x width x samples array, compression, predictor)."""
-    width, height = tags[WIDTH][0], tags[HEIGHT][0]
-    samples, bits = tags.get(SAMPLES, [1])[0], tags.get(BITS, [1])[0]
-    method, predictor = tags.get(COMPRESSION, [1])[0], tags.get(PREDICTOR, [1])[0]
-    if bits not in (8, 16) or tags.get(PLANAR, [1])[0] != 1 or predictor not in (1, 2):
-        raise ValueError(f"{bits} bits, planar {tags.get(PLANAR)}, predictor {predictor}")
-    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(np.uint16).newbyteorder(order)
+def samples_of(raw: bytes, rows: int, columns: int, samples: int, bits: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """(rows x columns x samples) of one strip or tile, its predictor undone."""
+    if bits < 8:  # rows begin at whole bytes
+        line = -(-columns * samples * bits // 8)
+        flat = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)
+        flat = flat[:, : columns * samples * bits].reshape(rows, columns, samples, bits)
+        return (flat << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+    if predictor == 3:  # differences of bytes, the highest bytes of a row first
+        size = kind.itemsize
+        flat = np.frombuffer(raw, np.uint8, rows * columns * samples * size).reshape(rows, columns * size, samples)
+        flat = np.cumsum(flat, axis=1, dtype=np.uint8).reshape(rows, size, columns * samples)
+        return np.ascontiguousarray(flat.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, columns, samples).astype(kind.newbyteorder("="))
+    part = np.frombuffer(raw, kind, rows * columns * samples).reshape(rows, columns, samples).astype(kind.newbyteorder("="))
+    return np.cumsum(part, axis=1, dtype=part.dtype) if predictor == 2 else part
+
+
+def read_page(data: bytes, order: str, tags: dict[int, list[int]]) -> tuple[np.ndarray, int, int, int]:
+    """(height x width x samples array, bits, compression, predictor)."""
+    one = lambda tag, otherwise: tags.get(tag, [otherwise])[0]
+    width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1)
+    method, predictor, planar, form = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1), one(SAMPLE_FORMAT, 1)
+    depths = set(tags.get(BITS, [1]))
+    bits = depths.pop()
+    held = {1: "u", 2: "i", 3: "f"}.get(form)
+    if depths or held is None or bits not in ((32, 64) if form == 3 else (1, 2, 4, 8, 16, 32, 64)) or planar not in (1, 2) or method not in UNFOLDS:
+        raise ValueError(f"{sorted({bits, *depths})} bits of form {form}, planar {planar}, compression {method}")
+    if predictor not in ((1, 3) if form == 3 else (1, 2)) or predictor > 1 and bits < 8:
+        raise ValueError(f"predictor {predictor} of {bits} bits of form {form}")
+    kind = np.dtype(f"{order}{held}{max(bits // 8, 1)}")
     tiled = TILE_OFFSETS in tags
     part_w = tags[TILE_WIDTH][0] if tiled else width
-    part_h = tags[TILE_HEIGHT][0] if tiled else min(tags.get(ROWS_PER_STRIP, [height])[0], height)
-    across = -(-width // part_w)
+    part_h = tags[TILE_HEIGHT][0] if tiled else min(one(ROWS_PER_STRIP, height), height)
+    if min(width, height, samples, part_w, part_h) < 1:
+        raise ValueError(f"a page of {width} x {height} x {samples} in parts of {part_w} x {part_h}")
+    planes, deep = (samples, 1) if planar == 2 else (1, samples)
+    across, down = -(-width // part_w), -(-height // part_h)
+    offsets, counts = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
+    if len(offsets) != across * down * planes or len(counts) != len(offsets):
+        raise ValueError(f"{len(offsets)} parts, {len(counts)} sizes, {across * down * planes} wanted")
+    if any(at + count > len(data) for at, count in zip(offsets, counts)):
+        raise ValueError("a part beyond the end")
+    total = width * height * samples * kind.itemsize
+    stored = UNFOLDS[method] * sum(counts)
+    if total > MOST_BYTES or -(-part_w * deep * bits // 8) * part_h > MOST_BYTES or width * height * samples * bits > 8 * stored:
+        raise ValueError(f"{total} bytes from {sum(counts)}")
     image = np.zeros((height, width, samples), dtype=kind.newbyteorder("="))
-    for k, (at, count) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS])):
+    for k, (at, count) in enumerate(zip(offsets, counts)):
+        plane, k = divmod(k, across * down)
         y, x = k // across * part_h, k % across * part_w
         rows = part_h if tiled else min(part_h, height - y)
-        size = rows * part_w * samples * kind.itemsize
+        size = rows * -(-part_w * deep * bits // 8)
+        if size > UNFOLDS[method] * count:
+            raise ValueError(f"part {k} has {count} stored bytes for {size}")
         raw = decode(data[at : at + count], method, size)
         if len(raw) < size:
             raise ValueError(f"part {k} has {len(raw)} of {size} bytes")
-        part = np.frombuffer(raw, dtype=kind, count=size // kind.itemsize).reshape(rows, part_w, samples).astype(image.dtype)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=image.dtype)
-        image[y : y + rows, x : x + part_w] = part[: height - y, : width - x]
-    return image, method, predictor
+        part = samples_of(raw, rows, part_w, deep, bits, kind, predictor)[: height - y, : width - x]
+        if planar == 2:
+            image[y : y + rows, x : x + part_w, plane] = part[:, :, 0]
+        else:
+            image[y : y + rows, x : x + part_w] = part
+    return image, bits, method, predictor
 
 
 def read_tiff(data: bytes | None) -> Iterator[tuple]:
@@ -249,10 +293,10 @@ def read_tiff(data: bytes | None) -> Iterator[tuple]:
     page = 0
     try:
         for order, tags in directories(data):
-            image, method, predictor = read_page(data, order, tags)
-            yield page, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, method, predictor, image.tobytes(), None
+            image, bits, method, predictor = read_page(data, order, tags)
+            yield page, image.shape[1], image.shape[0], image.shape[2], bits, method, predictor, image.tobytes(), None
             page += 1
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+    except (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
         yield page, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
