@@ -8,6 +8,7 @@ hold is compared with what its stored bytes can unfold to before any memory is t
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,7 +22,10 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS = 256, 257, 258, 25
 SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+CLEAR, END = 256, 257
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+#: Runs that PackBits shortens.
+RUNS = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 #: How many bytes a stored byte unfolds to at most, by scheme.
 UNFOLDS = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, OLD_DEFLATE: 1032}
 #: A cell of a table holds no more.
@@ -31,20 +35,18 @@ PAGES = "page int, width int, height int, samples int, bits int, compression int
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        start = i
-        while i < n and i - start < 128 and (i + 1 >= n or data[i + 1] != data[i]):
-            i += 1
-        out.append(i - start - 1)
-        out += data[start:i]
+    out, at = bytearray(), 0
+    for run in RUNS.finditer(data):
+        for i in range(at, run.start(), 128):
+            part = data[i : min(i + 128, run.start())]
+            out.append(len(part) - 1)
+            out += part
+        at = run.end()
+        out += bytes((257 - (at - run.start()), data[run.start()]))
+    for i in range(at, len(data), 128):
+        part = data[i : i + 128]
+        out.append(len(part) - 1)
+        out += part
     return bytes(out)
 
 
@@ -63,75 +65,73 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def code_widths(first: int, n: int) -> np.ndarray:
+    """Bits of the LZW codes ``first``, ``first + 1`` ... after a clear code."""
+    return np.searchsorted(np.array([512, 1024, 2048]), np.arange(258 + first, 258 + first + n), side="right") + 9
+
+
 def lzw_encode(data: bytes) -> bytes:
-    bits = count = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, count
-        bits, count = bits << width | code, count + width
-        while count >= 8:
-            count -= 8
-            out.append(bits >> count & 255)
-        bits &= (1 << count) - 1
-
-    codes = {bytes((i,)): i for i in range(256)}
-    put(256, 9)
-    width, following, now = 9, 258, b""
-    for i in range(len(data)):
-        longer = now + data[i : i + 1]
-        if longer in codes:
+    codes, table, following, now = [CLEAR], {}, 258, -1
+    for b in data:
+        if now < 0:
+            now = b
+            continue
+        key = now << 8 | b
+        longer = table.get(key)
+        if longer is not None:
             now = longer
             continue
-        put(codes[now], width)
-        codes[longer] = following
+        codes.append(now)
+        table[key] = following
         following += 1
         if following == 4095:
-            put(256, width)
-            codes = {bytes((k,)): k for k in range(256)}
-            width, following = 9, 258
-        elif following >= (1 << width) :
-            width += 1
-        now = data[i : i + 1]
-    if now:
-        put(codes[now], width)
-        following += 1
-        if following >= (1 << width) and width < 12:
-            width += 1
-    put(257, width)
-    if count:
-        put(0, 8 - count)
-    return bytes(out)
+            codes.append(CLEAR)
+            table, following = {}, 258
+        now = b
+    if now >= 0:
+        codes.append(now)
+    codes.append(END)
+    # Between two clear codes stand 4095 - 258 others, so the places of all are known.
+    per = 4095 - 258 + 1
+    widths = np.append(9, code_widths(0, per)[np.arange(len(codes) - 1) % per])
+    bits = np.unpackbits(np.array(codes, dtype=">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - widths[:, None]]).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    out, bits, count, width, at = bytearray(), 0, 0, 9, 0
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    codes, before = first[:], None
-    while len(out) < size:
-        while count < width:
-            if at >= len(data):
-                return bytes(out)
-            bits, count, at = (bits << 8 | data[at]) & 0xFFFFFFFF, count + 8, at + 1
-        count -= width
-        code = bits >> count & ((1 << width) - 1)
-        if code == 257:
+    padded, end = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32), 8 * len(data)
+    parts, length, bit, k, table, before = [], 0, 0, 0, first[:], b""
+    while length < size:
+        widths = code_widths(k, min(4096, (end - bit) // 9 + 1))
+        starts = bit + np.cumsum(widths) - widths
+        widths = widths[starts + widths <= end]
+        starts = starts[: len(widths)]
+        if not len(widths):
             break
-        if code == 256:
-            codes, width, before = first[:], 9, None
-            continue
-        if before is None:
-            entry = codes[code]
-        else:
-            entry = codes[code] if code < len(codes) else before + before[:1]
-            if code > len(codes):
+        at = starts >> 3
+        codes = (padded[at] << 16 | padded[at + 1] << 8 | padded[at + 2]) >> (24 - (starts & 7) - widths).astype(np.uint32) & ((1 << widths) - 1).astype(np.uint32)
+        marks = np.flatnonzero((codes == CLEAR) | (codes == END))
+        stop = int(marks[0]) if len(marks) else len(codes)
+        for code in codes[:stop].tolist():
+            if code < len(table):
+                entry = table[code]
+            elif code == len(table) and before:
+                entry = before + before[:1]
+            else:
                 raise ValueError("an LZW code before its entry")
-            codes.append(before + entry[:1])
-        out += entry
-        before = entry
-        if len(codes) >= (1 << width) - 1 and width < 12:
-            width += 1
-    return bytes(out)
+            if before and len(table) < 4096:
+                table.append(before + entry[:1])
+            parts.append(entry)
+            length += len(entry)
+            before = entry
+        if stop == len(codes):
+            bit, k = int(starts[-1] + widths[-1]), k + len(codes)
+        elif codes[stop] == END:
+            break
+        else:
+            bit, k, table, before = int(starts[stop] + widths[stop]), 0, first[:], b""
+    return b"".join(parts)
 
 
 def encode(data: bytes, method: int) -> bytes:
