@@ -61,5 +61,43 @@ def test_few_rows_and_none(spark):
 
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(3).normal(size=(5, 128))
-    y = N.rotated(x, N.signs(1, 128, 1)[0])
+    y = N.rotated(x, N.signs(1, 1, 128, 1)[0, 0])
     assert np.linalg.norm(y, axis=1) / 128**1.5 == pytest.approx(np.linalg.norm(x, axis=1))
+
+
+def test_cells_in_order_of_nearness():
+    rng = np.random.default_rng(5)
+    counts, x = [32, 32, 8], rng.normal(size=(4, 16))
+    rounds = N.signs(1, 3, 16, 1)[0]
+    near = [N.axes(x, r, c) for r, c in zip(rounds, counts)]
+    lack = [(n.max(axis=1, keepdims=True) - n) ** 2 for n in near]
+    every = (lack[0][:, :, None, None] + lack[1][:, None, :, None] + lack[2][:, None, None, :]).reshape(4, -1)
+    got = N.nearest_cells(x, rounds, counts, 300)
+    assert (got[:, 0] == N.cells(x, rounds, counts)).all()
+    for row, far in zip(got, every):
+        assert len(set(row.tolist())) == 300 and far[row] == pytest.approx(np.sort(far)[:300])
+
+
+def test_clusters_of_vectors_need_few_cells(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(100, 32))
+    x = centres[np.arange(4000) % 100] + 0.2 * rng.normal(size=(4000, 32))
+    assert recall(spark, np.arange(4000), x.tolist(), cell_rows=4) >= 0.9
+    assert len(N.splits(4000, 64, 4)) == 2 and len(N.splits(10**9, 64, 24)) == 4
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rows = [(i, [float(i % 7), 1.0, 2.0 + i]) for i in range(60)] + [(i, [1.0, float(i)]) for i in range(60, 130)] + [(140, [1e300, 1e300])]
+    rows = [(140, [1e30, 1e30]) if i == 140 else (i, v) for i, v in rows]
+    got = {}
+    for r in N.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    lengths = {i: len(v) for i, v in rows}
+    assert all({lengths[i] for i in near} == {lengths[q]} for q, near in got.items())
+
+
+def test_components_near_the_largest_double(spark):
+    rows = [(i, [1e200 * (i + 1), 1e200]) for i in range(30)]
+    got = [r for r in N.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert {r.query_id for r in got} == {0, 20}
