@@ -80,3 +80,26 @@ def test_no_rows_and_repeated_rows(spark):
     assert len(M.mix_sources(df)[0].collect()) == 3
     assert M.mix_sources(df.where("doc_id > 7"))[0].count() == 0
     assert M.mixed_documents(df.where("doc_id > 7")).count() == 0
+
+
+def test_rows_stand_in_the_order_of_the_schedule(spark):
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(40)), "abc"[i % 3 if i < 240 else 0], 1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_taken int, mix int")
+    made, plan = M.mix_sources(df)
+    first = {r.doc_id: r.first_slot for r in made.collect()}
+    times = {}
+    for r in plan.collect():
+        times.setdefault((r.source, r.rank), r.time)
+    assert all(first[r.doc_id] == times.get((r.source, r.first_block)) for r in made.collect())
+    got = [(r.doc_id, r.source) for r in M.mixed_documents(df).collect()]
+    assert M.mixed_documents(df).columns == df.columns
+    seen, order = set(), []
+    for i, _ in got:
+        if i not in seen:
+            order.append(first[i])
+            seen.add(i)
+    assert order == sorted(order)
+    shares = [s for _, s in got]
+    for n in range(50, len(got), 50):
+        for s in "abc":
+            assert abs(shares[:n].count(s) / n - shares.count(s) / len(shares)) < 0.06

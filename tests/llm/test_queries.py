@@ -8,6 +8,7 @@ import pytest
 
 from tilewright.llm import queries as Q
 
+from ..compare import same
 from ..conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -18,6 +19,10 @@ def documents(spark):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
 
+def test_op6_is_its_sql(spark, duck):
+    same(Q.op6_mixing(spark, SF), duck.sql(Q.oracle_sql()["op6_mixing"]))
+
+
 def test_op4_reads_back_what_it_stores(spark, documents):
     rows = {r.doc_id: r for r in Q.op4_tiff(spark, SF).collect()}
     assert set(rows) == set(documents)

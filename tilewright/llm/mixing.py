@@ -6,9 +6,11 @@
    source owning a run of cells in proportion to its slots (the cumulative weights). Reversing the ``m``
    bits of a cell gives the time at which the van der Corput sequence visits it, so at all times every
    source has had its share, within a slot or two.
-3. Slots are ranked by time within their source and joined to the source's blocks, round and round.
+3. Slots are ranked by time within their source and joined to the source's blocks, round and round. The mix
+   is the blocks in the order of their slots' times; a document stands where its first word does.
 
-Prefix sums run in two levels (buckets, then rows), so no source has to fit into a task.
+Prefix sums run in two levels (buckets, then rows), so no source has to fit into a task. Windows over all sources
+see one row per source.
 """
 
 from __future__ import annotations
@@ -110,51 +112,62 @@ def schedule(per: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per document: doc_id, source, size, source_size, target, taken; the schedule).
+    """(per document: doc_id, source, size, source_size, target, taken, first_slot, first_block, blocks; the schedule).
 
-    A null text has size 0, a null source is a source of its own (the last one), a null id is shuffled as the
+    ``first_slot`` is the time of the slot that takes the document's first word for the first time, null where none
+    does. A null text has size 0, a null source is a source of its own (the last one), a null id is shuffled as the
     empty string, repeated rows each count, an empty table gives no rows. Other columns are ignored.
     """
     sizes = written(sized(docs, docs.count()), "mix-sizes")
     per = written(targets(sizes), "mix-targets")
-    plan = schedule(per)
+    plan = written(schedule(per), "mix-schedule")
     repeats = plan.groupBy("source", "block").agg(F.count("*").alias("repeats")).select(F.col("source").alias("rs"), F.col("block").alias("rb"), "repeats")
 
     info = per.select(F.col("source").alias("ps"), "source_size", "target", F.col("block").alias("width"), "blocks")
     placed = positions(sizes.where("size > 0"))
     placed = placed.join(info, placed["source"].eqNullSafe(F.col("ps"))).drop("ps")
     last = F.col("blocks") - 1
-    first_block = F.least(F.expr("start div width"), last)
+    placed = placed.withColumn("first_block", F.least(F.expr("start div width"), last))
     end_block = F.least(F.expr("(start + size - 1) div width"), last)
-    cut = placed.withColumn("b", F.explode(F.sequence(first_block, end_block)))
+    cut = placed.withColumn("b", F.explode(F.sequence("first_block", end_block)))
     block_end = F.when(F.col("b") == last, F.col("source_size")).otherwise((F.col("b") + 1) * F.col("width"))
     cut = cut.withColumn("part", F.least(F.col("start") + F.col("size"), block_end) - F.greatest(F.col("start"), F.col("b") * F.col("width")))
     joined = cut.join(repeats, cut["source"].eqNullSafe(F.col("rs")) & (F.col("b") == F.col("rb")), "left")
-    keys = ["doc_id", "source", "start", "size", "source_size", "target"]
-    taken = joined.groupBy(*keys).agg(F.sum(F.col("part") * F.coalesce(F.col("repeats"), F.lit(0))).cast("long").alias("taken"))
+    keys = ["doc_id", "source", "start", "size", "source_size", "target", "first_block", "blocks"]
+    taken = joined.groupBy(*keys).agg(F.sum(F.col("part") * F.coalesce(F.col("repeats"), F.lit(0))).cast("long").alias("taken")).drop("start")
+    firsts = plan.where(F.col("rank") == F.col("block")).select(F.col("source").alias("fs"), F.col("rank").alias("fr"), F.col("time").alias("first_slot"))
+    taken = taken.join(firsts, taken["source"].eqNullSafe(F.col("fs")) & (F.col("first_block") == F.col("fr")), "left").drop("fs", "fr")
     empty = sizes.where("size = 0")
-    empty = empty.join(info, empty["source"].eqNullSafe(F.col("ps"))).select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return taken.drop("start").unionByName(empty), plan
+    none = F.lit(None).cast("long")
+    empty = empty.join(info, empty["source"].eqNullSafe(F.col("ps"))).select("doc_id", "source", "size", "source_size", "target", none.alias("first_block"), "blocks", F.lit(0).cast("long").alias("taken"), none.alias("first_slot"))
+    return taken.unionByName(empty).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "first_block", "blocks"), plan
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, same columns; the last time perhaps only their first words.
+    """The rows of ``docs`` as often as the mix takes them and in its order, same columns; the last time perhaps only their first words.
 
-    The extra round of a source is the head of its stream, so a document in it is taken whole or from its
-    start. Rows without words stay once. Ids are taken as unique: repeated ones share the largest number.
+    A copy of a row stands at the time of the slot that takes its first word. The extra round of a source is the
+    head of its stream, so a document in it is taken whole or from its start. Rows without words stay once, at
+    the end. Ids are taken as unique: repeated ones share the largest number. Other columns, whatever their
+    names, are carried along.
     """
-    taken = mix_sources(docs)[0].groupBy("doc_id").agg(F.max("taken").alias("_mix_taken"), F.max("size").alias("_mix_size"))
-    rows = docs.join(taken.withColumnRenamed("doc_id", "_mix_id"), F.col("doc_id").cast("string").eqNullSafe(F.col("_mix_id").cast("string")), "left")
-    whole = F.when(F.col("_mix_size") > 0, F.expr("_mix_taken div _mix_size")).otherwise(1)
-    part = F.when(F.col("_mix_size") > 0, F.col("_mix_taken") % F.col("_mix_size")).otherwise(0)
-    rows = rows.withColumns({"_mix_whole": whole, "_mix_part": part})
-    copies = (F.col("_mix_whole") + F.when(F.col("_mix_part") > 0, 1).otherwise(0)).cast("int")
-    rows = rows.where(copies > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), copies)))
-    head = F.expr(r"regexp_extract(text, concat('^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,', _mix_part, '}+'), 0)")
-    rows = rows.withColumn("text", F.when(F.col("_mix_copy") > F.col("_mix_whole"), head).otherwise(F.col("text")))
+    made, plan = mix_sources(docs)
+    taken = made.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max_by(F.struct("taken", "size", "source", "first_block", "blocks"), F.struct("taken", "size", "source", "first_block")).alias("mix"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.join(taken, F.col("row.doc_id").cast("string").eqNullSafe(F.col("id")), "left").select("row", "mix.*")
+    rows = rows.withColumns({"whole": F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1), "part": F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)})
+    copies = (F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
+    rows = rows.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    times = plan.select(F.col("source").alias("ts"), F.col("rank").alias("tr"), "time")
+    place = (F.col("copy") - 1) * F.col("blocks") + F.col("first_block")
+    rows = rows.join(times, F.col("source").eqNullSafe(F.col("ts")) & (place == F.col("tr")), "left")
+    head = F.expr(r"regexp_extract(row.text, concat('^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,', part, '}+'), 0)")
+    cut = F.col("copy") > F.col("whole")
+    rows = rows.withColumn("made", F.when(cut, head).otherwise(F.col("row.text"))).orderBy(F.col("time").asc_nulls_last(), "row.doc_id", "copy")
+    new = {"text": F.col("made")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_mix_copy") > F.col("_mix_whole"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(cut, F.length("made").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 OP6_SQL = rf"""
@@ -177,9 +190,24 @@ blocked as (
   select *, source_size // block as blocks, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as rounds from aimed),
 slotted as (
   select *, least({MAX_REPEATS} * blocks, rounds * blocks + least(blocks, round((target - rounds * source_size) / block)::bigint)) as slots from blocked),
+totals as (
+  select greatest(sum(slots), 1)::double as n, greatest(1, ceil(log2(greatest(sum(slots), 2)::double)))::bigint as bits from slotted),
+runs as (
+  select source, slots, blocks, bits, floor((sum(slots) over w - slots) * (2.0::double ** bits / n))::bigint as lo, floor((sum(slots) over w) * (2.0::double ** bits / n))::bigint as upto
+  from slotted, totals where slots > 0 window w as (order by source nulls last rows between unbounded preceding and current row)),
+cells as (
+  select source, slots, blocks, bits, unnest(range(lo, greatest(upto, lo + slots::bigint))) as cell from runs),
+timed as (
+  select source, slots, blocks, list_sum(list_transform(range(bits), lambda i: ((cell >> i) & 1) << (bits - 1 - i)))::bigint as time from cells),
+ranked as (
+  select source, slots, blocks, time, row_number() over (partition by source order by time) - 1 as rank from timed),
+firsts as (
+  select source, rank, time from ranked where rank < slots and rank < blocks),
 placed as (
   select *, coalesce(sum(size) over (partition by source order by ord, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start from sizes)
 select p.doc_id, p.size, s.source_size, s.target,
-  case when p.size = 0 then 0 else ((slots // blocks) * p.size + greatest(0, least(p.size, (slots % blocks) * block - p.start)))::bigint end as taken
+  case when p.size = 0 then 0 else ((slots // blocks) * p.size + greatest(0, least(p.size, (slots % blocks) * block - p.start)))::bigint end as taken,
+  case when p.size > 0 then f.time end as first_slot
 from placed p join slotted s on p.source is not distinct from s.source
+left join firsts f on p.source is not distinct from f.source and f.rank = least(p.start // greatest(s.block, 1), s.blocks - 1)
 """

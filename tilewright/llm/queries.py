@@ -119,8 +119,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of every document the mix of the sources takes."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
+    """How many words of every document the mix of the sources takes, and at which time of its schedule first."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
