@@ -73,9 +73,11 @@ def test_all_links_and_membership(spark, monkeypatch, most):
     distinct = [i for s, i in first.items() if s]
     want = {(a, b) for a in distinct for b in distinct if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
     links, held = J.pairs(spark.createDataFrame(docs, "doc_id long, text string"))
+    by_row = {r.doc_id: r.vid for r in held.collect()}
+    own = {i: by_row[i] for i in distinct}
     got = [tuple(r) for r in links.collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    assert {tuple(r) for r in held.collect()} == {(i, first[s]) for i, s in sets.items() if s}
+    assert len(got) == len(set(got)) and set(got) == {(own[a], own[b]) for a, b in want}
+    assert {r.doc_id for r in held.collect()} == set(by_row) and all(by_row[i] == own[first[s]] for i, s in sets.items() if s)
 
 
 def test_repeated_rows_empty_table_and_null_ids(spark):
@@ -158,3 +160,40 @@ def test_linked_sets_share_a_signature_at_other_shares(percent):
             met += 1
             assert np.isin(J.signatures(a, percent), J.signatures(b, percent)).any()
     assert met > 200
+
+
+def test_an_id_with_two_texts_loses_no_link(spark):
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "z"])), (3, " ".join([*b, "z"])), (4, "nothing like it")]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.component_id) for r in J.join(spark.createDataFrame(order, "doc_id long, text string")).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_a_row_without_an_id_joins_others(spark):
+    a = [f"a{k}" for k in range(100)]
+    near = lambda n: " ".join([*(f"x{k}" for k in range(n)), *a[n:]])
+    rows = [(7, near(0)), (None, near(3)), (9, near(6))]
+    got = sorted(((r.doc_id, r.component_id) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == [(7, 7), (9, 7), (None, 7)]
+
+
+def near_copies(n, chain):
+    base, rows = [f"b{k}" for k in range(200)], []
+    for i in range(n):
+        words = list(base)
+        for k in range(i % 3):
+            words[(i * 17 + k * 50) % 200] = f"e{i}_{k}"
+        rows.append((i, " ".join(words)))
+    for j in range(chain):  # each similar to the one before, the last ones not to the first
+        words = [f"n{k}" if k < 5 * j else w for k, w in enumerate(base)]
+        rows.append((n + j, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("most", [2_000, 12_000])
+def test_sets_apart_from_the_pivot_are_searched_for(spark, monkeypatch, most):
+    monkeypatch.setattr(J, "GROUP_ELEMENTS", most)
+    rows = near_copies(150, 12)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)

@@ -61,11 +61,40 @@ def test_run_gives_the_last_stage(spark, corpus):
 
 def test_stages_of_no_rows_and_odd_rows(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
-    for odd in (docs.where("doc_id < 0"), docs.limit(2).unionAll(docs.limit(2)).withColumn("doc_id", docs.doc_id * None).unionAll(docs.where("doc_id in (400, 401)"))):
-        n = odd.count()
-        for name, stage in C.STAGES[1:]:
-            out = stage(spark, odd, corpus)
-            assert out.count() >= (1 if n else 0) or not n
+    none = docs.where("doc_id < 0")
+    for name, stage in C.STAGES:
+        assert stage(spark, none, corpus).count() == 0
+    some, empty = docs.where("doc_id in (1, 2)"), docs.where("doc_id in (400, 401)")
+    odd = some.unionAll(some).withColumn("doc_id", some.doc_id * None).unionAll(empty).unionAll(empty)
+    want = {"toxicity": 8, "near_duplicates": 6, "pii": 8, "packing": 8}
+    for name, stage in C.STAGES:
+        out = stage(spark, odd, corpus)
+        if name in want:
+            assert out.count() == want[name], name
+        else:
+            assert out.where("text is null or text = ''").count() == 4
+
+
+def test_an_id_with_two_texts_keeps_both(spark, corpus):
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (1, "one two three four five six"), (2, "One two three four five six"), (None, "seven eight nine ten eleven twelve")]
+    kept = C.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), corpus).collect()
+    assert sorted(map(tuple, kept)) == [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve")]
+
+
+NAMES = ["_toxicity", "toxicity", "score", "_id", "_pii_text", "_pii_key", "_mix_taken", "_mix_id", "row", "key", "id", "h", "part", "copy", "whole", "size", "taken", "time", "found", "component", "vid", "hi", "lo", "made", "email"]
+
+
+def test_columns_of_any_name_are_kept(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").where("doc_id < 40")
+    wide = docs.selectExpr("*", *(f"doc_id * 100 + {k} as {n}" for k, n in enumerate(NAMES)))
+    for name, stage in C.STAGES:
+        out = stage(spark, wide, corpus)
+        if name == "packing":
+            assert out.count() > 0
+            continue
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[n] == r.doc_id * 100 + k for r in rows for k, n in enumerate(NAMES))
 
 
 def test_near_duplicates_with_two_changed_words(spark, corpus):

@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -130,22 +137,39 @@ def power_of_two(x: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(x, 1))))
 
 
+#: No more keys than twice this have more than their share of the rows of a table, so these may be broadcast.
+HOT_SHARES = 4000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique and have ``weight`` rows in ``left`` (``total`` in all).
+
+    Keys with more than a ``HOT_SHARES``-th of all rows are few; their rows of ``right`` are broadcast, so the rows
+    of ``left`` that have them stay where they are. All others are shuffled.
+    """
+    limit = max(1000, total // HOT_SHARES)
+    hot, rest = right.where(F.col(weight) > limit).drop(weight), right.where(F.col(weight) <= limit).drop(weight)
+    marked = left.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
+    own = marked.where("is_hot").select(*left.columns, *(c for c in hot.columns if c not in key))
+    return own.unionByName(marked.where("is_hot is null").select(*left.columns).join(rest, key, how))
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, component) with the smallest node of each.
 
     Alternating large-star and small-star steps. Each round is one grouped minimum and one join over the
-    edges, cut off by a table in the shared folder; rounds grow with the logarithm of the longest path.
-    Nodes without an edge are not in the result.
+    edges, cut off by a table in the shared folder; rounds grow with the logarithm of the longest path. The edges
+    of hubs are not gathered: their minimum goes to where they are. Nodes without an edge are not in the result.
     """
     spark = edges.sparkSession
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         if large:
             both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = both.join(low, "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        out = spread_join(both, low, ["a"], "n", total)
         if large:
             out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -158,7 +182,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        now = written(star(star(now, True), False), name)
+        now = written(star(star(now, True, before[0]), False, before[0]), name)
         after = now.agg(F.count("*"), mark).first()
         if after == before:
             break

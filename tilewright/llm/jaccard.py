@@ -1,32 +1,37 @@
 """N-gram Jaccard join of all texts by prefix trees, exact at its threshold.
 
-1. Every text becomes its set of word shingles; equal sets are one node from here on.
+1. Every text becomes its set of word shingles; equal sets are one node from here on, told apart by 128 bits.
 2. Nodes are routed: if two sets with larger size h are similar enough, they differ in at most D(h) elements,
    so of p > D parts of the hash range at least p - D hold the same elements in both. Nodes with an equal part
    are joined to groups, which no similar pair leaves. Parts of a few elements are left out where that many
    cannot be all the equal ones.
 3. In a group the sets are ordered by one order of elements (frequent ones first) and stored in a trie with
-   compressed paths. A search walks it level by level: subtrees share the overlap of their path, and are cut
-   off when the elements that remain on either side cannot reach the threshold. Sets that were reached already
-   are not searched for again, so dense groups cost little more than one search.
+   compressed paths. The order is the same for all sets that may be compared, as no pair leaves its group. A
+   search walks the trie level by level: subtrees share the overlap of their path, and are cut off when the
+   elements that remain on either side cannot reach the threshold. Sets that were reached already are not
+   searched for again, so dense groups cost little more than one search.
 4. The links that join different sets make up the components.
 
-Groups beyond ``GROUP_ELEMENTS`` are split in blocks, and every pair of blocks is searched by a task of its own.
+Groups beyond ``GROUP_ELEMENTS`` are split in blocks, each searched by a task of its own together with the group's
+pivot, one of its sets. What is joined to the pivot is joined across blocks; only the sets that are not, few in a
+group of near copies, are searched for in all blocks.
 """
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, gather, mix, power_of_two, scatter, shingles, split_words, volume, written
+from .common import WORD, WordHashes, components, gather, mix, power_of_two, scatter, shingles, split_words, spread_join, volume, written
 
 WORDS = 3
 #: Links have 100 * intersection >= PERCENT * union. Other shares than this (below 100) are a parameter.
@@ -35,6 +40,8 @@ GROUP_ELEMENTS = 3_000_000
 BUCKET_BYTES = 48 << 20
 LEAST_IN_PART = 3
 BLOCK_PARTS = 2_000_000
+#: Keys of rows that a task remembers, to pass repeated rows on once.
+SEEN_ROWS = 1_000_000
 
 
 @lru_cache(maxsize=8)
@@ -150,19 +157,21 @@ class Trie:
         return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
 
 
+def ranked(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Sets of hashes as sorted ranks of their elements, the most frequent first."""
+    _, local, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), dtype=np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    return [np.sort(x) for x in np.split(rank[local], np.cumsum([len(s) for s in sets])[:-1])]
+
+
 def linked(sets: list[np.ndarray], every: bool = False, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join every component of the sets (of hashes); a link within what is joined already may lack.
 
     With ``every`` all links, the smaller index first.
     """
-    flat = np.concatenate(sets)
-    _, local, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), dtype=np.int64)
-    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-    ranks = rank[local]
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    ordered = [np.sort(x) for x in np.split(ranks, cuts)]
-    marks = np.zeros(len(counts), dtype=bool)
+    ordered = ranked(sets)
+    marks = np.zeros(max(int(r[-1]) for r in ordered) + 1, dtype=bool)
     waiting = dict.fromkeys(range(len(sets)))
     edges, trie, built = [], None, 0
     if every:
@@ -191,24 +200,36 @@ def word_sets(batches: Iterator[pa.RecordBatch], column: int, width: int = WORDS
             yield part, [shingles(words.array(split_words(x.as_py())), width) for x in part.column(column)]
 
 
-def node_of(elements: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(elements.tobytes()) if len(elements) else 0
+def node_of(elements: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers; zeros for the empty one."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(elements.tobytes())) if len(elements) else (0, 0)
 
 
 def measured(docs: DataFrame, width: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(every row: doc_id, n_shingles, node; every distinct set: node, its smallest doc_id, n)."""
+    """(every row of ``docs`` (doc_id, text, h): doc_id, h, n_shingles, hi, lo; every distinct set: vid, hi, lo, doc_id, h, n, rows).
+
+    ``h`` is a hash of the text. ``vid`` grows with the smallest id that has the set; ``doc_id`` and ``h`` name a row of it.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in word_sets(batches, 1, width):
-            nodes = np.array([node_of(s) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes)], ["doc_id", "n_shingles", "node"])
+            nodes = np.array([node_of(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes[:, 0]), pa.array(nodes[:, 1])], ["doc_id", "h", "n_shingles", "hi", "lo"])
 
-    sized = written(docs.mapInArrow(measure, "doc_id long, n_shingles long, node long"), "jaccard-sets")
-    return sized, sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    sized = written(docs.mapInArrow(measure, "doc_id long, h long, n_shingles long, hi long, lo long"), "jaccard-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    nodes = sized.where("n_shingles > 0").groupBy("hi", "lo").agg(first, F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    nodes = nodes.select("hi", "lo", "first.doc_id", "first.h", "n", "rows")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hi").asc(), F.col("lo").asc()]
+    nodes = nodes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("vid", F.monotonically_increasing_id())
+    return sized, written(nodes, "jaccard-nodes")
 
 
 def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """node, group: sets with an equal part are in one group; sets without any are in none."""
+    """lo, group: sets with an equal part are in one group; sets without any are in none.
+
+    Sets go by half of their bits here: those that share it are in one group, and told apart when they are compared.
+    """
     # Both the parts of a set and the bands that it is in grow with what may differ.
     buckets = power_of_two(volume(docs)[1] / BUCKET_BYTES * max(1, differing(1000, percent) / differing(1000)) ** 2)
 
@@ -217,17 +238,17 @@ def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Data
 
         def flush() -> pa.RecordBatch:
             code = np.concatenate(codes) if codes else np.empty(0, dtype=np.uint64)
-            node = np.concatenate(nodes) if nodes else np.empty(0, dtype=np.uint64)
+            node = np.concatenate(nodes) if nodes else np.empty(0, dtype=np.int64)
             return scatter((code & np.uint64(buckets - 1)).astype(np.int64), [code, node], ["code", "node"])
 
         for _, sets in word_sets(batches, 0, width):
             for elements in sets:
-                if len(elements) == 0 or (node := node_of(elements)) in seen:
+                if len(elements) == 0 or (node := node_of(elements)[1]) in seen:
                     continue
                 seen.add(node)
                 code = signatures(elements, percent)
                 codes.append(code)
-                nodes.append(np.full(len(code), node, dtype=np.uint64))
+                nodes.append(np.full(len(code), node, dtype=np.int64))
                 size += len(code)
             if size >= BLOCK_PARTS:
                 yield flush()
@@ -235,47 +256,153 @@ def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Data
         yield flush()
 
     def meet(part: pa.Table) -> pa.Table:
-        code, node = gather(part, "code", np.uint64), gather(part, "node", np.uint64)
+        code, node = gather(part, "code", np.uint64), gather(part, "node", np.int64)
         order = np.lexsort((node, code))
         code, node = code[order], node[order]
         first = np.append(True, code[1:] != code[:-1])[: len(code)]
         head = node[np.maximum.accumulate(np.where(first, np.arange(len(code)), 0))] if len(code) else node
         apart = head != node
-        pairs = np.unique(np.stack((node[apart], head[apart]), axis=1), axis=0).view(np.int64) if apart.any() else np.empty((0, 2), dtype=np.int64)
+        pairs = np.unique(np.stack((node[apart], head[apart]), axis=1), axis=0) if apart.any() else np.empty((0, 2), dtype=np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     routed = docs.select("text").mapInArrow(route, "bucket int, code binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    return components(routed, "jaccard-groups").select("node", F.col("component").alias("group"))
+    return components(routed, "jaccard-groups").select(F.col("node").alias("lo"), F.col("component").alias("group"))
+
+
+def once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, h), repeated ones mostly left out."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        if len(seen) > SEEN_ROWS:
+            seen.clear()
+        keep = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            keep.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(keep))
+
+
+def union_find() -> tuple[dict[int, int], Callable[[int], int]]:
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    return above, top
+
+
+LINKS = "a long, b long"
+
+
+def pair_table(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def found_links(docs: DataFrame, nodes: DataFrame, every: bool, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """a, b: links between distinct sets, as the smallest doc_id of each; enough to join the components, or all."""
-    members = written(grouped(docs, width, percent).join(nodes, "node").where("doc_id is not null"), "jaccard-members")
-    sums = members.groupBy("group").agg(F.sum("n").alias("elements"))
-    total = sums.agg(F.sum("elements")).first()[0] or 0
-    lots = max(1, -(-total // GROUP_ELEMENTS))
-    blocks = F.ceil(F.col("elements") / GROUP_ELEMENTS).cast("int")
-    members = members.join(sums.select("group", blocks.alias("blocks")), "group")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
-    members = members.select("doc_id", "group", own.alias("own"), F.explode(others).alias("other"), F.when(F.col("blocks") > 1, F.col("group")).otherwise(F.pmod("group", F.lit(lots))).alias("lot"))
-    members = members.select("doc_id", "group", "lot", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    """a, b: links between distinct sets, by their vid; enough to join the components, or all."""
+    members = written(grouped(docs, width, percent).join(nodes, "lo"), "jaccard-members")
+    sums = members.groupBy("group").agg(F.sum("n").alias("elements"), F.min("vid").alias("pivot"), F.count("*").alias("sets"))
+    total, number = sums.agg(F.sum("elements"), F.sum("sets")).first()
+    lots = max(1, -(-(total or 0) // GROUP_ELEMENTS))
+    sums = sums.withColumn("blocks", F.ceil(F.col("elements") / GROUP_ELEMENTS).cast("int"))
+    members = spread_join(members, sums.drop("elements"), ["group"], "sets", number or 0)
+    members = members.withColumn("own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    rows = docs.mapInArrow(once_a_task, docs.schema)
+    same_row = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.h") == F.col("d.h"))
+
+    def with_texts(chosen: DataFrame) -> DataFrame:
+        return rows.alias("d").join(chosen.hint("merge").alias("m"), same_row).select("d.text", *(F.col(f"m.{c}") for c in chosen.columns if c not in ("doc_id", "h")))
+
+    def sets_of(part: pa.Table) -> tuple[dict[int, np.ndarray], pa.Table]:
+        """(sets by vid, the rows that hold them): a row whose text is another one, by a hash that is equal, drops out."""
+        words, sets, fine = WordHashes(), {}, []
+        for vid, hi, lo, text in zip(*(part.column(c).to_pylist() for c in ("vid", "hi", "lo")), part.column("text")):
+            elements = shingles(words.array(split_words(text.as_py())), width)
+            fine.append(node_of(elements) == (hi, lo))
+            if fine[-1]:
+                sets[vid] = elements
+        return sets, part.drop_columns(["text"]).filter(pa.array(fine, pa.bool_()))
 
     def search(part: pa.Table) -> pa.Table:
-        words, by_group, block = WordHashes(), {}, {}
-        for doc, group, own, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "group", "own")), part.column("text")):
-            by_group.setdefault(group, {})[doc] = shingles(words.array(split_words(text.as_py())), width)
-            block[doc] = own
-        across = part.column("i")[0] != part.column("j")[0]  # pairs inside a block have a task of their own
+        """Links inside blocks, and between two blocks where the rows come from two."""
+        sets, part = sets_of(part)
+        group, block = (dict(zip(part.column("vid").to_pylist(), part.column(c).to_pylist())) for c in ("group", "own"))
+        by_group: dict[int, list[int]] = {}
+        for vid in sorted(sets):
+            by_group.setdefault(group[vid], []).append(vid)
+        across = len(part) > 0 and part.column("i")[0] != part.column("j")[0]  # pairs inside a block have a task of their own
         found = []
-        for sets in by_group.values():
-            ids = sorted(sets)
+        for ids in by_group.values():
             pairs = ((ids[a], ids[b]) for a, b in linked([sets[i] for i in ids], every, percent))
-            found += [(a, b) for a, b in pairs if not (every and across and block[a] == block[b])]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    texts = docs.join(members.hint("merge"), "doc_id").select("lot", "i", "j", "group", "own", "doc_id", "text")
-    return texts.groupBy("lot", "i", "j").applyInArrow(search, "a long, b long")
+            found += [(a, b) for a, b in pairs if not (across and block[a] == block[b])]
+        return pair_table(found)
+
+    one = F.lit(0)
+    if every:  # all pairs of blocks, as all links between them are wanted
+        others = F.when(F.col("blocks") > 1, F.sequence(one, F.col("blocks") - 1)).otherwise(F.array(one))
+        dealt = members.select("vid", "hi", "lo", "doc_id", "h", "group", "own", F.explode(others).alias("other"), lot_of(lots).alias("lot"))
+        dealt = dealt.select("vid", "hi", "lo", "doc_id", "h", "group", "own", "lot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        return with_texts(dealt).groupBy("lot", "i", "j").applyInArrow(search, LINKS)
+
+    # The pivot of a split group goes to all of its blocks.
+    everywhere = F.when((F.col("blocks") > 1) & (F.col("vid") == F.col("pivot")), F.sequence(one, F.col("blocks") - 1)).otherwise(F.array("own"))
+    dealt = members.select("vid", "hi", "lo", "doc_id", "h", "group", F.explode(everywhere).alias("own"), lot_of(lots).alias("lot"))
+    dealt = dealt.withColumns({"i": F.col("own"), "j": F.col("own")})
+    inside = written(with_texts(dealt).groupBy("lot", "i", "j").applyInArrow(search, LINKS), "jaccard-inside")
+    split = members.where("blocks > 1")
+    if split.isEmpty():
+        return inside
+    # Sets of split groups that are not joined to their pivot yet are searched for in all blocks.
+    so_far = components(inside, "jaccard-blocks")
+    split = split.join(so_far.select(F.col("node").alias("vid"), "component"), "vid", "left").join(so_far.select(F.col("node").alias("pivot"), F.col("component").alias("main")), "pivot", "left")
+    apart = ~F.coalesce("component", "vid").eqNullSafe(F.coalesce("main", "pivot"))
+    split = written(split.withColumn("apart", apart), "jaccard-split")
+    loads = split.where("apart").groupBy("group").agg(F.ceil(F.sum("n") / GROUP_ELEMENTS).cast("int").alias("loads"))
+    probes = split.where("apart").join(loads, "group").withColumns({"load": F.pmod(F.xxhash64("vid"), F.col("loads")).cast("int"), "block": F.explode(F.sequence(one, F.col("blocks") - 1))})
+    held = split.join(loads, "group").withColumns({"load": F.explode(F.sequence(one, F.col("loads") - 1)), "block": F.col("own")})
+    columns = ["vid", "hi", "lo", "doc_id", "h", "group", "load", "block"]
+    dealt = probes.select(*columns, F.lit(True).alias("asks")).unionByName(held.select(*columns, F.lit(False).alias("asks")))
+
+    def ask(part: pa.Table) -> pa.Table:
+        sets, part = sets_of(part)
+        asks, held = (list(dict.fromkeys(part.filter(pc.equal(part.column("asks"), x)).column("vid").to_pylist())) for x in (True, False))
+        return pair_table(linked_between(sets, asks, held, percent))
+
+    return inside.unionByName(with_texts(dealt).groupBy("group", "load", "block").applyInArrow(ask, LINKS))
+
+
+def linked_between(sets: dict[int, np.ndarray], asks: list[int], held: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links of the sets ``asks`` with those of ``held``, without those that join what is joined already."""
+    if not asks or not held:
+        return []
+    ranks = ranked([sets[v] for v in (*asks, *held)])
+    trie = Trie(dict(zip(held, ranks[len(asks) :])))
+    marks = np.zeros(max(int(r[-1]) for r in ranks) + 1, dtype=bool)
+    (above, top), found = union_find(), []
+    for vid, probe in zip(asks, ranks):
+        for near in trie.search(probe, marks, percent).tolist():
+            a, b = top(vid), top(near)
+            if a != b:
+                above[a] = b
+                found.append((vid, near))
+    return found
+
+
+def lot_of(lots: int) -> Column:
+    return F.when(F.col("blocks") > 1, F.col("group")).otherwise(F.pmod("group", F.lit(lots)))
+
+
+def with_hash(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+
+
+def classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(the rows as :func:`measured` gives them; per distinct set: hi, lo, doc_id, h, rows, vid, component, the smallest vid that links reach)."""
+    sized, nodes = measured(docs, width)
+    joined = components(found_links(docs, nodes, False, width, percent), "jaccard-links").select(F.col("node").alias("vid"), "component")
+    return sized, nodes.join(joined, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
 
 
 def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -284,25 +411,44 @@ def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFra
     Sets are of shingles of ``width`` words; links share ``percent`` hundredths of their union.
 
     A null or empty text, or one without words, has an empty set and is a component of its own. Rows with the
-    same text are one component; a null id takes no part in a minimum unless there is no other.
+    same text are one component; a null id takes no part in a minimum unless there is no other. Rows that share
+    an id and have different texts are different documents. Other columns are ignored; no rows give none.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sized, nodes = measured(docs, width)
-    joined = components(found_links(docs, nodes, False, width, percent), "jaccard-links").select(F.col("node").alias("first_id"), "component")
-    classes = nodes.select("node", F.col("doc_id").alias("first_id")).join(joined, "first_id", "left").select("node", F.coalesce("component", "first_id").alias("component"))
-    out = sized.join(classes, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    docs = with_hash(docs)
+    sized, sets = classes(docs, width, percent)
+    sets = written(sets, "jaccard-classes")
+    number = sets.agg(F.count("*"), F.sum("rows")).first()
+    weights = sets.groupBy("component").agg(F.count("*").alias("w"))
+    roots = weights.join(sets.where("vid = component").select("component", F.col("doc_id").alias("component_id")), "component")
+    named = spread_join(sets.select("hi", "lo", "rows", "component"), roots, ["component"], "w", number[0]).select("hi", "lo", "rows", "component_id")
+    full, empty = sized.where("n_shingles > 0"), sized.where("n_shingles = 0")
+    out = spread_join(full.select("doc_id", "n_shingles", "hi", "lo"), named, ["hi", "lo"], "rows", number[1] or 0)
+    return out.select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def first_of_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, same columns, of which each group of similar texts has one: one with its smallest id.
+
+    Texts without words are in no group and all stay. Groups are those of :func:`join`; rows without an id are
+    kept only where no row of their group has one.
+    """
+    _, sets = classes(with_hash(docs), width, percent)
+    keys = sets.where("vid = component").select("doc_id", "h")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    has_words = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    kept = rows.where(has_words).alias("r").join(keys.hint("merge").alias("k"), F.col("r.id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.h") == F.col("k.h")), "left_semi")
+    kept = kept.dropDuplicates(["id", "h"])
+    return kept.select("row.*").unionByName(rows.where(~has_words).select("row.*"))
 
 
 def pairs(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(a, b: all links between different sets, by the smallest doc_id of each; doc_id, first_id: which set a row has).
+    """(a, b: all links between different sets; vid, doc_id: which set a row has).
 
-    Copies are not expanded: rows with one first_id have equal sets. Empty sets are in neither, nor are sets
-    that only rows without an id have. A dense group of n different sets has up to n * (n - 1) / 2 links;
-    :func:`join` does not need them.
+    Copies are not expanded: rows with one vid have equal sets. Empty sets are in neither. A dense group of n
+    different sets has up to n * (n - 1) / 2 links; :func:`join` does not need them.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = with_hash(docs)
     sized, nodes = measured(docs, width)
-    held = sized.where("doc_id is not null").join(nodes.select("node", F.col("doc_id").alias("first_id")), "node").select("doc_id", "first_id")
+    held = spread_join(sized.where("n_shingles > 0").select("doc_id", "hi", "lo"), nodes.select("hi", "lo", "vid", "rows"), ["hi", "lo"], "rows", nodes.agg(F.sum("rows")).first()[0] or 0)
     links = found_links(docs, nodes, True, width, percent)
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), held
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), held.select("vid", "doc_id")

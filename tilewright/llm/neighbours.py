@@ -42,20 +42,29 @@ def signs(tables: int, rotations: int, width: int, seed: int) -> np.ndarray:
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of the rows of ``x`` (a power of two wide), without scaling."""
-    n, width = x.shape
+    """Walsh-Hadamard transform of the columns of ``x`` (a power of two long), without scaling; ``x`` is overwritten."""
+    width, n = x.shape
     step = 1
     while step < width:
-        x = x.reshape(n, width // (2 * step), 2, step)
-        x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), axis=2).reshape(n, width)
+        halves = x.reshape(width // (2 * step), 2, step, n)
+        low, high = halves[:, 0], halves[:, 1]
+        low += high  # a + b
+        high *= -2
+        high += low  # a - b
         step *= 2
     return x
 
 
 def rotated(vectors: np.ndarray, rounds: np.ndarray) -> np.ndarray:
-    for flips in rounds:
-        vectors = hadamard(vectors * flips)
-    return vectors
+    """Rows rotated, some at a time so that they stay in the processor's cache. Single precision: only nearness to axes is read from it."""
+    out = np.empty(vectors.shape, dtype=np.float32)
+    for i in range(0, len(vectors), 512):
+        part = np.ascontiguousarray(vectors[i : i + 512].T, dtype=np.float32)
+        for flips in rounds:
+            part *= flips.astype(np.float32)[:, None]
+            part = hadamard(part)
+        out[i : i + 512] = part.T
+    return out
 
 
 def splits(n: int, width: int, cell_rows: int) -> list[int]:

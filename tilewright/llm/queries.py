@@ -140,12 +140,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every text without the 400-byte strings that begin elsewhere too."""
+    """What is left of every text without the 400-byte strings that begin elsewhere too, and how many passages others share."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            for text, starts, ends in zip(batch.column(1), batch.column(2), batch.column(3)):
+            out = [[], [], [], [], []]
+            for text, starts, ends, shared in zip(*batch.columns[1:5]):
                 data, left = as_bytes(text.as_py()), hashlib.sha256()
                 at = removed = 0
                 starts, ends = starts.as_py() or [], ends.as_py() or []
@@ -153,11 +153,13 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                     left.update(data[at:start])
                     at, removed = end, removed + end - start
                 left.update(data[at:])
-                for values, value in zip(out, (len(data), removed, len(starts), left.hexdigest())):
+                for values, value in zip(out, (len(data), removed, len(starts), left.hexdigest(), len(shared.as_py() or []))):
                     values.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"])
 
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "starts", "ends", "shared_starts")
+    return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

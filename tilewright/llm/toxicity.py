@@ -162,7 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "label", most: int = SA
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], name: str = "score") -> DataFrame:
-    """``docs`` with the score in a new last column. Null and empty texts get the score of a text without terms."""
+    """``docs`` with the score in a new last column, in place of one of that name if there is any.
+
+    Null and empty texts get the score of a text without terms; repeated rows are scored each.
+    """
+    docs = docs.drop(name)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 2**BITS * (RANK + 1) numbers at most
     from pyspark.sql.types import DoubleType, StructField, StructType
