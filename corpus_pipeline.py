@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import jaccard, mixing, packing, pii, queries, toxicity
-from tilewright.llm.common import written
+from tilewright.llm.common import free_name, written
 
 TOXIC = 0.5
 #: Near duplicates share so many hundredths of their shingles of so many words.
@@ -14,35 +14,45 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half, with a model of the labelled ones. Null and empty texts stay."""
+    """Documents that score below one half, with a model of the labelled ones. Null and empty texts stay.
+
+    Repeated rows and rows without an id are scored each. Other columns, whatever their names, are kept.
+    """
     model = toxicity.fit(docs.select(F.col("doc_id").cast("long"), "text"), queries.toxic_labels(spark, sf_dir))
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    name = free_name("toxicity", docs.columns)
+    return toxicity.score(docs, model, name).where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones, similar by their sets of 5-word shingles,
+    """One document of each group of similar ones, with the smallest id; similar by their sets of 5-word shingles,
     which share eight tenths.
 
-    Texts without words are in no group and stay, as do rows without an id. Of rows that share an id one stays.
+    Texts without words are in no group and all stay. Rows that share an id and have different texts are different
+    documents; of equal ones one stays. Rows without an id stay where no row of their group has one, one of each
+    group. Other columns, whatever their names, are kept.
     """
-    first = jaccard.join(docs, NEAR_WORDS, NEAR_PERCENT).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    return jaccard.first_of_groups(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its personal data replaced by the names of their kinds."""
+    """Every document, with its personal data replaced by the names of their kinds.
+
+    Null and empty texts stay as they are, repeated rows each stay. Other columns, whatever their names, are kept.
+    """
     out = pii.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them, in its order.
+
+    Texts without words stay once, a null source is one of its own. Other columns, whatever their names, are kept.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences. Null and empty texts have their closing id; other columns are left."""
     return packing.pack(docs, queries.tokenizer_path())
 
 
