@@ -137,6 +137,23 @@ def test_groups_of_nested_repeats_are_whole(spark, hot):
             assert any(one[i : i + 400] in other for other in got)
 
 
+def test_cores_that_two_anchors_have_are_one_place(spark):
+    """Near copies that differ every 380 bytes share cores and no window; anchors are everywhere in them."""
+    rng = random.Random(12)
+    docs = []
+    for seed in range(6):
+        base = "".join(random.Random(seed).choice("abcdefgh") for _ in range(3000))
+        for copy in range(3):
+            letters = list(base)
+            for at in range(rng.randrange(40), len(base), 380):
+                letters[at] = "XYZ"[copy]
+            docs.append("".join(letters))
+    docs.append(docs[0][100:520])
+    rows = R.remove_repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), 1).collect()
+    got = {r.doc_id: list(zip(r.starts or [], r.ends or [])) for r in rows}
+    assert [got[i] for i in range(len(docs))] == brute([t.encode() for t in docs])
+
+
 def test_shared_passages_below_the_length_are_told(spark):
     rng = random.Random(11)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))

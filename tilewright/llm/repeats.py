@@ -225,9 +225,10 @@ class Group:
                 right = min(depth, *(int(self.right[x]) for x in part))
                 if left + right >= LENGTH and int(self.prefix[min(part) : max(part)].min()) == depth:
                     text = (np.concatenate((self.before[part[0], :left][::-1], self.after[part[0], :right])) - np.uint16(1)).astype(np.uint8)
-                    if own_anchor(text, left + int(self.off[part[0]])):
+                    places = {(int(self.key[x]), int(self.place[x]) - left) for x in part}
+                    if len(places) > 1 and any(own_anchor(text, left + off) for off in set(self.off[part].tolist())):
                         group = np.uint64(xxhash.xxh3_64_intdigest(text.tobytes())).view(np.int64)
-                        self.groups += [(int(group), int(self.key[x]), int(self.place[x]) - left, left + right) for x in part]
+                        self.groups += [(int(group), key, start, left + right) for key, start in places]
             if not stack or stack[-1][0] < now:
                 stack.append((now, first))
 
@@ -284,7 +285,10 @@ def found_repeats(docs: DataFrame, hot_places: int, grouped: bool) -> DataFrame:
             hit = among(codes, "codes", level)
             hot = among(codes, "hot", level) if level + 1 < len(held) or upto == len(held) else np.zeros(len(codes), dtype=bool)
             out.append(tuple(x[hit & ~hot] for x in (which, codes, places, own, first, last)))
+            # Two anchors of a text may have a run in common.
             runs = [(k, *run, p) for k, p, f, l in zip(*(x[hot].tolist() for x in (which, own, first, last))) for run in cores(texts[k], f, l, STEPS[level])]
+            if not grouped:
+                runs = list({run[:4]: run for run in runs}.values())
             if not runs:
                 break
             codes = np.array([r[1] for r in runs], dtype=np.uint64)
