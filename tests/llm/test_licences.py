@@ -10,7 +10,7 @@ def made():
     docs, want = [], {}
     for i, text in enumerate(plain):
         if i % 4 == 0:
-            family = rng.choice(list(L.NOTICES))
+            family = rng.choice([f for f in L.NOTICES if f != L.UNKNOWN])
             notice = rng.choice(L.NOTICES[family]).split()
             if len(notice) > 12:
                 notice = notice[rng.randrange(3) :]
@@ -44,3 +44,33 @@ def test_odd_rows(spark):
     assert sorted((str(r.doc_id), r.paragraph, r.family) for r in hits) == [("3", 0, "mit"), ("3", 0, "mit"), ("None", 2, "cc-by-nc")]
     empty = df.where("doc_id > 9")
     assert L.scan(empty, L.train(empty)).count() == 0
+
+
+def test_licences_of_families_that_are_not_learned_are_unknown(spark):
+    df = spark.createDataFrame(made()[0], "doc_id long, text string")
+    # The cue words keep sampled notices of such licences out of ordinary text.
+    unlearned = [
+        "This software is governed by the CeCILL license under French law and abiding by the rules of distribution of free software.",
+        "This file is made available under the terms of the Common Public License 1.0 which accompanies this distribution.",
+        "SPDX-License-Identifier: Ms-PL",
+        "Licensed under the Academic Free License version 3.0.",
+    ]
+    docs = df.unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(unlearned)], "doc_id long, text string"))
+    hits = {r.doc_id: r for r in L.scan(docs.where("doc_id >= 1000"), L.train(docs)).collect()}
+    assert len(hits) >= 3 and not any(r.confirmed for r in hits.values())
+    assert sum(r.family == L.UNKNOWN for r in hits.values()) >= len(hits) - 1
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    df = spark.createDataFrame(made()[0], "doc_id long, text string")
+    header = "# Permission is hereby granted, free of charge, to any person obtaining\n# a copy of this software and associated documentation files (the\n# \"Software\"), to deal in the Software without restriction, including\n# without limitation the rights to use, copy, modify, merge, publish,\n# distribute, sublicense, and/or sell copies of the Software."
+    text = "First line.\n\n" + header + "\nword1 word2 word3."
+    (hit,) = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), L.train(df)).collect()
+    assert (hit.family, hit.confirmed, hit.paragraph, hit.text) == ("mit", True, 2, header) and text[hit.start : hit.end] == header
+
+
+def test_the_sample_is_of_whole_texts():
+    text = "a.\nb c\nd\n\n  \ne?\nf"
+    got = [[x for _, _, x in lines] for lines in L.paragraphs(text)]
+    assert got == [["a."], ["b c", "d"], ["e?"], ["f"]]
+    assert all(text[s : s + len(x)] == x for lines in L.paragraphs(text) for _, s, x in lines)

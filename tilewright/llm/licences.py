@@ -1,11 +1,12 @@
 """Licence notices by a trained paragraph classifier.
 
-Paragraphs (lines of a text) become sparse counts of word 1- to 3-grams that occur in licence notices. A
-multinomial logistic regression tells the licence families and ordinary text apart; it is trained on the
-notices below, cut and blurred in many ways, against a bounded sample of paragraphs of the corpus. A
-temperature that is fitted on held-out examples calibrates its probabilities: a paragraph that is no ordinary
-text, but where no family reaches ``SURE``, is of the family "unknown". What is predicted is then compared with
-the family's notices, and counts as confirmed where the shared 2-grams are enough.
+Paragraphs of a text (lines, those joined that go on in the next one) become sparse counts of word 1- to 3-grams
+that occur in licence notices. A multinomial logistic regression tells the licence families, other licences and
+ordinary text apart; it is trained on the notices below, cut and blurred in many ways, against a bounded sample of
+paragraphs of the corpus. Other licences are a class of their own, "unknown", learned from notices of families
+that are not told apart. A temperature that is fitted on held-out examples calibrates the probabilities: a
+paragraph that is no ordinary text, but where no family reaches ``SURE``, is "unknown" too. What is predicted is
+then compared with the family's notices, and counts as confirmed where the shared 2-grams are enough.
 """
 
 from __future__ import annotations
@@ -20,63 +21,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Common notices of the licence families, shortened.
+UNKNOWN = "unknown"
+# Paragraphs of the licences and of the notices that name them, by family (SPDX identifiers in the comments).
 NOTICES = {
-    "mit": [
+    "mit": [  # MIT
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-        "SPDX-License-Identifier: MIT",
         "This project is licensed under the terms of the MIT license.",
+        "SPDX-License-Identifier: MIT",
     ],
-    "apache": [
+    "apache": [  # Apache-2.0
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "SPDX-License-Identifier: Apache-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
     ],
-    "gpl": [
+    "gpl": [  # GPL-2.0-or-later, GPL-3.0-or-later
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
-        "You should have received a copy of the GNU General Public License along with this program.",
     ],
-    "lgpl": [
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl": [  # LGPL-2.1-or-later, LGPL-3.0-or-later
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
-    "agpl": [
+    "agpl": [  # AGPL-3.0-or-later
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+    "bsd": [  # BSD-2-Clause, BSD-3-Clause
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
-    "mpl": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl": [  # MPL-2.0
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
-    "cc-by": [
+    "cc-by": [  # CC-BY-4.0
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ],
-    "cc-by-sa": [
+    "cc-by-sa": [  # CC-BY-SA-4.0
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
     ],
-    "cc-by-nc": [
+    "cc-by-nc": [  # CC-BY-NC-4.0
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
     ],
-    "cc0": [
-        "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain worldwide under CC0 1.0.",
+    "cc0": [  # CC0-1.0
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0.",
         "Licensed under CC0 1.0 Universal Public Domain Dedication.",
     ],
-    "isc": [
+    "isc": [  # ISC
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "SPDX-License-Identifier: ISC",
     ],
@@ -85,9 +96,24 @@ NOTICES = {
         "All rights reserved.",
         "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ],
+    UNKNOWN: [  # EPL-2.0, CDDL-1.0, EUPL-1.2, BSL-1.0, OFL-1.1, Artistic-2.0, Zlib, Unlicense
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+        "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+        "Licensed under the EUPL, Version 1.2 or later.",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "This package is distributed under the terms of the Artistic License 2.0.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: EPL-2.0",
+        "SPDX-License-Identifier: Zlib",
+    ],
 }
 FAMILIES = ["none", *NOTICES]
-UNKNOWN = "unknown"
+#: A sampled paragraph with one of these words is left out of ordinary text: it may be a notice that is not known.
+CUES = {"license", "licence", "licensed", "licences", "licenses", "copyright", "spdx", "warranty", "sublicense", "redistribute", "redistributions", "redistribution"}
+#: Where a line does not end a sentence the next one goes on with it; marks of comments before a line are no words.
+ENDS = tuple(".!?:")
 WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Paragraphs of the corpus that training sees, at most.
 SAMPLE = 4000
@@ -131,7 +157,7 @@ def examples(plain: list[str], seed: int = 5) -> tuple[list[list[str]], list[int
     known = [pairs(words(n)) for ns in NOTICES.values() for n in ns]
     for t in ordinary:
         have = pairs(t)
-        if all(len(have & k) <= 0.4 * len(k) for k in known):  # a sampled notice is no ordinary text
+        if CUES.isdisjoint(t) and all(len(have & k) <= 0.4 * len(k) for k in known):  # a sampled notice is no ordinary text
             tokens.append(t)
             classes.append(0)
     return tokens, classes
@@ -192,12 +218,61 @@ def likeness(tokens: list[str], family: str) -> float:
     return best
 
 
+def paragraphs(text: str | None) -> Iterator[list[tuple[int, int, str]]]:
+    """The paragraphs of a text, as their lines: (number, start, line) each. Lines are joined with those that they go on in."""
+    at, held = 0, []
+    for k, line in enumerate((text or "").split("\n")):
+        if line.strip():
+            held.append((k, at, line))
+        if held and (not line.strip() or line.rstrip().endswith(ENDS)):
+            yield held
+            held = []
+        at += len(line) + 1
+    if held:
+        yield held
+
+
+class Classifier:
+    """Applies what :func:`fit` has learned."""
+
+    def __init__(self, model: dict):
+        self.vocabulary, self.weights, self.matters, self.temperature = model["vocabulary"], model["weights"], model["words"], model["temperature"]
+
+    def of(self, lines: list[tuple[int, int, str]]) -> tuple | None:
+        """(number, start, end, family, probability, likeness, confirmed, text) of lines that are a notice together, or None."""
+        line = "\n".join(x for _, _, x in lines)
+        tokens = words(line)
+        if not tokens or self.matters is not None and self.matters.isdisjoint(tokens):
+            return None
+        held = [i for i in map(self.vocabulary.get, grams(tokens)) if i is not None]
+        if not held:
+            return None
+        p = softmax(((self.weights[held].sum(axis=0) + self.weights[-1]) / self.temperature)[None])[0]
+        if p[0] >= SURE:
+            return None
+        best = int(p[1:].argmax()) + 1
+        family = FAMILIES[best] if p[best] >= SURE else UNKNOWN
+        alike = likeness(tokens, family)
+        return lines[0][0], lines[0][1], lines[-1][1] + len(lines[-1][2]), family, float(p[best]), alike, family != UNKNOWN and alike >= ALIKE, line
+
+    def notices(self, text: str | None) -> Iterator[tuple]:
+        """Paragraphs that are confirmed notices; of others the lines that are, and if none is, the whole again."""
+        for lines in paragraphs(text):
+            whole = self.of(lines)
+            if len(lines) == 1 or whole and whole[6]:
+                parts = [whole]
+            else:
+                parts = [x for line in lines if (x := self.of([line]))] or [whole]
+            yield from (x for x in parts if x)
+
+
 def train(docs: DataFrame) -> dict:
-    """The model, from the notices and a bounded sample of the paragraphs of ``docs``, fitted in one task."""
-    paragraph = F.explode(F.slice(F.split("text", "\n"), 1, 3))
-    parts = max(1, docs.count() // (SAMPLE // 2))
-    chosen = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)).select(paragraph.alias("p")).where("p <> ''")
-    chosen = chosen.orderBy(F.xxhash64("p"), "p").limit(SAMPLE)
+    """The model, from the notices and at most ``SAMPLE`` paragraphs of ``docs``, fitted in one task.
+
+    The paragraphs are lines with the smallest hashes among all lines of all texts.
+    """
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("p")).where("trim(p) <> ''")
+    chosen = lines.orderBy(F.xxhash64("p"), "p").limit(SAMPLE)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fit([x for batch in batches for x in batch.column(0).to_pylist()])
@@ -210,34 +285,16 @@ HITS = "paragraph int, start long, end long, family string, probability double,
 
 
 def scan(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and ``HITS``: one row per paragraph that the model takes for a licence notice.
+    """doc_id and ``HITS``: one row per paragraph, or line of one, that the model takes for a licence notice.
 
-    ``start`` and ``end`` are code points. Null and empty texts have no paragraphs; repeated rows give their hits each.
+    ``paragraph`` is the number of its first line, ``start`` and ``end`` are code points. Null and empty texts have no paragraphs; repeated rows give their hits each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the notices
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        vocabulary, weights, matters = model["vocabulary"], model["weights"], model["words"]
+        classifier = Classifier(shared.value)
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at = 0
-                for k, line in enumerate((text.as_py() or "").split("\n")):
-                    start, at = at, at + len(line) + 1
-                    tokens = words(line)
-                    if not tokens or matters is not None and matters.isdisjoint(tokens):
-                        continue
-                    held = [i for i in map(vocabulary.get, grams(tokens)) if i is not None]
-                    if not held:
-                        continue
-                    p = softmax(((weights[held].sum(axis=0) + weights[-1]) / model["temperature"])[None])[0]
-                    if p[0] >= SURE:
-                        continue
-                    best = int(p[1:].argmax()) + 1
-                    family = FAMILIES[best] if p[best] >= SURE else UNKNOWN
-                    alike = likeness(tokens, FAMILIES[best])
-                    out.append((doc, k, start, start + len(line), family, float(p[best]), alike, family != UNKNOWN and alike >= ALIKE, line))
+            out = [(doc, *found) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) for found in classifier.notices(text.as_py())]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
             columns = zip(*out) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["doc_id", "paragraph", "start", "end", "family", "probability", "likeness", "confirmed", "text"])
