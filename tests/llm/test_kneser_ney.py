@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from tilewright.llm import kneser_ney as K
-from tilewright.llm.common import mix
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -17,50 +16,63 @@ def tokens(text):
 
 
 class Brute:
-    def __init__(self, texts):
-        self.uni, self.bi = Counter(), Counter()
+    """The textbook's model: counts of preceding words below the highest order, plain ones at the beginning of a text."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        raw = Counter()
         for t in texts:
-            s = ["begin", *tokens(t), "end"]
-            self.uni.update(s[1:])
-            self.bi.update(zip(s, s[1:]))
+            s = ("begin", *tokens(t), "end")
+            raw.update(s[i : i + k] for k in range(1, order + 1) for i in range(len(s) - k + 1))
+        self.uni = Counter({g[0]: c for g, c in raw.items() if len(g) == 1 and g != ("begin",)})
         self.n, self.v = sum(self.uni.values()), len(self.uni)
-        self.context, self.ends, self.spread = Counter(), Counter(), defaultdict(lambda: [0] * 4)
-        for (a, b), c in self.bi.items():
-            self.context[a] += c
-            self.ends[b] += 1
-            self.spread[a][min(c, 3)] += 1
-        times = lambda c: [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
-        self.d, self.low = K.discounts(times(self.bi)), K.discounts(times(self.ends))
-        self.rest = sum(self.low[min(c, 3)] for c in self.ends.values()) / len(self.bi)
-
-    def p(self, a, b):
-        low = max(self.ends[b] - self.low[min(self.ends[b], 3)], 0) / len(self.bi) + self.rest / (self.v + 1)
-        if not self.context[a]:
+        self.count = {}
+        for k in range(1, order + 1):
+            grams = [g for g in raw if len(g) == k]
+            before = Counter(g[1:] for g in raw if len(g) == k + 1)
+            self.count[k] = Counter({g: raw[g] if k == order or (g[0] == "begin" and k > 1) else before[g] for g in grams})
+        self.d = {k: K.discounts([sum(x == m for x in c.values()) for m in (1, 2, 3, 4)]) for k, c in self.count.items()}
+        self.total, self.spread = defaultdict(Counter), defaultdict(lambda: [0] * 4)
+        for k in range(2, order + 1):
+            for g, c in self.count[k].items():
+                self.total[k][g[:-1]] += c
+                self.spread[g[:-1]][min(c, 3)] += 1
+        self.pairs = len(self.count[2])
+        self.rest = sum(self.d[1][min(c, 3)] for c in self.count[1].values()) / self.pairs
+
+    def p(self, context, w):
+        if not context:
+            c = self.count[1][(w,)]
+            return max(c - self.d[1][min(c, 3)], 0) / self.pairs + self.rest / (self.v + 1)
+        k, low = len(context) + 1, self.p(context[1:], w)
+        if not self.total[k][context]:
             return low
-        c = self.bi.get((a, b), 0)
-        return (max(c - self.d[min(c, 3)], 0) + sum(self.d[k] * self.spread[a][k] for k in (1, 2, 3)) * low) / self.context[a]
+        c = self.count[k][(*context, w)]
+        return (max(c - self.d[k][min(c, 3)], 0) + sum(self.d[k][m] * self.spread[context][m] for m in (1, 2, 3)) * low) / self.total[k][context]
 
     def scores(self, text):
-        s = ["begin", *tokens(text), "end"]
+        s = ("begin", *tokens(text), "end")
         base = sum(math.log10((self.uni[w] + 0.5) / (self.n + 0.5 * (self.v + 1))) for w in s[1:])
-        return len(s) - 1, sum(self.uni[w] > 0 for w in s[1:]), base, sum(math.log10(self.p(a, b)) for a, b in zip(s, s[1:]))
+        return len(s) - 1, sum(self.uni[w] > 0 for w in s[1:]), base, sum(math.log10(self.p(s[max(0, i - self.order + 1) : i], s[i])) for i in range(1, len(s)))
 
 
-def test_scores_are_those_of_the_plain_model(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_are_those_of_the_plain_model(spark, order, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_BYTES", 40_000)
     rng = random.Random(3)
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
     texts = [" ".join(words[i : i + rng.randint(1, 60)]) for i in range(0, 4000, 40)]
-    texts += [None, "", "  \t", "Straße É ÉCOLE école A-Z a-z", "once\x1conly \x85 x", texts[0], texts[0], "long " * 30000]
+    texts += [None, "", "  \t", "Straße É ÉCOLE école A-Z a-z", "once\x1conly \x85 x", texts[0], texts[0], "long " * 30000, "one"]
     other = [*texts[:9], "never seen words here", None]
-    model = K.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    want = Brute(texts)
-    assert (model.tokens, model.vocabulary, model.pairs) == (want.n, want.v, len(want.bi))
+    model = K.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), order)
+    want = Brute(texts, order)
+    assert model.shards > 1 and (model.tokens, model.vocabulary, *model.sizes) == (want.n, want.v, *(len(want.count[k]) for k in range(2, order + 1)))
     got = {r.doc_id: r for r in K.score(spark.createDataFrame([(i, t, "x") for i, t in enumerate(other)], "doc_id long, text string, score string"), model).collect()}
     for i, t in enumerate(other):
         n, known, base, score = want.scores(t)
         assert (got[i].n_tokens, got[i].n_known) == (n, known)
         assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score == pytest.approx(score, rel=1e-9)
-    assert sum(want.p("begin", w) for w in want.uni) + want.p("begin", "unseen") == pytest.approx(1)
+    assert sum(want.p(("begin",), w) for w in want.uni) + want.p(("begin",), "unseen") == pytest.approx(1)
 
 
 def test_empty_table_and_empty_corpus(spark):
@@ -72,6 +84,20 @@ def test_empty_table_and_empty_corpus(spark):
     assert all(math.isfinite(r.score) for r in rows)
 
 
-def test_unmix_undoes_mix():
-    x = np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)
-    assert (K.unmix(mix(x)) == x).all()
+def test_stored_hashes_are_found():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**62, 5000).astype(np.uint64))
+    table, rest = K.stored(keys, 4)  # all in the first of four shards
+    assert (K.find(table, rest, keys, 4) == np.arange(len(keys))).all()
+    others = np.setdiff1d(rng.integers(0, 2**62, 5000).astype(np.uint64), keys)
+    assert (K.find(table, rest, others, 4) == -1).all()
+    assert (K.find(*K.stored(keys[:0], 4), keys, 4) == -1).all()
+
+
+def test_packed_arrays():
+    import pyarrow as pa
+
+    a, b = np.arange(1000, dtype=np.uint32) * 7, np.arange(1000, dtype=np.int64) - 5
+    blobs = pa.chunked_array([pa.array([K.packed([a, b]), K.packed([a[:0], b[:0]]), K.packed([a[:3], b[:3]])])])
+    x, y = K.unpacked(blobs, [np.uint32, np.int64])
+    assert (x == np.append(a, a[:3])).all() and (y == np.append(b, b[:3])).all()

@@ -1,17 +1,26 @@
-"""Perplexity by an interpolated modified Kneser-Ney bigram model that is counted in Spark.
+"""Perplexity by an interpolated modified Kneser-Ney n-gram model that is counted in Spark.
 
-The model is a set of sorted arrays in the shared folder, in shards by the leading bits of a 64-bit key:
+The model is a set of arrays in the shared folder, in shards by the leading bits of a 64-bit hash:
 
-* words: hashes in order, with counts, continuation counts and the numbers of successors seen once, twice and
-  more often. A word's rank over all shards is its id.
-* bigrams: scrambled pairs of ids in order, with counts.
+* words: hashes in order, with counts; a word's id is its place by frequency in its shard, times the number of
+  shards, plus the shard, so frequent words have small ids. By id: how many words it follows, and of its
+  successors how often they come in all, and how many come once, twice and more often.
+* n-grams of each order from 2: sorted hashes, stored as a table of the leading bits and 32 bits more of each,
+  with counts. Below the highest order the count is that of different words before the n-gram (for those at the
+  beginning of a text, how often they occur), and the same numbers of successors stand beside it.
+
+N-grams travel as sorted columns of ids, compressed. Counts are summed per task before they are shuffled, by a hash
+of the whole n-gram: frequent words and contexts are spread over all shards. One order gives the next lower one
+its contexts and the n-grams that lack the first word.
 
 Tasks map the shards and look up the sorted keys of a block of text shard by shard, so a task holds one block
-however large the model is. Counts are summed per task before they are shuffled, by a hash of the whole
-bigram: a frequent word is spread over all shards.
+however large the model is.
+
+    P(w|uv) = (c(uvw) - D)/c(uv.) + (D1 n1(uv) + D2 n2(uv) + D3 n3(uv))/c(uv.) * P(w|v), and so on down to
+    P(w)    = (N(.w) - D')/N(..) + rest/N(..) * 1/(V + 1)
 
-    P(w|v) = (c(vw) - D)/c(v) + (D1 n1(v) + D2 n2(v) + D3 n3(v))/c(v) * P(w)
-    P(w)   = (N(.w) - D')/N(..) + rest/N(..) * 1/(V + 1)
+Hashes of n-grams are compared on the leading bits of the shard, of the table and 32 more, 56 bits or so in a shard
+of some million; ids have 32 bits, and more words than that raise an error.
 """
 
 from __future__ import annotations
@@ -23,12 +32,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mapped
-from .common import WordHashes, gather, mix, power_of_two, scatter, shared_dir, split_words, volume, written
+from .common import WordHashes, combine, gather, mix, power_of_two, scatter, shared_dir, split_words, volume
 
+ORDER = 3
 #: Bytes of text per shard of the model.
 SHARD_BYTES = 24 << 20
 #: Tokens that a task takes together.
@@ -37,19 +48,24 @@ BLOCK_TOKENS = 500_000
 HELD = 2_500_000
 #: White space is in no word, so these two are no words of any text.
 BEGIN, END = (xxhash.xxh64_intdigest(x) for x in (b"\nbegin", b"\nend"))
+#: The id of unknown words, and of what is not there after a text that is shorter than an n-gram.
+NONE = np.uint32(0xFFFFFFFF)
+#: Hashes that share an entry of the table of leading bits, on average.
+IN_ENTRY = 4
+VALUES = ("count", "tot", "once", "twice", "more")
 
 
 @dataclass(frozen=True)
 class Model:
     folder: str
     shards: int
-    offsets: tuple[int, ...]  # of the ids of each shard of words
-    tokens: int
-    vocabulary: int
-    pairs: int = 0  # distinct bigrams
-    discounts: tuple[float, ...] = ()  # of bigrams seen 0, 1, 2, 3 times and more
-    low: tuple[float, ...] = ()  # of continuation counts
-    rest: float = 0.0  # what the discounts of the continuation counts leave, as a share
+    order: int
+    tokens: int = 0
+    vocabulary: int = 0
+    begin: int = int(NONE)  # its id
+    sizes: tuple[int, ...] = ()  # different n-grams of each order from 2
+    discounts: tuple[tuple[float, ...], ...] = ()  # of each order from 1, for counts of 0, 1, 2, 3 and more
+    rest: float = 1.0  # what the discounts of single words leave, as a share
 
     def array(self, kind: str, shard: int, name: str) -> np.ndarray:
         return mapped.load(f"{self.folder}/{kind}-{shard}.{name}.npy")
@@ -58,54 +74,130 @@ class Model:
         for name, array in arrays.items():
             mapped.save(f"{self.folder}/{kind}-{shard}.{name}.npy", array)
 
-    def shard_of(self, keys: np.ndarray) -> np.ndarray:
-        return shard_of(keys, self.shards)
-
-    def find(self, kind: str, keys: np.ndarray, names: list[str]) -> list[np.ndarray]:
-        """For sorted distinct ``keys``: place in the shard (-1: not there), the shard, and the named values (0: not there)."""
-        place = np.full(len(keys), -1, dtype=np.int64)
-        values = [np.zeros(len(keys), dtype=np.int64) for _ in names]
-        shard = self.shard_of(keys)
-        bounds = np.searchsorted(shard, np.arange(self.shards + 1))
-        for s in range(self.shards):
-            i, j = bounds[s], bounds[s + 1]
-            if i == j:
-                continue
-            held = self.array(kind, s, "key")
+    def parts(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(shard, begin, end) of the parts of sorted ``keys`` that lie in each shard."""
+        bounds = np.searchsorted(shard_of(keys, self.shards), np.arange(self.shards + 1))
+        return ((s, i, j) for s, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])) if i < j)
+
+    def words(self, hashes: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+        """Ids (``NONE``: unknown) and values (0: unknown) of words, in the order of ``hashes``."""
+        keys, back = np.unique(hashes, return_inverse=True)
+        ids, values = np.full(len(keys), NONE), [np.zeros(len(keys), dtype=np.int64) for _ in names]
+        for s, i, j in self.parts(keys):
+            held = self.array("word", s, "key")
             if not len(held):
                 continue
             at = np.searchsorted(held, keys[i:j])
             at[at == len(held)] = 0
             there = np.flatnonzero(held[at] == keys[i:j])
-            place[i + there] = at[there]
+            rank = self.array("word", s, "rank")[at[there]]
+            ids[i + there] = rank.astype(np.uint64) * np.uint64(self.shards) + np.uint64(s)
             for value, name in zip(values, names):
-                value[i + there] = self.array(kind, s, name)[at[there]]
-        return [place, shard, *values]
-
-    def ids(self, hashes: np.ndarray, names: list[str]) -> list[np.ndarray]:
-        """Ids (-1: unknown) and values of words, in the order of ``hashes``."""
-        keys, back = np.unique(hashes, return_inverse=True)
-        place, shard, *values = self.find("word", keys, names)
-        ids = np.where(place >= 0, place + np.array(self.offsets, dtype=np.int64)[shard], -1)
+                value[i + there] = self.array("word", s, name)[rank]
         return [x[back] for x in (ids, *values)]
 
+    def grams(self, order: int, keys: np.ndarray) -> list[np.ndarray]:
+        """``VALUES`` (0: not there) of sorted distinct n-gram hashes; the highest order has only its count."""
+        values = [np.zeros(len(keys), dtype=np.int64) for _ in (VALUES if order < self.order else VALUES[:1])]
+        for s, i, j in self.parts(keys):
+            place = find(self.array(f"gram{order}", s, "table"), self.array(f"gram{order}", s, "rest"), keys[i:j], self.shards)
+            there = np.flatnonzero(place >= 0)
+            if not len(there):
+                continue
+            if order == self.order:
+                values[0][i + there] = self.array(f"gram{order}", s, "count")[place[there]]
+            else:
+                rows = self.array(f"gram{order}", s, "kinds")[self.array(f"gram{order}", s, "which")[place[there]]]
+                for value, column in zip(values, rows.T):
+                    value[i + there] = column
+        return values
+
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     bits = shards.bit_length() - 1
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
 
 
-def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
-
-
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of :func:`common.mix`."""
-    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
-    x = x * np.uint64(0x319642B2D24D8EC3)
-    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-    x = x * np.uint64(0x96DE1B173F119089)
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+def split_keys(keys: np.ndarray, shards: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leading bits behind those of the shard, the 32 bits after them)."""
+    own = keys << np.uint64(shards.bit_length() - 1)
+    lead = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+    return lead, (own << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+
+
+def stored(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(table of places, 32 bits of each) of the sorted hashes of a shard."""
+    bits = min(power_of_two(len(keys) / IN_ENTRY).bit_length() - 1, 31)
+    lead, rest = split_keys(keys, shards, bits)
+    return np.searchsorted(lead, np.arange((1 << bits) + 1)).astype(np.min_scalar_type(len(keys))), rest
+
+
+def find(table: np.ndarray, rest: np.ndarray, keys: np.ndarray, shards: int) -> np.ndarray:
+    """Places of hashes in what :func:`stored` has made (-1: not there)."""
+    lead, wanted = split_keys(keys, shards, (len(table) - 1).bit_length() - 1)
+    place = np.full(len(keys), -1, dtype=np.int64)
+    at, end = table[lead].astype(np.int64), table[lead + 1].astype(np.int64)
+    left = np.flatnonzero(at < end)
+    while len(left):
+        hit = rest[at[left]] == wanted[left]
+        place[left[hit]] = at[left[hit]]
+        left = left[~hit]
+        at[left] += 1
+        left = left[at[left] < end[left]]
+    return place
+
+
+def longer(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams that go on with words; a single word's is its id."""
+    return combine(keys.astype(np.uint64), ids.astype(np.uint64))
+
+
+def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
+    keys = columns[0].astype(np.uint64)
+    for ids in columns[1:]:
+        keys = longer(keys, ids)
+    return keys
+
+
+def distinct(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of ids in order, each once, with the sums of its values."""
+    if not len(columns[0]):
+        return columns, values
+    pairs = [columns[k].astype(np.uint64) << np.uint64(32) | columns[k + 1] if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
+    order = np.lexsort(pairs[::-1]) if len(pairs) > 1 else np.argsort(pairs[0], kind="stable")
+    new = np.zeros(len(order), dtype=bool)
+    new[0] = True
+    for x in pairs:
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return [c[order[at]] for c in columns], [np.add.reduceat(v[order], at) for v in values]
+
+
+def packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of one length, bytes of one weight together, compressed."""
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return len(arrays[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpacked(blobs: pa.ChunkedArray, kinds: list[type]) -> list[np.ndarray]:
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for blob in blobs:
+        blob = blob.as_py()
+        n, planes, at = int.from_bytes(blob[:8], "little"), zstandard.ZstdDecompressor().decompress(blob[8:]), 0
+        for held, kind in zip(out, kinds):
+            size = np.dtype(kind).itemsize
+            held.append(np.frombuffer(planes, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel())
+            at += n * size
+    return [np.concatenate(held) if held else np.empty(0, dtype=kind) for held, kind in zip(out, kinds)]
+
+
+def dealt(bucket: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (bucket, blob) that hold the elements of each bucket, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    held, starts = np.unique(bucket[order], return_index=True)
+    blobs = [packed([a[order[i:j]] for a in arrays]) for i, j in zip(starts, np.append(starts[1:], len(order)))]
+    return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
 def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -147,12 +239,42 @@ def discounts(n: list[int]) -> tuple[float, ...]:
     return tuple(out)
 
 
-def train(docs: DataFrame) -> Model:
-    """A model of the texts of ``docs`` (doc_id, text). Null texts count as empty ones; no documents, no words."""
+def gram_columns(ids: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+    """The n-grams of texts whose ids lie in a row, as columns. A text shorter than one is filled up with ``NONE``."""
+    ends = np.cumsum(lengths)
+    room = np.repeat(ends, lengths) - np.arange(len(ids))
+    whole, short = np.flatnonzero(room >= order), (ends - lengths)[lengths < order]
+    columns = []
+    for k in range(order):
+        filled = np.full(len(short), NONE)
+        there = lengths[lengths < order] > k
+        filled[there] = ids[short[there] + k]
+        columns.append(np.concatenate((ids[whole + k], filled)))
+    return columns
+
+
+def lower(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """What n-grams in order give those that are a word shorter: as contexts, how often and how variously they go on; as ends, how many words precede them."""
+    real = columns[-1] != NONE
+    zero = np.zeros(len(counts), dtype=np.int64)
+    yield distinct(columns[:-1], [zero, counts, *(((counts == k if k < 3 else counts > 2) & real).astype(np.int64) for k in (1, 2, 3))])
+    yield distinct([c[real] for c in columns[1:]], [np.ones(int(real.sum()), dtype=np.int64), *(zero[real] for _ in range(4))])
+
+
+def tally(counts: np.ndarray) -> list[int]:
+    """How many there are, and how many of counts 1 to 4 and above 2."""
+    return [int((counts > 0).sum()), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 2).sum())]
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """A model of the texts of ``docs`` (doc_id, text), of n-grams of up to ``order`` (2 or more) words.
+
+    Null texts count as empty ones; no documents, no words. Repeated rows count each; other columns are ignored.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     shards = power_of_two(volume(docs)[1] / SHARD_BYTES)
-    folder = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
+    plan = Model(f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}", shards, order)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
@@ -164,72 +286,105 @@ def train(docs: DataFrame) -> Model:
                 held = (held[0][:0], held[1][:0])
         yield scatter(shard_of(held[0], shards), list(held), ["key", "count"])
 
-    plan = Model(folder, shards, (0,) * shards, 0, 0)
-
     def merge_words(key: tuple, part: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         keys, counts = summed(gather(part, "key", np.uint64), gather(part, "count", np.int64))
-        plan.save("word", shard, key=keys, count=narrow(counts))
-        begins = counts[keys == BEGIN].sum()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "size": [len(keys)], "tokens": [int(counts.sum() - begins)], "begins": [int(begins)]})
+        by_rank = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(keys), dtype=np.uint32)
+        rank[by_rank] = np.arange(len(keys))
+        if len(keys) * shards >= int(NONE):
+            raise ValueError("more words than ids of 32 bits")
+        plan.save("word", shard, key=keys, rank=rank, raw=narrow(counts[by_rank]))
+        begin = np.flatnonzero(keys == BEGIN)
+        own = [len(keys), int(counts.sum()), int(counts[begin].sum()), int(rank[begin[0]]) * shards + shard if len(begin) else -1]
+        return pa.table({"shard": pa.array([shard], pa.int32()), "own": pa.array([own], pa.list_(pa.int64()))})
 
     blobs = docs.mapInArrow(count_words, "bucket int, key binary, count binary")
-    made = {r["shard"]: r for r in blobs.groupBy("bucket").applyInArrow(merge_words, "shard int, size long, tokens long, begins long").collect()}
+    made = {r["shard"]: r["own"] for r in blobs.groupBy("bucket").applyInArrow(merge_words, "shard int, own array<long>").collect()}
     for s in range(shards):  # shards of small inputs may have no word
         if s not in made:
-            plan.save("word", s, key=np.empty(0, dtype=np.uint64), count=np.empty(0, dtype=np.uint8))
-    sizes = [made[s]["size"] if s in made else 0 for s in range(shards)]
-    offsets = tuple(int(x) for x in np.cumsum([0, *sizes])[:-1])
-    tokens = sum(r["tokens"] for r in made.values())
-    model = Model(folder, shards, offsets, tokens, sum(sizes) - any(r["begins"] for r in made.values()))
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+            plan.save("word", s, key=np.empty(0, dtype=np.uint64), **{n: np.empty(0, dtype=np.uint8) for n in ("rank", "raw", *VALUES)})
+    words, tokens, begins = (sum(r[k] for r in made.values()) for k in range(3))
+    begin = max((r[3] for r in made.values()), default=-1)
+    if begin < 0:
+        return plan
+    sizes = {s: r[0] for s, r in made.items()}
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts = [np.empty(0, dtype=np.uint32)] * order, np.empty(0, dtype=np.int64)
         for _, hashes, lengths in sequences(batches):
-            (ids,) = model.ids(hashes, [])
-            inner = np.ones(len(ids), dtype=bool)
-            inner[np.cumsum(lengths) - 1] = False  # no pair begins at an end
-            at = np.flatnonzero(inner)
-            new = summed(pair_keys(ids[at], ids[at + 1]))
-            held = summed(np.concatenate((held[0], new[0])), np.concatenate((held[1], new[1]))) if len(held[0]) else new
-            if len(held[0]) > HELD:
-                yield scatter(shard_of(held[0], shards), [held[0], held[1].astype(np.uint32)], ["key", "count"])
-                held = (held[0][:0], held[1][:0])
-        yield scatter(shard_of(held[0], shards), [held[0], held[1].astype(np.uint32)], ["key", "count"])
-
-    def merge_pairs(key: tuple, part: pa.Table) -> Iterator[pa.Table]:
-        shard = key[0].as_py()
-        keys, counts = summed(gather(part, "key", np.uint64), gather(part, "count", np.uint32))
-        model.save("pair", shard, key=keys, count=narrow(counts))
-        pairs = unmix(keys)
-        left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        # Of each word: pairs it ends, pairs it begins that were seen once, twice, more often.
-        code = np.concatenate((right * 4, left * 4 + np.minimum(counts, 3)))
-        code, n = np.unique(code, return_counts=True)
-        word_shard = np.searchsorted(np.array(model.offsets), code // 4, side="right") - 1
-        stats = scatter(word_shard, [code, n.astype(np.uint32)], ["code", "n"])
-        tally = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        out = pa.Table.from_batches([stats])
-        head = pa.table({"bucket": pa.array([-1], pa.int32()), "code": pa.array([np.array([len(keys), *tally], dtype=np.int64).tobytes()], pa.binary()), "n": pa.array([b""], pa.binary())})
-        return pa.concat_tables([out, head])
-
-    blobs = docs.mapInArrow(count_pairs, "bucket int, key binary, count binary")
-    stats = written(blobs.groupBy("bucket").applyInArrow(merge_pairs, "bucket int, code binary, n binary"), "kneser-ney-stats")
-    heads = [np.frombuffer(r["code"], dtype=np.int64) for r in stats.where("bucket < 0").collect()]
-    totals = [int(x) for x in np.sum(heads, axis=0)] if heads else [0] * 5
-
-    def merge_stats(key: tuple, part: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        code, n = gather(part, "code", np.int64) - 4 * model.offsets[shard], gather(part, "n", np.uint32)
-        table = np.bincount(code, weights=n, minlength=4 * sizes[shard]).astype(np.int64).reshape(-1, 4)
-        model.save("word", shard, ends=narrow(table[:, 0]), once=narrow(table[:, 1]), twice=narrow(table[:, 2]), more=narrow(table[:, 3]))
-        return pa.table({"shard": pa.array([shard], pa.int32()), "tally": pa.array([[int((table[:, 0] == k).sum()) for k in (1, 2, 3, 4)] + [int((table[:, 0] > 2).sum())]], pa.list_(pa.int64()))})
-
-    tallies = [r["tally"] for r in stats.where("bucket >= 0").groupBy("bucket").applyInArrow(merge_stats, "shard int, tally array<long>").collect()]
-    low = [int(x) for x in np.sum(tallies, axis=0)] if tallies else [0] * 5
-    low_d = discounts(low[:4])
-    rest = (low_d[1] * low[0] + low_d[2] * low[1] + low_d[3] * low[4]) / totals[0] if totals[0] else 1.0
-    return Model(folder, shards, offsets, tokens, model.vocabulary, totals[0], discounts(totals[1:]), low_d, rest)
+            new = gram_columns(plan.words(hashes, ())[0], lengths, order)
+            new, (n,) = distinct(new, [np.ones(len(new[0]), dtype=np.int64)])
+            held, (counts,) = distinct([np.concatenate(x) for x in zip(held, new)], [np.concatenate((counts, n))]) if len(counts) else (new, (n,))
+            if len(counts) > HELD:
+                yield dealt(shard_of(gram_keys(held), shards), [*held, counts])
+                held, counts = [np.empty(0, dtype=np.uint32)] * order, counts[:0]
+        yield dealt(shard_of(gram_keys(held), shards), [*held, counts])
+
+    def passed_on(level: int, columns: list[np.ndarray], counts: np.ndarray, numbers: list[int]) -> pa.Table:
+        """Rows for the next lower order; those of negative buckets hold the numbers of the order itself."""
+        out = [dealt(shard_of(gram_keys(c), shards) if level > 2 else (c[0] % np.uint32(shards)).astype(np.int64), [*c, *v]) for c, v in lower(columns, counts) if len(c[0])]
+        return pa.Table.from_batches([*out, numbers_row(level, numbers)])
+
+    def numbers_row(level: int, numbers: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([-level], pa.int64()), pa.array([packed([np.array(numbers, dtype=np.int64)])], pa.binary())], ["bucket", "blob"])
+
+    def merge(level: int):
+        """Sums up n-grams of an order, stores them, and gives what the next lower order needs."""
+
+        def of(key: tuple, part: pa.Table) -> pa.Table:
+            shard = key[0].as_py()
+            if shard < 0:  # numbers of a higher order
+                (numbers,) = unpacked(part.column("blob"), [np.int64])
+                return pa.Table.from_batches([numbers_row(-shard, numbers.tolist())])
+            top = level == order
+            arrays = unpacked(part.column("blob"), [np.uint32] * level + [np.int64] * (1 if top else 5))
+            if level == 1:
+                table = np.zeros((sizes[shard], 5), dtype=np.int64)
+                np.add.at(table, (arrays[0] // np.uint32(shards)).astype(np.int64), np.stack(arrays[1:], axis=1))
+                plan.save("word", shard, **{n: narrow(table[:, k]) for k, n in enumerate(VALUES)})
+                return pa.Table.from_batches([numbers_row(1, [shard, *tally(table[:, 0])])])
+            columns, values = distinct(arrays[:level], arrays[level:])
+            if not top:
+                values[0] = np.where(columns[0] == np.uint32(begin), values[1], values[0])
+            real = np.flatnonzero(columns[-1] != NONE)
+            keys = gram_keys([c[real] for c in columns])
+            by_key = np.argsort(keys)
+            table, rest = stored(keys[by_key], shards)
+            if top:
+                kept = {"count": narrow(values[0][real][by_key])}
+            else:
+                kinds, which = alike([v[real][by_key] for v in values])
+                kept = {"kinds": kinds, "which": which}
+            plan.save(f"gram{level}", shard, table=table, rest=rest, **kept)
+            return passed_on(level, columns, values[0], [shard, *tally(values[0][real])])
+
+        return of
+
+    rows = docs.mapInArrow(count_grams, "bucket long, blob binary")
+    for level in range(order, 0, -1):
+        rows = rows.groupBy("bucket").applyInArrow(merge(level), "bucket long, blob binary")
+    numbers = {level: np.empty((0, 7), dtype=np.int64) for level in range(1, order + 1)}  # per shard: itself, and its tally
+    for r in rows.collect():  # a row per shard for each order
+        own = unpacked(pa.chunked_array([pa.array([r["blob"]])]), [np.int64])[0].reshape(-1, 7)
+        numbers[-r["bucket"]] = np.concatenate((numbers[-r["bucket"]], own))
+    for level in range(2, order + 1):
+        for s in set(range(shards)) - set(numbers[level][:, 0].tolist()):  # shards of small inputs may have no n-gram
+            plan.save(f"gram{level}", s, table=np.zeros(2, dtype=np.uint8), rest=np.empty(0, dtype=np.uint32))
+    sums = {level: own[:, 1:].sum(axis=0).tolist() for level, own in numbers.items()}
+    kept = tuple(discounts(sums[level][1:5]) for level in range(1, order + 1))
+    pairs, single = sums[2][0], sums[1]
+    rest = (kept[0][1] * single[1] + kept[0][2] * single[2] + kept[0][3] * single[5]) / pairs if pairs else 1.0
+    return Model(plan.folder, shards, order, tokens - begins, words - 1, begin, tuple(sums[level][0] for level in range(2, order + 1)), kept, rest)
+
+
+def alike(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows of values, which of them each row is)."""
+    code = np.zeros(len(values[0]), dtype=np.uint64)
+    for v in values:
+        code = combine(code, v.astype(np.uint64))
+    _, first, which = np.unique(code, return_index=True, return_inverse=True)
+    return np.stack([v[first] for v in values], axis=1), which.astype(np.min_scalar_type(max(len(first), 1)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -238,37 +393,38 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null texts count as empty ones and still have their end; repeated rows are scored each, a null id stays null,
     other columns are ignored, an empty table gives no rows. Under a model of nothing all tokens are alike.
     """
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
     def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, hashes, lengths in sequences(batches):
             if not model.tokens:  # nothing learned: all words are alike
                 flat = -np.log10(model.vocabulary + 1.0) * (lengths - 1)
-                yield pa.RecordBatch.from_arrays([doc, pa.array(lengths - 1), pa.array(lengths * 0), pa.array(flat), pa.array(flat)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(lengths - 1), pa.array(lengths * 0), pa.array(flat), pa.array(flat)], names)
                 continue
-            ids, count, ends, once, twice, more = model.ids(hashes, ["count", "ends", "once", "twice", "more"])
-            stop = np.cumsum(lengths)
-            inner = np.ones(len(ids), dtype=bool)
-            inner[stop - 1] = False
-            v = np.flatnonzero(inner)
-            w = v + 1
-            base = np.log10((count[w] + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
-            d = np.array(model.low)
-            p = model.rest / (model.vocabulary + 1)
-            if model.pairs:
-                p = p + np.maximum(ends[w] - d[np.minimum(ends[w], 3)], 0) / model.pairs
-            known = (ids[v] >= 0) & (count[v] > 0)
-            keys, back = np.unique(pair_keys(np.where(ids[v] >= 0, ids[v], 0xFFFFFFFF), np.where(ids[w] >= 0, ids[w], 0xFFFFFFFF)), return_inverse=True)
-            (seen,) = model.find("pair", keys, ["count"])[2:]
-            seen = seen[back]
-            d = np.array(model.discounts)
-            high = np.maximum(seen - d[np.minimum(seen, 3)], 0)
-            left_over = d[1] * once[v] + d[2] * twice[v] + d[3] * more[v]
-            p = np.where(known, (high + left_over * p) / np.maximum(count[v], 1), p)
-            starts = np.append(0, np.cumsum(lengths - 1)[:-1])
-            add = lambda x: np.add.reduceat(x, starts)
-            yield pa.RecordBatch.from_arrays(
-                [doc, pa.array(lengths - 1), pa.array(add((count[w] > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)))],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score"],
-            )
+            starts = np.cumsum(lengths) - lengths
+            place = np.arange(len(hashes)) - np.repeat(starts, lengths)  # in its text; 0 is its begin
+            ids, raw, *values = model.words(hashes, ("raw", *VALUES))
+            base = np.log10((raw + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
+            d = np.array(model.discounts[0])
+            p = model.rest / (model.vocabulary + 1) + np.maximum(values[0] - d[np.minimum(values[0], 3)], 0) / max(model.sizes[0], 1)
+            keys = ids.astype(np.uint64)
+            for order in range(2, model.order + 1):
+                at = np.flatnonzero(place >= order - 1)
+                own = longer(keys[at - 1], ids[at])
+                sorted_keys, back = np.unique(own, return_inverse=True)
+                found = [v[back] for v in model.grams(order, sorted_keys)]
+                total, *more = (v[at - 1] for v in values[1:])  # of the context
+                d = np.array(model.discounts[order - 1])
+                high = np.maximum(found[0] - d[np.minimum(found[0], 3)], 0) + sum(d[k] * n for k, n in zip((1, 2, 3), more)) * p[at]
+                p[at] = np.where(total > 0, high / np.maximum(total, 1), p[at])
+                keys = np.zeros(len(ids), dtype=np.uint64)
+                keys[at] = own
+                values = [np.zeros(len(ids), dtype=np.int64) for _ in found]
+                for v, f in zip(values, found):
+                    v[at] = f
+            scored = place > 0
+            sums = np.cumsum(lengths - 1) - (lengths - 1)
+            add = lambda x: np.add.reduceat(x[scored], sums)
+            yield pa.RecordBatch.from_arrays([doc, pa.array(lengths - 1), pa.array(add((raw > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)))], names)
 
     return docs.select("doc_id", "text").mapInArrow(probabilities, "doc_id long, n_tokens long, n_known long, base_score double, score double")
