@@ -225,21 +225,45 @@ def centre_colour(pixels: DataFrame, by: list[str]) -> DataFrame:
     return middle.where("x = cx and y = cy").select(*by, *((F.col(c) / 255.0).alias(c) for c in "rgba"))
 
 
-def labels8(pixels: DataFrame, by: list[str], threshold: int = 128, most_rounds: int = 64) -> DataFrame:
+def labels8(pixels: DataFrame, by: list[str], threshold: int = 128) -> DataFrame:
     """by, x, y, label: 8-connected components of the pixels above ``threshold``, labelled by their smallest place.
 
-    Labels spread to neighbours and jump along pointers until none changes; a round is a join on pixel places.
+    Every pair of neighbours is an edge once; :func:`smallest_linked` follows them, in about the logarithm of the
+    longest way through a component. An image is not gathered anywhere.
     """
-    code = (F.col("y").cast("long") * 65536 + F.col("x")).alias("label")
-    with_checkpoints(pixels.sparkSession)
-    now = pixels.where(F.col("g") > threshold).select(*by, "x", "y", code)
-    steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("d")
-    for _ in range(most_rounds):
-        now = now.checkpoint()
-        spread = now.select(*by, "x", "y", "label", steps).select(*by, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), F.col("label").alias("near"))
-        best = spread.groupBy(*by, "x", "y").agg(F.min("near").alias("near"))
-        new = now.join(best, [*by, "x", "y"]).select(*by, "x", "y", "label", F.least("label", "near").alias("new")).checkpoint()
-        if not new.where("new < label").limit(1).count():
-            return new.select(*by, "x", "y", F.col("new").alias("label"))
-        now = new.select(*by, "x", "y", F.col("new").alias("label"))
-    raise RuntimeError("labels did not settle")
+    code = lambda x, y: y.cast("long") * 65536 + x
+    x, y = F.col("x"), F.col("y")
+    marked = pixels.where(F.col("g") > threshold).select(*by, "x", "y", code(x, y).alias("a"))
+    ahead = F.array(*(F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))))
+    steps = marked.select(*by, "a", F.explode(ahead).alias("to")).where("to.x between 0 and 65535").select(*by, "a", code(F.col("to.x"), F.col("to.y")).alias("b"))
+    edges = steps.join(marked.select(*by, F.col("a").alias("b")), [*by, "b"], "left_semi")
+    return marked.join(smallest_linked(edges, by), [*by, "a"], "left").select(*by, "x", "y", F.coalesce("label", "a").alias("label"))
+
+
+def smallest_linked(edges: DataFrame, by: list[str]) -> DataFrame:
+    """by, a, label: for every node of ``edges`` (by, a, b) the smallest node that it is linked with, within each ``by``.
+
+    Every node hangs its larger neighbours, then its smaller ones, on the smallest of them, until nothing changes.
+    """
+    with_checkpoints(edges.sparkSession)
+
+    def hang(e: DataFrame, larger: bool) -> DataFrame:
+        high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+        both = e.select(*by, high, low)
+        if larger:
+            both = both.unionByName(e.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        least = both.groupBy(*by, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        met = both.join(least, [*by, "a"])
+        out = met.where("b > a").select(*by, F.col("b").alias("a"), F.col("m").alias("b")) if larger else met.select(*by, F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        return out.where("a <> b").distinct()
+
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64(*by, "a", "b").cast("decimal(38,0)"))).first()
+    now = edges.where("a <> b").select(*by, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    before = state(now)
+    while before[0]:
+        now = hang(hang(now, True), False).checkpoint()
+        after = state(now)
+        if after == before:
+            break
+        before = after
+    return now.select(*by, "a", F.col("b").alias("label"))

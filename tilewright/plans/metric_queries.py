@@ -177,39 +177,32 @@ def allocations(spark, sf_dir):
     return M.allocations(V.transfers(spark, sf_dir).withColumn("delta", delta)).select("client", "event_id", F.col("current").alias("current_"), "peak")
 
 
-@query("str5_predicted_tiles", f"select distinct client, cx + dx as x, dy::bigint as y from (select client, (floor(round(x + coalesce(v0, 0.0) * 0.5 + coalesce(a0, 0.0) * 0.5 * 0.5 / 2, 3) / 64.0::double))::bigint as cx from {moving_sql('x')} where event_id % 10 = 0), range(-1, 2) a(dx), range(-1, 2) b(dy) where cx + dx >= 0 and dy >= 0")
+@query("str5_predicted_tiles", f"select distinct client, cx + dx as x, dy::bigint as y from (select client, (floor(round(x + coalesce(v0, 0.0) * 0.5 + coalesce(a0, 0.0) * 0.5 * 0.5 / 2, 3) / 64.0::double))::bigint as cx from {moving_sql('x')}), range(-1, 2) a(dx), range(-1, 2) b(dy) where cx + dx >= 0 and dy >= 0")
 def predicted_tiles(spark, sf_dir):
     """The tiles around where each client will look."""
-    return tiles_ahead(M.predicted(moving(spark, sf_dir)).where("event_id % 10 = 0"))
-
-
-@query("str5_predicted_tiles_all")
-def all_predicted_tiles(spark, sf_dir):
-    return tiles_ahead(M.predicted(moving(spark, sf_dir)))
-
-
-def tiles_ahead(ahead):
     from ..operators.tiles import rings
 
+    ahead = M.predicted(moving(spark, sf_dir))
     centre = ahead.select("client", F.floor(F.round("predicted", 3) / 64.0).alias("cx"), F.lit(0).cast("long").alias("cy"))
     return rings(centre, 1).select("client", "x", "y").distinct()
 
 
+@query("str4_prefetch", f"select * from ({SQL['str5_predicted_tiles']}) where not ((x + client) % 3 = 0 and y = 0) and (x, y) not in ((1, 1), (4, 0))")
+def prefetch(spark, sf_dir):
+    """Tiles where clients will look, by their motion, that are neither cached nor being loaded."""
+    ahead = predicted_tiles(spark, sf_dir)
+    cached = ahead.where("(x + client) % 3 = 0 and y = 0")
+    loading = spark.createDataFrame([(1, 1), (4, 0)], "x long, y long")
+    return M.wanted(ahead.join(cached, ["client", "x", "y"], "left_anti"), loading, loading, ["x", "y"]).select("client", "x", "y")
+
+
 @query("flt25_filter_plugins", "select 'brightness' as id")
 def filter_plugins(spark, sf_dir):
     return plugins.REGISTRY.catalog(spark).where("kind = 'filter'").select("id")
 
 
-@query("top2_load_queue", f"select request_id, row_number() over (order by priority desc, deadline nulls last, request_id) as place from {REQUESTS} where request_id < 500")
+@query("top2_load_queue", f"select request_id, row_number() over (order by priority desc, deadline nulls last, request_id) as place from {REQUESTS}")
 def load_queue(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("priority"), F.asc_nulls_last("deadline"), "request_id")
-    return requests(spark, sf_dir).where("request_id < 500").select("request_id", F.row_number().over(order).cast("long").alias("place"))
-
-
-@query("top2_load_queue_all")
-def whole_load_queue(spark, sf_dir):
     return M.ranked_queue(requests(spark, sf_dir)).select("request_id", "place")
 
 
@@ -223,7 +216,6 @@ def not_cached(spark, sf_dir):
 
 
 QUERIES["jn11_wanted_tiles"], SQL["jn11_wanted_tiles"] = not_cached, SQL["flt26_not_cached"]
-QUERIES["str4_prefetch"], SQL["str4_prefetch"] = not_cached, SQL["flt26_not_cached"]
 
 
 @query("jn9_merged_confidence", "select a.idx, a.kind, greatest(a.confidence, coalesce(b.confidence, a.confidence)) as confidence from (select event_id as idx, event_type as kind, floor(value)::bigint as confidence from events) a left join (select event_id - 7 as idx, floor(value)::bigint as confidence from events where event_id % 2 = 1) b on a.idx = b.idx")

@@ -73,18 +73,9 @@ def noise(spark, sf_dir):
     return P.noise(V.pixels(spark, sf_dir), BY)
 
 
-@query("jn8_neighbours", f"select vec_id, x, y, l as left_, ri as right_, u as up_, d as down_ from {LAPLACE} where vec_id < 200")
+@query("jn8_neighbours", f"select vec_id, x, y, l as left_, ri as right_, u as up_, d as down_ from {LAPLACE}")
 def neighbours(spark, sf_dir):
-    return neighbours_of(V.pixels(spark, sf_dir).where("vec_id < 200"))
-
-
-@query("jn8_neighbours_all")
-def all_neighbours(spark, sf_dir):
-    return neighbours_of(V.pixels(spark, sf_dir))
-
-
-def neighbours_of(pixels):
-    near = P.with_neighbours(pixels, BY, "g")
+    near = P.with_neighbours(V.pixels(spark, sf_dir), BY, "g")
     return near.select("vec_id", "x", "y", *(F.col(c).alias(f"{c}_") for c in ("left", "right", "up", "down")))
 
 
@@ -146,21 +137,12 @@ def pixels_in_regions(spark, sf_dir):
     return P.inside_regions(p, regions, BY).select("vec_id", "x", "y")
 
 
-@query("jn7_region_mask", "select vec_id, x, y, (y > 1 and y <= 6 and x < (6 - 1) * (y - 1) / 5.0 + 1) as inside from v_pixels where vec_id < 100")
+@query("jn7_region_mask", "select vec_id, x, y, (y > 1 and y <= 6 and x < (6 - 1) * (y - 1) / 5.0 + 1) as inside from v_pixels")
 def region_mask(spark, sf_dir):
-    return inside_triangle(V.pixels(spark, sf_dir).where("vec_id < 100"))
-
-
-@query("jn7_region_mask_all")
-def whole_region_mask(spark, sf_dir):
-    return inside_triangle(V.pixels(spark, sf_dir))
-
-
-def inside_triangle(pixels):
     """Pixels inside one triangle, by ray casting on its edges."""
     from ..operators.contours import points_inside
 
-    p = pixels.select("vec_id", "x", "y")
+    p = V.pixels(spark, sf_dir).select("vec_id", "x", "y")
     triangle = p.sparkSession.createDataFrame([(0, 0, 1.0, 1.0), (0, 1, 6.0, 6.0), (0, 2, 1.0, 6.0)], "contour_id long, seq int, x double, y double")
     code = F.col("vec_id") * 64 + F.col("y") * 8 + F.col("x")
     probes = p.select(code.alias("probe_id"), F.lit(0).cast("long").alias("contour_id"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
@@ -168,7 +150,7 @@ def inside_triangle(pixels):
     return p.withColumn("probe_id", code).join(hit, "probe_id", "left").select("vec_id", "x", "y", F.coalesce("hit", F.lit(False)).alias("inside"))
 
 
-SQL["jn7_region_mask"] = "select vec_id, x, y, ((case when (1 > y) <> (6 > y) and x < 5 * (y - 1) / 5.0 + 1 then 1 else 0 end) + (case when (6 > y) <> (1 > y) and x < 0 * (y - 6) / -5.0 + 1 then 1 else 0 end)) % 2 = 1 as inside from v_pixels where vec_id < 100"
+SQL["jn7_region_mask"] = "select vec_id, x, y, ((case when (1 > y) <> (6 > y) and x < 5 * (y - 1) / 5.0 + 1 then 1 else 0 end) + (case when (6 > y) <> (1 > y) and x < 0 * (y - 6) / -5.0 + 1 then 1 else 0 end)) % 2 = 1 as inside from v_pixels"
 
 LAYER = "(select vec_id, x, y, 255 - r as r, g, b // 2 as b, (a + 60) % 256 as a from v_rgba where (x + y) % 3 <> 0)"
 
@@ -216,13 +198,8 @@ def gaussian_kernel(spark, sf_dir):
 TAPS = "(values (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(k, w)"
 
 
-@query("win10_blur", f"with h as (select p.vec_id, p.x, p.y, (sum(t.w * q.g) // 16)::int as g from v_pixels p, {TAPS} join v_pixels q on true where q.vec_id = p.vec_id and q.y = p.y and q.x = least(greatest(p.x + t.k, 0), 7) and p.vec_id < 100 group by all) select p.vec_id, p.x, p.y, (sum(t.w * q.g) // 16)::int as g from h p, {TAPS} join h q on true where q.vec_id = p.vec_id and q.x = p.x and q.y = least(greatest(p.y + t.k, 0), 7) group by all")
+@query("win10_blur", f"with h as (select p.vec_id, p.x, p.y, (sum(t.w * q.g) // 16)::int as g from v_pixels p, {TAPS} join v_pixels q on true where q.vec_id = p.vec_id and q.y = p.y and q.x = least(greatest(p.x + t.k, 0), 7) group by all) select p.vec_id, p.x, p.y, (sum(t.w * q.g) // 16)::int as g from h p, {TAPS} join h q on true where q.vec_id = p.vec_id and q.x = p.x and q.y = least(greatest(p.y + t.k, 0), 7) group by all")
 def blur(spark, sf_dir):
-    return P.blur(V.pixels(spark, sf_dir).where("vec_id < 100"), BY, [1, 4, 6, 4, 1])
-
-
-@query("win10_blur_all")
-def whole_blur(spark, sf_dir):
     return P.blur(V.pixels(spark, sf_dir), BY, [1, 4, 6, 4, 1])
 
 
@@ -302,11 +279,6 @@ def pyramid_index(spark, sf_dir):
     return T.with_offsets(cells.withColumn("level", F.lit(0)), ["vec_id"]).select("vec_id", F.col("x").alias("tx"), F.col("y").alias("ty"), "size", F.col("offset").alias("offset_"))
 
 
-@query("gen9_components", "with recursive m as (select vec_id, x, y, y * 65536 + x as c from v_pixels where g > 140 and vec_id < 60), r as (select vec_id, c as start, c, x, y from m union select r.vec_id, r.start, m.c, m.x, m.y from r join m on m.vec_id = r.vec_id and abs(m.x - r.x) <= 1 and abs(m.y - r.y) <= 1) select vec_id, x, y, min(start)::bigint as label from r group by all")
+@query("gen9_components", "with recursive m as (select vec_id, x, y, y * 65536 + x as c from v_pixels where g > 140), r as (select vec_id, c as start, c, x, y from m union select r.vec_id, r.start, m.c, m.x, m.y from r join m on m.vec_id = r.vec_id and abs(m.x - r.x) <= 1 and abs(m.y - r.y) <= 1) select vec_id, x, y, min(start)::bigint as label from r group by all")
 def components(spark, sf_dir):
-    return P.labels8(V.pixels(spark, sf_dir).where("vec_id < 60"), BY, 140)
-
-
-@query("gen9_components_all")
-def all_components(spark, sf_dir):
     return P.labels8(V.pixels(spark, sf_dir), BY, 140)

@@ -90,51 +90,26 @@ def regions(spark, sf_dir):
     return T.regions(good_meta(spark, sf_dir), 512)
 
 
-CENTRES = "(select distinct client, (x::bigint // 64)::bigint as cx, (client % 5)::bigint as cy from v_viewports where event_id < 200)"
+CENTRES = "(select distinct client, (x::bigint // 64)::bigint as cx, (client % 5)::bigint as cy from v_viewports)"
 RINGS = f"(select client, cx, cy, greatest(abs(dx), abs(dy)) as radius, dx, dy, cx + dx as x, cy + dy as y from {CENTRES}, range(-9, 10) a(dx), range(-9, 10) b(dy) where cx + dx >= 0 and cy + dy >= 0)"
 
 
 def centres(spark, sf_dir):
-    return centres_of(V.viewports(spark, sf_dir).where("event_id < 200"))
-
-
-def all_centres(spark, sf_dir):
-    return centres_of(V.viewports(spark, sf_dir))
-
-
-def centres_of(v):
+    v = V.viewports(spark, sf_dir)
     return v.select("client", T.div(F.col("x").cast("long"), 64).alias("cx"), (F.col("client") % 5).cast("long").alias("cy")).distinct()
 
 
 @query("prj6_visible_tiles", f"select client, radius, dx, dy, x, y from {RINGS}")
 def visible(spark, sf_dir):
-    return visible_from(centres(spark, sf_dir))
-
-
-@query("prj6_visible_tiles_all")
-def all_visible(spark, sf_dir):
-    return visible_from(all_centres(spark, sf_dir))
-
-
-def visible_from(centres):
-    return T.rings(centres).select("client", F.col("radius").cast("long").alias("radius"), F.col("dx").cast("long").alias("dx"), F.col("dy").cast("long").alias("dy"), "x", "y")
+    return T.rings(centres(spark, sf_dir)).select("client", F.col("radius").cast("long").alias("radius"), F.col("dx").cast("long").alias("dx"), F.col("dy").cast("long").alias("dy"), "x", "y")
 
 
 @query("top7_spiral_order", f"select client, row_number() over (partition by client, cx order by radius, dx, dy) as place, cx, x, y from {RINGS}")
 def spiral(spark, sf_dir):
-    return spiral_from(centres(spark, sf_dir))
-
-
-@query("top7_spiral_order_all")
-def all_spirals(spark, sf_dir):
-    return spiral_from(all_centres(spark, sf_dir))
-
-
-def spiral_from(centres):
     from pyspark.sql import Window
 
     order = Window.partitionBy("client", "cx").orderBy("radius", "dx", "dy")
-    return T.rings(centres).select("client", F.row_number().over(order).cast("long").alias("place"), "cx", "x", "y")
+    return T.rings(centres(spark, sf_dir)).select("client", F.row_number().over(order).cast("long").alias("place"), "cx", "x", "y")
 
 
 @query("prj12_placement", f"select r.rect, t.level, t.x, t.y, greatest(rx - t.x * (64 << t.level), 0)::bigint as src_x, greatest(t.x * (64 << t.level) - rx, 0)::bigint as dst_x, greatest(ry - t.y * (64 << t.level), 0)::bigint as src_y, greatest(t.y * (64 << t.level) - ry, 0)::bigint as dst_y, least((64 << t.level) - greatest(rx - t.x * (64 << t.level), 0), rw - greatest(t.x * (64 << t.level) - rx, 0))::bigint as cw, least((64 << t.level) - greatest(ry - t.y * (64 << t.level), 0), rh - greatest(t.y * (64 << t.level) - ry, 0))::bigint as ch from {HIT}")
@@ -172,16 +147,12 @@ def metadata_rules(spark, sf_dir):
 
 def file_index(spark, sf_dir):
     """Index entries of files, some outside their pyramid."""
-    return all_file_index(spark, sf_dir).where("file_id % 50 < 5")
-
-
-def all_file_index(spark, sf_dir):
     g = T.grid(good_meta(spark, sf_dir), "ceil")
     return g.select("file_id", F.when((F.col("x") + F.col("y")) % 7 == 3, F.col("level") + 20).otherwise(F.col("level")).cast("int").alias("level"), (F.col("x") + F.when(F.col("y") % 11 == 5, 1000).otherwise(0)).alias("x"), "y")
 
 
 GRID = f"(select file_id, level, width, height, tile_size, max_zoom_level, x, unnest(range(0, b)) as y from (select *, unnest(range(0, a)) as x from (select *, (width + (tile_size << level) - 1) // (tile_size << level) as a, (height + (tile_size << level) - 1) // (tile_size << level) as b from (select *, unnest(range(max_zoom_level + 1))::int as level from {GOOD}))))"
-INDEX = f"(select file_id, (case when (x + y) % 7 = 3 then level + 20 else level end)::int as level, x + (case when y % 11 = 5 then 1000 else 0 end) as x, y, width, height, tile_size, max_zoom_level from {GRID} where file_id % 50 < 5)"
+INDEX = f"(select file_id, (case when (x + y) % 7 = 3 then level + 20 else level end)::int as level, x + (case when y % 11 = 5 then 1000 else 0 end) as x, y, width, height, tile_size, max_zoom_level from {GRID})"
 CODE = "case when level > max_zoom_level then 'level' when x >= (width + (tile_size << level) - 1) // (tile_size << level) then 'x' when y >= (height + (tile_size << level) - 1) // (tile_size << level) then 'y' end"
 
 
@@ -190,39 +161,18 @@ def index_rules(spark, sf_dir):
     return T.index_violations(file_index(spark, sf_dir), meta(spark, sf_dir))
 
 
-@query("flt8_index_rules_all")
-def all_index_rules(spark, sf_dir):
-    return T.index_violations(all_file_index(spark, sf_dir), meta(spark, sf_dir))
-
-
-@query("flt10_count_rule", f"with c as (select file_id, count(*) * (1 + file_id % 2) as held, count(*) as tiles from {GRID} where file_id % 50 < 5 group by file_id) select file_id, tiles::bigint as tiles, held::bigint as held from c where held > tiles")
+@query("flt10_count_rule", f"with c as (select file_id, count(*) * (1 + file_id % 2) as held, count(*) as tiles from {GRID} group by file_id) select file_id, tiles::bigint as tiles, held::bigint as held from c where held > tiles")
 def count_rule(spark, sf_dir):
-    return more_than_counted(T.grid(good_meta(spark, sf_dir), "ceil").where("file_id % 50 < 5"), meta(spark, sf_dir))
-
-
-@query("flt10_count_rule_all")
-def whole_count_rule(spark, sf_dir):
-    return more_than_counted(T.grid(good_meta(spark, sf_dir), "ceil"), meta(spark, sf_dir))
-
-
-def more_than_counted(index, meta):
+    index = T.grid(good_meta(spark, sf_dir), "ceil")
     twice = index.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("file_id") % 2)))
-    return T.count_violations(twice, meta)
+    return T.count_violations(twice, meta(spark, sf_dir))
 
 
 @query("flt12_validate", f"select file_id, count(*) as violations from (select file_id from {META} where not (version = 1 and width > 0 and height <= 65536 and tile_size <> 500 and max_zoom_level <= 20) union all select file_id from (select file_id, {CODE} as code from {INDEX}) where code is not null) group by 1")
 def validate(spark, sf_dir):
-    return violations_of(file_index(spark, sf_dir), meta(spark, sf_dir))
-
-
-@query("flt12_validate_all")
-def validate_all(spark, sf_dir):
-    return violations_of(all_file_index(spark, sf_dir), meta(spark, sf_dir))
-
-
-def violations_of(index, meta):
-    rules = meta.where(T.metadata_violation().isNotNull()).select("file_id")
-    return rules.unionAll(T.index_violations(index, meta).select("file_id")).groupBy("file_id").agg(F.count("*").alias("violations"))
+    held = meta(spark, sf_dir)
+    rules = held.where(T.metadata_violation().isNotNull()).select("file_id")
+    return rules.unionAll(T.index_violations(file_index(spark, sf_dir), held).select("file_id")).groupBy("file_id").agg(F.count("*").alias("violations"))
 
 
 @query("flt23_error_classes", "select code, code in ('tile_not_found', 'network', 'timeout') as recoverable, code in ('checksum', 'invalid_header') as security from (select unnest(['tile_not_found', 'network', 'timeout', 'checksum', 'invalid_header', 'io']) as code)")
@@ -326,16 +276,7 @@ def tile_priority(spark, sf_dir):
 
 @query("str2_viewport_tiles", f"select client, x, y, q as quality from {RINGS}, range(5) t(q) where radius <= 2")
 def viewport_tiles(spark, sf_dir):
-    return tiles_near(centres(spark, sf_dir))
-
-
-@query("str2_viewport_tiles_all")
-def all_viewport_tiles(spark, sf_dir):
-    return tiles_near(all_centres(spark, sf_dir))
-
-
-def tiles_near(centres):
-    seen = T.rings(centres, 2)
+    seen = T.rings(centres(spark, sf_dir), 2)
     return seen.select("client", "x", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("quality"))
 
 
