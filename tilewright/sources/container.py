@@ -8,6 +8,7 @@ job: damage becomes rows of violations.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -107,6 +108,13 @@ def parse_metadata(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("file_id").cast("long"), "metadata").mapInArrow(read, "file_id long, " + METADATA)
 
 
+VECTORS = "file_id long, layer_id long, name string, opacity double, blend_mode string, path_id long, fill array<double>, seq long, kind string, x double, y double"
+VECTOR_ROWS = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.string(), pa.float64(), pa.float64()]
+VECTOR_NAMES = ["file_id", "layer_id", "name", "opacity", "blend_mode", "path_id", "fill", "seq", "kind", "x", "y"]
+#: Names of path commands in a file, and here.
+COMMANDS = {"MoveTo": "move", "LineTo": "line", "QuadraticTo": "quadratic", "CubicTo": "cubic", "Close": "close"}
+
+
 def parse_vectors(parts: DataFrame) -> DataFrame:
     """file_id, layers, error: the number of layers in each vector section (raw deflate, then CBOR); empty sections have none."""
 
@@ -125,6 +133,67 @@ def parse_vectors(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("file_id").cast("long"), "vectors").mapInArrow(read, "file_id long, layers long, error string")
 
 
+def commands_of(vectors: dict) -> Iterator[tuple]:
+    """Rows of ``VECTORS`` but for the file: one per path command, those of a layer without paths with nulls."""
+    for layer_id, layer in enumerate(vectors["layers"]):
+        own = (layer_id, layer["name"], float(layer["opacity"]), tag(layer["blend_mode"]).lower())
+        if not layer["paths"]:
+            yield *own, None, None, None, None, None, None
+        for path_id, path in enumerate(layer["paths"]):
+            for seq, command in enumerate(path["commands"]):
+                name, at = (command, {}) if isinstance(command, str) else next(iter(command.items()))
+                yield *own, path_id, [float(v) for v in path["fill"] or []], seq, COMMANDS[name], at.get("x"), at.get("y")
+
+
+def parse_paths(parts: DataFrame) -> DataFrame:
+    """``VECTORS``: the path commands of the vector sections; damaged sections, which :func:`parse_vectors` tells, have none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    rows += [(file_id, *row) for row in (commands_of(codecs.from_cbor(codecs.inflate(data))) if data else ())]
+                except (ValueError, KeyError, TypeError, AttributeError, zlib.error):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(VECTOR_ROWS), VECTOR_ROWS)], VECTOR_NAMES)
+
+    return parts.select(F.col("file_id").cast("long"), "vectors").mapInArrow(read, VECTORS)
+
+
+def vector_violations(paths: DataFrame) -> DataFrame:
+    """file_id, layer_id, path_id, code: layers whose opacity is not from 0 to 1, paths that do not begin with a move, go on behind their end, or have points that are no finite numbers."""
+    layers = paths.groupBy("file_id", "layer_id").agg(F.first("opacity").alias("o")).where("not (o >= 0 and o <= 1)").select("file_id", "layer_id", F.lit(None).cast("long").alias("path_id"), F.lit("opacity").alias("code"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    per = paths.where("path_id is not null").groupBy("file_id", "layer_id", "path_id")
+    own = per.agg(F.min_by("kind", "seq").alias("first"), F.bool_or((F.col("kind") != "close") & ~(finite("x") & finite("y"))).alias("odd"), F.min(F.when(F.col("kind") == "close", F.col("seq"))).alias("closed"), F.max("seq").alias("last"))
+    code = F.when(F.col("first") != "move", "no_move").when(F.col("odd"), "coordinate").when(F.col("closed") < F.col("last"), "after_close")
+    return layers.unionByName(own.withColumn("code", code).where("code is not null").select("file_id", "layer_id", "path_id", "code"))
+
+
+def vector_section(rows: list[dict]) -> bytes:
+    """The vector section of one file from its rows of ``VECTORS``."""
+    shown = {short: name for name, short in COMMANDS.items()}
+    layers: dict[int, dict] = {}
+    box = lambda xs, ys: {"x": min(xs, default=0.0), "y": min(ys, default=0.0), "width": max(xs, default=0.0) - min(xs, default=0.0), "height": max(ys, default=0.0) - min(ys, default=0.0)}
+    for r in sorted(rows, key=lambda r: (r["layer_id"], -1 if r["path_id"] is None else r["path_id"], r["seq"] or 0)):
+        layer = layers.setdefault(r["layer_id"], {"id": r["name"], "name": r["name"], "paths": {}, "opacity": r["opacity"], "blend_mode": r["blend_mode"].capitalize()})
+        if r["path_id"] is None:
+            continue
+        path = layer["paths"].setdefault(r["path_id"], {"commands": [], "fill": r["fill"], "stroke": None, "stroke_width": 0.0, "xs": [], "ys": []})
+        path["commands"].append("Close" if r["kind"] == "close" else {shown[r["kind"]]: {"x": r["x"], "y": r["y"]}})
+        if r["kind"] != "close":
+            path["xs"].append(r["x"])
+            path["ys"].append(r["y"])
+    every = [p for layer in layers.values() for p in layer["paths"].values()]
+    whole = box([x for p in every for x in p["xs"]], [y for p in every for y in p["ys"]])
+    for layer in layers.values():
+        paths = list(layer["paths"].values())
+        layer["bounds"] = box([x for p in paths for x in p["xs"]], [y for p in paths for y in p["ys"]])
+        layer["paths"] = [{**{k: v for k, v in p.items() if k not in ("xs", "ys")}, "bounds": box(p["xs"], p["ys"])} for p in paths]
+    return codecs.deflate(codecs.to_cbor({"layers": list(layers.values()), "bounds": whole}))
+
+
 def tag(value) -> str:
     """The name of a tagged value: a text, or the only key of a map."""
     return value if isinstance(value, str) else next(iter(value))
@@ -163,42 +232,55 @@ def encode_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.select(*keys, "width", "height", "rgba").mapInArrow(write, "file_id long, level long, x long, y long, payload binary, uncompressed_size long")
 
 
-def metadata_bytes(width: int, height: int, tile_size: int, zoom: int, custom: dict[str, str], source_hash: str, tiles: int, created_at: int = 0) -> bytes:
+def metadata_bytes(width: int, height: int, tile_size: int, zoom: int, custom: dict[str, str], source_hash: str, tiles: int, created_at: int = 0, layers: int = 0) -> bytes:
     return codecs.to_cbor({
-        "version": VERSION, "width": width, "height": height, "color_space": "Srgb", "tile_size": tile_size, "max_zoom_level": zoom, "vector_regions": 0, "raster_tiles": tiles,
+        "version": VERSION, "width": width, "height": height, "color_space": "Srgb", "tile_size": tile_size, "max_zoom_level": zoom, "vector_regions": layers, "raster_tiles": tiles,
         "compression": {"vector_compression": {"Flate2": {"level": 6}}, "raster_compression": "Png"}, "segmentation": "Auto", "created_at": created_at, "source_hash": source_hash,
         "custom": custom, "encoder": {"name": "tilewright", "version": "1", "settings": {}},
     })
 
 
-def write_files(tiles: DataFrame, meta: DataFrame) -> DataFrame:
-    """file_id, content: whole files from encoded tiles and metadata (file_id, width, height, tile_size, max_zoom_level).
+def write_files(tiles: DataFrame, meta: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """file_id, content: whole files from encoded tiles, metadata (file_id, width, height, tile_size, max_zoom_level) and path commands (``VECTORS``).
 
     One file is put together in one task, as it has to be one value; payloads stand in the order of their offsets.
+    Files of metadata without tiles have an empty index.
     """
 
-    def build(part: pa.Table) -> pa.Table:
-        rows = sorted(part.to_pylist(), key=lambda r: (r["level"], r["y"], r["x"]))
-        first, index, data = rows[0], [], bytearray()
+    def build(part: pa.Table, paths: pa.Table) -> pa.Table:
+        held = part.to_pylist()
+        if not held:
+            return pa.table({"file_id": pa.array([], pa.int64()), "content": pa.array([], pa.binary())})
+        rows = sorted((r for r in held if r["payload"] is not None), key=lambda r: (r["level"], r["y"], r["x"]))
+        first, index, data = held[0], [], bytearray()
         for r in rows:
             index.append(struct.pack("<BIIQIII", r["level"], r["x"], r["y"], len(data), len(r["payload"]), r["uncompressed_size"], zlib.crc32(r["payload"])))
             data += r["payload"]
-        head = metadata_bytes(first["width"], first["height"], first["tile_size"], first["max_zoom_level"], {}, f"{zlib.crc32(data):08x}", len(rows))
-        vectors = codecs.deflate(codecs.to_cbor({"layers": [], "bounds": {"x": 0.0, "y": 0.0, "width": 0.0, "height": 0.0}}))
+        drawn = paths.to_pylist()
+        head = metadata_bytes(first["width"], first["height"], first["tile_size"], first["max_zoom_level"], {}, f"{zlib.crc32(data):08x}", len(rows), layers=len({r["layer_id"] for r in drawn}))
+        vectors = vector_section(drawn)
         packed = struct.pack("<I", len(index)) + b"".join(index)
         at_vectors = HEADER_BYTES + len(head)
         at_index = at_vectors + len(vectors)
         at_data = at_index + len(packed)
         header = bytes.fromhex(MAGIC_HEX) + struct.pack("<IIQIQIQIQQ", VERSION, HEADER_BYTES, HEADER_BYTES, len(head), at_vectors, len(vectors), at_index, len(packed), at_data, at_data + len(data))
-        return pa.table({"file_id": [first["file_id"]], "content": pa.array([header + head + vectors + packed + bytes(data)], pa.binary())})
+        return pa.table({"file_id": pa.array([first["file_id"]], pa.int64()), "content": pa.array([header + head + vectors + packed + bytes(data)], pa.binary())})
 
-    return tiles.join(meta, "file_id").groupBy("file_id").applyInArrow(build, "file_id long, content binary")
+    if vectors is None:
+        vectors = meta.sparkSession.createDataFrame([], VECTORS)
+    return meta.join(tiles, "file_id", "left").groupBy("file_id").cogroup(vectors.groupBy("file_id")).applyInArrow(build, "file_id long, content binary")
 
 
-def write_tiles(tiles: DataFrame, folder: str) -> DataFrame:
-    """Writes each tile's payload to folder/level_L/tile_X_Y.png; returns level, tiles. Tasks write side by side.
+def tile_paths(tiles: DataFrame, folder_of_file: bool = False) -> DataFrame:
+    """Adds path: level_L/tile_X_Y.png, in a folder of the file's id where there are several files."""
+    own = F.concat(F.lit("level_"), F.col("level").cast("string"), F.lit("/tile_"), F.col("x").cast("string"), F.lit("_"), F.col("y").cast("string"), F.lit(".png"))
+    return tiles.withColumn("path", F.concat(F.lit("file_"), F.col("file_id").cast("string"), F.lit("/"), own) if folder_of_file else own)
 
-    Each task may run again: a file is written whole under its final name last.
+
+def write_tiles(tiles: DataFrame, folder: str, folder_of_file: bool = False) -> DataFrame:
+    """Writes each tile's payload (file_id, level, x, y, payload) to its :func:`tile_paths` in a folder; returns level, tiles. Tasks write side by side.
+
+    A task may run again, or twice at once: a file is written whole under a name of its own first.
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +289,33 @@ def write_tiles(tiles: DataFrame, folder: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             levels = batch.column(0).to_pylist()
-            for level, x, y, payload in zip(levels, *(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                store.create_dir(f"{root}/level_{level}", recursive=True)
-                part = f"{root}/level_{level}/.tile_{x}_{y}.part"
+            for path, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                where, name = f"{root}/{path}".rsplit("/", 1)
+                store.create_dir(where, recursive=True)
+                part = f"{where}/.{name}.{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as f:
                     f.write(payload)
-                store.move(part, f"{root}/level_{level}/tile_{x}_{y}.png")
+                store.move(part, f"{where}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int64())], ["level"])
 
-    keys = [F.col(c).cast("long").alias(c) for c in ("level", "x", "y")]
-    return tiles.select(*keys, "payload").mapInArrow(put, "level long").groupBy("level").agg(F.count("*").alias("tiles"))
+    named = tile_paths(tiles, folder_of_file).select(F.col("level").cast("long"), "path", "payload")
+    return named.mapInArrow(put, "level long").groupBy("level").agg(F.count("*").alias("tiles"))
+
+
+def write_whole(files: DataFrame, folder: str, name: str = "name") -> DataFrame:
+    """Writes ``content`` under the name in a column to a folder, as :func:`write_tiles` does; returns the names."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for own, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = f"{root}/.{own}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(content.as_py())
+                store.move(part, f"{root}/{own}")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+
+    return files.select(F.col(name).alias("name"), "content").mapInArrow(put, "name string")
