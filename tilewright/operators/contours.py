@@ -76,3 +76,15 @@ def bezier(curves: DataFrame, steps: int = 8) -> DataFrame:
     quadratic = u * u * F.col("p0") + 2 * u * t * F.col("p1") + t * t * F.col("p2")
     cubic = u * u * u * F.col("p0") + 3 * u * u * t * F.col("p1") + 3 * u * t * t * F.col("p2") + t * t * t * F.col("p3")
     return rows.select("id", t.alias("t"), quadratic.alias("qx"), cubic.alias("cx"))
+
+
+def segments(control: Column, whole: Column, tolerance: float, kind: Column) -> Column:
+    """Into how many straight pieces a curve is cut: quadratic ones by how far the control point is from the middle, cubic ones by the way along the control points."""
+    least = F.when(kind == "quadratic", 8.0).otherwise(16.0)
+    return F.floor(F.greatest(least, F.when(kind == "quadratic", control).otherwise(whole) / tolerance)).cast("long")
+
+
+def transform(x: Column, y: Column, width: Column, height: Column, scale: Column) -> Column:
+    """The 4 x 4 matrix (by rows) that takes the region's pixels to device coordinates."""
+    sx, sy, zero, one = 2.0 / width, 2.0 / height, F.lit(0.0), F.lit(1.0)
+    return F.array(F.array(sx * scale, zero, zero, zero), F.array(zero, sy * scale, zero, zero), F.array(zero, zero, one, zero), F.array(-1.0 - x * sx, -1.0 - y * sy, zero, one))

@@ -166,3 +166,22 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     """Positional zip on idx: all of ``a``, with the larger confidence of both."""
     other = b.select("idx", F.col("confidence").alias("_other"))
     return a.join(other, "idx", "left").withColumn("confidence", F.greatest("confidence", F.coalesce("_other", "confidence"))).drop("_other")
+
+
+def timed(marks: DataFrame) -> DataFrame:
+    """client, name, start_us, duration_us: each end paired with the oldest start of its name that is still open, per client.
+
+    Rows (client, us, event_id, name, kind: start or end). The n-th end closes the n-th start of a name, unless it
+    comes before it: an end without an open start is dropped and closes nothing later.
+    """
+    order = Window.partitionBy("client", "name").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("kind") == "start", 1).otherwise(-1)
+    # Ends beyond the starts so far are the new lows of the running balance.
+    own = marks.withColumn("balance", F.sum(step).over(order))
+    own = own.withColumn("low", F.least(F.min("balance").over(order), F.lit(0)))
+    before = F.coalesce(F.lag("low").over(Window.partitionBy("client", "name").orderBy("us", "event_id")), F.lit(0))
+    own = own.withColumn("void", (F.col("kind") == "end") & (F.col("low") < before)).where("not void")
+    nth = Window.partitionBy("client", "name", "kind").orderBy("us", "event_id")
+    own = own.withColumn("n", F.row_number().over(nth)).select("client", "name", "kind", "us", "n")
+    starts, ends = (own.where(F.col("kind") == k).select("client", "name", "n", F.col("us").alias(f"{k}_us")) for k in ("start", "end"))
+    return starts.join(ends, ["client", "name", "n"]).select("client", "name", "start_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"))

@@ -153,3 +153,18 @@ def moved_paths(spark, sf_dir):
 def bezier(spark, sf_dir):
     b = V.supplier_boxes(spark, sf_dir).select("id", F.col("x").alias("p0"), F.col("y").alias("p1"), F.col("w").alias("p2"), F.col("h").alias("p3"))
     return C.bezier(b).select("id", "t", F.round("qx", 6).alias("qx"), F.round("cx", 6).alias("cx"))
+
+
+@query("px9_segments", "select id, kind, floor(greatest(case kind when 'quadratic' then 8.0::double else 16.0::double end, case kind when 'quadratic' then abs(y - (x + w) * 0.5::double) else abs(y - x) + abs(w - y) + abs(h - w) end / 4.0::double))::bigint as segments from v_supplier_boxes, (values ('quadratic'), ('cubic')) t(kind)")
+def segments(spark, sf_dir):
+    """Into how many pieces curves are cut, from their control points in one coordinate."""
+    b = V.supplier_boxes(spark, sf_dir).withColumn("kind", F.explode(F.array(F.lit("quadratic"), F.lit("cubic"))))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    return b.select("id", "kind", C.segments(F.abs(y - (x + w) * 0.5), F.abs(y - x) + F.abs(w - y) + F.abs(h - w), 4.0, F.col("kind")).alias("segments"))
+
+
+@query("prj10_transform", "select id, 2.0::double / w * 1.5::double as m00, 2.0::double / h * 1.5::double as m11, -1.0::double - x * (2.0::double / w) as m30, -1.0::double - y * (2.0::double / h) as m31, 1.0::double as m33 from v_part_boxes")
+def transform(spark, sf_dir):
+    """The entries of the matrix to device coordinates that are not 0."""
+    m = V.part_boxes(spark, sf_dir).select("id", C.transform(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(1.5)).alias("m"))
+    return m.select("id", *(F.col("m")[i][j].alias(f"m{i}{j}") for i, j in ((0, 0), (1, 1), (3, 0), (3, 1), (3, 3))))

@@ -196,6 +196,17 @@ def prefetch(spark, sf_dir):
     return M.wanted(ahead.join(cached, ["client", "x", "y"], "left_anti"), loading, loading, ["x", "y"]).select("client", "x", "y")
 
 
+MARKS = "(select user_id as client, event_id, epoch_us(ts) as us, event_type as name, case when event_id % 3 = 0 then 'end' else 'start' end as kind from events)"
+
+
+@query("agg25_timers", f"with recursive m as (select *, row_number() over (partition by client, name order by us, event_id) as i from {MARKS}), r as (select client, name, 0::bigint as i, []::bigint[] as open, null::bigint as start_us, null::bigint as duration_us from (select distinct client, name from m) union all select r.client, r.name, m.i, case when m.kind = 'start' then list_append(r.open, m.us) else r.open[2:] end, case when m.kind = 'end' then r.open[1] end, case when m.kind = 'end' then m.us - r.open[1] end from r join m on m.client = r.client and m.name = r.name and m.i = r.i + 1) select client, name, start_us, duration_us from r where start_us is not null")
+def timers(spark, sf_dir):
+    """Starts and ends of named timers as durations; an end closes the oldest open start of its name."""
+    e = V.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_id") % 3 == 0, "end").otherwise("start")
+    return M.timed(e.select(F.col("user_id").alias("client"), "event_id", V.micros().alias("us"), F.col("event_type").alias("name"), kind.alias("kind")))
+
+
 @query("flt25_filter_plugins", "select 'brightness' as id")
 def filter_plugins(spark, sf_dir):
     return plugins.REGISTRY.catalog(spark).where("kind = 'filter'").select("id")

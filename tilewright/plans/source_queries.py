@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import plugins
+from ..operators import encoder
 from ..operators import tiles as T
 from ..sources import container as S
+from ..sources import images
 from ..streaming import bandwidth as stream
 from . import views as V
 
@@ -49,10 +51,24 @@ def grey_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.mapInArrow(cut, "file_id long, level long, x long, y long, width int, height int, rgba binary")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of the files: of image n its first n % 3 layers; layer k has k + 1 equal boxes from (k, 1) to (k + 3, 5)."""
+    vec = V.table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id")
+    rows = vec.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("vec_id") % 3).cast("int")))).where("k < vec_id % 3").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    corner = lambda seq, kind, x, y: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    left, right, none = F.col("k"), F.col("k") + 3, F.lit(None)
+    box = F.array(corner(0, "move", left, F.lit(1)), corner(1, "line", right, F.lit(1)), corner(2, "line", right, F.lit(5)), corner(3, "line", left, F.lit(5)), corner(4, "close", none, none))
+    fill = F.array(*(F.lit(1.0) for _ in range(4)))
+    return rows.select(
+        F.col("vec_id").alias("file_id"), F.col("k").cast("long").alias("layer_id"), F.concat(F.lit("layer "), F.col("k").cast("string")).alias("name"), F.lit(0.5).alias("opacity"), F.lit("normal").alias("blend_mode"),
+        F.col("p").cast("long").alias("path_id"), fill.alias("fill"), F.explode(box).alias("c"),
+    ).select("file_id", "layer_id", "name", "opacity", "blend_mode", "path_id", "fill", "c.*")
+
+
+def files(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None) -> DataFrame:
     tiles = S.encode_tiles(grey_tiles(spark, sf_dir))
-    meta = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), F.lit(8).cast("long").alias("width"), F.lit(8).cast("long").alias("height"), F.lit(4).cast("long").alias("tile_size"), F.lit(0).alias("max_zoom_level"))
-    return S.write_files(tiles, meta)
+    meta = V.table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select(F.col("vec_id").alias("file_id"), F.lit(8).cast("long").alias("width"), F.lit(8).cast("long").alias("height"), F.lit(4).cast("long").alias("tile_size"), F.lit(0).alias("max_zoom_level"))
+    return S.write_files(tiles, meta, layers(spark, sf_dir) if vectors is None else vectors)
 
 
 def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +108,76 @@ def checked_payloads(spark, sf_dir):
     return S.payloads(S.sections(damaged(spark, sf_dir))).select("file_id", "x", "y", "sound")
 
 
-@query("src10_vector_layers", "select vec_id as file_id, 0::bigint as layers from embeddings")
+@query("src10_vector_layers", "select vec_id as file_id, (vec_id % 3)::bigint as layers from embeddings")
 def vector_layers(spark, sf_dir):
     return S.parse_vectors(S.sections(files(spark, sf_dir))).where("error is null").select("file_id", "layers")
 
 
+DRAWN = "(select vec_id, k, p from embeddings, range(2) a(k), range(2) b(p) where k < vec_id % 3 and p <= k)"
+
+
+@query("dec2_path_commands", f"select vec_id as file_id, k::bigint as layer_id, p::bigint as path_id, c.seq::bigint as seq, c.kind, (k + c.dx)::double as x, c.y::double as y from {DRAWN}, (values (0, 'move', 0, 1), (1, 'line', 3, 1), (2, 'line', 3, 5), (3, 'line', 0, 5), (4, 'close', null, null)) c(seq, kind, dx, y)")
+def path_commands(spark, sf_dir):
+    """The commands of all paths, read back from the vector sections."""
+    return S.parse_paths(S.sections(files(spark, sf_dir))).select("file_id", "layer_id", "path_id", "seq", "kind", "x", "y")
+
+
+@query("flt11_vector_rules", f"select vec_id as file_id, k::bigint as layer_id, null::bigint as path_id, 'opacity' as code from (select distinct vec_id, k from {DRAWN}) where vec_id % 5 = 1 union all select vec_id, k, p, case vec_id % 5 when 2 then 'no_move' when 3 then 'coordinate' else 'after_close' end from {DRAWN} where vec_id % 5 in (2, 3, 4)")
+def vector_rules(spark, sf_dir):
+    """Rules that layers and paths break: every fifth file is wrong in one way, others in another."""
+    n, seq = F.col("file_id") % 5, F.col("seq")
+    v = layers(spark, sf_dir)
+    v = v.withColumn("opacity", F.when(n == 1, 1.5).otherwise(F.col("opacity"))).where(~((n == 2) & (seq == 0)))
+    v = v.withColumn("x", F.when((n == 3) & (seq == 1), F.lit("NaN").cast("double")).otherwise(F.col("x")))
+    v = v.withColumn("seq", F.when((n == 4) & (F.col("kind") == "close"), 2).when((n == 4) & (seq > 1), seq + 1).otherwise(seq))
+    return S.vector_violations(S.parse_paths(S.sections(files(spark, sf_dir, v))))
+
+
+@query("flt14_input_rules", "select p_partkey, case when p_partkey % 11 = 0 then 'unreadable' when p_partkey % 4 = 0 then 'size_differs' when p_partkey % 6 = 1 then 'dimension_too_large' end as code from part")
+def input_rules(spark, sf_dir):
+    k = F.col("p_partkey")
+    width = F.when(k % 11 == 0, None).when(k % 6 == 1, 70000).otherwise(k % 3000 + 1)
+    return V.table(spark, sf_dir, "part").select("p_partkey", images.input_violation(width, F.lit(100), F.when(k % 4 == 0, width + 1).otherwise(width), F.lit(100)).alias("code"))
+
+
+@query("snk13_extracted_paths", "select vec_id as file_id, 'file_' || vec_id || '/level_0/tile_' || x || '_' || y || '.png' as path from embeddings, range(2) a(x), range(2) b(y)")
+def extracted_paths(spark, sf_dir):
+    """Where the tiles of all levels go when several files are extracted."""
+    return S.tile_paths(S.payloads(S.sections(files(spark, sf_dir))).where("sound"), True).select("file_id", "path")
+
+
+INSIDE = "(p.x >= k and p.x < k + 3 and p.y >= 1 and p.y < 5)"
+
+
+@query("rnd1_rendered_region", f"with recursive base as (select vec_id, x, y, g as v, 0 as step from v_pixels where x between 2 and 6 and y between 0 and 5), paints as (select vec_id, k, row_number() over (partition by vec_id order by k, p) as n from {DRAWN}), r as (select * from base union all select p.vec_id, p.x, p.y, case when {INSIDE} then floor(255.0::double * 0.5::double + p.v * 0.5::double)::int else p.v end, p.step + 1 from r p join paints on paints.vec_id = p.vec_id and paints.n = p.step + 1) select vec_id as file_id, x::bigint as x, y::bigint as y, arg_max(v, step)::int as r, 255 as a from r group by vec_id, x, y")
+def rendered_region(spark, sf_dir):
+    """A region of every file with its vector layers drawn over the tiles."""
+    f = files(spark, sf_dir)
+    regions = f.select("file_id", *(F.lit(v).cast("long").alias(n) for n, v in (("level", 0), ("rx", 2), ("ry", 0), ("rw", 5), ("rh", 6))))
+    return encoder.render(f, regions).select("file_id", "x", "y", "r", "a")
+
+
+@query("gen5_encoded_pyramid", "with l0 as (select vec_id, x // 4 as x, y // 4 as y, count(*) filter (a > 0) as n from v_rgba group by 1, 2, 3) select vec_id as file_id, 0::bigint as level, x::bigint as x, y::bigint as y from l0 where n > 0")
+def encoded_pyramid(spark, sf_dir):
+    """Tiles of level 0 of encoded colour images: those with a visible pixel."""
+    made = encoder.encode(colour_images(spark, sf_dir), 4, 1)
+    return S.parse_index(S.sections(made)).where("level = 0").select("file_id", "level", "x", "y")
+
+
+@query("gen6_traced_paths")
+def traced_paths(spark, sf_dir):
+    """Paths over the edges of encoded images, read back from their files."""
+    made = encoder.encode(colour_images(spark, sf_dir), 4, 1, 20, 40)
+    return S.parse_paths(S.sections(made)).groupBy("file_id").agg(F.countDistinct("path_id").alias("paths"), F.count("*").alias("commands"))
+
+
+def colour_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour images of the embeddings as rows (id, width, height, rgba)."""
+    byte = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
+    cells = V.rgba(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", F.concat(*(byte(c) for c in "rgba")).alias("h")))).alias("cells"))
+    return cells.where(F.size("cells") == 64).select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join("cells.h", "")).alias("rgba"))
+
+
 @query("prj16_tile_dimensions", "select vec_id as file_id, x, y, 4::int as width, 4::int as height from embeddings, range(2) a(x), range(2) b(y)")
 def tile_dimensions(spark, sf_dir):
     return S.decode_tiles(S.payloads(S.sections(files(spark, sf_dir)))).select("file_id", "x", "y", "width", "height")
