@@ -85,3 +85,18 @@ def test_plugin_configs_round_trip(spark, tmp_path):
     plugins.write_configs(made, f"file://{tmp_path}/configs")
     got = plugins.read_configs(spark, f"file://{tmp_path}/configs").select("id", "enabled", "priority", F.try_variant_get("settings", "$.k[1].x", "double").alias("x"))
     assert sorted(tuple(r) for r in got.collect()) == [("a", True, 3, 2.5), ("b", False, 0, None)]
+
+
+def test_plugins_are_discovered_and_configured(spark, tmp_path, monkeypatch):
+    (tmp_path / "own_plugins.py").write_text("from tilewright.functions.plugins import Identity\nclass Mine(Identity):\n    id = 'mine'\nPLUGINS = [Mine]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    registry = plugins.Registry()
+    assert registry.discover(modules=["own_plugins"]) == ["mine"] and registry.get("mine", "compression")
+    with pytest.raises(ImportError, match="not_there"):
+        registry.discover(modules=["not_there"])
+    rows = [("brightness", True, 1, '{"brightness": 10}'), ("brightness", True, 5, '{"brightness": 30}'), ("brightness", False, 9, '{"brightness": 50}'), ("other", True, 9, "{}")]
+    configs = spark.createDataFrame(rows, plugins.CONFIG).withColumn("settings", F.parse_json("settings"))
+    assert plugins.config_of(configs, plugins.Brightness()) == {"brightness": 30.0}
+    assert plugins.config_of(configs.where("id = 'x'"), plugins.Brightness()) == {"brightness": 0}
+    with pytest.raises(ValueError):
+        plugins.config_of(configs.withColumn("settings", F.parse_json(F.lit('{"brightness": 500}'))), plugins.Brightness())

@@ -1,6 +1,6 @@
 import pandas as pd
 
-from tilewright.streaming import bandwidth
+from tilewright.streaming import bandwidth, cache
 
 
 def test_state_goes_on_between_batches(spark, tmp_path):
@@ -24,3 +24,25 @@ def test_traffic_has_a_watermark(spark, tmp_path):
     pd.DataFrame({"event_id": [1], "ts": [pd.Timestamp("2024-01-01")], "user_id": [1], "value": [1.0]}).to_parquet(folder / "0.parquet", coerce_timestamps="us")
     plan = bandwidth.traffic(bandwidth.transfers(spark, str(tmp_path)))._jdf.queryExecution().analyzed().toString()
     assert "EventTimeWatermark" in plan
+
+
+def test_transfers_of_no_time_are_left_out():
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    state, when = State(), pd.Timestamp("2024-01-01")
+    frames = [pd.DataFrame({"ts": [when], "event_id": [2], "bytes": [5], "duration_us": [0]}), pd.DataFrame({"ts": [when], "event_id": [1], "bytes": [7], "duration_us": [2]})]
+    (out,) = bandwidth.smooth((1,), iter(frames), state)
+    assert state.value == (int(1_000_000 * 0.8 + 3_500_000 * 0.2), 1) and out["samples"].tolist() == [1]
+
+
+def test_the_cache_counts_what_it_holds():
+    lru = cache.Lru(10)
+    for tile, size in ((1, 4), (2, 4), (1, 4), (3, 4), (4, 11), (3, 4)):
+        lru.access(tile, size)
+    assert list(lru.held) == [3] and lru.used == 4 and (lru.hits, lru.misses, lru.evictions) == (1, 5, 3)
+    again = cache.Lru(10, *__import__("json").loads(lru.saved()[0]))
+    assert again.held == lru.held and again.used == 4 and again.contains(3)

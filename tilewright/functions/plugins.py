@@ -1,10 +1,13 @@
-"""Plugins as Python classes behind one registry: column filters and binary codecs."""
+"""Plugins as Python classes behind one registry: column filters, binary codecs, renderers, formats of extensions."""
 
 from __future__ import annotations
 
 import zlib
 from abc import ABC, abstractmethod
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from importlib import import_module
+from importlib.metadata import entry_points
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +51,27 @@ class Compression(Plugin):
     def decompress(self, data: Column) -> Column: ...
 
 
+class Renderer(Plugin):
+    kind = "renderer"
+
+    @abstractmethod
+    def render(self, files: DataFrame, regions: DataFrame, values: dict) -> DataFrame:
+        """file_id, x, y, r, g, b, a of regions of files."""
+
+
+class Format(Plugin):
+    """An extension of the metadata: JSON under the key ``extension.<id>``."""
+
+    kind = "format"
+
+    @abstractmethod
+    def parse(self, text: Column) -> Column:
+        """The extension's value from its JSON."""
+
+    @abstractmethod
+    def serialize(self, value: Column) -> Column: ...
+
+
 @dataclass
 class Registry:
     plugins: dict[str, Plugin] = field(default_factory=dict)
@@ -67,6 +91,24 @@ class Registry:
         plugin = self.get(name, "filter")
         return plugin.apply(pixels, plugin.values(given))
 
+    def discover(self, group: str = "tilewright.plugins", modules: Iterable[str] = ()) -> list[str]:
+        """Registers the plugins of installed packages (entry points of ``group``) and of modules; returns the ids.
+
+        An entry point names a plugin class, a module holds them under ``PLUGINS``. Only Python code is loaded. What
+        cannot be loaded is an error that names it.
+        """
+        found = [(e.name, e.load) for e in entry_points(group=group)]
+        found += [(name, lambda name=name: list(import_module(name).PLUGINS)) for name in modules]
+        ids = []
+        for name, load in found:
+            try:
+                made = load()
+                classes = made if isinstance(made, list) else [made]
+                ids += [self.register(c()).id for c in classes]
+            except Exception as e:
+                raise ImportError(f"plugin {name}: {e}") from e
+        return ids
+
     def catalog(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(p.id, p.kind, p.version) for p in self.plugins.values()], "id string, kind string, version string")
 
@@ -120,8 +162,27 @@ class Deflate(Compression):
         return unpack(data)
 
 
-REGISTRY.register(Brightness())
-REGISTRY.register(Identity())
+class Plain(Renderer):
+    id, description = "plain", "Tiles with the vector layers drawn over them."
+
+    def render(self, files: DataFrame, regions: DataFrame, values: dict) -> DataFrame:
+        from ..operators.encoder import render
+
+        return render(files, regions)
+
+
+class Geo(Format):
+    id, description = "geo", "A place: longitude and latitude."
+
+    def parse(self, text: Column) -> Column:
+        return F.from_json(text, "lon double, lat double")
+
+    def serialize(self, value: Column) -> Column:
+        return F.to_json(value)
+
+
+for _plugin in (Brightness(), Identity(), Plain(), Geo()):
+    REGISTRY.register(_plugin)
 
 
 def add_extension(custom: Column, name: str, version: str, size: Column) -> Column:
@@ -142,5 +203,13 @@ def read_configs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONFIG).json(path).withColumn("settings", F.try_parse_json("settings"))
 
 
+def config_of(configs: DataFrame, plugin: Plugin, path: str = "$") -> dict:
+    """The values of a plugin's parameters from its enabled configuration with the highest priority, those not given by default."""
+    wanted = [F.try_variant_get("settings", f"{path}.{name}", "double").alias(name) for name in plugin.parameters]
+    row = configs.where((F.col("id") == plugin.id) & F.col("enabled")).orderBy(F.desc("priority")).select(*wanted, F.lit(1).alias("found")).first()
+    given = {} if row is None else {name: row[name] for name in plugin.parameters if row[name] is not None}
+    return plugin.values(given)
+
+
 def write_configs(configs: DataFrame, path: str) -> None:
     configs.withColumn("settings", F.to_json("settings")).write.mode("overwrite").json(path)

@@ -105,9 +105,7 @@ def render(files: DataFrame, regions: DataFrame) -> DataFrame:
     """
     tiles = S.decode_tiles(wanted_tiles(files, regions).select("file_id", "level", "x", "y", "payload")).where("error is null")
     sizes = S.parse_metadata(S.sections(files)).where("error is null").select("file_id", "tile_size")
-    k, channel = F.col("k"), lambda n: F.conv(F.hex(F.substring(F.col("rgba"), F.col("k") * 4 + 1 + n, F.lit(1))), 16, 10).cast("int")
-    held = tiles.join(sizes, "file_id").select("file_id", "x", "y", "width", "rgba", "tile_size", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("k"))
-    held = held.select("file_id", (F.col("x") * F.col("tile_size") + k % F.col("width")).alias("x"), (F.col("y") * F.col("tile_size") + F.expr("k div width")).alias("y"), *(channel(n).alias(c) for n, c in enumerate("rgba")))
+    held = S.tile_pixels(tiles.join(sizes, "file_id"))
     asked = regions.where("level = 0").withColumn("x", F.explode(F.sequence("rx", F.col("rx") + F.col("rw") - 1))).withColumn("y", F.explode(F.sequence("ry", F.col("ry") + F.col("rh") - 1)))
     pixels = asked.select("file_id", "x", "y").distinct().join(held, ["file_id", "x", "y"], "left").select("file_id", "x", "y", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgba"))
     return drawn(pixels, S.parse_paths(S.sections(files)))

@@ -95,14 +95,18 @@ def with_offsets(index: DataFrame, by: list[str] = ()) -> DataFrame:
     return index.withColumn("offset", F.coalesce(F.sum("size").over(order), F.lit(0)).cast("long"))
 
 
-def bucketed_offsets(index: DataFrame) -> DataFrame:
-    """As :func:`with_offsets` for one very large file: sums of rows of tiles first, then within a row."""
-    row_sums = index.groupBy("level", "y").agg(F.sum("size").alias("bytes"))
-    before = Window.orderBy("level", "y").rowsBetween(Window.unboundedPreceding, -1)
-    starts = row_sums.select("level", "y", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("level", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+def bucketed_offsets(index: DataFrame, by: list[str] = ()) -> DataFrame:
+    """As :func:`with_offsets` for very large files: sums of rows of tiles first, then within a row.
+
+    A file has at most some hundred rows of tiles a level, as its sides are bounded.
+    """
+    turn = [*by, "level", "y"]
+    row_sums = index.groupBy(*turn).agg(F.sum("size").alias("bytes"))
+    before = Window.partitionBy(*by).orderBy("level", "y").rowsBetween(Window.unboundedPreceding, -1)
+    starts = row_sums.select(*turn, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*turn).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     local = index.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return local.join(starts, ["level", "y"]).withColumn("offset", (F.col("base") + F.col("local")).cast("long")).drop("base", "local")
+    return local.join(starts, turn).withColumn("offset", (F.col("base") + F.col("local")).cast("long")).drop("base", "local")
 
 
 def metadata_violation() -> Column:

@@ -259,7 +259,7 @@ def encode_arguments(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", scalars.encode_errors(tile, k % 24, k % 14 / 10.0, k % 130).alias("code"))
 
 
-@query("udf7_plugin_catalog", "select * from (values ('brightness', 'filter', '1.0.0'), ('identity', 'compression', '1.0.0')) t(id, kind, version)")
+@query("udf7_plugin_catalog", "select * from (values ('brightness', 'filter', '1.0.0'), ('identity', 'compression', '1.0.0'), ('plain', 'renderer', '1.0.0'), ('geo', 'format', '1.0.0')) t(id, kind, version)")
 def plugin_catalog(spark, sf_dir):
     return plugins.REGISTRY.catalog(spark)
 
@@ -269,7 +269,21 @@ def brightness_filter(spark, sf_dir):
     return plugins.REGISTRY.apply_filter("brightness", V.rgba(spark, sf_dir), {"brightness": 25}).select("vec_id", "x", "y", "r")
 
 
-QUERIES["udf12_brightness"], SQL["udf12_brightness"] = brightness_filter, SQL["udf10_brightness_filter"]
+@query("udf12_brightness", "select event_id, v, least(100 + v, 255)::int as r from (select event_id, case when event_id % 4 = 0 then 0 else event_id % 100 end::int as v from events)")
+def brightness_settings(spark, sf_dir):
+    """A pixel of 100 under the filter, with settings from JSON, those not given by default."""
+    k = F.col("event_id")
+    settings = F.when(k % 4 == 0, F.lit("{}")).otherwise(F.to_json(F.struct((k % 100).alias("brightness"))))
+    v = scalars.number_setting(settings, "$.brightness", 0.0).cast("int")
+    return V.table(spark, sf_dir, "events").select("event_id", v.alias("v"), F.least(F.lit(100) + v, F.lit(255)).cast("int").alias("r"))
+
+
+@query("udf5_format_extension", "select p_partkey, p_partkey * 0.5::double as lon, p_partkey % 90 * 1.0::double as lat from part")
+def format_extension(spark, sf_dir):
+    """Places written as an extension of the metadata and parsed again."""
+    geo, k = plugins.REGISTRY.get("geo", "format"), F.col("p_partkey")
+    custom = F.create_map(F.lit("extension.geo"), geo.serialize(F.struct((k * F.lit(0.5)).alias("lon"), (k % 90 * F.lit(1.0)).alias("lat"))))
+    return V.table(spark, sf_dir, "part").select("p_partkey", geo.parse(F.element_at(custom, "extension.geo")).alias("g")).select("p_partkey", "g.lon", "g.lat")
 
 
 @query("udf15_extensions", "select p_partkey, 'geo' as id, (p_partkey % 9)::bigint as size from part where p_partkey % 2 = 0")

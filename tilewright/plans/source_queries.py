@@ -205,9 +205,7 @@ def header_rules(spark, sf_dir):
 def decoded_pixels(spark, sf_dir):
     """Written, read, checked and decoded again: the pixels of the images."""
     tiles = S.decode_tiles(S.payloads(S.sections(files(spark, sf_dir))).where("sound"))
-    at = tiles.select("file_id", "x", "y", "rgba", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
-    value = F.conv(F.hex(F.substring(F.col("rgba"), F.col("k") * 4 + 1, F.lit(1))), 16, 10).cast("int")
-    return at.select("file_id", (F.col("x") * 4 + F.col("k") % 4).cast("int").alias("x"), (F.col("y") * 4 + T.div(F.col("k"), 4)).cast("int").alias("y"), value.alias("g"))
+    return S.tile_pixels(tiles.withColumn("tile_size", F.lit(4))).select("file_id", F.col("x").cast("int"), F.col("y").cast("int"), F.col("r").alias("g"))
 
 
 @query("snk12_level_tiles", "select x::bigint as x, y::bigint as y, count(*) as files from embeddings, range(2) a(x), range(2) b(y) group by all")

@@ -219,6 +219,22 @@ def decode_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.select(*keys, "payload").mapInArrow(read, "file_id long, level long, x long, y long, width int, height int, rgba binary, error string")
 
 
+def tile_pixels(tiles: DataFrame) -> DataFrame:
+    """file_id, x, y, r, g, b, a: the pixels of decoded tiles (file_id, x, y, width, height, rgba, tile_size) at their places in the level."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, x, y, width, height, data, side in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                cells = np.frombuffer(data, dtype=np.uint8).reshape(-1, 4)
+                k = np.arange(width * height)
+                columns = [np.full(len(k), file_id), x * side + k % width, y * side + k // width]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(cells[:, c].astype(np.int32)) for c in range(4))], ["file_id", "x", "y", *"rgba"])
+
+    keys = [F.col(c).cast("long").alias(c) for c in ("file_id", "x", "y")]
+    sizes = [F.col(c).cast("long").alias(c) for c in ("width", "height")]
+    return tiles.select(*keys, *sizes, "rgba", F.col("tile_size").cast("long")).mapInArrow(spread, "file_id long, x long, y long, r int, g int, b int, a int")
+
+
 def encode_tiles(tiles: DataFrame) -> DataFrame:
     """file_id, level, x, y, payload, uncompressed_size for RGBA tiles (width, height, rgba)."""
 

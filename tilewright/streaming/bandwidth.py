@@ -25,11 +25,16 @@ def transfers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def smooth(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Folds a client's new transfers, in order, into its running mean; the state is two numbers."""
+    """Folds a client's new transfers, in order, into its running mean; the state is two numbers.
+
+    Transfers of no time say nothing about the bandwidth and are left out. A batch is put in order as four numbers a
+    transfer; how much of a client comes at once is set by the source (``maxFilesPerTrigger``).
+    """
     ema, samples = state.get if state.exists else (FIRST_BANDWIDTH, 0)
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    for size, us in zip(rows["bytes"].tolist(), rows["duration_us"].tolist()):
-        ema, samples = int(ema * 0.8 + (size * 1_000_000 // us) * 0.2), samples + 1
+    parts = [frame.loc[frame["duration_us"] > 0, ["ts", "event_id", "bytes", "duration_us"]] for frame in frames]
+    rows = pd.concat(parts).sort_values(["ts", "event_id"])
+    for size, us in zip(rows["bytes"].to_numpy(), rows["duration_us"].to_numpy()):
+        ema, samples = int(ema * 0.8 + (int(size) * 1_000_000 // int(us)) * 0.2), samples + 1
     state.update((ema, samples))
     yield pd.DataFrame({"client": [key[0]], "ema": [ema], "samples": [samples]})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +18,48 @@ from .bandwidth import transfers
 OUT = "client long, tiles long, bytes long, hits long, misses long, evictions long"
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Of a client's decoder: bytes of its cache, milliseconds for a frame, levels to look ahead, first bandwidth, loads at a time."""
+
+    cache_bytes: int = 1000 * 1024 * 1024
+    frame_ms: int = 16
+    prefetch_levels: int = 2
+    bandwidth: int = 1_000_000
+    most_loads: int = 8
+
+
 class Lru:
     """Tiles and sizes of one client, oldest access first, within a budget of bytes."""
 
     def __init__(self, budget: int, held: list | None = None, hits: int = 0, misses: int = 0, evictions: int = 0):
         self.budget, self.held = budget, {tile: size for tile, size in held or []}
+        self.used = sum(self.held.values())
         self.hits, self.misses, self.evictions = hits, misses, evictions
 
-    def access(self, tile: int, size: int) -> None:
-        if tile in self.held:
-            self.hits += 1
-            self.held[tile] = self.held.pop(tile)
-            return
-        self.misses += 1
-        while self.held and sum(self.held.values()) + size > self.budget:
-            self.held.pop(next(iter(self.held)))
+    def contains(self, tile: int) -> bool:
+        return tile in self.held
+
+    def touch(self, tile: int) -> None:
+        """The tile becomes the one used last."""
+        self.held[tile] = self.held.pop(tile)
+
+    def insert(self, tile: int, size: int) -> None:
+        """Makes room by letting the least recently used tiles go; what is larger than the cache is not kept."""
+        while self.held and self.used + size > self.budget:
+            self.used -= self.held.pop(next(iter(self.held)))
             self.evictions += 1
         if size <= self.budget:
             self.held[tile] = size
+            self.used += size
+
+    def access(self, tile: int, size: int) -> None:
+        if self.contains(tile):
+            self.hits += 1
+            self.touch(tile)
+        else:
+            self.misses += 1
+            self.insert(tile, size)
 
     def saved(self) -> tuple[str]:
         return (json.dumps([list(self.held.items()), self.hits, self.misses, self.evictions]),)
@@ -45,11 +70,11 @@ def cached(stream: DataFrame, budget: int) -> DataFrame:
 
     def serve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cache = Lru(budget, *json.loads(state.get[0])) if state.exists else Lru(budget)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = pd.concat([frame[["ts", "event_id", "tile", "bytes"]] for frame in frames]).sort_values(["ts", "event_id"])
         for tile, size in zip(rows["tile"].tolist(), rows["bytes"].tolist()):
             cache.access(tile, size)
         state.update(cache.saved())
-        yield pd.DataFrame({"client": [key[0]], "tiles": [len(cache.held)], "bytes": [sum(cache.held.values())], "hits": [cache.hits], "misses": [cache.misses], "evictions": [cache.evictions]})
+        yield pd.DataFrame({"client": [key[0]], "tiles": [len(cache.held)], "bytes": [cache.used], "hits": [cache.hits], "misses": [cache.misses], "evictions": [cache.evictions]})
 
     return stream.groupBy("client").applyInPandasWithState(serve, OUT, "held string", "update", GroupStateTimeout.NoTimeout)
 
