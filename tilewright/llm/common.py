@@ -9,6 +9,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,23 +62,27 @@ def split_words(text: str | None) -> list[bytes]:
     return as_bytes(text).lower().split()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words. A cache of bounded size in front of xxHash; nothing depends on what it holds."""
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in a row, numbers of words of each): as of :func:`split_words`, nulls have none.
 
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    Arrow lowers, splits and numbers the words, so each different word of the texts is hashed once.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = split.flatten()
+    there = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end of a text leaves empty words
+    coded = flat.dictionary_encode()
+    known, which = hashes_of(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)[there]
+    hashes = known[which] if len(known) else known
+    ends = np.append(0, np.cumsum(there))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    return hashes, np.diff(ends)
+
+
+def hashes_of(words: pa.StringArray) -> np.ndarray:
+    """xxHash of each string, in 64 bits."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else [0]
+    body = data.to_pybytes() if data else b""
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(body.__getitem__, map(slice, at, at[1:]))), dtype=np.uint64, count=len(words))
 
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, components, gather, mix, power_of_two, scatter, shingles, split_words, spread_join, volume, written
+from .common import WORD, components, gather, hashed_words, mix, power_of_two, scatter, shingles, spread_join, volume, written
 
 WORDS = 3
 #: Links have 100 * intersection >= PERCENT * union. Other shares than this (below 100) are a parameter.
@@ -192,12 +192,16 @@ def linked(sets: list[np.ndarray], every: bool = False, percent: int = PERCENT)
     return edges
 
 
+def sets_of_texts(texts: pa.Array, width: int) -> list[np.ndarray]:
+    hashes, counts = hashed_words(texts)
+    return [shingles(x, width) for x in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
+
+
 def word_sets(batches: Iterator[pa.RecordBatch], column: int, width: int = WORDS) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    words = WordHashes()
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            yield part, [shingles(words.array(split_words(x.as_py())), width) for x in part.column(column)]
+            yield part, sets_of_texts(part.column(column), width)
 
 
 def node_of(elements: np.ndarray) -> tuple[int, int]:
@@ -317,9 +321,9 @@ def found_links(docs: DataFrame, nodes: DataFrame, every: bool, width: int = WOR
 
     def sets_of(part: pa.Table) -> tuple[dict[int, np.ndarray], pa.Table]:
         """(sets by vid, the rows that hold them): a row whose text is another one, by a hash that is equal, drops out."""
-        words, sets, fine = WordHashes(), {}, []
-        for vid, hi, lo, text in zip(*(part.column(c).to_pylist() for c in ("vid", "hi", "lo")), part.column("text")):
-            elements = shingles(words.array(split_words(text.as_py())), width)
+        sets, fine = {}, []
+        every = (x for chunk in part.column("text").chunks for i in range(0, len(chunk), 500) for x in sets_of_texts(chunk.slice(i, 500), width))
+        for vid, hi, lo, elements in zip(*(part.column(c).to_pylist() for c in ("vid", "hi", "lo")), every):
             fine.append(node_of(elements) == (hi, lo))
             if fine[-1]:
                 sets[vid] = elements

@@ -31,21 +31,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mapped
-from .common import WordHashes, combine, gather, mix, power_of_two, scatter, shared_dir, split_words, volume
+from .common import combine, gather, hashed_words, power_of_two, scatter, shared_dir, volume
 
 ORDER = 3
 #: Bytes of text per shard of the model.
-SHARD_BYTES = 24 << 20
-#: Tokens that a task takes together.
-BLOCK_TOKENS = 500_000
-#: Distinct words or bigrams that a task sums up before it passes them on.
-HELD = 2_500_000
+SHARD_BYTES = 12 << 20
+#: Bytes of text that a task takes together.
+BLOCK_BYTES = 3 << 20
+#: Words, or n-grams, that a task sums up before it passes them on.
+HELD = 2_000_000
 #: White space is in no word, so these two are no words of any text.
 BEGIN, END = (xxhash.xxh64_intdigest(x) for x in (b"\nbegin", b"\nend"))
 #: The id of unknown words, and of what is not there after a text that is shorter than an n-gram.
@@ -159,19 +160,40 @@ def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
-def distinct(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of ids in order, each once, with the sums of its values."""
+def merged(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of ids with the sums of the values of equal ones, as far as these come together: in about the order of the ids.
+
+    The order is that of the leading 64 bits of the ids, as long as the longest needs. Rows that differ behind
+    these may part equal ones, which only costs a row.
+    """
     if not len(columns[0]):
         return columns, values
-    pairs = [columns[k].astype(np.uint64) << np.uint64(32) | columns[k + 1] if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
-    order = np.lexsort(pairs[::-1]) if len(pairs) > 1 else np.argsort(pairs[0], kind="stable")
+    bits = max(1, max(int(c[c != NONE].max(initial=0)) + 1 for c in columns).bit_length())
+    key, left = np.zeros(len(columns[0]), dtype=np.uint64), 64
+    for c in columns:
+        c = np.minimum(c, np.uint32((1 << bits) - 1)).astype(np.uint64)
+        take = min(bits, left)
+        key |= c >> np.uint64(bits - take) << np.uint64(left - take)
+        left -= take
+        if not left:
+            break
+    order = np.argsort(key)
+    columns = [c[order] for c in columns]
     new = np.zeros(len(order), dtype=bool)
     new[0] = True
-    for x in pairs:
-        x = x[order]
-        new[1:] |= x[1:] != x[:-1]
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
-    return [c[order[at]] for c in columns], [np.add.reduceat(v[order], at) for v in values]
+    return [c[at] for c in columns], [np.add.reduceat(v[order], at) for v in values]
+
+
+def distinct(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(hashes in order, rows of ids, the sums of their values), each n-gram once."""
+    keys = gram_keys(columns)
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[at], [c[order[at]] for c in columns], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
 
 
 def packed(arrays: list[np.ndarray]) -> bytes:
@@ -202,18 +224,20 @@ def dealt(bucket: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
 
 def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids of documents, hashes of begin, words and end of each in a row, lengths) in blocks."""
-    words, first = WordHashes(), np.array([BEGIN], dtype=np.uint64)
-    last = np.array([END], dtype=np.uint64)
     for batch in batches:
-        parts, lengths, size, start = [], [], 0, 0
-        for k, text in enumerate(batch.column(1)):
-            hashes = words.array(split_words(text.as_py()))
-            parts += (first, hashes, last)
-            lengths.append(len(hashes) + 2)
-            size += lengths[-1]
-            if size >= BLOCK_TOKENS or k == batch.num_rows - 1:
-                yield batch.column(0).slice(start, k + 1 - start), np.concatenate(parts), np.array(lengths)
-                parts, lengths, size, start = [], [], 0, k + 1
+        ids, texts, start, size = batch.column(0), batch.column(1), 0, 0
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        for k, n in enumerate(lengths.tolist()):
+            size += n + 8
+            if size >= BLOCK_BYTES or k == batch.num_rows - 1:
+                hashes, counts = hashed_words(texts.slice(start, k + 1 - start))
+                ends = np.cumsum(counts + 2)
+                framed, inner = np.empty(len(hashes) + 2 * len(counts), dtype=np.uint64), np.ones(len(hashes) + 2 * len(counts), dtype=bool)
+                framed[ends - counts - 2], framed[ends - 1] = BEGIN, END
+                inner[ends - counts - 2] = inner[ends - 1] = False
+                framed[inner] = hashes
+                yield ids.slice(start, k + 1 - start), framed, counts + 2
+                start, size = k + 1, 0
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +278,11 @@ def gram_columns(ids: np.ndarray, lengths: np.ndarray, order: int) -> list[np.nd
 
 
 def lower(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
-    """What n-grams in order give those that are a word shorter: as contexts, how often and how variously they go on; as ends, how many words precede them."""
+    """What n-grams give those that are a word shorter: as contexts, how often and how variously they go on; as ends, how many words precede them."""
     real = columns[-1] != NONE
     zero = np.zeros(len(counts), dtype=np.int64)
-    yield distinct(columns[:-1], [zero, counts, *(((counts == k if k < 3 else counts > 2) & real).astype(np.int64) for k in (1, 2, 3))])
-    yield distinct([c[real] for c in columns[1:]], [np.ones(int(real.sum()), dtype=np.int64), *(zero[real] for _ in range(4))])
+    yield merged(columns[:-1], [zero, counts, *(((counts == k if k < 3 else counts > 2) & real).astype(np.int64) for k in (1, 2, 3))])
+    yield merged([c[real] for c in columns[1:]], [np.ones(int(real.sum()), dtype=np.int64), *(zero[real] for _ in range(4))])
 
 
 def tally(counts: np.ndarray) -> list[int]:
@@ -311,15 +335,20 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     sizes = {s: r[0] for s, r in made.items()}
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = [np.empty(0, dtype=np.uint32)] * order, np.empty(0, dtype=np.int64)
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)] if held else [np.empty(0, dtype=np.uint32)] * order
+            columns, (counts,) = merged(columns, [np.ones(len(columns[0]), dtype=np.int64)])
+            return dealt(shard_of(gram_keys(columns), shards), [*columns, counts])
+
         for _, hashes, lengths in sequences(batches):
-            new = gram_columns(plan.words(hashes, ())[0], lengths, order)
-            new, (n,) = distinct(new, [np.ones(len(new[0]), dtype=np.int64)])
-            held, (counts,) = distinct([np.concatenate(x) for x in zip(held, new)], [np.concatenate((counts, n))]) if len(counts) else (new, (n,))
-            if len(counts) > HELD:
-                yield dealt(shard_of(gram_keys(held), shards), [*held, counts])
-                held, counts = [np.empty(0, dtype=np.uint32)] * order, counts[:0]
-        yield dealt(shard_of(gram_keys(held), shards), [*held, counts])
+            held.append(gram_columns(plan.words(hashes, ())[0], lengths, order))
+            size += len(held[-1][0])
+            if size > HELD:
+                yield flush()
+                held, size = [], 0
+        yield flush()
 
     def passed_on(level: int, columns: list[np.ndarray], counts: np.ndarray, numbers: list[int]) -> pa.Table:
         """Rows for the next lower order; those of negative buckets hold the numbers of the order itself."""
@@ -344,17 +373,15 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
                 np.add.at(table, (arrays[0] // np.uint32(shards)).astype(np.int64), np.stack(arrays[1:], axis=1))
                 plan.save("word", shard, **{n: narrow(table[:, k]) for k, n in enumerate(VALUES)})
                 return pa.Table.from_batches([numbers_row(1, [shard, *tally(table[:, 0])])])
-            columns, values = distinct(arrays[:level], arrays[level:])
+            keys, columns, values = distinct(arrays[:level], arrays[level:])
             if not top:
                 values[0] = np.where(columns[0] == np.uint32(begin), values[1], values[0])
             real = np.flatnonzero(columns[-1] != NONE)
-            keys = gram_keys([c[real] for c in columns])
-            by_key = np.argsort(keys)
-            table, rest = stored(keys[by_key], shards)
+            table, rest = stored(keys[real], shards)
             if top:
-                kept = {"count": narrow(values[0][real][by_key])}
+                kept = {"count": narrow(values[0][real])}
             else:
-                kinds, which = alike([v[real][by_key] for v in values])
+                kinds, which = alike([v[real] for v in values])
                 kept = {"kinds": kinds, "which": which}
             plan.save(f"gram{level}", shard, table=table, rest=rest, **kept)
             return passed_on(level, columns, values[0], [shard, *tally(values[0][real])])
