@@ -42,11 +42,11 @@ from .common import combine, gather, hashed_words, power_of_two, scatter, shared
 
 ORDER = 3
 #: Bytes of text per shard of the model.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 24 << 20
 #: Bytes of text that a task takes together.
 BLOCK_BYTES = 3 << 20
 #: Words, or n-grams, that a task sums up before it passes them on.
-HELD = 2_000_000
+HELD = 2_500_000
 #: White space is in no word, so these two are no words of any text.
 BEGIN, END = (xxhash.xxh64_intdigest(x) for x in (b"\nbegin", b"\nend"))
 #: The id of unknown words, and of what is not there after a text that is shorter than an n-gram.
@@ -335,20 +335,23 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     sizes = {s: r[0] for s, r in made.items()}
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, counts, new, size = [np.empty(0, dtype=np.uint32)] * order, np.empty(0, dtype=np.int64), [], 0
 
-        def flush() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held)] if held else [np.empty(0, dtype=np.uint32)] * order
-            columns, (counts,) = merged(columns, [np.ones(len(columns[0]), dtype=np.int64)])
-            return dealt(shard_of(gram_keys(columns), shards), [*columns, counts])
+        def added() -> tuple[list[np.ndarray], np.ndarray]:
+            columns = [np.concatenate(c) for c in zip(held, *new)]
+            columns, (n,) = merged(columns, [np.append(counts, np.ones(len(columns[0]) - len(counts), dtype=np.int64))])
+            return columns, n
 
         for _, hashes, lengths in sequences(batches):
-            held.append(gram_columns(plan.words(hashes, ())[0], lengths, order))
-            size += len(held[-1][0])
-            if size > HELD:
-                yield flush()
-                held, size = [], 0
-        yield flush()
+            new.append(gram_columns(plan.words(hashes, ())[0], lengths, order))
+            size += len(new[-1][0])
+            if size > HELD // 2:
+                (held, counts), new, size = added(), [], 0
+            if len(counts) > HELD:
+                yield dealt(shard_of(gram_keys(held), shards), [*held, counts])
+                held, counts = [c[:0] for c in held], counts[:0]
+        held, counts = added()
+        yield dealt(shard_of(gram_keys(held), shards), [*held, counts])
 
     def passed_on(level: int, columns: list[np.ndarray], counts: np.ndarray, numbers: list[int]) -> pa.Table:
         """Rows for the next lower order; those of negative buckets hold the numbers of the order itself."""
