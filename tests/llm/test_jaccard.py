@@ -159,6 +159,10 @@ def test_linked_sets_share_a_signature_at_other_shares(percent):
         if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
             met += 1
             assert np.isin(J.signatures(a, percent), J.signatures(b, percent)).any()
+            for share in (0.2, 0.7, 1.0):
+                both = np.union1d(a, b)
+                frequent = np.sort(rng.permutation(both)[: int(share * len(both))])
+                assert np.isin(J.signatures(a, percent, frequent), J.signatures(b, percent, frequent)).any()
     assert met > 200
 
 

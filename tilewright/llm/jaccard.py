@@ -3,8 +3,8 @@
 1. Every text becomes its set of word shingles; equal sets are one node from here on, told apart by 128 bits.
 2. Nodes are routed: if two sets with larger size h are similar enough, they differ in at most D(h) elements,
    so of p > D parts of the hash range at least p - D hold the same elements in both. Nodes with an equal part
-   are joined to groups, which no similar pair leaves. Parts of a few elements are left out where that many
-   cannot be all the equal ones.
+   are joined to groups, which no similar pair leaves. Parts of a few elements, and elements of passages that many
+   texts share, are left out as long as they cannot be all that is equal.
 3. In a group the sets are ordered by one order of elements (frequent ones first) and stored in a trie with
    compressed paths. The order is the same for all sets that may be compared, as no pair leaves its group. A
    search walks the trie level by level: subtrees share the overlap of their path, and are cut off when the
@@ -21,12 +21,11 @@ from __future__ import annotations
 
 import struct
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,8 @@ GROUP_ELEMENTS = 3_000_000
 BUCKET_BYTES = 48 << 20
 LEAST_IN_PART = 3
 BLOCK_PARTS = 2_000_000
+#: Rows that frequent elements are sought in, and how many of their sets have one.
+SAMPLE_ROWS, LEAST_IN_SAMPLE = 2000, 5
 #: Keys of rows that a task remembers, to pass repeated rows on once.
 SEEN_ROWS = 1_000_000
 
@@ -57,22 +58,51 @@ def differing(size: int, percent: int = PERCENT) -> int:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
-def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of the parts of a sorted set, for each band of sizes in which a linked set may be the larger one."""
+NO_ELEMENTS = np.empty(0, dtype=np.uint64)
+
+
+def coded(sums: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of the chosen parts, each with its number."""
+    place = np.arange(1, len(bounds), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.uint64(salt) + place)[chosen]
+
+
+def in_parts(elements: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of hashes begins in a sorted set, and the end."""
+    at = ((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
+
+
+def signatures(elements: np.ndarray, percent: int = PERCENT, frequent: np.ndarray = NO_ELEMENTS) -> np.ndarray:
+    """Hashes of the parts of a sorted set, for each band of sizes in which a linked set may be the larger one.
+
+    The ``frequent`` elements are one part, which is left out; the others are spread over the rest. Sets of which
+    this leaves too few parts, as they hold little else, have the parts of all their elements as well.
+    """
     n, out, limits = len(elements), [], band_limits(percent)
-    sums = np.append(np.uint64(0), np.cumsum(mix(elements)))
+    rare = elements[~np.isin(elements, frequent)] if len(frequent) else elements
+    sums, rare_sums = (np.append(np.uint64(0), np.cumsum(mix(x))) for x in (elements, rare))
     for band in range(bisect_left(limits, n), bisect_left(limits, n * 100 // percent) + 1):
         most = differing(limits[band], percent)
+        # Of most + 2 + most // 4 parts, one of them frequent, most may differ. Equal parts are of one size: parts of
+        # a few elements are left out where that many cannot be all the others.
         parts = most + 1 + most // 4
-        at = ((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        bounds = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
-        # Lower shares have smaller parts; the most elements that leave enough parts count.
+        bounds = in_parts(rare, parts)
+        sizes = np.diff(bounds)
         for least in range(LEAST_IN_PART, 0, -1):
-            full = np.diff(bounds) >= least
+            full = sizes >= least
             if parts - int(full.sum()) < parts - most:
                 break
-        code = mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.uint64(band << 40) + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        out.append(code[full] if parts - int(full.sum()) < parts - most else code)
+        else:
+            every = in_parts(elements, parts)
+            for least in range(LEAST_IN_PART, 0, -1):
+                large = np.diff(every) >= least
+                if parts - int(large.sum()) < parts - most:
+                    break
+            else:
+                large = np.ones(parts, dtype=bool)
+            out.append(coded(sums, every, large, (band << 40) + 1))
+        out.append(coded(rare_sums, bounds, full, band << 40))
     return np.concatenate(out)
 
 
@@ -229,6 +259,23 @@ def measured(docs: DataFrame, width: int = WORDS) -> tuple[DataFrame, DataFrame]
     return sized, written(nodes, "jaccard-nodes")
 
 
+def frequent_elements(docs: DataFrame, width: int) -> np.ndarray:
+    """Elements that ``LEAST_IN_SAMPLE`` different sets of a sample of ``SAMPLE_ROWS`` rows have: of passages that many texts share.
+
+    Which elements are taken for frequent decides on the work only, not on the links that are found.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in word_sets(batches, 0, width):
+            sets = [x for x in sets if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(x)[1] for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "elements"])
+
+    rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(SAMPLE_ROWS).select("text").mapInArrow(measure, "node long, elements binary")
+    sets = {r["node"]: np.frombuffer(r["elements"], dtype=np.uint64) for r in rows.collect()}  # of SAMPLE_ROWS rows
+    found, counts = np.unique(np.concatenate([NO_ELEMENTS, *sets.values()]), return_counts=True)
+    return found[counts >= LEAST_IN_SAMPLE]
+
+
 def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """lo, group: sets with an equal part are in one group; sets without any are in none.
 
@@ -236,6 +283,7 @@ def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Data
     """
     # Both the parts of a set and the bands that it is in grow with what may differ.
     buckets = power_of_two(volume(docs)[1] / BUCKET_BYTES * max(1, differing(1000, percent) / differing(1000)) ** 2)
+    frequent = frequent_elements(docs, width)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, nodes, size, seen = [], [], 0, set()
@@ -250,7 +298,7 @@ def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Data
                 if len(elements) == 0 or (node := node_of(elements)[1]) in seen:
                     continue
                 seen.add(node)
-                code = signatures(elements, percent)
+                code = signatures(elements, percent, frequent)
                 codes.append(code)
                 nodes.append(np.full(len(code), node, dtype=np.int64))
                 size += len(code)
@@ -286,17 +334,6 @@ def once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
-def union_find() -> tuple[dict[int, int], Callable[[int], int]]:
-    above: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while above.setdefault(x, x) != x:
-            above[x] = x = above[above[x]]
-        return x
-
-    return above, top
-
-
 LINKS = "a long, b long"
 
 
@@ -367,33 +404,16 @@ def found_links(docs: DataFrame, nodes: DataFrame, every: bool, width: int = WOR
     probes = split.where("apart").join(loads, "group").withColumns({"load": F.pmod(F.xxhash64("vid"), F.col("loads")).cast("int"), "block": F.explode(F.sequence(one, F.col("blocks") - 1))})
     held = split.join(loads, "group").withColumns({"load": F.explode(F.sequence(one, F.col("loads") - 1)), "block": F.col("own")})
     columns = ["vid", "hi", "lo", "doc_id", "h", "group", "load", "block"]
-    dealt = probes.select(*columns, F.lit(True).alias("asks")).unionByName(held.select(*columns, F.lit(False).alias("asks")))
+    dealt = probes.select(*columns).unionByName(held.select(*columns))
 
     def ask(part: pa.Table) -> pa.Table:
-        sets, part = sets_of(part)
-        asks, held = (list(dict.fromkeys(part.filter(pc.equal(part.column("asks"), x)).column("vid").to_pylist())) for x in (True, False))
-        return pair_table(linked_between(sets, asks, held, percent))
+        sets, _ = sets_of(part)
+        ids = sorted(sets)
+        return pair_table([(ids[a], ids[b]) for a, b in linked([sets[v] for v in ids], False, percent)] if ids else [])
 
     return inside.unionByName(with_texts(dealt).groupBy("group", "load", "block").applyInArrow(ask, LINKS))
 
 
-def linked_between(sets: dict[int, np.ndarray], asks: list[int], held: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links of the sets ``asks`` with those of ``held``, without those that join what is joined already."""
-    if not asks or not held:
-        return []
-    ranks = ranked([sets[v] for v in (*asks, *held)])
-    trie = Trie(dict(zip(held, ranks[len(asks) :])))
-    marks = np.zeros(max(int(r[-1]) for r in ranks) + 1, dtype=bool)
-    (above, top), found = union_find(), []
-    for vid, probe in zip(asks, ranks):
-        for near in trie.search(probe, marks, percent).tolist():
-            a, b = top(vid), top(near)
-            if a != b:
-                above[a] = b
-                found.append((vid, near))
-    return found
-
-
 def lot_of(lots: int) -> Column:
     return F.when(F.col("blocks") > 1, F.col("group")).otherwise(F.pmod("group", F.lit(lots)))
 
