@@ -80,7 +80,9 @@ def signatures(elements: np.ndarray, percent: int = PERCENT, frequent: np.ndarra
     this leaves too few parts, as they hold little else, have the parts of all their elements as well.
     """
     n, out, limits = len(elements), [], band_limits(percent)
-    rare = elements[~np.isin(elements, frequent)] if len(frequent) else elements
+    rare = elements
+    if len(frequent):
+        rare = elements[frequent[np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)] != elements]
     sums, rare_sums = (np.append(np.uint64(0), np.cumsum(mix(x))) for x in (elements, rare))
     for band in range(bisect_left(limits, n), bisect_left(limits, n * 100 // percent) + 1):
         most = differing(limits[band], percent)
