@@ -54,6 +54,8 @@ NONE = np.uint32(0xFFFFFFFF)
 #: Hashes that share an entry of the table of leading bits, on average.
 IN_ENTRY = 4
 VALUES = ("count", "tot", "once", "twice", "more")
+#: How they travel: all but the sums are numbers of different words.
+KINDS = [np.uint32, np.int64, np.uint32, np.uint32, np.uint32]
 
 
 @dataclass(frozen=True)
@@ -184,7 +186,7 @@ def merged(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
-    return [c[at] for c in columns], [np.add.reduceat(v[order], at) for v in values]
+    return [c[at] for c in columns], [np.add.reduceat(v[order], at, dtype=v.dtype) for v in values]
 
 
 def distinct(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -193,7 +195,7 @@ def distinct(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.nd
     order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
-    return keys[at], [c[order[at]] for c in columns], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
+    return keys[at], [c[order[at]] for c in columns], [np.add.reduceat(v[order], at, dtype=v.dtype) if len(at) else v for v in values]
 
 
 def packed(arrays: list[np.ndarray]) -> bytes:
@@ -280,9 +282,10 @@ def gram_columns(ids: np.ndarray, lengths: np.ndarray, order: int) -> list[np.nd
 def lower(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
     """What n-grams give those that are a word shorter: as contexts, how often and how variously they go on; as ends, how many words precede them."""
     real = columns[-1] != NONE
-    zero = np.zeros(len(counts), dtype=np.int64)
-    yield merged(columns[:-1], [zero, counts, *(((counts == k if k < 3 else counts > 2) & real).astype(np.int64) for k in (1, 2, 3))])
-    yield merged([c[real] for c in columns[1:]], [np.ones(int(real.sum()), dtype=np.int64), *(zero[real] for _ in range(4))])
+    none = np.zeros(len(counts), dtype=np.uint32)
+    yield merged(columns[:-1], [none, counts.astype(np.int64), *(((counts == k if k < 3 else counts > 2) & real).astype(np.uint32) for k in (1, 2, 3))])
+    none = none[real]
+    yield merged([c[real] for c in columns[1:]], [none + np.uint32(1), none.astype(np.int64), none, none, none])
 
 
 def tally(counts: np.ndarray) -> list[int]:
@@ -370,13 +373,14 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
                 (numbers,) = unpacked(part.column("blob"), [np.int64])
                 return pa.Table.from_batches([numbers_row(-shard, numbers.tolist())])
             top = level == order
-            arrays = unpacked(part.column("blob"), [np.uint32] * level + [np.int64] * (1 if top else 5))
+            arrays = unpacked(part.column("blob"), [np.uint32] * level + ([np.int64] if top else KINDS))
             if level == 1:
                 table = np.zeros((sizes[shard], 5), dtype=np.int64)
                 np.add.at(table, (arrays[0] // np.uint32(shards)).astype(np.int64), np.stack(arrays[1:], axis=1))
                 plan.save("word", shard, **{n: narrow(table[:, k]) for k, n in enumerate(VALUES)})
                 return pa.Table.from_batches([numbers_row(1, [shard, *tally(table[:, 0])])])
             keys, columns, values = distinct(arrays[:level], arrays[level:])
+            del arrays
             if not top:
                 values[0] = np.where(columns[0] == np.uint32(begin), values[1], values[0])
             real = np.flatnonzero(columns[-1] != NONE)
