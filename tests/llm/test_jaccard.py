@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tilewright.llm import jaccard as J
+from tilewright.llm import common
 from tilewright.llm.common import components
 
 
@@ -120,7 +121,9 @@ def test_trie_finds_what_a_scan_finds():
         assert not marks.any()
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("plain", [10**6, 0])
+def test_components_of_a_long_path(spark, monkeypatch, plain):
+    monkeypatch.setattr(common, "PLAIN_ROWS", plain)
     edges = spark.createDataFrame([(k + 1, k) for k in range(1, 300)] + [(500, 500), (401, 400)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{k: 1 for k in range(1, 301)}, 400: 400, 401: 400}

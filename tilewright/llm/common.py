@@ -144,6 +144,8 @@ def power_of_two(x: float) -> int:
 
 #: No more keys than twice this have more than their share of the rows of a table, so these may be broadcast.
 HOT_SHARES = 4000
+#: So many rows are joined as they are: all of them fit in a task, whatever their keys.
+PLAIN_ROWS = 1_000_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
@@ -152,6 +154,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: list[str], weight: str,
     Keys with more than a ``HOT_SHARES``-th of all rows are few; their rows of ``right`` are broadcast, so the rows
     of ``left`` that have them stay where they are. All others are shuffled.
     """
+    if total <= PLAIN_ROWS:
+        return left.join(right.drop(weight), key, how)
     limit = max(1000, total // HOT_SHARES)
     hot, rest = right.where(F.col(weight) > limit).drop(weight), right.where(F.col(weight) <= limit).drop(weight)
     marked = left.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
