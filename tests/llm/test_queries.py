@@ -16,6 +16,7 @@ from .test_neighbours import brute as nearest_of_all
 from .test_packing import check as check_pieces
 from .test_pii import base as base_spans
 from .test_repeats import brute as repeated
+from .test_superminhash import plain_join as near_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -25,8 +26,13 @@ def documents(spark):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
 
-def test_op6_is_its_sql(spark, duck):
-    same(Q.op6_mixing(spark, SF), duck.sql(Q.oracle_sql()["op6_mixing"]))
+@pytest.mark.parametrize("name", ["op6_mixing", "op12_merkle", "op13_vector_codes"])
+def test_queries_are_their_sql(spark, duck, name):
+    same(Q.queries()[name](spark, SF), duck.sql(Q.oracle_sql()[name]))
+
+
+def test_op11_is_all_pairs(spark, documents):
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in Q.op11_superminhash(spark, SF).collect()} == near_groups(list(documents.items()))
 
 
 def test_op4_reads_back_what_it_stores(spark, documents):

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: What every word count and word split here means, as a regular expression.
@@ -46,6 +46,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Names of columns as Spark takes them literally, dots and backticks included."""
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, so that its lineage ends here."""
     path = scratch_path(df.sparkSession, name)
@@ -142,65 +147,54 @@ def power_of_two(x: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(x, 1))))
 
 
-#: No more keys than twice this have more than their share of the rows of a table, so these may be broadcast.
-HOT_SHARES = 4000
-#: So many rows are joined as they are: all of them fit in a task, whatever their keys.
-PLAIN_ROWS = 1_000_000
-
+def spread_join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique, on columns without nulls.
 
-def spread_join(left: DataFrame, right: DataFrame, key: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, whose keys are unique and have ``weight`` rows in ``left`` (``total`` in all).
-
-    Keys with more than a ``HOT_SHARES``-th of all rows are few; their rows of ``right`` are broadcast, so the rows
-    of ``left`` that have them stay where they are. All others are shuffled.
+    ``right`` is written first: both sides of the join then are plain shuffles (or ``right`` is broadcast where its measured
+    size allows), and adaptive execution splits the partitions of ``left`` that hot keys make large.
     """
-    if total <= PLAIN_ROWS:
-        return left.join(right.drop(weight), key, how)
-    limit = max(1000, total // HOT_SHARES)
-    hot, rest = right.where(F.col(weight) > limit).drop(weight), right.where(F.col(weight) <= limit).drop(weight)
-    marked = left.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
-    own = marked.where("is_hot").select(*left.columns, *(c for c in hot.columns if c not in key))
-    return own.unionByName(marked.where("is_hot is null").select(*left.columns).join(rest, key, how))
+    return left.join(written(right, "join"), key)
 
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, component) with the smallest node of each.
 
-    Alternating large-star and small-star steps. Each round is one grouped minimum and one join over the
-    edges, cut off by a table in the shared folder; rounds grow with the logarithm of the longest path. The edges
-    of hubs are not gathered: their minimum goes to where they are. Nodes without an edge are not in the result.
+    Alternating large-star and small-star steps until nothing changes. A step is one grouped minimum and one join over
+    the edges, each a table in the shared folder, so plans stay small and lost executors cost a step; steps grow with
+    the logarithm of the longest path. The edges of hubs are not gathered: their minimum goes to where they are. Nodes without an edge
+    are not in the result.
     """
-    spark = edges.sparkSession
 
-    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
+    def star(e: DataFrame, large: bool) -> tuple[DataFrame, tuple]:
         if large:
             both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        out = spread_join(both, low, ["a"], "n", total)
+        out = spread_join(both, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), ["a"])
         if large:
             out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = out.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        return out.where("a <> b").distinct()
-
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    before = now.agg(F.count("*"), mark).first()
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        now = written(star(star(now, True, before[0]), False, before[0]), name)
-        after = now.agg(F.count("*"), mark).first()
+        return watched(out.where("a <> b").distinct())
+
+    def watched(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """(``e`` as a table, its number of rows and a sum of their hashes)."""
+        seen = Observation()
+        mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        out = written(e.observe(seen, F.count(F.lit(1)).alias("n"), mark.alias("mark")), name)
+        return out, (seen.get["n"], seen.get["mark"])
+
+    now, before = watched(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if not before[0]:
+        return edges.sparkSession.createDataFrame([], "node long, component long")
+    while True:
+        now, after = star(star(now, True)[0], False)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    ) if before[0] else spark.createDataFrame([], "node long, component long")
+    )
 
 
 def batches_of(texts: Iterable, most: int):

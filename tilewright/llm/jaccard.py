@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import struct
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, components, gather, hashed_words, mix, power_of_two, scatter, shingles, spread_join, volume, written
+from .common import WORD, components, gather, hashed_words, mix, power_of_two, quoted, scatter, shingles, spread_join, volume, written
 
 WORDS = 3
 #: Links have 100 * intersection >= PERCENT * union. Other shares than this (below 100) are a parameter.
@@ -39,8 +39,8 @@ GROUP_ELEMENTS = 3_000_000
 BUCKET_BYTES = 48 << 20
 LEAST_IN_PART = 3
 BLOCK_PARTS = 2_000_000
-#: Rows that frequent elements are sought in, and how many of their sets have one.
-SAMPLE_ROWS, LEAST_IN_SAMPLE = 2000, 5
+#: Bytes of different texts that frequent elements are sought in, how many of their sets have one, and the bits of the table of counts.
+SAMPLE_BYTES, LEAST_IN_SAMPLE, TABLE_BITS = 8 << 20, 5, 22
 #: Keys of rows that a task remembers, to pass repeated rows on once.
 SEEN_ROWS = 1_000_000
 
@@ -58,7 +58,8 @@ def differing(size: int, percent: int = PERCENT) -> int:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
-NO_ELEMENTS = np.empty(0, dtype=np.uint64)
+#: A table of frequent elements that has none.
+NONE_FREQUENT = np.zeros(1, dtype=bool)
 
 
 def coded(sums: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, salt: int) -> np.ndarray:
@@ -73,16 +74,14 @@ def in_parts(elements: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
 
 
-def signatures(elements: np.ndarray, percent: int = PERCENT, frequent: np.ndarray = NO_ELEMENTS) -> np.ndarray:
+def signatures(elements: np.ndarray, percent: int = PERCENT, frequent: np.ndarray = NONE_FREQUENT) -> np.ndarray:
     """Hashes of the parts of a sorted set, for each band of sizes in which a linked set may be the larger one.
 
-    The ``frequent`` elements are one part, which is left out; the others are spread over the rest. Sets of which
-    this leaves too few parts, as they hold little else, have the parts of all their elements as well.
+    The elements that the table ``frequent`` marks (by their lowest bits) are one part, which is left out; the others are
+    spread over the rest. Sets of which this leaves too few parts, as they hold little else, have the parts of all their elements as well.
     """
     n, out, limits = len(elements), [], band_limits(percent)
-    rare = elements
-    if len(frequent):
-        rare = elements[frequent[np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)] != elements]
+    rare = elements[~frequent[(elements & np.uint64(len(frequent) - 1)).astype(np.int64)]]
     sums, rare_sums = (np.append(np.uint64(0), np.cumsum(mix(x))) for x in (elements, rare))
     for band in range(bisect_left(limits, n), bisect_left(limits, n * 100 // percent) + 1):
         most = differing(limits[band], percent)
@@ -261,21 +260,49 @@ def measured(docs: DataFrame, width: int = WORDS) -> tuple[DataFrame, DataFrame]
     return sized, written(nodes, "jaccard-nodes")
 
 
-def frequent_elements(docs: DataFrame, width: int) -> np.ndarray:
-    """Elements that ``LEAST_IN_SAMPLE`` different sets of a sample of ``SAMPLE_ROWS`` rows have: of passages that many texts share.
+def frequent_elements(docs: DataFrame, width: int, size: int) -> np.ndarray:
+    """A table of 2 ** ``TABLE_BITS`` marks: places of elements that ``LEAST_IN_SAMPLE`` different texts of a sample have.
 
-    Which elements are taken for frequent decides on the work only, not on the links that are found.
+    These are of passages that many texts share. The sample has about ``SAMPLE_BYTES`` of the ``size`` bytes of all texts; counts are
+    added up by place, so neither tasks nor the driver hold more than the table. What is marked, by chance as well, decides on the
+    work only, not on the links that are found.
     """
+    places = 1 << TABLE_BITS
+    stretch = places >> 6
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(places, dtype=np.uint8)
         for _, sets in word_sets(batches, 0, width):
-            sets = [x for x in sets if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x)[1] for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "elements"])
-
-    rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(SAMPLE_ROWS).select("text").mapInArrow(measure, "node long, elements binary")
-    sets = {r["node"]: np.frombuffer(r["elements"], dtype=np.uint64) for r in rows.collect()}  # of SAMPLE_ROWS rows
-    found, counts = np.unique(np.concatenate([NO_ELEMENTS, *sets.values()]), return_counts=True)
-    return found[counts >= LEAST_IN_SAMPLE]
+            for elements in sets:
+                at = np.unique((elements & np.uint64(places - 1)).astype(np.int64))
+                counts[at] += counts[at] < 255
+        held = counts.reshape(-1, stretch)
+        used = np.nonzero(held.any(axis=1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([held[k].tobytes() for k in used], pa.binary())], ["stretch", "counts"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), dtype=np.uint8).astype(np.int64) for x in part.column("counts"))
+        return pa.table({"stretch": part.column("stretch").slice(0, 1), "marks": pa.array([np.packbits(total >= LEAST_IN_SAMPLE).tobytes()], pa.binary())})
+
+    share = min(1.0, SAMPLE_BYTES / max(size, 1))
+    drawn = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
+    texts = drawn.groupBy("h").agg(F.first("text").alias("text")).select("text")
+    marks = np.zeros(places, dtype=bool)
+    found = texts.mapInArrow(count, "stretch int, counts binary").groupBy("stretch").applyInArrow(add, "stretch int, marks binary")
+    for r in found.collect():  # 64 rows of marks
+        marks[r["stretch"] * stretch : (r["stretch"] + 1) * stretch] = np.unpackbits(np.frombuffer(r["marks"], dtype=np.uint8))
+    return marks
+
+
+def heads(code: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows of a node and the smallest node that has a code of it, where they differ; the distinct codes; their smallest nodes)."""
+    order = np.lexsort((node, code))
+    code, node = code[order], node[order]
+    first = np.append(True, code[1:] != code[:-1])[: len(code)]
+    head = node[np.maximum.accumulate(np.where(first, np.arange(len(code)), 0))] if len(code) else node
+    apart = head != node
+    pairs = np.unique(np.stack((node[apart], head[apart]), axis=1), axis=0) if apart.any() else np.empty((0, 2), dtype=np.int64)
+    return pairs, code[first], node[first]
 
 
 def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -284,8 +311,9 @@ def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Data
     Sets go by half of their bits here: those that share it are in one group, and told apart when they are compared.
     """
     # Both the parts of a set and the bands that it is in grow with what may differ.
-    buckets = power_of_two(volume(docs)[1] / BUCKET_BYTES * max(1, differing(1000, percent) / differing(1000)) ** 2)
-    frequent = frequent_elements(docs, width)
+    size = volume(docs)[1]
+    buckets = power_of_two(size / BUCKET_BYTES * max(1, differing(1000, percent) / differing(1000)) ** 2)
+    frequent = frequent_elements(docs, width, size)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, nodes, size, seen = [], [], 0, set()
@@ -310,13 +338,7 @@ def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Data
         yield flush()
 
     def meet(part: pa.Table) -> pa.Table:
-        code, node = gather(part, "code", np.uint64), gather(part, "node", np.int64)
-        order = np.lexsort((node, code))
-        code, node = code[order], node[order]
-        first = np.append(True, code[1:] != code[:-1])[: len(code)]
-        head = node[np.maximum.accumulate(np.where(first, np.arange(len(code)), 0))] if len(code) else node
-        apart = head != node
-        pairs = np.unique(np.stack((node[apart], head[apart]), axis=1), axis=0) if apart.any() else np.empty((0, 2), dtype=np.int64)
+        pairs, _, _ = heads(gather(part, "code", np.uint64), gather(part, "node", np.int64))
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     routed = docs.select("text").mapInArrow(route, "bucket int, code binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
@@ -343,14 +365,17 @@ def pair_table(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def found_links(docs: DataFrame, nodes: DataFrame, every: bool, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """a, b: links between distinct sets, by their vid; enough to join the components, or all."""
-    members = written(grouped(docs, width, percent).join(nodes, "lo"), "jaccard-members")
-    sums = members.groupBy("group").agg(F.sum("n").alias("elements"), F.min("vid").alias("pivot"), F.count("*").alias("sets"))
-    total, number = sums.agg(F.sum("elements"), F.sum("sets")).first()
-    lots = max(1, -(-(total or 0) // GROUP_ELEMENTS))
+#: Rows (doc_id, text, h), width and percent to rows (lo, group).
+Router = Callable[[DataFrame, int, int], DataFrame]
+
+
+def found_links(docs: DataFrame, nodes: DataFrame, every: bool, width: int = WORDS, percent: int = PERCENT, route: Router = grouped) -> DataFrame:
+    """a, b: links between distinct sets, by their vid; enough to join the components, or all. ``route`` says which sets are compared."""
+    members = written(route(docs, width, percent).join(nodes, "lo"), "jaccard-members")
+    sums = members.groupBy("group").agg(F.sum("n").alias("elements"), F.min("vid").alias("pivot"))
+    lots = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // GROUP_ELEMENTS))
     sums = sums.withColumn("blocks", F.ceil(F.col("elements") / GROUP_ELEMENTS).cast("int"))
-    members = spread_join(members, sums.drop("elements"), ["group"], "sets", number or 0)
+    members = spread_join(members, sums.drop("elements"), ["group"])
     members = members.withColumn("own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
     rows = docs.mapInArrow(once_a_task, docs.schema)
     same_row = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.h") == F.col("d.h"))
@@ -424,31 +449,29 @@ def with_hash(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
 
 
-def classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, route: Router = grouped) -> tuple[DataFrame, DataFrame]:
     """(the rows as :func:`measured` gives them; per distinct set: hi, lo, doc_id, h, rows, vid, component, the smallest vid that links reach)."""
     sized, nodes = measured(docs, width)
-    joined = components(found_links(docs, nodes, False, width, percent), "jaccard-links").select(F.col("node").alias("vid"), "component")
+    joined = components(found_links(docs, nodes, False, width, percent, route), "jaccard-links").select(F.col("node").alias("vid"), "component")
     return sized, nodes.join(joined, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
 
 
-def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, route: Router = grouped) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
-    Sets are of shingles of ``width`` words; links share ``percent`` hundredths of their union.
+    Sets are of shingles of ``width`` words; links share ``percent`` hundredths of their union. ``route`` says which sets are compared.
 
     A null or empty text, or one without words, has an empty set and is a component of its own. Rows with the
     same text are one component; a null id takes no part in a minimum unless there is no other. Rows that share
     an id and have different texts are different documents. Other columns are ignored; no rows give none.
     """
     docs = with_hash(docs)
-    sized, sets = classes(docs, width, percent)
+    sized, sets = classes(docs, width, percent, route)
     sets = written(sets, "jaccard-classes")
-    number = sets.agg(F.count("*"), F.sum("rows")).first()
-    weights = sets.groupBy("component").agg(F.count("*").alias("w"))
-    roots = weights.join(sets.where("vid = component").select("component", F.col("doc_id").alias("component_id")), "component")
-    named = spread_join(sets.select("hi", "lo", "rows", "component"), roots, ["component"], "w", number[0]).select("hi", "lo", "rows", "component_id")
+    roots = sets.where("vid = component").select("component", F.col("doc_id").alias("component_id"))
+    named = spread_join(sets.select("hi", "lo", "component"), roots, ["component"]).select("hi", "lo", "component_id")
     full, empty = sized.where("n_shingles > 0"), sized.where("n_shingles = 0")
-    out = spread_join(full.select("doc_id", "n_shingles", "hi", "lo"), named, ["hi", "lo"], "rows", number[1] or 0)
+    out = spread_join(full.select("doc_id", "n_shingles", "hi", "lo"), named, ["hi", "lo"])
     return out.select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -460,7 +483,7 @@ def first_of_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     """
     _, sets = classes(with_hash(docs), width, percent)
     keys = sets.where("vid = component").select("doc_id", "h")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
     has_words = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
     kept = rows.where(has_words).alias("r").join(keys.hint("merge").alias("k"), F.col("r.id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.h") == F.col("k.h")), "left_semi")
     kept = kept.dropDuplicates(["id", "h"])
@@ -475,6 +498,6 @@ def pairs(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[
     """
     docs = with_hash(docs)
     sized, nodes = measured(docs, width)
-    held = spread_join(sized.where("n_shingles > 0").select("doc_id", "hi", "lo"), nodes.select("hi", "lo", "vid", "rows"), ["hi", "lo"], "rows", nodes.agg(F.sum("rows")).first()[0] or 0)
+    held = spread_join(sized.where("n_shingles > 0").select("doc_id", "hi", "lo"), nodes.select("hi", "lo", "vid"), ["hi", "lo"])
     links = found_links(docs, nodes, True, width, percent)
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), held.select("vid", "doc_id")

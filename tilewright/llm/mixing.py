@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, quoted, written
 
 MAX_REPEATS = 3
 BLOCK_WORDS = 4096
@@ -153,7 +153,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     made, plan = mix_sources(docs)
     taken = made.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max_by(F.struct("taken", "size", "source", "first_block", "blocks"), F.struct("taken", "size", "source", "first_block")).alias("mix"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"))
     rows = rows.join(taken, F.col("row.doc_id").cast("string").eqNullSafe(F.col("id")), "left").select("row", "mix.*")
     rows = rows.withColumns({"whole": F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1), "part": F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)})
     copies = (F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")

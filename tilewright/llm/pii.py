@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import quoted, written
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns, in forms that match the same spans without backtracking:
@@ -90,7 +90,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def with_base(docs: DataFrame) -> DataFrame:
     """``row`` (the columns of ``docs``), a ``key`` of its id and text, the ``text`` without nulls, base spans in columns named by kind."""
-    docs = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     return docs.withColumns(base_spans(F.col("text")))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, kneser_ney, licences, mixing, neighbours, packing, pii, repeats, tiff, toxicity
+from . import jaccard, kneser_ney, licences, merkle, mixing, neighbours, packing, pii, repeats, superminhash, tiff, toxicity, vector_codes
 from .common import as_bytes, table
 
 
@@ -162,9 +162,24 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates by sets of 4-word shingles that share eight tenths: their components, and which one stays."""
+    return superminhash.join(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest of all rows, and what it says of them after a part was tampered with."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code under learned codebooks, and its error."""
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_repeats": op10_repeats}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_jaccard_join": op2_jaccard_join, "op3_toxicity": op3_toxicity, "op4_tiff": op4_tiff, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_neighbours": op7_neighbours, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_repeats": op10_repeats, "op11_superminhash": op11_superminhash, "op12_merkle": op12_merkle, "op13_vector_codes": op13_vector_codes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.OP6_SQL}
+    return {"op6_mixing": mixing.OP6_SQL, "op12_merkle": merkle.OP12_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
