@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import jaccard, mixing, packing, pii, queries, toxicity
-from tilewright.llm.common import free_name, written
+from tilewright.llm.common import free_name, quoted, written
 
 TOXIC = 0.5
 #: Near duplicates share so many hundredths of their shingles of so many words.
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = toxicity.fit(docs.select(F.col("doc_id").cast("long"), "text"), queries.toxic_labels(spark, sf_dir))
     name = free_name("toxicity", docs.columns)
-    return toxicity.score(docs, model, name).where(F.col(name) < TOXIC).select(*docs.columns)
+    return toxicity.score(docs, model, name).where(F.col(name) < TOXIC).select(*quoted(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
