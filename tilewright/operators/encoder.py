@@ -6,6 +6,8 @@ are tables, so everything after that is joins and groups.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import codecs
 from ..sources import container as S
-from . import contours, vision
+from . import contours, paths, vision
 
 TILES = "file_id long, level long, x long, y long, width int, height int, rgba binary"
 
@@ -89,47 +92,72 @@ def encode(images: DataFrame, tile_size: int = 512, max_zoom: int = 5, low: floa
 def wanted_tiles(files: DataFrame, regions: DataFrame) -> DataFrame:
     """Sound payloads of the tiles that the regions (file_id, level, rx, ry, rw, rh, in pixels of the level) touch, beside them."""
     parts = S.sections(files)
+    held = S.payloads(parts).where("sound").select("file_id", "level", "x", "y", "payload")
+    return wanted_cells(parts, regions).join(held, ["file_id", "level", "x", "y"])
+
+
+def wanted_cells(parts: DataFrame, regions: DataFrame) -> DataFrame:
+    """The regions with tile_size and the places x, y of every tile of theirs."""
     sizes = S.parse_metadata(parts).where("error is null").select("file_id", "tile_size")
     asked = regions.join(sizes, "file_id").where("rw > 0 and rh > 0")
     first, last = lambda at: F.expr(f"{at} div tile_size"), lambda at, n: F.expr(f"({at} + {n} - 1) div tile_size")
-    cells = asked.withColumn("x", F.explode(F.sequence(first("rx"), last("rx", "rw")))).withColumn("y", F.explode(F.sequence(first("ry"), last("ry", "rh"))))
-    held = S.payloads(parts).where("sound").select("file_id", "level", "x", "y", "payload")
-    return cells.join(held, ["file_id", "level", "x", "y"])
+    return asked.withColumn("x", F.explode(F.sequence(first("rx"), last("rx", "rw")))).withColumn("y", F.explode(F.sequence(first("ry"), last("ry", "rh"))))
+
+
+def found_tiles(parts: DataFrame, regions: DataFrame) -> DataFrame:
+    """file_id, level, x, y, tile_size, rise, hx, hy, payload: for every tile that regions touch the sound one at its place (rise 0), or at the nearest coarser level.
+
+    ``rise`` is how many levels up that is, ``hx, hy`` its place there: a pixel of the region is the one at its coordinates shifted by
+    so many bits. Where no level has a tile there is no row.
+    """
+    cells = wanted_cells(parts, regions).select("file_id", "level", "x", "y", "tile_size").distinct()
+    tops = S.parse_metadata(parts).where("error is null").select("file_id", F.col("max_zoom_level").cast("long").alias("most"))
+    up = cells.join(tops, "file_id").withColumn("rise", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("most") - F.col("level"), F.lit(0)))))
+    up = up.select("file_id", "level", "x", "y", "tile_size", "rise", (F.col("level") + F.col("rise")).alias("held"), *(F.expr(f"shiftright({c}, cast(rise as int))").alias(f"h{c}") for c in "xy"))
+    tiles = S.payloads(parts).where("sound").select("file_id", F.col("level").alias("held"), F.col("x").alias("hx"), F.col("y").alias("hy"), "payload")
+    nearest = up.join(tiles, ["file_id", "held", "hx", "hy"]).groupBy("file_id", "level", "x", "y", "tile_size").agg(F.min_by(F.struct("rise", "hx", "hy", "payload"), "rise").alias("n"))
+    return nearest.select("file_id", "level", "x", "y", "tile_size", "n.*")
+
+
+PIXELS = "file_id long, level long, x long, y long, r int, g int, b int, a int"
+
+
+def cell_pixels(found: DataFrame) -> DataFrame:
+    """``PIXELS`` of the places of :func:`found_tiles`, each where it is decoded. Payloads that are no image give none."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, level, x, y, side, rise, hx, hy, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    image = codecs.from_png(payload)
+                except (ValueError, zlib.error, struct.error):
+                    continue
+                sx, sy = ((np.arange(k * side, k * side + side) >> rise) - h * side for k, h in ((x, hx), (y, hy)))
+                ax, ay = np.nonzero(sx < image.shape[1])[0], np.nonzero(sy < image.shape[0])[0]
+                part = image[sy[ay]][:, sx[ax]].reshape(-1, 4).astype(np.int32)
+                px, py = np.meshgrid(ax + x * side, ay + y * side)
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int64)) for v in (file_id, level)] + [pa.array(v.ravel().astype(np.int64)) for v in (px, py)] + [pa.array(part[:, c]) for c in range(4)], ["file_id", "level", "x", "y", *"rgba"])
+
+    keys = [F.col(c).cast("long").alias(c) for c in ("file_id", "level", "x", "y", "tile_size", "rise", "hx", "hy")]
+    return found.select(*keys, "payload").mapInArrow(spread, PIXELS)
 
 
 def render(files: DataFrame, regions: DataFrame) -> DataFrame:
-    """file_id, x, y, r, g, b, a: the pixels of regions of level 0 with the vector layers drawn over them.
+    """``PIXELS`` of regions (file_id, level, rx, ry, rw, rh, in pixels of the level) with the vector layers drawn over them.
 
-    What no tile holds is transparent. Layers are drawn in the order of their ids, each filled path over what is
-    below it with the layer's opacity; a pixel is in a path if its centre is, by ray casting.
+    A tile that a level lacks is taken from the nearest coarser level that has it, each of its pixels for several; what no
+    level holds is transparent. Layers are drawn in the order of their ids, each path over what is below it
+    with the layer's opacity, at the scale of the level; a pixel is in a path if its centre is, by the even-odd rule, and in a stroke
+    if its centre is near enough to a line (:mod:`paths`).
     """
-    tiles = S.decode_tiles(wanted_tiles(files, regions).select("file_id", "level", "x", "y", "payload")).where("error is null")
-    sizes = S.parse_metadata(S.sections(files)).where("error is null").select("file_id", "tile_size")
-    held = S.tile_pixels(tiles.join(sizes, "file_id"))
-    asked = regions.where("level = 0").withColumn("x", F.explode(F.sequence("rx", F.col("rx") + F.col("rw") - 1))).withColumn("y", F.explode(F.sequence("ry", F.col("ry") + F.col("rh") - 1)))
-    pixels = asked.select("file_id", "x", "y").distinct().join(held, ["file_id", "x", "y"], "left").select("file_id", "x", "y", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgba"))
-    return drawn(pixels, S.parse_paths(S.sections(files)))
-
-
-def drawn(pixels: DataFrame, paths: DataFrame) -> DataFrame:
-    """``pixels`` (file_id, x, y, r, g, b, a) with the filled paths of ``container.VECTORS`` over them."""
-    corners = paths.where("kind <> 'close'").select(F.struct("file_id", "layer_id", "path_id").alias("contour_id"), "seq", "x", "y")
-    boxes = paths.where("kind <> 'close'").groupBy("file_id", "layer_id", "path_id").agg(*(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))), F.first("fill").alias("fill"), F.first("opacity").alias("opacity"))
-    centre = {"px": F.col("x") + 0.5, "py": F.col("y") + 0.5}
-    near = pixels.select("file_id", "x", "y").withColumns(centre).join(boxes, "file_id").where("px >= lowx and px <= highx and py >= lowy and py <= highy")
-    probes = near.select(F.struct("file_id", "layer_id", "path_id", "x", "y").alias("probe_id"), F.struct("file_id", "layer_id", "path_id").alias("contour_id"), "px", "py")
-    inside = contours.points_inside(probes, corners).select("probe_id.*")
-    paint = inside.join(boxes.select("file_id", "layer_id", "path_id", "fill", "opacity"), ["file_id", "layer_id", "path_id"])
-    strokes = paint.groupBy("file_id", "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer_id", "path_id", "fill", "opacity"))).alias("paints"))
-    below = F.array(*(F.col(c).cast("double") for c in "rgba"))
-
-    def over(base, p):
-        share = p["fill"][3] * p["opacity"]
-        colour = F.transform(F.slice(base, 1, 3), lambda v, i: F.floor(p["fill"][i] * 255.0 * share + v * (1 - share)).cast("double"))
-        return F.concat(colour, F.array(F.greatest(base[3], F.floor(share * 255.0).cast("double"))))
-
-    rows = pixels.join(strokes, ["file_id", "x", "y"], "left").withColumn("out", F.aggregate(F.coalesce("paints", F.array().cast("array<struct<layer_id: bigint, path_id: bigint, fill: array<double>, opacity: double>>")), below, over))
-    return rows.select("file_id", "x", "y", *(F.col("out")[n].cast("int").alias(c) for n, c in enumerate("rgba")))
+    parts = S.sections(files)
+    held = cell_pixels(found_tiles(parts, regions))
+    asked = regions.where("rw > 0 and rh > 0").withColumn("x", F.explode(F.sequence("rx", F.col("rx") + F.col("rw") - 1))).withColumn("y", F.explode(F.sequence("ry", F.col("ry") + F.col("rh") - 1)))
+    pixels = asked.select("file_id", "level", "x", "y").distinct().join(held, ["file_id", "level", "x", "y"], "left").select("file_id", "level", "x", "y", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgba"))
+    shown = S.parse_paths(parts).join(regions.select("file_id", "level").distinct(), "file_id")
+    extents = regions.where("rw > 0 and rh > 0").groupBy("file_id", "level").agg(F.min("rx").alias("lowx"), F.max(F.col("rx") + F.col("rw") - 1).alias("highx"), F.min("ry").alias("lowy"), F.max(F.col("ry") + F.col("rh") - 1).alias("highy"))
+    return paths.drawn(pixels, paths.scaled(shown, F.pow(F.lit(2.0), -F.col("level"))), ["file_id", "level"], extents)
 
 
 def prefetched(viewports: DataFrame, cached: DataFrame, loading: DataFrame, tile: int, most: int) -> DataFrame:

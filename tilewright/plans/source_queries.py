@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import plugins
+from ..functions.session import with_checkpoints
 from ..operators import encoder
 from ..operators import tiles as T
 from ..sources import container as S
-from ..sources import images
+from ..sources import images, ranged
 from ..streaming import bandwidth as stream
 from . import views as V
 
@@ -103,6 +105,33 @@ def tile_index(spark, sf_dir):
     return S.parse_index(S.sections(files(spark, sf_dir))).select("file_id", "level", "x", "y", "uncompressed_size")
 
 
+def on_disk(spark: SparkSession, made: DataFrame, name: str) -> str:
+    """The folder in the shared one that the files are written to, one each, named by their ids."""
+    folder = f"{with_checkpoints(spark).sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    folder = f"file://{folder.removeprefix('file:')}" if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    S.write_whole(made.withColumn("name", F.concat(F.col("file_id").cast("string"), F.lit(".bin"))), folder).count()
+    return folder
+
+
+def file_number(path: str = "path"):
+    return F.regexp_extract(path, r"(-?[0-9]+)\.bin$", 1).cast("long").alias("file_id")
+
+
+@query("src4_ranged_tiles", "select vec_id as file_id, 1::bigint as x, y // 4 as y, sum(g)::bigint as grey from (select vec_id, x, y::bigint as y, g from v_pixels) where x >= 4 and vec_id % 7 <> 0 and vec_id % 11 <> 0 and not (vec_id % 13 = 0 and y >= 4) group by vec_id, y // 4")
+def ranged_tiles(spark, sf_dir):
+    """The right half of every sound file's tiles, read by ranges from files on disk: other payloads are not read."""
+    tiles = ranged.read_tiles(spark, on_disk(spark, damaged(spark, sf_dir), "ranged"), runBytes=1 << 20).where("level = 0 and x >= 1 and sound")
+    shown = S.decode_tiles(tiles.select(file_number(), "level", "x", "y", "payload"))
+    return S.tile_pixels(shown.withColumn("tile_size", F.lit(4))).groupBy("file_id", F.expr("x div 4").alias("x"), F.expr("y div 4").alias("y")).agg(F.sum("r").alias("grey"))
+
+
+@query("src6_ranged_index", "select vec_id as file_id, case when vec_id % 7 = 0 then 'magic' when vec_id % 11 = 0 then 'short' end as error, case when vec_id % 7 <> 0 and vec_id % 11 <> 0 then 4 else 0 end::bigint as tiles from embeddings")
+def ranged_index(spark, sf_dir):
+    """Only headers and indexes of the files on disk: entries of each, and what is wrong with the others."""
+    index = ranged.read_tiles(spark, on_disk(spark, damaged(spark, sf_dir), "ranged"), payloads=False)
+    return index.groupBy(file_number()).agg(F.max("error").alias("error"), F.count("level").alias("tiles"))
+
+
 @query("src8_checked_payloads", "select vec_id as file_id, x, y, not (vec_id % 13 = 0 and x = 1 and y = 1) as sound from embeddings, range(2) a(x), range(2) b(y) where vec_id % 7 <> 0 and vec_id % 11 <> 0")
 def checked_payloads(spark, sf_dir):
     return S.payloads(S.sections(damaged(spark, sf_dir))).select("file_id", "x", "y", "sound")
@@ -153,10 +182,133 @@ INSIDE = "(p.x >= k and p.x < k + 3 and p.y >= 1 and p.y < 5)"
 def rendered_region(spark, sf_dir):
     """A region of every file with its vector layers drawn over the tiles."""
     f = files(spark, sf_dir)
-    regions = f.select("file_id", *(F.lit(v).cast("long").alias(n) for n, v in (("level", 0), ("rx", 2), ("ry", 0), ("rw", 5), ("rh", 6))))
+    regions = meta_of(spark, sf_dir, 0).select("file_id", *(F.lit(v).cast("long").alias(n) for n, v in (("level", 0), ("rx", 2), ("ry", 0), ("rw", 5), ("rh", 6))))
     return encoder.render(f, regions).select("file_id", "x", "y", "r", "a")
 
 
+def sparse_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels 0, 1 and 2 of the 8 x 8 images in tiles of 4 (each level the upper left pixels of the one below); some tiles are not there."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for vec, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                g = np.floor((np.array(values, dtype=np.float64) + 1) * 127.5).astype(np.uint8).reshape(8, 8)
+                lacking = {place for every, place in ((3, (0, 1, 0)), (5, (0, 0, 1)), (2, (1, 0, 0))) if vec % every == 0}
+                for level in range(3):
+                    small = g[:: 1 << level, :: 1 << level]
+                    image = np.stack((small, small, small, np.full_like(small, 255)), axis=2)
+                    for y in range(-(-len(small) // 4)):
+                        for x in range(-(-len(small) // 4)):
+                            if (level, x, y) not in lacking:
+                                part = image[4 * y : 4 * y + 4, 4 * x : 4 * x + 4]
+                                rows.append((vec, level, x, y, part.shape[1], part.shape[0], part.tobytes()))
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], ["file_id", "level", "x", "y", "width", "height", "rgba"])
+
+    full = V.table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", "embedding")
+    return full.mapInArrow(cut, encoder.TILES)
+
+
+def meta_of(spark: SparkSession, sf_dir: str, zoom: int) -> DataFrame:
+    sizes = {"width": 8, "height": 8, "tile_size": 4}
+    return V.table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select(F.col("vec_id").alias("file_id"), *(F.lit(n).cast("long").alias(c) for c, n in sizes.items()), F.lit(zoom).alias("max_zoom_level"))
+
+
+SHRUNK = "(p.x + 0.5::double >= k * f and p.x + 0.5::double < (k + 3) * f and p.y + 0.5::double >= f and p.y + 0.5::double < 5 * f)"
+
+
+@query(
+    "rnd1_levels",
+    f"""with recursive cells as (select vec_id, l, x, y, 1.0::double / (1 << l) as f,
+  case when l = 0 and not (vec_id % 3 = 0 and x >= 4 and y < 4) and not (vec_id % 5 = 0 and x < 4 and y >= 4) then 0 when vec_id % 2 <> 0 then 1 else 2 end as h
+  from (select distinct vec_id from v_pixels), range(2) t(l), range(8) a(x), range(8) b(y) where x < 8 >> l and y < 8 >> l),
+base as (select c.vec_id, c.l, c.x, c.y, c.f, c.h, p.g as v, 0 as step from cells c join v_pixels p on p.vec_id = c.vec_id and p.x = (c.x >> (c.h - c.l)) << c.h and p.y = (c.y >> (c.h - c.l)) << c.h),
+paints as (select vec_id, k, row_number() over (partition by vec_id order by k, p) as n from {DRAWN}),
+r as (select * from base union all select p.vec_id, p.l, p.x, p.y, p.f, p.h, case when {SHRUNK} then floor(255.0::double * 0.5::double + p.v * 0.5::double)::int else p.v end, p.step + 1 from r p join paints on paints.vec_id = p.vec_id and paints.n = p.step + 1)
+select vec_id as file_id, l::bigint as level, x::bigint as x, y::bigint as y, arg_max(v, step)::int as r, 255 as a from r group by vec_id, l, x, y""",
+)
+def rendered_levels(spark, sf_dir):
+    """Levels 0 and 1 of every file, from coarser ones where tiles are lacking, with the layers at their scale."""
+    f = S.write_files(S.encode_tiles(sparse_tiles(spark, sf_dir)), meta_of(spark, sf_dir, 2), layers(spark, sf_dir))
+    level = meta_of(spark, sf_dir, 2).select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("level"))
+    side = F.when(F.col("level") == 0, 8).otherwise(4).cast("long")
+    regions = level.select("file_id", "level", F.lit(0).cast("long").alias("rx"), F.lit(0).cast("long").alias("ry"), side.alias("rw"), side.alias("rh"))
+    return encoder.render(f, regions).select("file_id", "level", "x", "y", "r", "a")
+
+
+# Commands of the curved paths: path, seq, kind, x, y, x1, y1, x2, y2. The control point of the quadratic one moves with the file.
+SHAPES = [
+    (0, 0, "move", 1.0, 1.0, None, None, None, None), (0, 1, "quadratic", 6.5, 3.0, 4.0, -1.0, None, None), (0, 2, "cubic", 1.5, 6.0, 9.0, 5.0, 3.0, 9.0), (0, 3, "close", None, None, None, None, None, None),
+    (1, 0, "move", 0.5, 7.0, None, None, None, None), (1, 1, "line", 7.0, 0.5, None, None, None, None), (1, 2, "quadratic", 7.5, 7.5, 5.0, 5.0, None, None),
+]
+FILL, INK = (1.0, 0.5, 0.0, 1.0), (0.0, 0.25, 1.0, 0.75)
+
+
+def curved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``container.CURVES`` of every image: a filled shape of two curves, with a stroke in every second file; in every fourth an open stroke over it."""
+    made = spark.createDataFrame(SHAPES, "path_id long, seq long, kind string, x double, y double, x1 double, y1 double, x2 double, y2 double")
+    vec = V.table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id")
+    colour = lambda values: F.array(*map(F.lit, values))
+    rows = vec.join(F.broadcast(made), F.expr("path_id = 0 or vec_id % 4 = 1"))  # a fixed list of seven commands
+    inked = (F.col("path_id") == 1) | (F.col("vec_id") % 2 == 0)
+    return rows.select(
+        F.col("vec_id").alias("file_id"), F.lit(0).cast("long").alias("layer_id"), F.lit("curves").alias("name"), F.lit(0.5).alias("opacity"), F.lit("normal").alias("blend_mode"), "path_id",
+        F.when(F.col("path_id") == 0, colour(FILL)).otherwise(F.array().cast("array<double>")).alias("fill"), "seq", "kind", "x", "y",
+        F.when((F.col("kind") == "quadratic") & (F.col("path_id") == 0), F.col("x1") + F.col("vec_id") % 3).otherwise(F.col("x1")).alias("x1"), "y1", "x2", "y2",
+        F.when(inked, colour(INK)).alias("stroke"), F.when(inked, F.col("path_id") * 0.75 + 1.25).otherwise(0.0).alias("stroke_width"),
+    )
+
+
+def _sql_value(v) -> str:
+    return "null" if v is None else f"'{v}'" if isinstance(v, str) else str(v) if isinstance(v, int) else f"{v!r}::double"
+
+
+CURVED = f"""(select vec_id, path, seq, kind, x, y, case when kind = 'quadratic' and path = 0 then x1 + vec_id % 3 else x1 end as x1, y1, x2, y2,
+  path = 1 or vec_id % 2 = 0 as inked from embeddings, (values {", ".join("(" + ", ".join(map(_sql_value, c)) + ")" for c in SHAPES)}) c(path, seq, kind, x, y, x1, y1, x2, y2) where path = 0 or vec_id % 4 = 1)"""
+
+
+@query("dec2_curves", f"select vec_id as file_id, path::bigint as path_id, seq::bigint as seq, kind, x, y, x1, y1, x2, y2, case when inked then '{list(INK)}' end as stroke, case when inked then path * 0.75::double + 1.25::double else 0.0::double end as stroke_width from {CURVED}")
+def curve_commands(spark, sf_dir):
+    """Curves with their control points and strokes, written to the vector sections and read back."""
+    read = S.parse_paths(S.sections(files(spark, sf_dir, curved(spark, sf_dir))))
+    return read.select("file_id", "path_id", "seq", "kind", "x", "y", "x1", "y1", "x2", "y2", F.when(F.col("stroke").isNotNull(), F.concat(F.lit("["), F.array_join(F.transform("stroke", lambda v: v.cast("string")), ", "), F.lit("]"))).alias("stroke"), "stroke_width")
+
+
+def _over(v: str, colour: float, alpha: float, hit: str) -> str:
+    share = f"({alpha!r}::double * 0.5::double)"
+    return f"(case when {hit} then floor({colour!r}::double * 255.0::double * {share} + {v} * (1 - {share})) else {v} end)"
+
+
+def _painted(c: int) -> str:
+    return _over(_over(_over("g", FILL[c], FILL[3], "f0"), INK[c], INK[3], "s0"), INK[c], INK[3], "s1")
+
+
+_LENGTH = "sqrt(({b}x - {a}x) * ({b}x - {a}x) + ({b}y - {a}y) * ({b}y - {a}y))"
+CURVED_PIXELS = f"""with c as (select vec_id, path, seq, kind, x, y, x1, y1, x2, y2, lag(x) over w as sx, lag(y) over w as sy, bool_or(kind = 'close') over (partition by vec_id, path) as closed, inked from {CURVED} window w as (partition by vec_id, path order by seq)),
+n as (select *, case kind when 'quadratic' then floor(greatest(8.0::double, sqrt(((sx + x) * 0.5::double - x1) * ((sx + x) * 0.5::double - x1) + ((sy + y) * 0.5::double - y1) * ((sy + y) * 0.5::double - y1)) / 0.25::double))
+  when 'cubic' then floor(greatest(16.0::double, (sqrt((x1 - sx) * (x1 - sx) + (y1 - sy) * (y1 - sy)) + sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) + sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2))) / 0.25::double)) else 1 end::bigint as n from c where kind <> 'close'),
+k as (select *, k / n::double as t, 1 - k / n::double as u from (select *, unnest(range(1, n + 1)) as k from n)),
+corners as (select vec_id, path, seq, k, closed, inked,
+  case kind when 'quadratic' then u * u * sx + 2 * u * t * x1 + t * t * x when 'cubic' then u * u * u * sx + 3 * u * u * t * x1 + 3 * u * t * t * x2 + t * t * t * x else x end as x,
+  case kind when 'quadratic' then u * u * sy + 2 * u * t * y1 + t * t * y when 'cubic' then u * u * u * sy + 3 * u * u * t * y1 + 3 * u * t * t * y2 + t * t * t * y else y end as y from k),
+edges as (select vec_id, path, inked, path * 0.75::double + 1.25::double as width, x, y, coalesce(lead(x) over w, first(x) over w) as nx, coalesce(lead(y) over w, first(y) over w) as ny, closed or lead(x) over w is not null as drawn
+  from corners window w as (partition by vec_id, path order by seq, k rows between unbounded preceding and unbounded following)),
+met as (select p.vec_id, p.x, p.y, p.g, e.path, (e.y > p.y + 0.5::double) <> (e.ny > p.y + 0.5::double) and p.x + 0.5::double < (e.nx - e.x) * (p.y + 0.5::double - e.y) / nullif(e.ny - e.y, 0) + e.x as crossed,
+  e.inked and e.drawn and (p.x + 0.5::double - (e.x + t * (e.nx - e.x))) * (p.x + 0.5::double - (e.x + t * (e.nx - e.x))) + (p.y + 0.5::double - (e.y + t * (e.ny - e.y))) * (p.y + 0.5::double - (e.y + t * (e.ny - e.y))) <= width / 2 * (width / 2) as near
+  from v_pixels p join (select * from edges) e on e.vec_id = p.vec_id, lateral (select least(greatest(((p.x + 0.5::double - e.x) * (e.nx - e.x) + (p.y + 0.5::double - e.y) * (e.ny - e.y)) / ((e.nx - e.x) * (e.nx - e.x) + (e.ny - e.y) * (e.ny - e.y)), 0.0::double), 1.0::double) as t)),
+hits as (select vec_id, x, y, g, count(*) filter (path = 0 and crossed) % 2 = 1 as f0, coalesce(bool_or(near) filter (path = 0), false) as s0, coalesce(bool_or(near) filter (path = 1), false) as s1 from met group by vec_id, x, y, g)
+select vec_id as file_id, x::bigint as x, y::bigint as y, {_painted(0)}::int as r, {_painted(1)}::int as g, {_painted(2)}::int as b from hits"""
+
+
+@query("rnd2_curves", CURVED_PIXELS)
+def rendered_curves(spark, sf_dir):
+    """Every image with curved fills and strokes over it, from its file."""
+    f = files(spark, sf_dir, curved(spark, sf_dir))
+    regions = meta_of(spark, sf_dir, 0).select("file_id", *(F.lit(v).cast("long").alias(n) for n, v in (("level", 0), ("rx", 0), ("ry", 0), ("rw", 8), ("rh", 8))))
+    return encoder.render(f, regions).select("file_id", "x", "y", "r", "g", "b")
+
+
 @query("gen5_encoded_pyramid", "with l0 as (select vec_id, x // 4 as x, y // 4 as y, count(*) filter (a > 0) as n from v_rgba group by 1, 2, 3) select vec_id as file_id, 0::bigint as level, x::bigint as x, y::bigint as y from l0 where n > 0")
 def encoded_pyramid(spark, sf_dir):
     """Tiles of level 0 of encoded colour images: those with a visible pixel."""

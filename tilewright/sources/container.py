@@ -11,6 +11,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,12 @@ def is_container(content: Column) -> Column:
     return F.hex(F.substring(content, 1, 4)) == MAGIC_HEX
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """file_id, magic and the header's fields; nulls behind the end of a short file."""
+def headers(files: DataFrame, *more: str) -> DataFrame:
+    """file_id, ``more`` columns, magic, the header's fields and the length; nulls behind the end of a short file."""
     content = F.col("content")
-    return files.select("file_id", F.substring(content, 1, 4).alias("magic"), *(F.when(F.length(content) >= at + n, little_endian(content, at, n)).alias(name) for name, (at, n) in HEADER.items()), F.length(content).cast("long").alias("length"))
+    fields = [F.when(F.length(content) >= at + n, little_endian(content, at, n)).alias(name) for name, (at, n) in HEADER.items()]
+    # Inlined, so that each field is computed once and conditions on it do not repeat how.
+    return files.select("file_id", *more, F.substring(content, 1, 4).alias("magic"), F.inline(F.array(F.struct(*fields, F.length(content).cast("long").alias("length")))))
 
 
 def header_violation() -> Column:
@@ -59,14 +63,14 @@ def header_violation() -> Column:
 
 
 def section(content: Column, offset: Column, size: Column) -> Column:
-    return F.substring(content, (offset + 1).cast("int"), size.cast("int"))
+    return F.substring(content, F.try_add(offset, F.lit(1)).try_cast("int"), size.try_cast("int"))
 
 
 def sections(files: DataFrame) -> DataFrame:
     """file_id, header fields, content, metadata, vectors, index: the sections of sound files."""
-    head = headers(files).where(header_violation().isNull()).drop("magic", "length")
+    head = headers(files, "content").where(header_violation().isNull()).drop("magic", "length")
     cut = lambda name: section(F.col("content"), F.col(f"{name}_offset"), F.col(f"{name}_size"))
-    return files.select("file_id", "content").join(head, "file_id").withColumns({"metadata": cut("metadata"), "vectors": cut("vector"), "index": cut("tile_index")})
+    return head.withColumns({"metadata": cut("metadata"), "vectors": cut("vector"), "index": cut("tile_index")})
 
 
 def parse_index(parts: DataFrame, column: str = "index") -> DataFrame:
@@ -79,11 +83,18 @@ def parse_index(parts: DataFrame, column: str = "index") -> DataFrame:
 
 
 def payloads(parts: DataFrame) -> DataFrame:
-    """Index entries with payload and sound (the checksum holds)."""
-    entries = parse_index(parts)
-    data = entries.join(parts.select("file_id", "content", "tile_data_offset"), "file_id")
-    data = data.withColumn("payload", section(F.col("content"), F.col("tile_data_offset") + F.col("offset"), F.col("size")))
-    return data.withColumn("sound", (F.length("payload") == F.col("size")) & (F.crc32("payload") == F.col("checksum"))).drop("content", "tile_data_offset")
+    """Index entries with payload and sound (the checksum holds). Payloads are cut where the file lies; no row but the file's carries all of it."""
+    n = little_endian(F.col("index"), 0, 4)
+    sound = parts.where(F.length("index") >= 4).withColumn("n", n).where((F.col("n") > 0) & (F.length("index") == 4 + ENTRY_BYTES * F.col("n")))
+
+    def entry(k: Column) -> Column:
+        own = F.substring(F.col("index"), 5 + ENTRY_BYTES * k, F.lit(ENTRY_BYTES))
+        at = {name: little_endian(own, first, size) for name, (first, size) in ENTRY.items()}
+        payload = section(F.col("content"), F.try_add(F.col("tile_data_offset"), at["offset"]), at["size"])
+        return F.struct(*(value.alias(name) for name, value in at.items()), payload.alias("payload"))
+
+    entries = sound.select("file_id", F.explode(F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), entry)).alias("e")).select("file_id", "e.*")
+    return entries.withColumn("sound", (F.length("payload") == F.col("size")) & (F.crc32("payload") == F.col("checksum")))
 
 
 METADATA = "width long, height long, tile_size long, max_zoom_level int, version long, vector_codec string, raster_codec string, source_hash string, custom map<string,string>, error string"
@@ -111,8 +122,13 @@ def parse_metadata(parts: DataFrame) -> DataFrame:
 VECTORS = "file_id long, layer_id long, name string, opacity double, blend_mode string, path_id long, fill array<double>, seq long, kind string, x double, y double"
 VECTOR_ROWS = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.string(), pa.float64(), pa.float64()]
 VECTOR_NAMES = ["file_id", "layer_id", "name", "opacity", "blend_mode", "path_id", "fill", "seq", "kind", "x", "y"]
-#: Names of path commands in a file, and here.
+#: The same with control points (``x1, y1`` of a quadratic curve, both pairs of a cubic one) and strokes.
+CURVES = VECTORS + ", x1 double, y1 double, x2 double, y2 double, stroke array<double>, stroke_width double"
+CURVE_ROWS = [*VECTOR_ROWS, *[pa.float64()] * 4, pa.list_(pa.float64()), pa.float64()]
+CURVE_NAMES = [*VECTOR_NAMES, "x1", "y1", "x2", "y2", "stroke", "stroke_width"]
+#: Names of path commands in a file, and here; the control points that they have.
 COMMANDS = {"MoveTo": "move", "LineTo": "line", "QuadraticTo": "quadratic", "CubicTo": "cubic", "Close": "close"}
+CONTROLS = {"quadratic": ("x1", "y1"), "cubic": ("x1", "y1", "x2", "y2")}
 
 
 def parse_vectors(parts: DataFrame) -> DataFrame:
@@ -134,19 +150,27 @@ def parse_vectors(parts: DataFrame) -> DataFrame:
 
 
 def commands_of(vectors: dict) -> Iterator[tuple]:
-    """Rows of ``VECTORS`` but for the file: one per path command, those of a layer without paths with nulls."""
+    """Rows of ``CURVES`` but for the file: one per path command, those of a layer without paths with nulls. A path without commands has none."""
     for layer_id, layer in enumerate(vectors["layers"]):
         own = (layer_id, layer["name"], float(layer["opacity"]), tag(layer["blend_mode"]).lower())
         if not layer["paths"]:
-            yield *own, None, None, None, None, None, None
+            yield *own, *[None] * 12
         for path_id, path in enumerate(layer["paths"]):
+            fill, stroke = ([float(v) for v in path.get(c) or []] for c in ("fill", "stroke"))
+            look = (stroke or None, float(path.get("stroke_width") or 0.0))
             for seq, command in enumerate(path["commands"]):
                 name, at = (command, {}) if isinstance(command, str) else next(iter(command.items()))
-                yield *own, path_id, [float(v) for v in path["fill"] or []], seq, COMMANDS[name], at.get("x"), at.get("y")
+                kind = COMMANDS[name]
+                controls = (at.get(c) if c in CONTROLS.get(kind, ()) else None for c in ("x1", "y1", "x2", "y2"))
+                yield *own, path_id, fill, seq, kind, *map(number, (at.get("x"), at.get("y"), *controls)), *look
+
+
+def number(value) -> float | None:
+    return None if value is None else float(value)
 
 
 def parse_paths(parts: DataFrame) -> DataFrame:
-    """``VECTORS``: the path commands of the vector sections; damaged sections, which :func:`parse_vectors` tells, have none."""
+    """``CURVES``: the path commands of the vector sections; damaged sections, which :func:`parse_vectors` tells, have none."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,23 +180,26 @@ def parse_paths(parts: DataFrame) -> DataFrame:
                     rows += [(file_id, *row) for row in (commands_of(codecs.from_cbor(codecs.inflate(data))) if data else ())]
                 except (ValueError, KeyError, TypeError, AttributeError, zlib.error):
                     continue
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(VECTOR_ROWS), VECTOR_ROWS)], VECTOR_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(CURVE_ROWS), CURVE_ROWS)], CURVE_NAMES)
 
-    return parts.select(F.col("file_id").cast("long"), "vectors").mapInArrow(read, VECTORS)
+    return parts.select(F.col("file_id").cast("long"), "vectors").mapInArrow(read, CURVES)
 
 
 def vector_violations(paths: DataFrame) -> DataFrame:
-    """file_id, layer_id, path_id, code: layers whose opacity is not from 0 to 1, paths that do not begin with a move, go on behind their end, or have points that are no finite numbers."""
+    """file_id, layer_id, path_id, code: layers whose opacity is not from 0 to 1, paths that do not begin with a move, go on behind their end, or have points, control points of curves included, that are no finite numbers."""
+    paths = paths.withColumns({c: F.lit(None).cast("double") for c in ("x1", "y1", "x2", "y2") if c not in paths.columns})
     layers = paths.groupBy("file_id", "layer_id").agg(F.first("opacity").alias("o")).where("not (o >= 0 and o <= 1)").select("file_id", "layer_id", F.lit(None).cast("long").alias("path_id"), F.lit("opacity").alias("code"))
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    lost = lambda *names: ~reduce(and_, map(finite, names))
+    odd = (F.col("kind") != "close") & lost("x", "y") | reduce(or_, ((F.col("kind") == kind) & lost(*names) for kind, names in CONTROLS.items()))
     per = paths.where("path_id is not null").groupBy("file_id", "layer_id", "path_id")
-    own = per.agg(F.min_by("kind", "seq").alias("first"), F.bool_or((F.col("kind") != "close") & ~(finite("x") & finite("y"))).alias("odd"), F.min(F.when(F.col("kind") == "close", F.col("seq"))).alias("closed"), F.max("seq").alias("last"))
+    own = per.agg(F.min_by("kind", "seq").alias("first"), F.bool_or(odd).alias("odd"), F.min(F.when(F.col("kind") == "close", F.col("seq"))).alias("closed"), F.max("seq").alias("last"))
     code = F.when(F.col("first") != "move", "no_move").when(F.col("odd"), "coordinate").when(F.col("closed") < F.col("last"), "after_close")
     return layers.unionByName(own.withColumn("code", code).where("code is not null").select("file_id", "layer_id", "path_id", "code"))
 
 
 def vector_section(rows: list[dict]) -> bytes:
-    """The vector section of one file from its rows of ``VECTORS``."""
+    """The vector section of one file from its rows of ``VECTORS`` or ``CURVES``. Bounds hold the control points too, and so the whole curve."""
     shown = {short: name for name, short in COMMANDS.items()}
     layers: dict[int, dict] = {}
     box = lambda xs, ys: {"x": min(xs, default=0.0), "y": min(ys, default=0.0), "width": max(xs, default=0.0) - min(xs, default=0.0), "height": max(ys, default=0.0) - min(ys, default=0.0)}
@@ -180,11 +207,12 @@ def vector_section(rows: list[dict]) -> bytes:
         layer = layers.setdefault(r["layer_id"], {"id": r["name"], "name": r["name"], "paths": {}, "opacity": r["opacity"], "blend_mode": r["blend_mode"].capitalize()})
         if r["path_id"] is None:
             continue
-        path = layer["paths"].setdefault(r["path_id"], {"commands": [], "fill": r["fill"], "stroke": None, "stroke_width": 0.0, "xs": [], "ys": []})
-        path["commands"].append("Close" if r["kind"] == "close" else {shown[r["kind"]]: {"x": r["x"], "y": r["y"]}})
+        path = layer["paths"].setdefault(r["path_id"], {"commands": [], "fill": r["fill"] or None, "stroke": r.get("stroke") or None, "stroke_width": r.get("stroke_width") or 0.0, "xs": [], "ys": []})
+        held = {c: r.get(c) for c in (*CONTROLS.get(r["kind"], ()), "x", "y")}
+        path["commands"].append("Close" if r["kind"] == "close" else {shown[r["kind"]]: held})
         if r["kind"] != "close":
-            path["xs"].append(r["x"])
-            path["ys"].append(r["y"])
+            path["xs"] += [v for c, v in held.items() if c[0] == "x" and v is not None]
+            path["ys"] += [v for c, v in held.items() if c[0] == "y" and v is not None]
     every = [p for layer in layers.values() for p in layer["paths"].values()]
     whole = box([x for p in every for x in p["xs"]], [y for p in every for y in p["ys"]])
     for layer in layers.values():
@@ -219,20 +247,42 @@ def decode_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.select(*keys, "payload").mapInArrow(read, "file_id long, level long, x long, y long, width int, height int, rgba binary, error string")
 
 
+#: Pixels that a batch of rows holds, or one tile.
+PIXELS_AT_ONCE = 1 << 18
+
+
 def tile_pixels(tiles: DataFrame) -> DataFrame:
-    """file_id, x, y, r, g, b, a: the pixels of decoded tiles (file_id, x, y, width, height, rgba, tile_size) at their places in the level."""
+    """file_id, level, x, y, r, g, b, a: the pixels of decoded tiles (file_id, level, x, y, width, height, rgba, tile_size) at their places in the level.
+
+    Without a column level it is 0.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for file_id, x, y, width, height, data, side in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                cells = np.frombuffer(data, dtype=np.uint8).reshape(-1, 4)
-                k = np.arange(width * height)
-                columns = [np.full(len(k), file_id), x * side + k % width, y * side + k // width]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(cells[:, c].astype(np.int32)) for c in range(4))], ["file_id", "x", "y", *"rgba"])
-
-    keys = [F.col(c).cast("long").alias(c) for c in ("file_id", "x", "y")]
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                held.append(row)
+                size += row[4] * row[5]
+                if size > PIXELS_AT_ONCE:
+                    yield placed(held)
+                    held, size = [], 0
+        yield placed(held)
+
+    def placed(held: list[tuple]) -> pa.RecordBatch:
+        columns: list[list] = [[np.empty(0, np.int64)] for _ in range(4)]
+        cells = [np.empty((0, 4), np.uint8)]
+        for file_id, level, x, y, width, height, data, side in held:
+            k = np.arange(width * height)
+            for column, values in zip(columns, (np.full(len(k), file_id), np.full(len(k), level), x * side + k % width, y * side + k // width)):
+                column.append(values)
+            cells.append(np.frombuffer(data, dtype=np.uint8).reshape(-1, 4))
+        colours = np.concatenate(cells).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), *(pa.array(colours[:, c]) for c in range(4))], ["file_id", "level", "x", "y", *"rgba"])
+
+    level = F.col("level") if "level" in tiles.columns else F.lit(0)
+    keys = [F.col("file_id").cast("long"), level.cast("long").alias("level"), F.col("x").cast("long"), F.col("y").cast("long")]
     sizes = [F.col(c).cast("long").alias(c) for c in ("width", "height")]
-    return tiles.select(*keys, *sizes, "rgba", F.col("tile_size").cast("long")).mapInArrow(spread, "file_id long, x long, y long, r int, g int, b int, a int")
+    return tiles.select(*keys, *sizes, "rgba", F.col("tile_size").cast("long")).mapInArrow(spread, "file_id long, level long, x long, y long, r int, g int, b int, a int")
 
 
 def encode_tiles(tiles: DataFrame) -> DataFrame:
