@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import with_checkpoints
+from . import tiled
 from .tiles import div
 
 # Weights of red, green and blue in brightness.
@@ -225,19 +226,15 @@ def centre_colour(pixels: DataFrame, by: list[str]) -> DataFrame:
     return middle.where("x = cx and y = cy").select(*by, *((F.col(c) / 255.0).alias(c) for c in "rgba"))
 
 
-def labels8(pixels: DataFrame, by: list[str], threshold: int = 128) -> DataFrame:
-    """by, x, y, label: 8-connected components of the pixels above ``threshold``, labelled by their smallest place.
+def labels8(pixels: DataFrame, by: list[str], threshold: int = 128, side: int = tiled.SIDE) -> DataFrame:
+    """by, x, y, label: 8-connected components of the pixels above ``threshold``, labelled by their smallest place (65536 times the row, plus the column).
 
-    Every pair of neighbours is an edge once; :func:`smallest_linked` follows them, in about the logarithm of the
-    longest way through a component. An image is not gathered anywhere.
+    Components are found inside tiles of ``side`` pixels, and followed across their borders as a graph (:func:`tiled.labels`).
+    An image is not gathered anywhere.
     """
-    code = lambda x, y: y.cast("long") * 65536 + x
-    x, y = F.col("x"), F.col("y")
-    marked = pixels.where(F.col("g") > threshold).select(*by, "x", "y", code(x, y).alias("a"))
-    ahead = F.array(*(F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))))
-    steps = marked.select(*by, "a", F.explode(ahead).alias("to")).where("to.x between 0 and 65535").select(*by, "a", code(F.col("to.x"), F.col("to.y")).alias("b"))
-    edges = steps.join(marked.select(*by, F.col("a").alias("b")), [*by, "b"], "left_semi")
-    return marked.join(smallest_linked(edges, by), [*by, "a"], "left").select(*by, "x", "y", F.coalesce("label", "a").alias("label"))
+    found = tiled.labels(pixels.where(F.col("g") > threshold), by, side)
+    place = div(F.col("label"), tiled.ROW) * 65536 + F.col("label") % tiled.ROW
+    return found.select(*by, F.col("x").cast("int"), F.col("y").cast("int"), place.alias("label"))
 
 
 def smallest_linked(edges: DataFrame, by: list[str]) -> DataFrame:

@@ -54,8 +54,13 @@ def convolved(image: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
     return sum(w * np.take(wide, range(k, k + size), axis=axis) for k, w in enumerate(weights))
 
 
-def edges_of(image: np.ndarray, low: float, high: float, sigma: float = 1.4) -> np.ndarray:
-    """Canny edges: blur, gradient, thinning along it, then weak edges only where they touch strong ones."""
+#: The blur of :func:`thinned`, and how far away a pixel can have a say: blur, gradient and thinning together.
+SIGMA = 1.4
+REACH = int(np.ceil(2 * SIGMA)) + 2
+
+
+def thinned(image: np.ndarray, low: float, high: float, sigma: float = SIGMA) -> tuple[np.ndarray, np.ndarray]:
+    """(strong, weak) edges of Canny's method: blur, gradient, thinning along it, thresholds; strong ones are weak too."""
     half = int(np.ceil(2 * sigma))
     bell = np.exp(-(np.arange(-half, half + 1) ** 2) / (2 * sigma * sigma))
     bell /= bell.sum()
@@ -70,7 +75,13 @@ def edges_of(image: np.ndarray, low: float, high: float, sigma: float = 1.4) ->
     thin = np.zeros_like(size, dtype=bool)
     for k, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
         thin |= (sector == k) & (size > at(-dy, -dx)) & (size >= at(dy, dx))
-    strong, weak = thin & (size >= high), thin & (size >= low)
+    return thin & (size >= high), thin & (size >= low)
+
+
+def edges_of(image: np.ndarray, low: float, high: float, sigma: float = SIGMA) -> np.ndarray:
+    """Canny edges: strong ones, and weak ones only where they touch strong ones."""
+    strong, weak = thinned(image, low, high, sigma)
+    h, w = image.shape
     while True:
         wide = np.pad(strong, 1)
         near = np.zeros_like(strong)

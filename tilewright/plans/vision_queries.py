@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contours as C
 from ..operators import pixels as P
-from ..operators import vision
+from ..operators import tiled, vision
 from ..operators.tiles import div
 from ..streaming import cache
 from . import views as V
@@ -48,11 +48,29 @@ def lanczos_level(spark, sf_dir):
     return vision.lanczos(grey_images(spark, sf_dir), 1).select("id", "width", "height", F.hex("data").alias("data"))
 
 
+def mosaics(spark: SparkSession, sf_dir: str, side: int = 16) -> DataFrame:
+    """``tiled.TILED``: the images of 64 consecutive ids side by side, as one of 64 x 64 pixels in tiles of 16; ids that lack leave zeros."""
+    p = V.pixels(spark, sf_dir)
+    k = F.col("vec_id") % 64
+    cells = p.select(div(F.col("vec_id"), 64).alias("id"), (k % 8 * 8 + F.col("x")).alias("x"), (div(k, 8) * 8 + F.col("y")).alias("y"), "g")
+    places = F.sequence(F.lit(0), F.lit(64 // side - 1))
+    tiles = cells.select("id").distinct().withColumn("tx", F.explode(places)).withColumn("ty", F.explode(places))
+    held = cells.groupBy("id", div(F.col("x"), side).cast("int").alias("tx"), div(F.col("y"), side).cast("int").alias("ty")).agg(F.collect_list(F.struct((F.col("y") % side * side + F.col("x") % side).cast("int").alias("k"), "g")).alias("cells"))
+    spread = tiles.join(held, ["id", "tx", "ty"], "left").withColumn("m", F.map_from_entries(F.coalesce("cells", F.array().cast("array<struct<k: int, g: int>>"))))
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)).cast("long")), 2, "0")), ""))
+    return spread.select("id", "tx", "ty", F.lit(side).alias("width"), F.lit(side).alias("height"), data.alias("data"))
+
+
+def tiled_edges(spark, sf_dir):
+    """Edge pixels of mosaics that no row holds whole, by tile."""
+    return tiled.canny(mosaics(spark, sf_dir), 16, 20, 40).select("id", "tx", "ty", (F.length(F.regexp_replace(F.hex("data"), "00", "")) / 2).cast("int").alias("edges"))
+
+
 def cache_stream(spark, sf_dir):
     return cache.last_stats(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "gen4_auto_segments": auto_segments, "gen10_canny": canny_edges, "gen8_contour_walks": contour_walks, "gen7_contour_paths": contour_paths, "gen2_lanczos_level": lanczos_level, "str10_cache_stream": cache_stream,
+    "gen4_auto_segments": auto_segments, "gen10_canny": canny_edges, "gen10_tiled_edges": tiled_edges, "gen8_contour_walks": contour_walks, "gen7_contour_paths": contour_paths, "gen2_lanczos_level": lanczos_level, "str10_cache_stream": cache_stream,
 }
 SQL: dict[str, str] = {}
