@@ -475,13 +475,13 @@ def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, route: Rou
     return out.select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def first_of_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def first_of_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, route: Router = grouped) -> DataFrame:
     """The rows of ``docs``, same columns, of which each group of similar texts has one: one with its smallest id.
 
     Texts without words are in no group and all stay. Groups are those of :func:`join`; rows without an id are
     kept only where no row of their group has one.
     """
-    _, sets = classes(with_hash(docs), width, percent)
+    _, sets = classes(with_hash(docs), width, percent, route)
     keys = sets.where("vid = component").select("doc_id", "h")
     rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
     has_words = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
