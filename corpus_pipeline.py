@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import jaccard, mixing, packing, pii, queries, toxicity
+from tilewright.llm import jaccard, mixing, packing, pii, queries, superminhash, toxicity
 from tilewright.llm.common import free_name, quoted, written
 
 TOXIC = 0.5
@@ -25,13 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones, with the smallest id; similar by their sets of 5-word shingles,
-    which share eight tenths.
+    which share eight tenths, as the prefix trees of the join find them in groups of candidates.
+
+    Candidates are the sets that agree in a band of a SuperMinHash signature, which links at eight tenths miss once in ten million times:
+    the parts that the join itself deals by hold three elements at that share, and join texts that only have a passage in common.
 
     Texts without words are in no group and all stay. Rows that share an id and have different texts are different
     documents; of equal ones one stays. Rows without an id stay where no row of their group has one, one of each
     group. Other columns, whatever their names, are kept.
     """
-    return jaccard.first_of_groups(docs, NEAR_WORDS, NEAR_PERCENT)
+    return jaccard.first_of_groups(docs, NEAR_WORDS, NEAR_PERCENT, superminhash.grouped)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
