@@ -36,12 +36,12 @@ def operation_stats(spark, sf_dir):
 
 @query("agg2_bottlenecks", f"select operation, printf('%s: avg %d ns, max %d ns', operation, avg, max) as report from {STATS} where avg > 1000000 or max / greatest(min, 1) > 10")
 def bottlenecks(spark, sf_dir):
-    return M.bottlenecks(M.operation_stats(V.measurements(spark, sf_dir)))
+    return M.bottlenecks(M.operation_totals(V.measurements(spark, sf_dir)))
 
 
 @query("flt21_slow_operations", f"select operation from {STATS} where avg > 400000 or max / greatest(min, 1) > 100000")
 def slow_operations(spark, sf_dir):
-    return M.bottlenecks(M.operation_stats(V.measurements(spark, sf_dir)), 400_000, 100_000).select("operation")
+    return M.bottlenecks(M.operation_totals(V.measurements(spark, sf_dir)), 400_000, 100_000).select("operation")
 
 
 RECENT = "(select *, sum(bytes) over w as rb, sum(duration_us) over w as rd from v_transfers window w as (partition by client order by us range between 10000000000 preceding and current row))"

@@ -11,7 +11,7 @@ from ..operators import contours as C
 from ..operators import pixels as P
 from ..operators import tiled, vision
 from ..operators.tiles import div
-from ..streaming import cache
+from ..streaming import cache, viewports
 from . import views as V
 
 
@@ -70,7 +70,20 @@ def cache_stream(spark, sf_dir):
     return cache.last_stats(spark, sf_dir)
 
 
+def viewport_stream(spark, sf_dir):
+    """The best quality that each tile of each view has got, from two streams."""
+    found = viewports.last_views(spark, sf_dir)
+    return found.select("client", "view", "tile", "quality", F.unix_micros("arrived").alias("arrived_us"), "steps")
+
+
+VIEWS = "(select user_id as client, event_id as view, epoch_us(ts) as us, floor(value * 100)::bigint % 400 as x from events where event_id % 2 = 0)"
+ARRIVALS = "(select user_id as client, floor(value * 100)::bigint % 9 as tile, event_id % 5 as quality, epoch_us(ts) as us from events where event_id % 2 = 1)"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "gen4_auto_segments": auto_segments, "gen10_canny": canny_edges, "gen10_tiled_edges": tiled_edges, "gen8_contour_walks": contour_walks, "gen7_contour_paths": contour_paths, "gen2_lanczos_level": lanczos_level, "str10_cache_stream": cache_stream,
+    "gen4_auto_segments": auto_segments, "gen10_canny": canny_edges, "gen10_tiled_edges": tiled_edges, "gen8_contour_walks": contour_walks, "gen7_contour_paths": contour_paths, "gen2_lanczos_level": lanczos_level, "str10_cache_stream": cache_stream, "str3_viewport_stream": viewport_stream,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "str3_viewport_stream": f"""with shown as (select v.client, v.view, a.tile, a.quality, a.us, max(a.quality) over (partition by v.client, v.view, a.tile order by a.us, a.quality desc rows between unbounded preceding and 1 preceding) as before
+  from {VIEWS} v join {ARRIVALS} a on a.client = v.client and a.tile between v.x // 64 and (v.x + 99) // 64 + 1 and a.us between v.us and v.us + 43200000000)
+select client, view, tile, max(quality) as quality, arg_min(us, (-quality, us)) as arrived_us, count(*) filter (before is null or quality > before) as steps from shown group by client, view, tile""",
+}
