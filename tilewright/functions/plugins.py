@@ -198,9 +198,9 @@ def extension_size(custom: Column, name: str) -> Column:
 CONFIG = "id string, enabled boolean, priority int, settings string"
 
 
-def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Plugin configurations from JSON files, one object a line; settings are any JSON, as a variant."""
-    return spark.read.schema(CONFIG).json(path).withColumn("settings", F.try_parse_json("settings"))
+def read_configs(spark: SparkSession, path: str, more: str = "") -> DataFrame:
+    """Plugin configurations from JSON files, one object a line, with ``more`` columns; settings are any JSON, as a variant."""
+    return spark.read.schema(f"{CONFIG}, {more}" if more else CONFIG).json(path).withColumn("settings", F.try_parse_json("settings"))
 
 
 def config_of(configs: DataFrame, plugin: Plugin, path: str = "$") -> dict:
@@ -213,3 +213,25 @@ def config_of(configs: DataFrame, plugin: Plugin, path: str = "$") -> dict:
 
 def write_configs(configs: DataFrame, path: str) -> None:
     configs.withColumn("settings", F.to_json("settings")).write.mode("overwrite").json(path)
+
+
+def config_violations(configs: DataFrame, registry: Registry) -> DataFrame:
+    """Adds code: the first rule that a configuration breaks, or null. Settings must be an object of the plugin's parameters, each a number in its range; none at all are fine."""
+    rules = F.lit("unknown_plugin")
+    for plugin in registry.plugins.values():
+        own = F.lit(None).cast("string")
+        for name, (_, low, high) in reversed(plugin.parameters.items()):
+            given, number = (F.try_variant_get("settings", f"$.{name}", kind) for kind in ("variant", "double"))
+            own = F.when(given.isNotNull() & number.isNull(), f"not_a_number:{name}").when(~number.between(low, high), f"out_of_range:{name}").otherwise(own)
+        keys = F.map_keys(F.try_variant_get("settings", "$", "map<string, variant>"))
+        unknown = F.filter(keys, lambda k: ~k.isin(*plugin.parameters) if plugin.parameters else F.lit(True))  # noqa: B023
+        own = F.when(F.col("settings").isNotNull() & keys.isNull(), "not_an_object").when(F.size(F.coalesce(unknown, F.array().cast("array<string>"))) > 0, F.concat(F.lit("unknown_parameter:"), F.array_min(unknown))).otherwise(own)
+        rules = F.when(F.col("id") == plugin.id, own).otherwise(rules)
+    return configs.withColumn("code", rules)
+
+
+def chosen_configs(configs: DataFrame, plugin: Plugin, by: list[str], tie: str) -> DataFrame:
+    """by and the plugin's parameters: for each group the values of its enabled configuration with the highest priority (then the smallest ``tie``); those not given by default."""
+    values = [F.coalesce(F.try_variant_get("settings", f"$.{name}", "double"), F.lit(float(default))).alias(name) for name, (default, _, _) in plugin.parameters.items()]
+    own = configs.where((F.col("id") == plugin.id) & F.col("enabled")).select(*by, F.struct("priority", (-F.col(tie)).alias("last")).alias("rank"), F.struct(*values).alias("values"))
+    return own.groupBy(*by).agg(F.max_by("values", "rank").alias("values")).select(*by, "values.*")

@@ -165,9 +165,14 @@ def kernel_size(sigma: float) -> int:
 
 def gaussian_kernel(frame: DataFrame, sigma: float) -> DataFrame:
     """k (offset from the middle), weight: weights that add up to 1. ``frame`` only gives the session."""
-    half = kernel_size(sigma) // 2
-    raw = frame.sparkSession.range(-half, half + 1).select(F.col("id").cast("int").alias("k"), F.exp(-F.col("id") * F.col("id") / (2.0 * sigma * sigma)).alias("raw"))
-    return raw.select("k", (F.col("raw") / F.sum("raw").over(Window.partitionBy())).alias("weight"))
+    return gaussian_kernels(frame.sparkSession.range(1).select("id", F.lit(float(sigma)).alias("sigma")), ["id"]).select("k", "weight")
+
+
+def gaussian_kernels(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, k (offset from the middle), weight: weights that add up to 1 for each row's ``sigma``."""
+    half = div(F.greatest((F.col("sigma") * 6).cast("int"), F.lit(3)).bitwiseOR(F.lit(1)), 2).cast("int")  # of kernel_size
+    raw = rows.withColumn("k", F.explode(F.sequence(-half, half))).select(*by, "k", F.exp(-F.col("k") * F.col("k") / (2.0 * F.col("sigma") * F.col("sigma"))).alias("raw"))
+    return raw.select(*by, "k", (F.col("raw") / F.sum("raw").over(Window.partitionBy(*by))).alias("weight"))
 
 
 def blur(pixels: DataFrame, by: list[str], weights: list[int]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boxes as B
 from ..operators import contours as C
+from ..operators import segments as G
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +169,28 @@ def transform(spark, sf_dir):
     """The entries of the matrix to device coordinates that are not 0."""
     m = V.part_boxes(spark, sf_dir).select("id", C.transform(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(1.5)).alias("m"))
     return m.select("id", *(F.col("m")[i][j].alias(f"m{i}{j}") for i, j in ((0, 0), (1, 1), (3, 0), (3, 1), (3, 3))))
+
+
+SEGMENTS = """(select p_partkey % 10 as image, 'edge' as source, p_partkey as id, (p_partkey % 291)::double as x, (p_partkey % 149)::double as y, (p_size + 10)::double as w, (p_size % 7 + 20)::double as h, (p_partkey * 37 % 101) / 100.0::double as confidence from part
+  union all select s_suppkey % 10, 'model', s_suppkey, (s_suppkey * 13 % 291)::double, (s_suppkey * 7 % 149)::double, (30 + s_suppkey % 9)::double, 25::double, (s_suppkey * 53 % 101) / 100.0::double from supplier)"""
+
+
+def both_engines(spark, sf_dir):
+    """Regions of ten images: parts as those by edges, suppliers as those of a model."""
+    p, k, s = V.table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("s_suppkey")
+    real = lambda c: c.cast("double")
+    edge = p.select((k % 10).alias("image"), F.lit("edge").alias("source"), k.alias("id"), real(k % 291).alias("x"), real(k % 149).alias("y"), real(F.col("p_size") + 10).alias("w"), real(F.col("p_size") % 7 + 20).alias("h"), (k * 37 % 101 / F.lit(100.0)).alias("confidence"))
+    model = V.table(spark, sf_dir, "supplier").select((s % 10).alias("image"), F.lit("model").alias("source"), s.alias("id"), real(s * 13 % 291).alias("x"), real(s * 7 % 149).alias("y"), real(30 + s % 9).alias("w"), F.lit(25.0).alias("h"), (s * 53 % 101 / F.lit(100.0)).alias("confidence"))
+    return edge.unionByName(model)
+
+
+@query("gen12_merged_regions", f"""with recursive r as (select *, row_number() over (partition by image order by confidence desc, source, id) as n from {SEGMENTS}),
+g as (select distinct image, 0::bigint as n, []::struct(source varchar, id bigint, x double, y double, w double, h double)[] as kept from r
+  union all select g.image, r.n, case when len(list_filter(g.kept, lambda k: greatest(least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x), 0) * greatest(least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y), 0)
+    >= greatest(0.5::double * (k.w * k.h + r.w * r.h - greatest(least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x), 0) * greatest(least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y), 0)), 1e-300::double))) > 0
+    then g.kept else list_append(g.kept, {{'source': r.source, 'id': r.id, 'x': r.x, 'y': r.y, 'w': r.w, 'h': r.h}}) end from g join r on r.image = g.image and r.n = g.n + 1),
+last as (select image, unnest(arg_max(kept, n)) as k from g group by image)
+select image, k.source as source, k.id as id from last""")
+def merged_regions(spark, sf_dir):
+    """Regions of two engines: of those that overlap by half the most confident stay."""
+    return G.merged(both_engines(spark, sf_dir)).select("image", "source", "id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import plugins, scalars
+from ..functions.session import with_checkpoints
 from ..operators import metrics as M
 from . import views as V
 
@@ -207,9 +209,21 @@ def timers(spark, sf_dir):
     return M.timed(e.select(F.col("user_id").alias("client"), "event_id", V.micros().alias("us"), F.col("event_type").alias("name"), kind.alias("kind")))
 
 
-@query("flt25_filter_plugins", "select 'brightness' as id")
+PLUGINS = ("brightness", "identity", "plain", "geo", "unknown")
+CATALOG = "(values ('brightness', 'filter', '1.0.0'), ('identity', 'compression', '1.0.0'), ('plain', 'renderer', '1.0.0'), ('geo', 'format', '1.0.0')) t(id, kind, version)"
+CALLS = f"(select event_id, {list(PLUGINS)}[event_id % 5 + 1] as id from events)"
+
+
+def calls(spark, sf_dir):
+    """Events as calls of plugins, one of which does not exist."""
+    return V.table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, PLUGINS)), (F.col("event_id") % 5 + 1).cast("int")).alias("id"))
+
+
+@query("flt25_filter_plugins", f"select event_id, id from {CALLS} where id in (select id from {CATALOG} where kind = 'filter')")
 def filter_plugins(spark, sf_dir):
-    return plugins.REGISTRY.catalog(spark).where("kind = 'filter'").select("id")
+    """The calls that name a filter."""
+    filters = plugins.REGISTRY.catalog(spark).where("kind = 'filter'")
+    return calls(spark, sf_dir).join(F.broadcast(filters), "id", "left_semi").select("event_id", "id")  # a row a registered plugin
 
 
 @query("top2_load_queue", f"select request_id, row_number() over (order by priority desc, deadline nulls last, request_id) as place from {REQUESTS}")
@@ -226,7 +240,17 @@ def not_cached(spark, sf_dir):
     return M.wanted(asked, held, loading, ["tile"])
 
 
-QUERIES["jn11_wanted_tiles"], SQL["jn11_wanted_tiles"] = not_cached, SQL["flt26_not_cached"]
+@query("jn11_wanted_tiles", """select client, x, y, place from (select client, x, y, row_number() over (partition by client order by radius, y, x)::int as place from (
+  select client, cx + dx as x, dy as y, greatest(abs(dx), abs(dy)) as radius from (select client, arg_max(floor(x / 64)::bigint, (us, event_id)) as cx from v_viewports group by client), range(-2, 3) a(dx), range(-2, 3) b(dy))
+  where x >= 0 and y >= 0 and not ((x + client) % 3 = 0 and y = 0) and (x + y + client) % 5 <> 0) where place <= 4""")
+def wanted_tiles(spark, sf_dir):
+    """The next four tiles to load for each client: around where it looks, not cached, not being loaded, nearest first."""
+    from ..operators.encoder import prefetched
+    from ..operators.tiles import rings
+
+    last = V.viewports(spark, sf_dir).groupBy("client").agg(F.max_by("x", F.struct("us", "event_id")).alias("ahead"))
+    near = rings(last.select("client", F.floor(F.col("ahead") / 64).alias("cx"), F.lit(0).cast("long").alias("cy")), 2).select("client", "x", "y")
+    return prefetched(last, near.where("(x + client) % 3 = 0 and y = 0"), near.where("(x + y + client) % 5 = 0"), 64, 4)
 
 
 @query("jn9_merged_confidence", "select a.idx, a.kind, greatest(a.confidence, coalesce(b.confidence, a.confidence)) as confidence from (select event_id as idx, event_type as kind, floor(value)::bigint as confidence from events) a left join (select event_id - 7 as idx, floor(value)::bigint as confidence from events where event_id % 2 = 1) b on a.idx = b.idx")
@@ -259,9 +283,40 @@ def encode_arguments(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", scalars.encode_errors(tile, k % 24, k % 14 / 10.0, k % 130).alias("code"))
 
 
-@query("udf7_plugin_catalog", "select * from (values ('brightness', 'filter', '1.0.0'), ('identity', 'compression', '1.0.0'), ('plain', 'renderer', '1.0.0'), ('geo', 'format', '1.0.0')) t(id, kind, version)")
+@query("udf7_plugin_catalog", f"select t.id, kind, version, count(event_id) as calls from {CATALOG} left join {CALLS} c on c.id = t.id group by all")
 def plugin_catalog(spark, sf_dir):
-    return plugins.REGISTRY.catalog(spark)
+    """The registered plugins and how often they are called."""
+    called = calls(spark, sf_dir).groupBy("id").agg(F.count("*").alias("calls"))
+    return plugins.REGISTRY.catalog(spark).join(called, "id", "left").select("id", "kind", "version", F.coalesce("calls", F.lit(0).cast("long")).alias("calls"))
+
+
+SETTINGS = f"""(select event_id, {list(PLUGINS)}[event_id % 5 + 1] as id, event_id % 3 <> 0 as enabled, (event_id % 11)::int as priority, event_id % 250 - 120 as b, event_id % 7 as odd from events)"""
+
+
+def configurations(spark, sf_dir):
+    """Events as plugin configurations: some values out of range, some no numbers, some of parameters that do not exist."""
+    k = F.col("event_id")
+    made = calls(spark, sf_dir).withColumns({"enabled": k % 3 != 0, "priority": (k % 11).cast("int")})
+    value = F.when(k % 7 == 3, F.lit('{"brightness": "much"}')).when(k % 7 == 5, F.lit('{"hue": 3}')).when(k % 7 == 6, F.lit(None)).otherwise(F.to_json(F.struct((k % 250 - 120).alias("brightness"))))
+    return made.withColumn("settings", F.parse_json(value))
+
+
+@query("udf14_plugin_settings", f"""select event_id, case when id = 'unknown' then 'unknown_plugin' when odd = 6 then null when odd = 5 then 'unknown_parameter:hue' when id <> 'brightness' then 'unknown_parameter:brightness' when odd = 3 then 'not_a_number:brightness' when b not between -100 and 100 then 'out_of_range:brightness' end as code from {SETTINGS}""")
+def plugin_settings(spark, sf_dir):
+    """The first rule that each configuration breaks."""
+    return plugins.config_violations(configurations(spark, sf_dir), plugins.REGISTRY).select("event_id", "code")
+
+
+@query("src15_chosen_settings", f"""select user_id, arg_max(case when s.odd = 6 then 0 else s.b end, (priority, -s.event_id))::double as brightness from {SETTINGS} s join events e using (event_id)
+  where s.id = 'brightness' and enabled and s.odd not in (3, 5) and (s.odd = 6 or s.b between -100 and 100) group by user_id""")
+def chosen_settings(spark, sf_dir):
+    """Each client's setting of the filter: written as JSON, read back, the sound and enabled one of the highest priority."""
+    users = V.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("owner"))
+    folder = f"{with_checkpoints(spark).sparkContext.getCheckpointDir()}/plugins-{uuid.uuid4().hex}"
+    plugins.write_configs(configurations(spark, sf_dir).join(users, "event_id"), folder)
+    held = plugins.config_violations(plugins.read_configs(spark, folder, "owner long, event_id long"), plugins.REGISTRY).where("code is null")
+    chosen = plugins.chosen_configs(held, plugins.REGISTRY.get("brightness", "filter"), ["owner"], "event_id")
+    return chosen.select(F.col("owner").alias("user_id"), "brightness")
 
 
 @query("udf10_brightness_filter", "select vec_id, x, y, least(r + 25, 255)::int as r from v_rgba")

@@ -190,9 +190,11 @@ def lab(spark, sf_dir):
     return P.to_lab(V.rgba(spark, sf_dir)).select("vec_id", "x", "y", F.round("l", 6).alias("l"))
 
 
-@query("px4_gaussian_kernel", "select k::int as k, round(exp(-k * k / 4.5) / sum(exp(-k * k / 4.5)) over (), 9) as weight from range(-4, 5) t(k)")
+@query("px4_gaussian_kernel", "select p_partkey, k::int as k, round(exp(-k * k / (2 * s * s)) / sum(exp(-k * k / (2 * s * s))) over (partition by p_partkey), 9) as weight from (select p_partkey, s, unnest(range(-h, h + 1)) as k from (select p_partkey, s, (greatest(floor(6 * s)::int, 3) | 1) // 2 as h from (select p_partkey, 0.5::double + (p_size % 4) * 0.5::double as s from part)))")
 def gaussian_kernel(spark, sf_dir):
-    return P.gaussian_kernel(spark.range(1), 1.5).select("k", F.round("weight", 9).alias("weight"))
+    """A kernel for each part, as wide as its blur asks for."""
+    blurs = V.table(spark, sf_dir, "part").select("p_partkey", (F.lit(0.5) + F.col("p_size") % 4 * F.lit(0.5)).alias("sigma"))
+    return P.gaussian_kernels(blurs, ["p_partkey"]).select("p_partkey", "k", F.round("weight", 9).alias("weight"))
 
 
 TAPS = "(values (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(k, w)"

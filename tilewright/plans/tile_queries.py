@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -175,10 +175,15 @@ def validate(spark, sf_dir):
     return rules.unionAll(T.index_violations(file_index(spark, sf_dir), held).select("file_id")).groupBy("file_id").agg(F.count("*").alias("violations"))
 
 
-@query("flt23_error_classes", "select code, code in ('tile_not_found', 'network', 'timeout') as recoverable, code in ('checksum', 'invalid_header') as security from (select unnest(['tile_not_found', 'network', 'timeout', 'checksum', 'invalid_header', 'io']) as code)")
+ERROR_CODES = ("tile_not_found", "network", "timeout", "checksum", "invalid_header", "io")
+
+
+@query("flt23_error_classes", f"select event_id, code, code in ('tile_not_found', 'network', 'timeout') as recoverable, code in ('checksum', 'invalid_header') as security from (select event_id, {list(ERROR_CODES)}[event_id % 6 + 1] as code from events)")
 def error_classes(spark, sf_dir):
-    codes = spark.createDataFrame([(c,) for c in ("tile_not_found", "network", "timeout", "checksum", "invalid_header", "io")], "code string")
-    return codes.select("code", F.col("code").isin(*scalars.RECOVERABLE).alias("recoverable"), F.col("code").isin(*scalars.SECURITY).alias("security"))
+    """What can be done about the error of each event."""
+    code = F.element_at(F.array(*map(F.lit, ERROR_CODES)), (F.col("event_id") % 6 + 1).cast("int"))
+    codes = V.table(spark, sf_dir, "events").select("event_id", code.alias("code"))
+    return codes.select("event_id", "code", F.col("code").isin(*scalars.RECOVERABLE).alias("recoverable"), F.col("code").isin(*scalars.SECURITY).alias("security"))
 
 
 @query("jn1_tile_lookup", "select l_orderkey, l_linenumber, t.size from lineitem join v_tiles t on t.level = 2 and t.x = (l_partkey // 4) // 64 and t.y = (l_suppkey // 4) // 64")
@@ -211,10 +216,14 @@ def best_quality(spark, sf_dir):
     return held.groupBy(*T.KEY).agg(F.max("quality").alias("quality"), F.max_by("image", "quality").alias("image"))
 
 
-@query("jn15_one_tile", "select 2 as level, x, y, least(64, 1000 // 4 - x * 64)::bigint as tw, least(64, 700 // 4 - y * 64)::bigint as th from (select 3 as x, 1 as y)")
+@query("jn15_one_tile", "select p_partkey, x, y, least(64, w // (1 << level) - x * 64)::bigint as tw, least(64, h // (1 << level) - y * 64)::bigint as th from (select *, (p_partkey % 5) % (w // (1 << level) // 64 + 1) as x, (p_partkey % 3) % (h // (1 << level) // 64 + 1) as y from (select p_partkey, (p_partkey % 3)::int as level, 700 + p_size * 9::bigint as w, 650 + p_partkey % 411 as h from part))")
 def one_tile(spark, sf_dir):
-    asked = spark.createDataFrame([(1000, 700, 64, 2, 3, 1)], "width long, height long, tile_size long, level int, x long, y long")
-    return T.tile_size_on_level(asked).select(F.col("level"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "tw", "th")
+    """For each image the pixels of one of its tiles that lie in it."""
+    k, level = F.col("p_partkey"), F.col("level")
+    sizes = V.table(spark, sf_dir, "part").select(k, (k % 3).cast("int").alias("level"), (F.lit(700) + F.col("p_size") * F.lit(9).cast("long")).alias("width"), (F.lit(650) + k % 411).alias("height"), F.lit(64).cast("long").alias("tile_size"))
+    tiles = lambda c: T.div(T.div(F.col(c), T.scale(level)), 64) + 1
+    asked = sizes.withColumns({"x": k % 5 % tiles("width"), "y": k % 3 % tiles("height")})
+    return T.tile_size_on_level(asked).select("p_partkey", "x", "y", "tw", "th")
 
 
 @query("win1_offsets", f"select level, x, y, size, offset_ from {OFFSETS}")
@@ -280,8 +289,12 @@ def viewport_tiles(spark, sf_dir):
     return seen.select("client", "x", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("quality"))
 
 
-@query("top8_quality_order", "select * from (values (0, 'full'), (1, 'high'), (2, 'medium'), (3, 'low'), (4, 'thumbnail')) t(place, quality)")
+@query("top8_quality_order", "select user_id, quality, row_number() over (partition by user_id order by r) - 1 as place from (select distinct user_id, ['full', 'high', 'medium', 'low', 'thumbnail'][event_id % 5 + 1] as quality, event_id % 5 as r from events)")
 def quality_order(spark, sf_dir):
+    """The qualities that each client has asked for, the best first."""
     from ..operators.metrics import QUALITY_ORDER
 
-    return spark.createDataFrame(list(enumerate(reversed(QUALITY_ORDER))), "place int, quality string")
+    best = list(reversed(QUALITY_ORDER))
+    asked = V.table(spark, sf_dir, "events").select("user_id", F.element_at(F.array(*map(F.lit, best)), (F.col("event_id") % 5 + 1).cast("int")).alias("quality")).distinct()
+    order = Window.partitionBy("user_id").orderBy(F.array_position(F.array(*map(F.lit, best)), F.col("quality")))
+    return asked.select("user_id", "quality", (F.row_number().over(order) - 1).cast("long").alias("place"))
