@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tilewright.llm import pii
 
@@ -135,3 +136,38 @@ def test_columns_of_any_name(spark):
     (got,) = pii.redacted(df).collect()
     assert tuple(got) == (1, "see [email] now", *range(len(names)))
     assert pii.report(df).first().n_email == 1
+
+
+def lines_of(n, seed=0):
+    return "".join(f"host 10.{k // 250 % 250}.{seed}.{k % 250} id 7{k:07d} mail u{k}@x{k % 9}.org say\n" for k in range(n))
+
+
+def test_pieces_do_not_change_spans(spark):
+    """Texts over many pieces, with and without line ends; matches at every place of a cut."""
+    rng = random.Random(4)
+    words = ["a", "é", "host", "10.0.0.1", "+1 (23) 456-7890", "4539 1488 0343 6467", "x@y.org", "12", "1-2", ",", "\n", "\t", "(", "no."]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "", "  "]) for _ in range(3000)) for _ in range(6)]
+    texts += [lines_of(300), lines_of(300).replace("\n", " "), "7 " * 9000, "x@y.org" * 2000, "+1 2 3 4 5 6 7 8 " * 900, "1" * 9000 + "@a.b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.report(rows).collect():
+        want = base(texts[r.doc_id])
+        spans = [x for x in want.split(",") if x]
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), r.doc_id
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in spans) for k in ("email", "ip", "card", "phone")]
+
+
+def test_a_megabyte_of_addresses_takes_as_long_as_its_lines(spark):
+    """The same bytes in one text and in a thousand rows."""
+    lines = lines_of(20_000).splitlines(keepends=True)
+    one = spark.createDataFrame([(0, "".join(lines))], "doc_id long, text string")
+    many = spark.createDataFrame([(k, "".join(lines[16 * k : 16 * k + 16])) for k in range(1250)], "doc_id long, text string").coalesce(1)
+    assert len(one.first().text) > 900_000
+    took = []
+    for df in (many, one):
+        began = time.time()
+        (n,) = pii.report(df).selectExpr("sum(n_ip)").first()
+        took.append(time.time() - began)
+        assert n == 20_000
+    assert took[1] < 2 * took[0] + 5
+    (r,) = pii.redacted(one).collect()
+    assert r.text.count("[ip]") == 20_000 and r.text.count("[email]") == 20_000 and r.text.endswith(" say\n")

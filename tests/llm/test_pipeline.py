@@ -81,12 +81,12 @@ def test_an_id_with_two_texts_keeps_both(spark, corpus):
     assert sorted(map(tuple, kept)) == [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve")]
 
 
-NAMES = ["_toxicity", "toxicity", "score", "_id", "_pii_text", "_pii_key", "_mix_taken", "_mix_id", "row", "key", "id", "h", "part", "copy", "whole", "size", "taken", "time", "found", "component", "vid", "hi", "lo", "made", "email"]
+NAMES = ["_toxicity", "toxicity", "score", "_id", "_pii_text", "_pii_key", "_mix_taken", "_mix_id", "row", "key", "id", "h", "part", "copy", "whole", "size", "taken", "time", "found", "component", "vid", "hi", "lo", "made", "email", "pieces", "a.b", "row.text", "a`b", "`"]
 
 
 def test_columns_of_any_name_are_kept(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet").where("doc_id < 40")
-    wide = docs.selectExpr("*", *(f"doc_id * 100 + {k} as {n}" for k, n in enumerate(NAMES)))
+    wide = docs.selectExpr("*", *(f"doc_id * 100 + {k} as `{n.replace('`', '``')}`" for k, n in enumerate(NAMES)))
     for name, stage in C.STAGES:
         out = stage(spark, wide, corpus)
         if name == "packing":

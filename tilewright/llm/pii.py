@@ -7,8 +7,9 @@
    instance that is no seed scores as if each of its patterns found it independently.
 4. Instances above ``ACCEPT`` that have the build of their kind are found wherever they stand.
 
-Texts are not shuffled: matches are placed within their row by a running position, and the graph holds one row
-for each distinct pattern and instance.
+Texts are not shuffled: they are cut in pieces of some thousand characters that no match crosses, matches are placed within
+their piece by a running position, and the graph holds one row for each distinct pattern and instance. So the work grows with the
+length of a text, not with its square.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ HAS_INSTANCE = "(?:[0-9][^0-9]*+){5}|@"
 ROUNDS, ACCEPT = 3, 0.8
 #: Patterns need so many seeds.
 LEAST_SEEDS = 3
-#: Where two words before an instance do not fit in so many characters, they are sought in all the text before.
+#: Where two words before an instance do not fit in so many characters, they are sought in all of its piece and the one before.
 CONTEXT = 48
+#: Characters of a piece, up to the next character that no match can hold: one of no pattern's, or a blank behind a letter.
+PIECE = r"(?s)(?:.{2000}.*?(?:[^A-Za-z0-9._%+@ ()-]|(?<=[A-Za-z]) )|.+)"
 
 SPAN = "array<struct<start: long, end: long>>"
 
@@ -88,10 +91,32 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def located(text: Column) -> Column:
+    """The pieces of a text in order: at (where it begins), lead (the piece before), body."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("lead"), F.array().cast("array<struct<at: long, lead: string, body: string>>").alias("out"))
+
+    def step(so_far: Column, body: Column) -> Column:
+        piece = F.struct(so_far["at"].alias("at"), so_far["lead"].alias("lead"), body.alias("body"))
+        return F.struct((so_far["at"] + F.length(body)).alias("at"), body.alias("lead"), F.concat(so_far["out"], F.array(piece)).alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), start, step, lambda x: x["out"])
+
+
+def shifted(spans: Column, by: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
+
+
 def with_base(docs: DataFrame) -> DataFrame:
-    """``row`` (the columns of ``docs``), a ``key`` of its id and text, the ``text`` without nulls, base spans in columns named by kind."""
+    """``row`` (the columns of ``docs``), a ``key`` of its id and text, its ``pieces`` with the base spans in them, and those of the whole text in columns named by kind."""
     docs = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.withColumns(base_spans(F.col("text")))
+    cut = docs.select("row", "key", located(F.col("text")).alias("cut"))
+    cut = cut.withColumn("pieces", F.transform("cut", lambda p: F.struct(p["at"].alias("at"), p["lead"].alias("lead"), p["body"].alias("body"), *(spans.alias(k) for k, spans in base_spans(p["body"]).items()))))
+    return cut.select("row", "key", "pieces", *(of_pieces(k).alias(k) for k in KINDS))
+
+
+def of_pieces(kind: str) -> Column:
+    """The spans of a kind in the whole text."""
+    return F.flatten(F.transform("pieces", lambda p: shifted(p[kind], p["at"])))
 
 
 def tagged_spans(kind: str, spans: Column) -> Column:
@@ -99,7 +124,8 @@ def tagged_spans(kind: str, spans: Column) -> Column:
 
 
 def occurrences(based: DataFrame) -> DataFrame:
-    """key, kind (null: no seed), start, end, value, pattern: the seeds and other instances of all texts."""
+    """key, kind (null: no seed), start, end, value, pattern: the seeds and other instances of all texts, from their pieces."""
+    based = based.select("key", F.explode("pieces").alias("p")).where(F.col("p.body").rlike("[0-9@]")).select("key", "p.at", "p.lead", F.col("p.body").alias("text"), *(f"p.{k}" for k in KINDS))
     tagged = [tagged_spans(k, F.col(k)) for k in KINDS]
     text, none = F.col("text"), F.array().cast(SPAN)
     runs = F.when(text.rlike(HAS_INSTANCE), placed(text, INSTANCE, lambda m: F.contains(m, F.lit("@")) | (F.length(digits(m)) >= 5))).otherwise(none)
@@ -111,16 +137,17 @@ def occurrences(based: DataFrame) -> DataFrame:
     seeds = F.concat(*tagged)
     free = F.filter(found, lambda s: ~F.exists(seeds, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
     both = F.concat(seeds, F.transform(free, lambda s: F.struct(F.lit(None).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    rows = based.where(F.col("text").rlike("[0-9@]")).select("key", "text", F.explode(both).alias("s")).select("key", "text", "s.*")
+    rows = based.select("key", "at", "lead", "text", F.explode(both).alias("s")).select("key", "at", "lead", "text", "s.*")
     value = F.substr("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     # An instance loses the marks that end a sentence.
     cut = F.when(F.col("kind").isNull(), F.regexp_replace(value, r"[._-]++$", "")).otherwise(value)
-    before = F.greatest(F.col("start") - CONTEXT, F.lit(0)).cast("int")
-    near = F.substr("text", before + 1, F.col("start").cast("int") - before)
-    left = F.when((before == 0) | near.rlike(r"\s\S+\s+\S+\s*$"), near).otherwise(F.substr("text", F.lit(1), F.col("start").cast("int")))
+    whole, begin = F.concat("lead", "text"), (F.length("lead") + F.col("start")).cast("int")
+    before = F.greatest(begin - CONTEXT, F.lit(0))
+    near = F.substr(whole, before + 1, begin - before)
+    left = F.when((before == 0) | near.rlike(r"\s\S+\s+\S+\s*$"), near).otherwise(F.substr(whole, F.lit(1), begin))
     words = F.reverse(F.regexp_extract(F.reverse(left), r"^\s*+\S++\s++\S++", 0))
     pattern = F.regexp_replace(F.lower(words), "[0-9]+", "0")
-    rows = rows.select("key", "kind", "start", cut.alias("value"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"))
+    rows = rows.select("key", "kind", (F.col("at") + F.col("start")).alias("start"), cut.alias("value"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"))
     return rows.where(F.length("value") >= 5).select("key", "kind", "start", (F.col("start") + F.length("value")).alias("end"), "value", "pattern").distinct()
 
 
@@ -156,16 +183,17 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, lea
 
 
 def with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(:func:`with_base` of ``docs`` without its text; per key: found, the kinds, starts and ends that are added).
+    """(:func:`with_base` of ``docs``, of its pieces only at, n (their characters) and spans; per key: found, the kinds, starts and ends that are added).
 
     Spans are code points, the end exclusive. A null text counts as empty. Rows alike in id and text get the
     same spans; an empty table gives no rows. Other columns, whatever their names, are carried along.
     """
     based = with_base(docs)
-    seen = written(occurrences(based.select("key", "text", *KINDS)), "pii-occurrences")
+    seen = written(occurrences(based.select("key", "pieces")), "pii-occurrences")
     new = seen.where("kind is null").drop("kind").join(bootstrap(seen), "value")
     new = new.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("found"))
-    return based.drop("text"), new
+    places = F.transform("pieces", lambda p: F.struct(p["at"].alias("at"), F.length(p["body"]).alias("n"), F.concat(*(tagged_spans(k, shifted(p[k], p["at"])) for k in KINDS)).alias("spans")))
+    return based.withColumn("pieces", places), new
 
 
 def joined_spans(based: DataFrame, new: DataFrame) -> DataFrame:
@@ -202,16 +230,23 @@ def redacted(docs: DataFrame) -> DataFrame:
     based, new = with_spans(docs)
     rows = joined_spans(based, new)
     by_start = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(F.when(a["end"] < b["end"], -1).when(a["end"] > b["end"], 1).otherwise(0))
-    tagged = F.concat(*(tagged_spans(k, with_added(k)) for k in KINDS))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(so_far: Column, s: Column) -> Column:
-        gap = F.substr(F.col("row.text"), so_far["at"].cast("int") + 1, (s["start"] - so_far["at"]).cast("int"))
-        out = F.when(s["start"] < so_far["at"], so_far["out"]).otherwise(F.concat(so_far["out"], F.array(gap, F.concat(F.lit("["), s["kind"], F.lit("]")))))
-        return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(F.array_sort(tagged, by_start), start, step)
-    rows = rows.select("row", done.alias("done"))
-    rest = F.substr(F.col("row.text"), F.col("done.at").cast("int") + 1, F.length("row.text"))
-    text = F.when(F.size("done.out") == 0, F.col("row.text")).otherwise(F.concat(F.array_join("done.out", ""), rest))
+    def piece(p: Column) -> Column:
+        """A piece with its spans replaced; all that begin in it end in it."""
+        added = F.filter("found", lambda s: (s["start"] >= p["at"]) & (s["start"] < p["at"] + p["n"]))
+        start = F.struct(p["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+        inside = lambda place: (place - p["at"]).cast("int")
+
+        def step(so_far: Column, s: Column) -> Column:
+            gap = F.substr(p["body"], inside(so_far["at"]) + 1, (s["start"] - so_far["at"]).cast("int"))
+            out = F.when(s["start"] < so_far["at"], so_far["out"]).otherwise(F.concat(so_far["out"], F.array(gap, F.concat(F.lit("["), s["kind"], F.lit("]")))))
+            return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), out.alias("out"))
+
+        def finish(done: Column) -> Column:
+            return F.concat(F.array_join(done["out"], ""), F.substr(p["body"], inside(done["at"]) + 1, p["n"]))
+
+        return F.aggregate(F.array_sort(F.concat(p["spans"], added), by_start), start, step, finish)
+
+    bodies = F.transform("pieces", lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), p["spans"].alias("spans"), F.substr(F.col("row.text"), p["at"].cast("int") + 1, p["n"]).alias("body")))
+    changed = F.exists("pieces", lambda p: F.size(p["spans"]) > 0) | (F.size("found") > 0)
+    text = F.when(changed, F.array_join(F.transform(bodies, piece), "")).otherwise(F.col("row.text"))
     return rows.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

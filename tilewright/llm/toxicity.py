@@ -172,7 +172,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], name: str = "score") ->
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     place = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names may hold anything
+    schema = StructType([*numbered.schema.fields, StructField("score", DoubleType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, terms = shared.value, Terms()
@@ -184,4 +185,4 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], name: str = "score") ->
                 out.append(sigmoid(machine(*joined([s[live[s]] for s in sets]), model)[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0))], schema.names)
 
-    return docs.mapInArrow(apply, schema)
+    return numbered.mapInArrow(apply, schema).toDF(*docs.columns, name)
