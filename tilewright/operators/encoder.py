@@ -83,10 +83,10 @@ def traced(images: DataFrame, low: float = 50, high: float = 100, least_points:
     )
 
 
-def encode(images: DataFrame, tile_size: int = 512, max_zoom: int = 5, low: float = 50, high: float = 100) -> DataFrame:
-    """file_id, content: a container file for every image, with its pyramid and the paths over its edges."""
+def encode(images: DataFrame, tile_size: int = 512, max_zoom: int = 5, low: float = 50, high: float = 100, quality: int | None = None) -> DataFrame:
+    """file_id, content: a container file for every image, with its pyramid and the paths over its edges; tiles are PNG, or JPEG of a quality."""
     meta = chosen(images).where("width > 0 and height > 0").select(F.col("id").alias("file_id"), F.col("width").cast("long"), F.col("height").cast("long"), F.lit(tile_size).cast("long").alias("tile_size"), F.lit(max_zoom).alias("max_zoom_level"))
-    return S.write_files(S.encode_tiles(pyramid(images, tile_size, max_zoom)), meta, traced(images, low, high))
+    return S.write_files(S.encode_tiles(pyramid(images, tile_size, max_zoom), quality), meta, traced(images, low, high), quality)
 
 
 def wanted_tiles(files: DataFrame, regions: DataFrame) -> DataFrame:

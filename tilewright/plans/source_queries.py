@@ -105,10 +105,14 @@ def tile_index(spark, sf_dir):
     return S.parse_index(S.sections(files(spark, sf_dir))).select("file_id", "level", "x", "y", "uncompressed_size")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    folder = f"{with_checkpoints(spark).sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"file://{folder.removeprefix('file:')}" if folder.startswith("file:/") and not folder.startswith("file://") else folder
+
+
 def on_disk(spark: SparkSession, made: DataFrame, name: str) -> str:
     """The folder in the shared one that the files are written to, one each, named by their ids."""
-    folder = f"{with_checkpoints(spark).sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    folder = f"file://{folder.removeprefix('file:')}" if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    folder = shared_folder(spark, name)
     S.write_whole(made.withColumn("name", F.concat(F.col("file_id").cast("string"), F.lit(".bin"))), folder).count()
     return folder
 
@@ -360,6 +364,23 @@ def decoded_pixels(spark, sf_dir):
     return S.tile_pixels(tiles.withColumn("tile_size", F.lit(4))).select("file_id", F.col("x").cast("int"), F.col("y").cast("int"), F.col("r").alias("g"))
 
 
+@query("snk8_jpeg_tiles", "select vec_id as file_id, 'Jpeg' as codec, x, y, g, true as near from v_pixels")
+def jpeg_tiles(spark, sf_dir):
+    """The tiles of files with JPEG payloads, decoded by Spark's image source: each pixel beside the one that was encoded, within what steps of 1 allow."""
+    made = S.write_files(S.encode_tiles(grey_tiles(spark, sf_dir), 100), meta_of(spark, sf_dir, 0), quality=100)
+    parts = S.sections(made)
+    name = F.concat_ws("_", F.col("file_id").cast("string"), F.col("x").cast("string"), F.col("y").cast("string"))
+    payloads = S.payloads(parts).where("sound").select(F.concat(name, F.lit(".jpg")).alias("name"), F.col("payload").alias("content"))
+    folder = shared_folder(spark, "jpeg")
+    S.write_whole(payloads, folder).count()
+    place = F.split(F.regexp_extract("path", r"([^/]*)\.jpg$", 1), "_")
+    tiles = images.read_images(spark, folder).select(*(place[k].cast("long").alias(c) for k, c in enumerate(("file_id", "x", "y"))), "width", "height", "rgba", F.lit(4).alias("tile_size"))
+    pixels = S.tile_pixels(tiles).select("file_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "r")
+    source = V.pixels(spark, sf_dir).withColumnRenamed("vec_id", "file_id")
+    codec = S.parse_metadata(parts).select("file_id", F.col("raster_codec").alias("codec"))
+    return source.join(pixels, ["file_id", "x", "y"]).join(codec, "file_id").select("file_id", "codec", "x", "y", "g", (F.abs(F.col("g") - F.col("r")) <= 2).alias("near"))
+
+
 @query("snk12_level_tiles", "select x::bigint as x, y::bigint as y, count(*) as files from embeddings, range(2) a(x), range(2) b(y) group by all")
 def level_tiles(spark, sf_dir):
     """The tiles of a level that the files hold."""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import little_endian
-from . import codecs
+from . import codecs, jpeg
 
 # Fixed values of the format: the magic number, the version, sizes of header and index entry, places of fields.
 MAGIC_HEX = "56455241"
@@ -285,12 +285,13 @@ def tile_pixels(tiles: DataFrame) -> DataFrame:
     return tiles.select(*keys, *sizes, "rgba", F.col("tile_size").cast("long")).mapInArrow(spread, "file_id long, level long, x long, y long, r int, g int, b int, a int")
 
 
-def encode_tiles(tiles: DataFrame) -> DataFrame:
-    """file_id, level, x, y, payload, uncompressed_size for RGBA tiles (width, height, rgba)."""
+def encode_tiles(tiles: DataFrame, quality: int | None = None) -> DataFrame:
+    """file_id, level, x, y, payload, uncompressed_size for RGBA tiles (width, height, rgba): PNG, or with ``quality`` (1 to 100) JPEG, which leaves transparency out."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = [codecs.to_png(np.frombuffer(data, dtype=np.uint8).reshape(h, w, 4)) for w, h, data in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist())]
+            turned = codecs.to_png if quality is None else lambda image: jpeg.to_jpeg(image, quality)
+            body = [turned(np.frombuffer(data, dtype=np.uint8).reshape(h, w, 4)) for w, h, data in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist())]
             sizes = [len(x) for x in batch.column(6).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(body, pa.binary()), pa.array(sizes, pa.int64())], ["file_id", "level", "x", "y", "payload", "uncompressed_size"])
 
@@ -298,19 +299,19 @@ def encode_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.select(*keys, "width", "height", "rgba").mapInArrow(write, "file_id long, level long, x long, y long, payload binary, uncompressed_size long")
 
 
-def metadata_bytes(width: int, height: int, tile_size: int, zoom: int, custom: dict[str, str], source_hash: str, tiles: int, created_at: int = 0, layers: int = 0) -> bytes:
+def metadata_bytes(width: int, height: int, tile_size: int, zoom: int, custom: dict[str, str], source_hash: str, tiles: int, created_at: int = 0, layers: int = 0, quality: int | None = None) -> bytes:
     return codecs.to_cbor({
         "version": VERSION, "width": width, "height": height, "color_space": "Srgb", "tile_size": tile_size, "max_zoom_level": zoom, "vector_regions": layers, "raster_tiles": tiles,
-        "compression": {"vector_compression": {"Flate2": {"level": 6}}, "raster_compression": "Png"}, "segmentation": "Auto", "created_at": created_at, "source_hash": source_hash,
+        "compression": {"vector_compression": {"Flate2": {"level": 6}}, "raster_compression": "Png" if quality is None else {"Jpeg": {"quality": quality}}}, "segmentation": "Auto", "created_at": created_at, "source_hash": source_hash,
         "custom": custom, "encoder": {"name": "tilewright", "version": "1", "settings": {}},
     })
 
 
-def write_files(tiles: DataFrame, meta: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+def write_files(tiles: DataFrame, meta: DataFrame, vectors: DataFrame | None = None, quality: int | None = None) -> DataFrame:
     """file_id, content: whole files from encoded tiles, metadata (file_id, width, height, tile_size, max_zoom_level) and path commands (``VECTORS``).
 
     One file is put together in one task, as it has to be one value; payloads stand in the order of their offsets.
-    Files of metadata without tiles have an empty index.
+    Files of metadata without tiles have an empty index. ``quality`` is that of the tiles, if they are JPEG.
     """
 
     def build(part: pa.Table, paths: pa.Table) -> pa.Table:
@@ -323,7 +324,7 @@ def write_files(tiles: DataFrame, meta: DataFrame, vectors: DataFrame | None = N
             index.append(struct.pack("<BIIQIII", r["level"], r["x"], r["y"], len(data), len(r["payload"]), r["uncompressed_size"], zlib.crc32(r["payload"])))
             data += r["payload"]
         drawn = paths.to_pylist()
-        head = metadata_bytes(first["width"], first["height"], first["tile_size"], first["max_zoom_level"], {}, f"{zlib.crc32(data):08x}", len(rows), layers=len({r["layer_id"] for r in drawn}))
+        head = metadata_bytes(first["width"], first["height"], first["tile_size"], first["max_zoom_level"], {}, f"{zlib.crc32(data):08x}", len(rows), layers=len({r["layer_id"] for r in drawn}), quality=quality)
         vectors = vector_section(drawn)
         packed = struct.pack("<I", len(index)) + b"".join(index)
         at_vectors = HEADER_BYTES + len(head)
