@@ -74,3 +74,29 @@ def test_the_sample_is_of_whole_texts():
     got = [[x for _, _, x in lines] for lines in L.paragraphs(text)]
     assert got == [["a."], ["b c", "d"], ["e?"], ["f"]]
     assert all(text[s : s + len(x)] == x for lines in L.paragraphs(text) for _, s, x in lines)
+
+
+def test_words_of_notices_are_no_notices(spark):
+    """Ordinary sentences that quote a few words of a notice are not confirmed, and mostly not found; other licences are no family's."""
+    df = spark.createDataFrame(made()[0], "doc_id long, text string")
+    quoting = [
+        "Permission to use the gym is granted free of charge to any person over 18.",
+        "The hotel is free of charge and provided without warranty of any kind said the clerk.",
+        "You may not use this file",
+        "The publisher holds the copyright of the song and all rights are reserved by law.",
+        "He lost his driving license in May.",
+    ]
+    others = ["Distributed under the PostgreSQL License.", "Licensed under the WTFPL, version 2."]
+    notices = {"Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "bsd", "Released under the MIT License.": "mit", "SPDX-License-Identifier: MIT": "mit"}
+    texts = [*quoting, *others, *notices]
+    hits = {r.text: r for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), L.train(df)).collect()}
+    assert {t for t, r in hits.items() if r.confirmed} == set(notices) and all(hits[t].family == f for t, f in notices.items())
+    assert sum(t in hits for t in quoting) <= 2
+    assert all(hits[t].family == L.UNKNOWN for t in others if t in hits)
+
+
+def test_likeness_needs_both_sides():
+    whole = L.NOTICES["mit"][0]
+    assert L.likeness(L.words(whole), "mit") == 1
+    few = " ".join(L.words(whole)[:9])
+    assert L.likeness(L.words(few), "mit") < L.ALIKE or len(L.words(whole)) < 36

@@ -59,6 +59,7 @@ NOTICES = {
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "bsd": [  # BSD-2-Clause, BSD-3-Clause
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -118,7 +119,16 @@ WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Paragraphs of the corpus that training sees, at most.
 SAMPLE = 4000
 BLURS, EPOCHS, RATE, DECAY = 60, 60, 0.5, 1e-4
+#: Pieces of each longer notice of a family that ordinary text quotes in training, and the words from which a notice is longer.
+QUOTES, LONGER = 10, 12
 SURE, ALIKE = 0.5, 0.5
+#: 2-grams of a notice of few words.
+FEW = 6
+#: Of a notice so much stands in a paragraph that is confirmed, whatever part of the paragraph that is.
+LEAST = 0.25
+#: Every so many-th notice of the class "unknown" is kept from the model that the temperature is fitted with, and every so many-th example of the rest.
+EVERY, EVERY_EXAMPLE = 3, 4
+TEMPERATURES = (0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0)
 
 
 def words(text: str) -> list[str]:
@@ -133,18 +143,36 @@ def pairs(tokens: list[str]) -> set[tuple[str, ...]]:
     return set(zip(tokens, tokens[1:]))
 
 
-def examples(plain: list[str], seed: int = 5) -> tuple[list[list[str]], list[int]]:
-    """Token lists and classes: the notices, whole, cut, with words lost and with neighbours around them; and ordinary text."""
+def kept_back(family: str, number: int, example: int) -> bool:
+    """Whether calibration sees an example for the first time: whole licences of no family, and cut ones of the families, which no other notice could tell."""
+    return number % EVERY == EVERY - 1 if family == UNKNOWN else example % EVERY_EXAMPLE == EVERY_EXAMPLE - 1
+
+
+def examples(plain: list[str], seed: int = 5) -> tuple[list[list[str]], list[int], list[bool]]:
+    """Token lists, classes, and which of them are kept back for calibration: the notices, whole, cut, with words lost and with neighbours around them; ordinary
+    text, and ordinary text that quotes a few words of a notice."""
     rng = np.random.default_rng(seed)
-    ordinary = [t for t in map(words, plain) if t]
+    known = [pairs(words(n)) for ns in NOTICES.values() for n in ns]
+
+    def is_ordinary(t: list[str]) -> bool:  # a sampled notice is no ordinary text
+        have = pairs(t)
+        return bool(t) and CUES.isdisjoint(t) and all(len(have & k) <= 0.4 * len(k) for k in known)
+
+    ordinary = [t for t in map(words, plain) if is_ordinary(t)]
     around = ordinary or [["text"]]
-    tokens, classes = [], []
+    tokens, classes, back = [], [], []
+
+    def add(part: list[str], family: int, held: bool) -> None:
+        tokens.append(part)
+        classes.append(family)
+        back.append(held)
+
     for family, notices in NOTICES.items():
-        for notice in notices:
+        for number, notice in enumerate(notices):
             whole = words(notice)
             for k in range(BLURS):
                 part = whole
-                if k and len(whole) > 12:
+                if k and len(whole) > LONGER:
                     start = int(rng.integers(0, len(whole) // 3))
                     part = whole[start : start + int(rng.integers(len(whole) // 2, len(whole)))]
                 if k % 3 == 1:
@@ -152,20 +180,25 @@ def examples(plain: list[str], seed: int = 5) -> tuple[list[list[str]], list[int
                 if k % 2:
                     other = around[int(rng.integers(len(around)))]
                     part = other[: int(rng.integers(0, 20))] + part + other[20 : 20 + int(rng.integers(0, 20))]
-                tokens.append(part)
-                classes.append(FAMILIES.index(family))
-    known = [pairs(words(n)) for ns in NOTICES.values() for n in ns]
-    for t in ordinary:
-        have = pairs(t)
-        if CUES.isdisjoint(t) and all(len(have & k) <= 0.4 * len(k) for k in known):  # a sampled notice is no ordinary text
-            tokens.append(t)
-            classes.append(0)
-    return tokens, classes
+                add(part, FAMILIES.index(family), kept_back(family, number, k))
+            for k in range(QUOTES if len(whole) > LONGER and family != UNKNOWN else 0):
+                size = int(rng.integers(2, max(3, min(9, len(whole) // 3))))
+                start = int(rng.integers(0, len(whole) - size))
+                other = around[int(rng.integers(len(around)))]
+                at = int(rng.integers(0, len(other) + 1))
+                add(other[max(0, at - 12) : at] + whole[start : start + size] + other[at : at + 12], 0, k % EVERY_EXAMPLE == 0)
+    for k, t in enumerate(ordinary):
+        add(t, 0, k % EVERY_EXAMPLE == 0)
+    return tokens, classes, back
 
 
 def fit(plain: list[str]) -> dict:
-    """vocabulary (gram: column), weights (columns x families, then the bias), temperature, and the words that matter."""
-    tokens, classes = examples(plain)
+    """vocabulary (gram: column), weights (columns x families, then the bias), temperature, and the words that matter.
+
+    The temperature is that of a model that has not seen some licences of no family, nor some examples of the others, on these; the
+    weights are then learned from all.
+    """
+    tokens, classes, back = examples(plain)
     counts = Counter(g for notices in NOTICES.values() for n in notices for g in grams(words(n)))
     vocabulary = {g: i for i, g in enumerate(sorted(counts))}
     size, rows, cols = len(vocabulary), [], []
@@ -173,30 +206,35 @@ def fit(plain: list[str]) -> dict:
         held = [vocabulary[g] for g in grams(t) if g in vocabulary]
         rows += [r] * len(held)
         cols += held
-    rows, cols, y = np.array(rows), np.array(cols), np.array(classes)
-    held_out = np.arange(len(y)) % 4 == 3
-    mass = np.bincount(y[~held_out], minlength=len(FAMILIES))
-    weight = np.where(held_out, 0, 1 / np.maximum(mass, 1)[y] / len(FAMILIES))
-    weight[(y == 0) & ~held_out] *= len(FAMILIES) / 2  # ordinary text is the rule
+    rows, cols, y, back = np.array(rows), np.array(cols), np.array(classes), np.array(back)
     target = np.eye(len(FAMILIES))[y]
-    w, seen = np.zeros((size + 1, len(FAMILIES))), np.full((size + 1, len(FAMILIES)), 1e-8)
-    uses = np.bincount(cols, minlength=size)
 
     def logits(w: np.ndarray) -> np.ndarray:
         out = np.zeros((len(y), len(FAMILIES)))
         np.add.at(out, rows, w[cols])
         return out + w[-1]
 
-    for _ in range(EPOCHS):
-        slope = (softmax(logits(w)) - target) * weight[:, None]
-        step = np.zeros_like(w)
-        np.add.at(step, cols, slope[rows])
-        step[-1] = slope.sum(axis=0)
-        step[:-1] += DECAY * w[:-1] * (uses > 0)[:, None] / max(size, 1)
-        seen += step**2
-        w -= RATE * step / np.sqrt(seen)
-    z = logits(w)[held_out]
-    losses = {t: -np.log(softmax(z / t)[np.arange(len(z)), y[held_out]] + 1e-12).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
+    def learned(use: np.ndarray) -> np.ndarray:
+        mass = np.bincount(y[use], minlength=len(FAMILIES))
+        weight = np.where(use, 1 / np.maximum(mass, 1)[y] / len(FAMILIES), 0)
+        weight[(y == 0) & use] *= len(FAMILIES) / 2  # ordinary text is the rule
+        w, seen = np.zeros((size + 1, len(FAMILIES))), np.full((size + 1, len(FAMILIES)), 1e-8)
+        uses = np.bincount(cols, minlength=size)
+        for _ in range(EPOCHS):
+            slope = (softmax(logits(w)) - target) * weight[:, None]
+            step = np.zeros_like(w)
+            np.add.at(step, cols, slope[rows])
+            step[-1] = slope.sum(axis=0)
+            step[:-1] += DECAY * w[:-1] * (uses > 0)[:, None] / max(size, 1)
+            seen += step**2
+            w -= RATE * step / np.sqrt(seen)
+        return w
+
+    z, want = logits(learned(~back))[back], y[back]
+    # Classes count alike, however many examples they have.
+    mass = 1 / np.bincount(want, minlength=len(FAMILIES))[want]
+    losses = {t: (-np.log(softmax(z / t)[np.arange(len(z)), want] + 1e-12) * mass).sum() for t in TEMPERATURES}
+    w = learned(np.ones(len(y), dtype=bool))
     # Without a gram that speaks for some family the bias decides, so such paragraphs need no features.
     lift = w[:-1, 1:].max(axis=1) - w[:-1, 0]
     matters = {word for g, i in vocabulary.items() if lift[i] > 0 for word in g.split()}
@@ -209,12 +247,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def likeness(tokens: list[str], family: str) -> float:
-    """The share of the 2-grams of the family's best matching notice that stand in the paragraph, or of the paragraph's in the notice."""
+    """The share of the 2-grams of the family's best matching notice that stand in the paragraph; or of the paragraph's in the notice, if a part of the notice stands there (``LEAST``)."""
     have, best = pairs(tokens), 0.0
     for notice in NOTICES.get(family, []):
         held = pairs(words(notice))
         common = len(have & held)
-        best = max(best, common / len(held), common / len(have) if len(have) >= 6 else 0.0)
+        # Half of a notice of a few words are words that any text has: such a notice has to stand there whole.
+        share = common / len(held) if common == len(held) or len(held) >= FEW else common / len(held) / 2
+        best = max(best, share, common / len(have) if len(have) >= FEW and common >= LEAST * len(held) else 0.0)
     return best
 
 
@@ -248,7 +288,7 @@ class Classifier:
         if not held:
             return None
         p = softmax(((self.weights[held].sum(axis=0) + self.weights[-1]) / self.temperature)[None])[0]
-        if p[0] >= SURE:
+        if p[0] >= min(SURE, p[1:].max()):  # ordinary text is likelier than all others, or than any
             return None
         best = int(p[1:].argmax()) + 1
         family = FAMILIES[best] if p[best] >= SURE else UNKNOWN
