@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, components, gather, hashed_words, mix, power_of_two, quoted, scatter, shingles, spread_join, volume, written
+from .common import WORD, components, gather, give_back, hashed_words, mix, power_of_two, quoted, scatter, shingles, spread_join, volume, written
 
 WORDS = 3
 #: Links have 100 * intersection >= PERCENT * union. Other shares than this (below 100) are a parameter.
@@ -405,6 +405,8 @@ def found_links(docs: DataFrame, nodes: DataFrame, every: bool, width: int = WOR
         for ids in by_group.values():
             pairs = ((ids[a], ids[b]) for a, b in linked([sets[i] for i in ids], every, percent))
             found += [(a, b) for a, b in pairs if not (across and block[a] == block[b])]
+        del sets
+        give_back()
         return pair_table(found)
 
     one = F.lit(0)

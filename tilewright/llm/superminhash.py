@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import combine, components, gather, mix, power_of_two, scatter, volume, written
+from .common import combine, components, gather, give_back, mix, power_of_two, scatter, volume, written
 
 WORDS, PERCENT = 4, 80
 BANDS, ROWS = 54, 6
 #: Bits of the fraction that follows a rank, elements that deal ranks together, and bytes of band values a bucket and a block.
-FRACTION_BITS, BLOCK_ELEMENTS, BUCKET_BYTES, BLOCK_CODES = 40, 1 << 14, 32 << 20, 2_000_000
+FRACTION_BITS, BLOCK_ELEMENTS, BUCKET_BYTES, BLOCK_CODES = 40, 1 << 14, 32 << 20, 1_000_000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -109,9 +109,12 @@ def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, number:
                 yield from flush()
                 codes, nodes, size, seen = [], [], 0, set()
         yield from flush()
+        codes, nodes, seen = [], [], set()
+        give_back()
 
     def meet(part: pa.Table) -> pa.Table:
         pairs, _, _ = jaccard.heads(gather(part, "code", np.uint64), gather(part, "node", np.int64))
+        give_back()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
