@@ -78,15 +78,24 @@ def triangles(spark, sf_dir):
     return B.triangles(V.supplier_boxes(spark, sf_dir)).withColumn("vertex", F.col("vertex").cast("long"))
 
 
-@query("prj13_whole_regions", "select id, greatest(floor(x - 5.5), 0)::bigint as x, floor(y)::bigint as y, floor(w)::bigint as w, floor(h)::bigint as h, 'vector' as region_type from v_part_boxes union all select id, greatest(floor(x - 5.5), 0)::bigint, floor(y)::bigint, floor(w)::bigint, floor(h)::bigint, 'raster' from v_supplier_boxes")
+WHOLE = "select id, greatest(floor(x - 5.5), 0)::bigint as x, floor(y)::bigint as y, floor(w)::bigint as w, floor(h)::bigint as h, '{kind}' as region_type from {view}"
+
+
+def whole(boxes, kind):
+    return B.whole(boxes.withColumn("x", F.col("x") - 5.5), kind)
+
+
+@query("prj13_whole_regions", WHOLE.format(kind="vector", view="v_part_boxes"))
 def whole_regions(spark, sf_dir):
-    """Vector and raster regions as one list of whole pixels; also the union of both kinds."""
-    moved = lambda b: b.withColumn("x", F.col("x") - 5.5)
-    return B.whole(moved(V.part_boxes(spark, sf_dir)), "vector").unionByName(B.whole(moved(V.supplier_boxes(spark, sf_dir)), "raster"))
+    """Regions as whole pixels, none of them negative."""
+    return whole(V.part_boxes(spark, sf_dir), "vector")
+
 
+@query("set3_region_union", WHOLE.format(kind="vector", view="v_part_boxes") + " union all " + WHOLE.format(kind="raster", view="v_supplier_boxes"))
+def vector_and_raster(spark, sf_dir):
+    """Vector and raster regions as one list."""
+    return whole(V.part_boxes(spark, sf_dir), "vector").unionByName(whole(V.supplier_boxes(spark, sf_dir), "raster"))
 
-QUERIES["set3_region_union"] = whole_regions
-SQL["set3_region_union"] = SQL["prj13_whole_regions"]
 
 EDGES = "(select *, coalesce(lead(x) over w, first(x) over w) as nx, coalesce(lead(y) over w, first(y) over w) as ny, count(*) over (partition by contour_id) as n from v_points window w as (partition by contour_id order by seq rows between unbounded preceding and unbounded following))"
 MEASURED = f"(select contour_id, count(*) as points, min(x) as x, min(y) as y, max(x) - min(x) as w, max(y) - min(y) as h, abs(sum(x * ny - nx * y)) / 2 as area, round(sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))), 6) as perimeter from {EDGES} group by 1)"

@@ -159,10 +159,10 @@ def layer(spark, sf_dir):
     return V.rgba(spark, sf_dir).where("(x + y) % 3 <> 0").select("vec_id", "x", "y", (255 - F.col("r")).alias("r"), "g", T.div(F.col("b"), 2).cast("int").alias("b"), ((F.col("a") + 60) % 256).alias("a"))
 
 
-def mixed_sql(c: str, mode: str) -> str:
+def mixed_sql(c: str, mode: str, opacity: float = 0.8) -> str:
     s, t = f"(s.{c} / 255.0::double)", f"(t.{c} / 255.0::double)"
     m = {"normal": s, "multiply": f"({s} * {t})", "screen": f"(1 - (1 - {s}) * (1 - {t}))", "overlay": f"(case when {t} < 0.5 then 2 * {s} * {t} else 1 - 2 * (1 - {s}) * (1 - {t}) end)"}[mode]
-    return f"case when s.a is null or s.a = 0 then t.{c} else floor({m} * 255 * (s.a / 255.0::double * 0.8::double) + t.{c} * (1 - (s.a / 255.0::double * 0.8::double)) + 1e-9)::int end as {c}"
+    return f"case when s.a is null or s.a = 0 then t.{c} else floor({m} * 255 * (s.a / 255.0::double * {opacity!r}::double) + t.{c} * (1 - (s.a / 255.0::double * {opacity!r}::double)) + 1e-9)::int end as {c}"
 
 
 def composite_query(mode: str):
@@ -175,7 +175,14 @@ def composite_query(mode: str):
 for _name, _mode in (("jn12_composite", "normal"), ("px7_multiply", "multiply"), ("px7_screen", "screen"), ("px7_overlay", "overlay")):
     QUERIES[_name] = composite_query(_mode)
     SQL[_name] = f"select t.vec_id, t.x, t.y, {', '.join(mixed_sql(c, _mode) for c in 'rgb')}, greatest(t.a, coalesce(s.a, 0))::int as a from v_rgba t left join {LAYER} s on s.vec_id = t.vec_id and s.x = t.x and s.y = t.y"
-QUERIES["px2_layer_composite"], SQL["px2_layer_composite"] = QUERIES["jn12_composite"], SQL["jn12_composite"]
+UPPER_LAYER = "(select vec_id, x, y, g as r, b as g, r as b, (a * 3 + 90) % 256 as a from v_rgba where x % 2 = 0)"
+
+
+@query("px2_layer_composite", f"with lower as ({SQL['jn12_composite']}) select t.vec_id, t.x, t.y, {', '.join(mixed_sql(c, 'multiply', 0.5) for c in 'rgb')}, greatest(t.a, coalesce(s.a, 0))::int as a from lower t left join {UPPER_LAYER} s on s.vec_id = t.vec_id and s.x = t.x and s.y = t.y")
+def layer_composite(spark, sf_dir):
+    """Two layers over an image in their order, each with its own mode and opacity."""
+    upper = V.rgba(spark, sf_dir).where("x % 2 = 0").select("vec_id", "x", "y", F.col("g").alias("r"), F.col("b").alias("g"), F.col("r").alias("b"), ((F.col("a") * 3 + 90) % 256).alias("a"))
+    return P.composite(P.composite(V.rgba(spark, sf_dir), layer(spark, sf_dir), BY, 0.8, "normal"), upper, BY, 0.5, "multiply")
 
 
 @query("px1_alpha_blend", "select t.vec_id, t.x, t.y, " + ", ".join(f"floor(s.{c} * (s.a / 255.0::double * 0.5::double) + t.{c} * (1 - (s.a / 255.0::double * 0.5::double)))::int as {c}" for c in "rgb") + f", floor(least(s.a * 0.5::double + t.a * (1 - 0.5::double), 255.0::double))::int as a from v_rgba t join {LAYER} s on s.vec_id = t.vec_id and s.x = t.x and s.y = t.y")

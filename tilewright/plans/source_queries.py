@@ -313,11 +313,12 @@ def rendered_curves(spark, sf_dir):
     return encoder.render(f, regions).select("file_id", "x", "y", "r", "g", "b")
 
 
-@query("gen5_encoded_pyramid", "with l0 as (select vec_id, x // 4 as x, y // 4 as y, count(*) filter (a > 0) as n from v_rgba group by 1, 2, 3) select vec_id as file_id, 0::bigint as level, x::bigint as x, y::bigint as y from l0 where n > 0")
+@query("gen5_encoded_pyramid", "select vec_id as file_id, 0::bigint as level, (x // 4)::bigint as x, (y // 4)::bigint as y, 4::int as width, 4::int as height, sum(r)::bigint as r, sum(g)::bigint as g, sum(b)::bigint as b, sum(a)::bigint as a from v_rgba group by vec_id, x // 4, y // 4 having sum(a) > 0")
 def encoded_pyramid(spark, sf_dir):
-    """Tiles of level 0 of encoded colour images: those with a visible pixel."""
-    made = encoder.encode(colour_images(spark, sf_dir), 4, 1)
-    return S.parse_index(S.sections(made)).where("level = 0").select("file_id", "level", "x", "y")
+    """Tiles of level 0 of encoded colour images, those with a visible pixel: their sides and the sums of their decoded pixels."""
+    tiles = S.decode_tiles(S.payloads(S.sections(encoder.encode(colour_images(spark, sf_dir), 4, 1))).where("level = 0 and sound"))
+    sums = S.tile_pixels(tiles.withColumn("tile_size", F.lit(4))).groupBy("file_id", F.expr("x div 4").alias("x"), F.expr("y div 4").alias("y")).agg(*(F.sum(c).alias(c) for c in "rgba"))
+    return tiles.select("file_id", "level", "x", "y", "width", "height").join(sums, ["file_id", "x", "y"]).select("file_id", "level", "x", "y", "width", "height", *"rgba")
 
 
 @query("gen6_traced_paths")
