@@ -45,8 +45,11 @@ def region_type(measured: DataFrame, density: float = 0.3, complexity: float = 0
 def points_inside(probes: DataFrame, points: DataFrame) -> DataFrame:
     """probe_id, contour_id of probes (probe_id, contour_id, px, py) inside their contour, by ray casting.
 
-    Contours of fewer than three points hold nothing. Probes and edges meet on the contour, not in a cross join.
+    Contours of fewer than three points hold nothing. Probes and edges meet on the contour, not in a cross join; probes outside of
+    the contour's box meet no edge.
     """
+    box = points.groupBy("contour_id").agg(*(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))))
+    probes = probes.join(box, "contour_id").where("px >= lowx and px <= highx and py >= lowy and py <= highy").select("probe_id", "contour_id", "px", "py")
     lines = edges(points).withColumn("n", F.count("*").over(Window.partitionBy("contour_id"))).where("n >= 3")
     crosses = (F.col("y") > F.col("py")) != (F.col("ny") > F.col("py"))
     at = (F.col("nx") - F.col("x")) * (F.col("py") - F.col("y")) / F.nullif(F.col("ny") - F.col("y"), F.lit(0.0)) + F.col("x")
