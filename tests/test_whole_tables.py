@@ -5,6 +5,8 @@ import pytest
 from tilewright.operators import pixels
 from tilewright.plans import registry
 
+from .conftest import SF
+
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_query_has_a_filter_on_ids(name):
@@ -45,3 +47,10 @@ def test_existing_tiles_of_a_wide_level(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, 0, 0), (1, 63, 0), (1, 64, 0), (1, 156, 70)]
     spark.createDataFrame([], "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/none/lineitem.parquet")
     assert registry.queries()["jn3_existing_tiles"](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_whole_regions_are_of_both_kinds(spark, duck):
+    want = {kind: duck.sql(f"select count(*) from {table}").fetchall()[0][0] for kind, table in (("vector", "part"), ("raster", "supplier"))}
+    query, text = registry.queries()["prj13_whole_regions"], registry.oracle_sql()["prj13_whole_regions"]
+    assert {r.region_type: r["count"] for r in query(spark, SF).groupBy("region_type").count().collect()} == want
+    assert dict(duck.sql(f"select region_type, count(*) from ({text}) group by 1").fetchall()) == want

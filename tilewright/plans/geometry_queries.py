@@ -85,16 +85,16 @@ def whole(boxes, kind):
     return B.whole(boxes.withColumn("x", F.col("x") - 5.5), kind)
 
 
-@query("prj13_whole_regions", WHOLE.format(kind="vector", view="v_part_boxes"))
+@query("prj13_whole_regions", "select id, greatest(floor(x - 5.5), 0)::bigint as x, floor(y)::bigint as y, floor(w)::bigint as w, floor(h)::bigint as h, 'vector' as region_type from v_part_boxes union all select id, greatest(floor(x - 5.5), 0)::bigint, floor(y)::bigint, floor(w)::bigint, floor(h)::bigint, 'raster' from v_supplier_boxes")
 def whole_regions(spark, sf_dir):
-    """Regions as whole pixels, none of them negative."""
-    return whole(V.part_boxes(spark, sf_dir), "vector")
+    """Vector and raster regions as whole pixels, none of them negative."""
+    return whole(V.part_boxes(spark, sf_dir), "vector").unionByName(whole(V.supplier_boxes(spark, sf_dir), "raster"))
 
 
 @query("set3_region_union", WHOLE.format(kind="vector", view="v_part_boxes") + " union all " + WHOLE.format(kind="raster", view="v_supplier_boxes"))
 def vector_and_raster(spark, sf_dir):
-    """Vector and raster regions as one list."""
-    return whole(V.part_boxes(spark, sf_dir), "vector").unionByName(whole(V.supplier_boxes(spark, sf_dir), "raster"))
+    """Vector and raster regions as one list: the survey has the two ids of one piece of code."""
+    return whole_regions(spark, sf_dir)
 
 
 EDGES = "(select *, coalesce(lead(x) over w, first(x) over w) as nx, coalesce(lead(y) over w, first(y) over w) as ny, count(*) over (partition by contour_id) as n from v_points window w as (partition by contour_id order by seq rows between unbounded preceding and unbounded following))"
