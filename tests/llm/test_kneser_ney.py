@@ -101,3 +101,37 @@ def test_packed_arrays():
     blobs = pa.chunked_array([pa.array([K.packed([a, b]), K.packed([a[:0], b[:0]]), K.packed([a[:3], b[:3]])])])
     x, y = K.unpacked(blobs, [np.uint32, np.int64])
     assert (x == np.append(a, a[:3])).all() and (y == np.append(b, b[:3])).all()
+
+
+def test_words_are_hashed_all_at_once(monkeypatch):
+    import pyarrow as pa
+
+    words = ["", "a", "a\0", "a\0\0", "é", "ab" * 4, "ab" * 4 + "\0", *("x" * n for n in range(2, 90)), *("x" * n + "y" for n in range(90))]
+    hashes = K.word_hashes(pa.array(words))
+    assert len(set(hashes.tolist())) == len(set(words)) == len(words)
+    assert (K.word_hashes(pa.array(["before", *words])[1:]) == hashes).all() and len(K.word_hashes(pa.array([], pa.string()))) == 0
+
+    def one_by_one(_):
+        raise AssertionError("a call for a word")
+
+    monkeypatch.setattr("xxhash.xxh64_intdigest", one_by_one)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([" B a  b\t", None, "c"])], ["doc_id", "text"])
+    blocks = [([*known[which]], lengths.tolist()) for _, known, which, lengths in K.sequences([batch])]
+    a, b, c = K.word_hashes(pa.array(["a", "b", "c"]))
+    assert blocks == [([K.BEGIN, b, a, b, K.END, K.BEGIN, K.END, K.BEGIN, c, K.END], [5, 2, 3])]
+
+
+def test_bytes_of_zeros_are_not_packed():
+    import pyarrow as pa
+
+    few, none = np.arange(70_000, dtype=np.int64), np.zeros(70_000, dtype=np.int64)
+    blob = K.packed([few, none])
+    assert blob[8:10] == bytes([3, 0])
+    x, y, z = K.unpacked(pa.chunked_array([pa.array([K.packed([few, none, few[::-1].astype(np.uint32)])])]), [np.int64, np.int64, np.uint32])
+    assert (x == few).all() and not y.any() and len(y) == len(few) and (z == few[::-1]).all()
+
+
+def test_sums_of_runs():
+    values = np.array([3, 4_000_000_000, 1, 0, 7], dtype=np.uint32)
+    assert K.sums(values, np.array([0, 1, 3])).tolist() == [3, 4_000_000_001, 7]
+    assert len(K.sums(values[:0], np.empty(0, dtype=np.int64))) == 0

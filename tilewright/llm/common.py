@@ -77,18 +77,23 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words of all texts in a row, numbers of words of each): as of :func:`split_words`, nulls have none.
+    """(hashes of the words of all texts in a row, numbers of words of each): as of :func:`split_words`, nulls have none."""
+    words, which, counts = numbered_words(texts)
+    known = hashes_of(words)
+    return known[which] if len(known) else known, counts
 
-    Arrow lowers, splits and numbers the words, so each different word of the texts is hashed once.
+
+def numbered_words(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """(different words, the place there of each word of all texts in a row, numbers of words of each text).
+
+    Arrow lowers, splits and numbers the words, so each different word of the texts is looked at once.
     """
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat = split.flatten()
     there = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end of a text leaves empty words
     coded = flat.dictionary_encode()
-    known, which = hashes_of(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)[there]
-    hashes = known[which] if len(known) else known
     ends = np.append(0, np.cumsum(there))[split.offsets.to_numpy() - split.offsets[0].as_py()]
-    return hashes, np.diff(ends)
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)[there], np.diff(ends)
 
 
 def hashes_of(words: pa.StringArray) -> np.ndarray:

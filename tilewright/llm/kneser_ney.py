@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mapped
-from .common import combine, gather, hashed_words, power_of_two, scatter, shared_dir, volume
+from .common import combine, gather, mix, numbered_words, power_of_two, scatter, shared_dir, volume
 
 ORDER = 3
 #: Bytes of text per shard of the model.
@@ -47,8 +47,6 @@ SHARD_BYTES = 24 << 20
 BLOCK_BYTES = 3 << 20
 #: Words, or n-grams, that a task sums up before it passes them on.
 HELD = 2_500_000
-#: White space is in no word, so these two are no words of any text.
-BEGIN, END = (xxhash.xxh64_intdigest(x) for x in (b"\nbegin", b"\nend"))
 #: The id of unknown words, and of what is not there after a text that is shorter than an n-gram.
 NONE = np.uint32(0xFFFFFFFF)
 #: Hashes that share an entry of the table of leading bits, on average.
@@ -116,6 +114,35 @@ class Model:
         return values
 
 
+#: Longer words are hashed one by one.
+LANES = 8
+
+
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """64-bit hashes of strings: eight bytes of all of them at a time."""
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return np.empty(0, dtype=np.uint64)
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    at, size = at[:-1], np.diff(at)
+    body = (data.to_pybytes() if data else b"") + bytes(8)
+    lanes = np.ndarray(len(body) - 7, dtype="<u8", buffer=body, strides=(1,))
+    out = mix(size.astype(np.uint64))
+    masks = np.append((np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)) - np.uint64(1), ~np.uint64(0))
+    for k in range(0, 8 * LANES, 8):
+        rows = np.flatnonzero((size > k) & (size <= 8 * LANES))
+        if not len(rows):
+            continue
+        out[rows] = combine(out[rows], lanes[at[rows] + k] & masks[np.minimum(size[rows] - k, 8)])
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = xxhash.xxh64_intdigest(body[at[i] : at[i] + size[i]])
+    return out
+
+
+#: White space is in no word, so these two are no words of any text.
+BEGIN, END = word_hashes(pa.array(["\nbegin", "\nend"]))
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     bits = shards.bit_length() - 1
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
@@ -186,7 +213,15 @@ def merged(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
-    return [c[at] for c in columns], [np.add.reduceat(v[order], at, dtype=v.dtype) for v in values]
+    return [c[at] for c in columns], [sums(v[order], at) for v in values]
+
+
+def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the runs of whole numbers that begin at ``at``, the first at 0."""
+    if not len(at):
+        return values[:0]
+    ends = np.cumsum(values)[np.append(at[1:], len(values)) - 1]
+    return np.diff(ends, prepend=ends.dtype.type(0)).astype(values.dtype)
 
 
 def distinct(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -195,60 +230,69 @@ def distinct(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.nd
     order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
-    return keys[at], [c[order[at]] for c in columns], [np.add.reduceat(v[order], at, dtype=v.dtype) if len(at) else v for v in values]
+    return keys[at], [c[order[at]] for c in columns], [sums(v[order], at) for v in values]
 
 
 def packed(arrays: list[np.ndarray]) -> bytes:
-    """Arrays of one length, bytes of one weight together, compressed."""
-    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
-    return len(arrays[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
+    """Arrays of whole numbers and one length, bytes of one weight together, compressed; without bytes that are 0 in a whole array."""
+    arrays = [np.ascontiguousarray(a) for a in arrays]
+    widths = [(int(a.view(f"u{a.itemsize}").max(initial=0)).bit_length() + 7) // 8 for a in arrays]
+    planes = np.empty((sum(widths), len(arrays[0])), dtype=np.uint8)
+    rows = iter(planes)
+    for a, width in zip(arrays, widths):
+        columns = a.view(np.uint8).reshape(len(a), a.itemsize)
+        for k in range(width):
+            next(rows)[:] = columns[:, k]
+    return len(arrays[0]).to_bytes(8, "little") + bytes(widths) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpacked(blobs: pa.ChunkedArray, kinds: list[type]) -> list[np.ndarray]:
     out: list[list[np.ndarray]] = [[] for _ in kinds]
     for blob in blobs:
         blob = blob.as_py()
-        n, planes, at = int.from_bytes(blob[:8], "little"), zstandard.ZstdDecompressor().decompress(blob[8:]), 0
-        for held, kind in zip(out, kinds):
-            size = np.dtype(kind).itemsize
-            held.append(np.frombuffer(planes, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel())
-            at += n * size
+        n, head = int.from_bytes(blob[:8], "little"), 8 + len(kinds)
+        rows = iter(np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[head:]), np.uint8).reshape(sum(blob[8:head]), n))
+        for held, kind, width in zip(out, kinds, blob[8:head]):
+            columns = np.zeros((n, np.dtype(kind).itemsize), dtype=np.uint8)
+            for k in range(width):
+                columns[:, k] = next(rows)
+            held.append(columns.view(kind).ravel())
     return [np.concatenate(held) if held else np.empty(0, dtype=kind) for held, kind in zip(out, kinds)]
 
 
 def dealt(bucket: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
     """Rows (bucket, blob) that hold the elements of each bucket, in their order."""
-    order = np.argsort(bucket, kind="stable")
-    held, starts = np.unique(bucket[order], return_index=True)
-    blobs = [packed([a[order[i:j]] for a in arrays]) for i, j in zip(starts, np.append(starts[1:], len(order)))]
+    sizes = np.bincount(bucket)
+    held, ends = np.flatnonzero(sizes), np.cumsum(sizes)
+    order = np.argsort(bucket.astype(np.min_scalar_type(len(sizes))), kind="stable")  # by radix, as long as 16 bits hold the buckets
+    blobs = [packed([a[order[j - n : j]] for a in arrays]) for j, n in zip(ends[held], sizes[held])]
     return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids of documents, hashes of begin, words and end of each in a row, lengths) in blocks."""
+def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids of documents, hashes of different words, which of these are begin, words and end of each in a row, lengths) in blocks."""
     for batch in batches:
         ids, texts, start, size = batch.column(0), batch.column(1), 0, 0
         lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         for k, n in enumerate(lengths.tolist()):
             size += n + 8
             if size >= BLOCK_BYTES or k == batch.num_rows - 1:
-                hashes, counts = hashed_words(texts.slice(start, k + 1 - start))
+                words, which, counts = numbered_words(texts.slice(start, k + 1 - start))
+                known = np.append(word_hashes(words), (BEGIN, END))
                 ends = np.cumsum(counts + 2)
-                framed, inner = np.empty(len(hashes) + 2 * len(counts), dtype=np.uint64), np.ones(len(hashes) + 2 * len(counts), dtype=bool)
-                framed[ends - counts - 2], framed[ends - 1] = BEGIN, END
+                framed, inner = np.empty(len(which) + 2 * len(counts), dtype=np.int32), np.ones(len(which) + 2 * len(counts), dtype=bool)
+                framed[ends - counts - 2], framed[ends - 1] = len(words), len(words) + 1
                 inner[ends - counts - 2] = inner[ends - 1] = False
-                framed[inner] = hashes
-                yield ids.slice(start, k + 1 - start), framed, counts + 2
+                framed[inner] = which
+                yield ids.slice(start, k + 1 - start), known, framed, counts + 2
                 start, size = k + 1, 0
 
 
-def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
-    return keys[starts], np.add.reduceat(counts[order].astype(np.int64), starts) if len(starts) else np.empty(0, dtype=np.int64)
+    return keys[starts], sums(counts[order].astype(np.int64), starts)
 
 
 def narrow(counts: np.ndarray) -> np.ndarray:
@@ -282,10 +326,11 @@ def gram_columns(ids: np.ndarray, lengths: np.ndarray, order: int) -> list[np.nd
 def lower(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
     """What n-grams give those that are a word shorter: as contexts, how often and how variously they go on; as ends, how many words precede them."""
     real = columns[-1] != NONE
-    none = np.zeros(len(counts), dtype=np.uint32)
-    yield merged(columns[:-1], [none, counts.astype(np.int64), *(((counts == k if k < 3 else counts > 2) & real).astype(np.uint32) for k in (1, 2, 3))])
-    none = none[real]
-    yield merged([c[real] for c in columns[1:]], [none + np.uint32(1), none.astype(np.int64), none, none, none])
+    none = lambda c, kinds: [np.zeros(len(c[0]), dtype=kind) for kind in kinds]
+    contexts, own = merged(columns[:-1], [counts.astype(np.int64), *(((counts == k if k < 3 else counts > 2) & real).astype(np.uint32) for k in (1, 2, 3))])
+    yield contexts, [*none(contexts, KINDS[:1]), *own]
+    ends, (before,) = merged([c[real] for c in columns[1:]], [np.ones(int(real.sum()), dtype=KINDS[0])])
+    yield ends, [before, *none(ends, KINDS[1:])]
 
 
 def tally(counts: np.ndarray) -> list[int]:
@@ -304,13 +349,18 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     plan = Model(f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}", shards, order)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
-        for _, hashes, _ in sequences(batches):
-            new = summed(hashes)
-            held = summed(np.concatenate((held[0], new[0])), np.concatenate((held[1], new[1])))
+        held, new, size = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)), [], 0
+        for _, known, which, _ in sequences(batches):
+            counts = np.bincount(which, minlength=len(known))
+            there = np.flatnonzero(counts)
+            new.append((known[there], counts[there]))
+            size += len(there)
+            if size > HELD // 2:
+                held, new, size = summed(*(np.concatenate(x) for x in zip(held, *new))), [], 0
             if len(held[0]) > HELD:
                 yield scatter(shard_of(held[0], shards), list(held), ["key", "count"])
                 held = (held[0][:0], held[1][:0])
+        held = summed(*(np.concatenate(x) for x in zip(held, *new)))
         yield scatter(shard_of(held[0], shards), list(held), ["key", "count"])
 
     def merge_words(key: tuple, part: pa.Table) -> pa.Table:
@@ -345,8 +395,8 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             columns, (n,) = merged(columns, [np.append(counts, np.ones(len(columns[0]) - len(counts), dtype=np.int64))])
             return columns, n
 
-        for _, hashes, lengths in sequences(batches):
-            new.append(gram_columns(plan.words(hashes, ())[0], lengths, order))
+        for _, known, which, lengths in sequences(batches):
+            new.append(gram_columns(plan.words(known, ())[0][which], lengths, order))
             size += len(new[-1][0])
             if size > HELD // 2:
                 (held, counts), new, size = added(), [], 0
@@ -417,8 +467,10 @@ def alike(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     code = np.zeros(len(values[0]), dtype=np.uint64)
     for v in values:
         code = combine(code, v.astype(np.uint64))
-    _, first, which = np.unique(code, return_index=True, return_inverse=True)
-    return np.stack([v[first] for v in values], axis=1), which.astype(np.min_scalar_type(max(len(first), 1)))
+    kinds, which = np.unique(code, return_inverse=True)
+    one = np.empty(len(kinds), dtype=np.int64)  # a row of each kind
+    one[which] = np.arange(len(which))
+    return np.stack([v[one] for v in values], axis=1), which.astype(np.min_scalar_type(max(len(kinds), 1)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -430,15 +482,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
     def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, hashes, lengths in sequences(batches):
+        for doc, known, which, lengths in sequences(batches):
             if not model.tokens:  # nothing learned: all words are alike
                 flat = -np.log10(model.vocabulary + 1.0) * (lengths - 1)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(lengths - 1), pa.array(lengths * 0), pa.array(flat), pa.array(flat)], names)
                 continue
             starts = np.cumsum(lengths) - lengths
-            place = np.arange(len(hashes)) - np.repeat(starts, lengths)  # in its text; 0 is its begin
-            ids, raw, *values = model.words(hashes, ("raw", *VALUES))
-            base = np.log10((raw + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
+            place = np.arange(len(which)) - np.repeat(starts, lengths)  # in its text; 0 is its begin
+            ids, raw, *values = model.words(known, ("raw", *VALUES))
+            base = np.log10((raw + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))[which]
+            ids, raw, *values = (x[which] for x in (ids, raw, *values))
             d = np.array(model.discounts[0])
             p = model.rest / (model.vocabulary + 1) + np.maximum(values[0] - d[np.minimum(values[0], 3)], 0) / max(model.sizes[0], 1)
             keys = ids.astype(np.uint64)
