@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 KEY = ["level", "x", "y"]
 MAX_SIDE, MAX_ZOOM, TILE_VERSION = 65536, 20, 1
+#: Files whose metadata a task holds at once when index entries meet it.
+FILES_AT_ONCE = 1 << 14
 
 
 def div(a: Column, b: Column | int) -> Column:
@@ -121,9 +123,18 @@ def metadata_violation() -> Column:
     )
 
 
+def by_file(meta: DataFrame) -> DataFrame:
+    """``meta`` dealt by its files, few enough a part to be held in memory. Rows that are made of a file's row stay in its part."""
+    parts = max(meta.sparkSession.sparkContext.defaultParallelism, -(-meta.count() // FILES_AT_ONCE))
+    return meta.repartition(parts, "file_id")
+
+
 def index_violations(index: DataFrame, meta: DataFrame) -> DataFrame:
-    """file_id, level, x, y, code: every index entry outside its file's pyramid."""
-    joined = index.join(meta, "file_id")
+    """file_id, level, x, y, code: every index entry outside its file's pyramid.
+
+    Metadata is hashed part by part: a planner that can't tell how many entries a file has must not send the index to every task.
+    """
+    joined = index.join(by_file(meta).hint("shuffle_hash"), "file_id")
     beyond = lambda at, size: F.col(at) >= across(F.col(size), F.col("level"), F.col("tile_size"))
     code = F.when(F.col("level") > F.col("max_zoom_level"), "level").when(beyond("x", "width"), "x").when(beyond("y", "height"), "y")
     return joined.select("file_id", *KEY, code.alias("code")).where("code is not null")

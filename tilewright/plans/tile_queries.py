@@ -146,8 +146,8 @@ def metadata_rules(spark, sf_dir):
 
 
 def file_index(spark, sf_dir):
-    """Index entries of files, some outside their pyramid."""
-    g = T.grid(good_meta(spark, sf_dir), "ceil")
+    """Index entries of files, some outside their pyramid, dealt as the files are when they are checked."""
+    g = T.grid(T.by_file(meta(spark, sf_dir)).where(T.metadata_violation().isNull()), "ceil")
     return g.select("file_id", F.when((F.col("x") + F.col("y")) % 7 == 3, F.col("level") + 20).otherwise(F.col("level")).cast("int").alias("level"), (F.col("x") + F.when(F.col("y") % 11 == 5, 1000).otherwise(0)).alias("x"), "y")
 
 
