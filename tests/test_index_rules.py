@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["flt12_validate"])
+@pytest.mark.parametrize("name", ["flt12_validate", "flt8_index_rules"])
 def test_no_index_is_sent_to_every_task(spark, duck, monkeypatch, name):
     """A file of a few bytes has thousands of entries, which no planner knows: an index is never what is broadcast."""
     monkeypatch.setattr(T, "FILES_AT_ONCE", 30, raising=False)
