@@ -1,10 +1,16 @@
 """JPEG tiles, decoded by Spark's image source (another decoder than ours: we have none)."""
 
+import os
+
 import numpy as np
 import pytest
 
+from tilewright.plans import registry
 from tilewright.sources import images, jpeg
 
+from .compare import same
+from .conftest import SF
+
 
 def pictures():
     rng = np.random.default_rng(1)
@@ -62,3 +68,28 @@ def test_codes_are_no_longer_than_sixteen_and_leave_the_ones():
 
 def test_the_diagonals_turn():
     assert jpeg.zigzag()[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(jpeg.zigzag()) == list(range(64))
+
+
+def test_files_are_read_folder_by_folder(spark, duck, monkeypatch):
+    """Spark's image source lists what it reads in the driver: no folder holds the tiles of all images."""
+    listed, read = [], images.read_images
+
+    def counted(session, path):
+        listed.append(sum(not name.startswith(".") for name in os.listdir(path.removeprefix("file://"))))
+        return read(session, path)
+
+    monkeypatch.setattr(images, "FILES_AT_ONCE", 600, raising=False)
+    monkeypatch.setattr(images, "read_images", counted)
+    df = registry.queries()["snk8_jpeg_tiles"](spark, SF)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert max(listed) < 800 and sum(listed) == 2000 and len(listed) == 4
+    same(df, duck.sql(registry.oracle_sql()["snk8_jpeg_tiles"]))
+
+
+def test_no_files_and_broken_ones(spark, tmp_path):
+    none = images.through_files(spark.createDataFrame([], "name string, content binary"), f"file://{tmp_path}/none")
+    assert none.count() == 0 and none.columns == ["id", "path", "width", "height", "rgba"]
+    good = jpeg.to_jpeg(pictures()["flat"].astype(np.uint8))
+    rows = [("a.jpg", good), ("b.jpg", b"no image"), ("c.jpg", good)]
+    got = {r.path.rsplit("/", 1)[-1]: (r.width, r.height, r.rgba is not None) for r in images.through_files(spark.createDataFrame(rows, "name string, content binary"), f"file://{tmp_path}/some").collect()}
+    assert got["a.jpg"] == got["c.jpg"] == (8, 8, True) and not got.get("b.jpg", (None, None, False))[2]

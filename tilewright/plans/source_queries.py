@@ -368,18 +368,20 @@ def decoded_pixels(spark, sf_dir):
 @query("snk8_jpeg_tiles", "select vec_id as file_id, 'Jpeg' as codec, x, y, g, true as near from v_pixels")
 def jpeg_tiles(spark, sf_dir):
     """The tiles of files with JPEG payloads, decoded by Spark's image source: each pixel beside the one that was encoded, within what steps of 1 allow."""
-    made = S.write_files(S.encode_tiles(grey_tiles(spark, sf_dir), 100), meta_of(spark, sf_dir, 0), quality=100)
-    parts = S.sections(made)
+    folder, meta = shared_folder(spark, "jpeg"), meta_of(spark, sf_dir, 0)
+    # Milliseconds a tile: dealt out, and made once.
+    grey = grey_tiles(spark, sf_dir).repartition(max(spark.sparkContext.defaultParallelism, meta.count() // 500))
+    parts = S.sections(S.write_files(S.encode_tiles(grey, 100), meta, quality=100).checkpoint())
     name = F.concat_ws("_", F.col("file_id").cast("string"), F.col("x").cast("string"), F.col("y").cast("string"))
     payloads = S.payloads(parts).where("sound").select(F.concat(name, F.lit(".jpg")).alias("name"), F.col("payload").alias("content"))
-    folder = shared_folder(spark, "jpeg")
-    S.write_whole(payloads, folder).count()
     place = F.split(F.regexp_extract("path", r"([^/]*)\.jpg$", 1), "_")
-    tiles = images.read_images(spark, folder).select(*(place[k].cast("long").alias(c) for k, c in enumerate(("file_id", "x", "y"))), "width", "height", "rgba", F.lit(4).alias("tile_size"))
+    tiles = images.through_files(payloads, folder).select(*(place[k].cast("long").alias(c) for k, c in enumerate(("file_id", "x", "y"))), "width", "height", "rgba", F.lit(4).alias("tile_size"))
     pixels = S.tile_pixels(tiles).select("file_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "r")
     source = V.pixels(spark, sf_dir).withColumnRenamed("vec_id", "file_id")
     codec = S.parse_metadata(parts).select("file_id", F.col("raster_codec").alias("codec"))
-    return source.join(pixels, ["file_id", "x", "y"]).join(codec, "file_id").select("file_id", "codec", "x", "y", "g", (F.abs(F.col("g") - F.col("r")) <= 2).alias("near"))
+    # Pixels look few to a planner, who knows the images only.
+    met = source.hint("merge").join(pixels, ["file_id", "x", "y"]).hint("merge").join(codec, "file_id")
+    return met.select("file_id", "codec", "x", "y", "g", (F.abs(F.col("g") - F.col("r")) <= 2).alias("near"))
 
 
 @query("snk12_level_tiles", "select x::bigint as x, y::bigint as y, count(*) as files from embeddings, range(2) a(x), range(2) b(y) group by all")

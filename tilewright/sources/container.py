@@ -370,19 +370,24 @@ def write_tiles(tiles: DataFrame, folder: str, folder_of_file: bool = False) ->
 
 
 def write_whole(files: DataFrame, folder: str, name: str = "name") -> DataFrame:
-    """Writes ``content`` under the name in a column to a folder, as :func:`write_tiles` does; returns the names."""
+    """Writes ``content`` under the name in a column, which may begin with folders, to a folder, as :func:`write_tiles` does; returns the names."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
+        known = {root}
         for batch in batches:
-            for own, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = f"{root}/.{own}.{uuid.uuid4().hex}"
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                where, own = f"{root}/{path}".rsplit("/", 1)
+                if where not in known:
+                    store.create_dir(where, recursive=True)
+                    known.add(where)
+                part = f"{where}/.{own}.{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as f:
                     f.write(content.as_py())
-                store.move(part, f"{root}/{own}")
+                store.move(part, f"{where}/{own}")
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
 
     return files.select(F.col(name).alias("name"), "content").mapInArrow(put, "name string")

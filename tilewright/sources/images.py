@@ -9,9 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import container
+
 RGBA = "id long, width int, height int, rgba binary"
+PIXELS = "id long, path string, width int, height int, rgba binary"
 #: Sides of images that a container takes.
 MAX_DIMENSION = 65536
+#: Files of a folder that is read at once, on average.
+FILES_AT_ONCE = 1 << 14
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +43,22 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary())))], ["id", "path", "width", "height", "rgba"])
 
     rows = found.select(F.xxhash64("origin").alias("id"), "origin", "height", "width", "nChannels", "data")
-    return rows.mapInArrow(turn, "id long, path string, width int, height int, rgba binary")
+    return rows.mapInArrow(turn, PIXELS)
+
+
+def through_files(files: DataFrame, folder: str) -> DataFrame:
+    """The rows of :func:`read_images` for images as bytes (name, content), which are written to a folder and read from there; both stay in it.
+
+    Spark's image source lists its files in the driver. So they are dealt to folders of about ``FILES_AT_ONCE``, which are read one after the other into a table.
+    """
+    spark = files.sparkSession
+    many = max(1, -(-files.count() // FILES_AT_ONCE))
+    dealt = F.concat(F.pmod(F.xxhash64("name"), F.lit(many)).cast("string"), F.lit("/"), "name")
+    names = container.write_whole(files.select(dealt.alias("name"), "content"), f"{folder}/files")
+    held = sorted(r.held for r in names.select(F.split("name", "/")[0].cast("int").alias("held")).distinct().collect())  # a number for each folder
+    for k in held:
+        read_images(spark, f"{folder}/files/{k}").coalesce(spark.sparkContext.defaultParallelism).write.parquet(f"{folder}/pixels/part={k}")
+    return spark.read.parquet(f"{folder}/pixels").drop("part") if held else spark.createDataFrame([], PIXELS)
 
 
 def input_violation(width: Column, height: Column, wanted_width: Column, wanted_height: Column) -> Column:
